@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, token_files, wumanber
+from . import bpe, cpsjoin, langid, token_files, wumanber
 from .storage import new_dir
 
 
@@ -35,6 +35,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cpsjoin.near_duplicates(_table(spark, sf_dir, "documents"), words=3, threshold=85)
+
+
 def op8_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = wumanber.find_windows(docs, _table(spark, sf_dir, "benchmark"))
@@ -48,5 +52,5 @@ def op8_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_language_id, op8_benchmark_windows)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_language_id, op7_near_duplicates, op8_benchmark_windows)}
 ORACLE_SQL: dict[str, str] = {}
