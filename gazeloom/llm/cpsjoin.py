@@ -13,8 +13,9 @@
    already joins up large groups of copies.
 4. Nodes whose members are in one component have nothing left to find. The others
    are branched again until they hold at most ``SMALL`` members, then all pairs of
-   different components in a node are compared. What is still large after
-   ``DEPTH`` levels is compared exhaustively in blocks, so no pair is dropped.
+   different components in a node are compared by sketches. Members with a candidate
+   are compared on full sets, and links that join components come out. What is still
+   large after ``DEPTH`` levels is compared in blocks, so no pair is dropped.
 5. Components of the confirmed links give the groups.
 
 Full sets are made only for documents in a candidate pair. Nothing is collected to
@@ -39,9 +40,11 @@ from .storage import drop, stash
 WORDS = 5
 THRESHOLD = 80
 POSITIONS = 128
-TREES, BRANCHES, DEPTH = 4, 2, 6
+TREES, BRANCHES, DEPTH = 4, 2, 4
 PATH = TREES * BRANCHES + DEPTH * BRANCHES
-SMALL = 512
+#: Members of a node that are compared exhaustively (about 1 MB of sketches), and shingles of a group of full sets.
+SMALL = 4096
+SET_ITEMS = 1 << 22
 #: Standard errors below the threshold at which a sketch still passes.
 SLACK = 4.7
 
@@ -176,35 +179,110 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text: str, words:
     return out
 
 
-def _exhaustive(members: DataFrame, key: list[str], threshold: int) -> DataFrame:
-    """Candidate pairs of different components inside each group of at most a few ``SMALL`` members."""
-    least = least_agreement(threshold)
-    packed = members.groupBy(*key).agg(F.collect_list(F.struct("id", "label", "n", "sketch")).alias("m"))
+def _in_groups(df: DataFrame, fn, out: str) -> DataFrame:
+    """Apply ``fn`` to the rows of each value of ``g`` in turn, while they stream through sorted tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
         for batch in batches:
-            a, b = [], []
-            for row in batch.column("m"):
-                flat = row.values
-                ids, labels, n = (flat.field(c).to_numpy() for c in ("id", "label", "n"))
-                sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, POSITIONS)
-                for i in range(len(ids) - 1):
-                    rest = slice(i + 1, None)
-                    fit = (labels[rest] != labels[i]) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * threshold)
-                    at = np.flatnonzero(fit) + i + 1
-                    at = at[(sketch[at] == sketch[i]).sum(1) >= least]
-                    a += np.minimum(ids[i], ids[at]).tolist()
-                    b += np.maximum(ids[i], ids[at]).tolist()
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return packed.select("m").mapInArrow(run, "a long, b long").distinct()
+            if not batch.num_rows:
+                continue
+            g = batch.column("g").to_numpy()
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and g[lo] != key:
+                    yield from fn(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                key = g[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from fn(pa.Table.from_batches(held).combine_chunks())
+
+    return df.repartition("g").sortWithinPartitions("g").mapInArrow(run, out)
+
+
+def _blocks(df: DataFrame, node: str, weight, limit: int) -> DataFrame:
+    """Column ``g``: the node, or where it weighs more than ``limit`` the pairs of its blocks, so that any two members meet in a group."""
+    k = F.ceil(weight / (limit / 2)).cast("int")
+    df = df.withColumn("k", F.when(weight > limit, k).otherwise(1)).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    pair = F.xxhash64(node, F.least("mine", "other"), F.greatest("mine", "other"))
+    return df.withColumn("g", F.when(F.col("k") > 1, pair).otherwise(F.col(node))).drop("k", "mine", "other")
+
+
+def _promising(members: DataFrame, threshold: int) -> DataFrame:
+    """(g, id, label, n): members that have a candidate of another component in their group, by sketches.
+
+    A pair that meets in several roots' children counts in the first small one only:
+    ``tree`` is the number of the group's root, -1 below.
+    """
+    least = least_agreement(threshold)
+    roots = TREES * BRANCHES
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        label, n, tree, large = (t.column(c).to_numpy() for c in ("label", "n", "tree", "large"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+        path = t.column("path").combine_chunks().flatten().to_numpy().reshape(-1, PATH)[:, :roots]
+        usable = (large[:, None] >> np.arange(roots)) & 1 == 0
+        some = np.zeros(len(n), bool)
+        for i in range(len(n) - 1):
+            fit = (label[i + 1 :] != label[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * threshold)
+            at = np.flatnonzero(fit) + i + 1
+            if len(at):
+                at = at[(sketch[at] == sketch[i]).sum(1) >= least]
+            if len(at) and tree[i] >= 0:
+                at = at[((path[at] == path[i]) & usable[at]).argmax(1) == tree[i]]
+            if len(at):
+                some[at] = some[i] = True
+        if some.any():
+            yield from t.select(["g", "id", "label", "n"]).filter(pa.array(some)).to_batches()
+
+    return _in_groups(members.select("g", "id", "label", "n", "tree", "large", "sketch", "path"), compare, "g long, id long, label long, n long")
+
+
+def _linked(docs: DataFrame, promising: DataFrame, id_col: str, text: str, words: int, threshold: int) -> DataFrame:
+    """Links (a, b) that join the components of each group, confirmed on full sets; a component that is joined already gets no second link."""
+    wanted = promising.select(F.col("id").alias(id_col)).distinct()
+    one_row = docs.select(id_col, text).join(wanted, id_col, "left_semi").dropDuplicates([id_col])
+    sets = stash(full_sets(one_row, id_col, text, words), "sets")
+    weight = promising.groupBy("g").agg(F.sum("n").alias("w")).withColumnRenamed("g", "node")
+    dealt = _blocks(promising.withColumnRenamed("g", "node").join(weight, "node"), "node", F.col("w"), SET_ITEMS)
+
+    def confirm(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
+        root = t.column("label").to_numpy().copy()
+        lists = t.column("items").combine_chunks()
+        items, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+        # postings of each item: one pass gives a member's intersections with all others
+        _, code = np.unique(items, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        posting, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+        starts = np.concatenate([[0], np.cumsum(n)])
+        a, b = [], []
+        for i in range(len(ids)):
+            mine = code[starts[i] : starts[i + 1]]
+            lens = first[mine + 1] - first[mine]
+            at = np.arange(lens.sum()) + np.repeat(first[mine] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens)
+            both = np.bincount(posting[at], minlength=len(ids))
+            close = np.flatnonzero((both * 100 >= (n + n[i] - both) * threshold) & (root != root[i]))
+            for j in close.tolist():
+                if root[j] != root[i]:
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+                    root[root == root[j]] = root[i]
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    out = stash(_in_groups(dealt.join(sets, "id").select("g", "id", "label", "n", "items"), confirm, "a long, b long").distinct(), "links")
+    drop(sets)
+    return out
 
 
 def _children(nodes: DataFrame, level: int) -> DataFrame:
     """Each member in ``BRANCHES`` children of its node, chosen by minwise values not used before."""
     first = TREES * BRANCHES + level * BRANCHES
     keys = F.array(*[F.xxhash64("node", F.lit(first + k), F.col("path")[first + k]) for k in range(BRANCHES)])
-    return nodes.withColumn("node", F.explode(keys))
+    return nodes.withColumn("node", F.explode(keys)).withColumn("tree", F.lit(-1))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -216,9 +294,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = stash(sigs.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch"), F.min_by("path", "id").alias("path")), "classes")
 
     roots = F.array(*[F.xxhash64(F.lit(k), F.col("path")[k]) for k in range(TREES * BRANCHES)])
-    members = classes.select("id", F.explode(roots).alias("node"))
+    members = classes.select("id", F.posexplode(roots).alias("tree", "node"))
     nodes = stash(members.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("first"), F.max("id").alias("last")).where("m > 1"), "nodes")
-    shared = stash(members.join(nodes, "node").select("node", "id", "m", "first", "last"), "members")
+    shared = stash(members.join(nodes, "node").select("node", "tree", "id", "m", "first", "last"), "members")
     stars = shared.select(F.col("first").alias("a"), F.col("id").alias("b")).unionAll(shared.select(F.col("id").alias("a"), F.col("last").alias("b")))
     sketches = classes.select("id", "n", "sketch")
     pairs = stash(_alike(stars.where("a < b").distinct(), sketches, threshold), "pairs")
@@ -226,37 +304,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # what the stars left: nodes with members of several components
     labels = stash(components(links), "labels")
-    marked = shared.select("node", "id").join(labels, "id", "left").select("node", "id", F.coalesce("component", "id").alias("label"))
-    mixed = stash(marked.groupBy("node").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi and m > 2").select("node", "m"), "mixed")
-    open_nodes = marked.join(mixed, "node").join(classes.select("id", "n", "sketch", "path"), "id")
+    marked = shared.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    mixed = stash(marked.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node"), "mixed")
+    large_roots = shared.where(F.col("m") > SMALL).groupBy("id").agg(F.expr("bit_or(shiftleft(1, tree))").alias("large"))
     found = []
-    now = stash(open_nodes, "level")
+    now = stash(marked.where("m > 2").join(mixed, "node").join(large_roots, "id", "left").fillna(0, ["large"]).join(classes.select("id", "n", "sketch", "path"), "id"), "level")
     for level in range(DEPTH + 1):
-        found.append(stash(_exhaustive(now.where(F.col("m") <= SMALL), ["node"], threshold), "found"))
-        large = now.where(F.col("m") > SMALL).drop("m")
-        if large.isEmpty():
+        small = now.where(F.col("m") <= SMALL)
+        if level == DEPTH:
+            small = now
+        found.append(stash(_promising(_blocks(small, "node", F.col("m"), SMALL), threshold), "promising"))
+        large = now.where(F.col("m") > SMALL)
+        if level == DEPTH or large.isEmpty():
             break
-        if level < DEPTH:
-            kids = stash(_children(large, level), "children")
-            sizes = stash(kids.groupBy("node").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "m"), "sizes")
-            after = stash(kids.join(sizes, "node"), "level")
-            drop(now, kids, sizes)
-            now = after
-        else:
-            # exhaustive in blocks: every pair of blocks of a node meets in one group
-            blocks = F.ceil(F.col("m") / (SMALL // 2)).cast("int")
-            dealt = now.where(F.col("m") > SMALL).withColumn("k", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-            dealt = dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-            found.append(stash(_exhaustive(dealt, ["node", "lo", "hi"], threshold), "found"))
+        kids = stash(_children(large.drop("m"), level), "children")
+        sizes = stash(kids.groupBy("node").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "m"), "sizes")
+        after = stash(kids.join(sizes, "node"), "level")
+        drop(now, kids, sizes)
+        now = after
     rest = found[0]
     for more in found[1:]:
         rest = rest.unionAll(more)
-    rest = stash(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = _confirmed(docs, rest, id_col, text, words, threshold)
+        more = _linked(docs, rest, id_col, text, words, threshold)
         labels = stash(components(links.unionAll(more)), "labels")
-    drop(nodes, shared, mixed, now, *found, pairs, rest)
+    drop(nodes, shared, mixed, now, *found, pairs)
     of_class = classes.select("h1", "h2", "n", "id").join(labels, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component_id"))
     of_class = stash(of_class, "groups")
     drop(classes)
