@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cpsjoin, langid, token_files, wumanber
+from . import bpe, cpsjoin, feistel, langid, token_files, wumanber
 from .storage import new_dir
 
 
@@ -52,5 +52,13 @@ def op8_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_language_id, op7_near_duplicates, op8_benchmark_windows)}
+#: Key of the queries; production passes its own.
+PII_KEY = "public-demonstration-key"
+
+
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_language_id, op7_near_duplicates, op8_benchmark_windows, op9_pseudonyms)}
 ORACLE_SQL: dict[str, str] = {}
