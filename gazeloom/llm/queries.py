@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cpsjoin, feistel, langid, token_files, wumanber
+from . import bpe, chat, chroma, cpsjoin, feistel, langid, token_files, toxicity, wrappers, wumanber
 from .storage import new_dir
 
 
@@ -35,6 +35,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
 
 
+def op4_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio, so each embedding is sounded as a recording of eight seconds."""
+    sound = chroma.sonify(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    aligned = chroma.align(chroma.add_fingerprints(sound, "id", "pcm"), F.col("id") % 50 == 0)
+    return aligned.withColumnRenamed("id", "vec_id")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.predict(docs, model).drop("text")
+
+
+def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(_table(spark, sf_dir, "conversations"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cpsjoin.near_duplicates(_table(spark, sf_dir, "documents"), words=3, threshold=85)
 
@@ -60,5 +77,9 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_language_id, op7_near_duplicates, op8_benchmark_windows, op9_pseudonyms)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_language_id, op4_chroma_alignment, op5_toxicity, op6_chat_snapshots, op7_near_duplicates, op8_benchmark_windows, op9_pseudonyms, op10_main_text)}
+ORACLE_SQL: dict[str, str] = {"op6_chat_snapshots": chat.ORACLE}
