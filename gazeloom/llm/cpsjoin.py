@@ -168,7 +168,7 @@ def _alike(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
 def _confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text: str, words: int, threshold: int) -> DataFrame:
     """The pairs whose full sets reach the threshold; ``pairs`` is a stashed table."""
     wanted = pairs.select(F.col("a").alias(id_col)).unionAll(pairs.select(F.col("b").alias(id_col))).distinct()
-    one_row = docs.select(id_col, text).join(wanted, id_col, "left_semi").dropDuplicates([id_col])
+    one_row = docs.select(id_col, text).join(wanted.hint("merge"), id_col, "left_semi").dropDuplicates([id_col])
     sets = stash(full_sets(one_row, id_col, text, words), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
@@ -244,7 +244,7 @@ def _promising(members: DataFrame, threshold: int) -> DataFrame:
 def _linked(docs: DataFrame, promising: DataFrame, id_col: str, text: str, words: int, threshold: int) -> DataFrame:
     """Links (a, b) that join the components of each group, confirmed on full sets; a component that is joined already gets no second link."""
     wanted = promising.select(F.col("id").alias(id_col)).distinct()
-    one_row = docs.select(id_col, text).join(wanted, id_col, "left_semi").dropDuplicates([id_col])
+    one_row = docs.select(id_col, text).join(wanted.hint("merge"), id_col, "left_semi").dropDuplicates([id_col])
     sets = stash(full_sets(one_row, id_col, text, words), "sets")
     weight = promising.groupBy("g").agg(F.sum("n").alias("w")).withColumnRenamed("g", "node")
     dealt = _blocks(promising.withColumnRenamed("g", "node").join(weight, "node"), "node", F.col("w"), SET_ITEMS)
