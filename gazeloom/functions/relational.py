@@ -19,7 +19,7 @@ MACROS = {
     "upto": ("explode(sequence(1, CAST({0} AS INT)))", "unnest(generate_series(1, CAST({0} AS INT)))"),
     "letter": ("char(CAST(65 + {0} AS INT))", "chr(CAST(65 + {0} AS INT))"),
 }
-_MACRO = re.compile(r"@(\w+)\(((?:[^()]|\([^()]*\))*)\)")
+_MACRO = re.compile(r"@(\w+)\(")
 
 
 def r6(x: str) -> str:
@@ -49,8 +49,11 @@ class Plan:
         *inner, (last, final) = self.steps.items()
         out = ("WITH " + ",\n".join(f"{n} AS ({t})" for n, t in inner) + "\n" if inner else "") + final
         while m := _MACRO.search(out):
-            args = [x.strip() for x in m[2].split("|")]
-            out = out[: m.start()] + MACROS[m[1]][dialect].format(*args) + out[m.end() :]
+            end, depth = m.end(), 1
+            while depth:
+                depth += {"(": 1, ")": -1}.get(out[end], 0)
+                end += 1
+            out = out[: m.start()] + MACROS[m[1]][dialect].format(out[m.end() : end - 1]) + out[end:]
         return out
 
     def spark(self, spark: SparkSession, **inputs: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def pursuit_task(p: Plan, samples: str, target: str, intervals: str, out: str, f
     slope = lambda c: f"covar_samp({c}, i) / nullif(var_samp(i), 0)"
     p = p.then(f"{out}_v", f"SELECT recording_id, k, a, b, b - a + 1 AS n, ({slope('x')}) / nullif({slope('tx')}, 0) AS ratio_x, ({slope('y')}) / nullif({slope('ty')}, 0) AS ratio_y, avg(CASE WHEN i < b THEN speed END) AS v, max(CASE WHEN i < b THEN speed END) AS peak, sum(CASE WHEN i < b THEN speed END) / {fs} AS path FROM {out}_s GROUP BY recording_id, k, a, b")
     p = p.then(f"{out}_iv", f"""SELECT recording_id, count(*) AS n_events, avg(n) / {fs} AS duration, sum(n) AS n_in, avg(v) AS velocity, avg(peak) AS peak, avg(path) AS distance, avg(ratio_x) AS gain_x, avg(ratio_y) AS gain_y,
-        sum(n * ratio_x) / nullif(sum(CASE WHEN ratio_x IS NOT NULL THEN n END), 0) AS weighted_gain_x, avg(CASE WHEN ratio_x BETWEEN {1 - accuracy} AND {1 + accuracy} THEN 1.0 ELSE 0.0 END) AS accuracy_x FROM {out}_v GROUP BY recording_id""")
+        sum(n * ratio_x) / nullif(sum(CASE WHEN ratio_x IS NOT NULL THEN n END), 0) AS weighted_gain_x, avg(CASE WHEN ratio_x BETWEEN {1 - accuracy} AND {1 + accuracy} THEN 1e0 ELSE 0e0 END) AS accuracy_x FROM {out}_v GROUP BY recording_id""")
     d = lambda c: f"(lead({c}) OVER ({W}) - {c})"
     p = p.then(f"{out}_g", f"SELECT recording_id, i, x, y, tx, ty, {d('x')} AS gx, {d('y')} AS gy, {d('tx')} AS hx, {d('ty')} AS hy FROM {out}_w")
     p = p.then(f"{out}_o", f"""SELECT recording_id, avg(sqrt(gx * gx + gy * gy) / nullif(sqrt(hx * hx + hy * hy), 0)) AS overall, avg(gx / nullif(hx, 0)) AS overall_x, avg(gy / nullif(hy, 0)) AS overall_y,

@@ -49,8 +49,8 @@ def recurrence(p: Plan, source: str, out: str, radius: float, shortest: int = 2)
     p = p.then(f"{out}_e", f"SELECT c.recording_id, -sum((c.c / CAST(d.n AS DOUBLE)) * ln(c.c / CAST(d.n AS DOUBLE))) AS entropy FROM {out}_c c JOIN {out}_ds d ON c.recording_id = d.recording_id GROUP BY c.recording_id")
     return p.then(
         out,
-        f"""SELECT n.recording_id, {r6("200.0 * coalesce(t.rp, 0) / nullif(n.n * (n.n - 1), 0)")} AS recurrence_rate, {r6("50.0 * (coalesce(v.total, 0) + coalesce(h.total, 0)) / nullif(t.rp, 0)")} AS laminarity,
-        {r6("100.0 * coalesce(d.total, 0) / nullif(t.rp, 0)")} AS determinism, {r6("100.0 * t.mass / nullif((n.n - 1) * t.rp, 0)")} AS corm, {r6("coalesce(e.entropy, 0.0)")} AS entropy
+        f"""SELECT n.recording_id, {r6("2e2 * coalesce(t.rp, 0) / nullif(n.n * (n.n - 1), 0)")} AS recurrence_rate, {r6("5e1 * (coalesce(v.total, 0) + coalesce(h.total, 0)) / nullif(t.rp, 0)")} AS laminarity,
+        {r6("1e2 * coalesce(d.total, 0) / nullif(t.rp, 0)")} AS determinism, {r6("1e2 * t.mass / nullif((n.n - 1) * t.rp, 0)")} AS corm, {r6("coalesce(e.entropy, 0.0)")} AS entropy
         FROM {out}_n n LEFT JOIN {out}_t t ON n.recording_id = t.recording_id LEFT JOIN {out}_vs v ON n.recording_id = v.recording_id LEFT JOIN {out}_hs h ON n.recording_id = h.recording_id
         LEFT JOIN {out}_ds d ON n.recording_id = d.recording_id LEFT JOIN {out}_e e ON n.recording_id = e.recording_id""",
     )
@@ -71,8 +71,8 @@ def cross_recurrence(p: Plan, source: str, pairs: str, out: str, radius: float,
     p = p.then(f"{out}_e", f"SELECT c.recording_id, -sum((c.c / CAST(d.n AS DOUBLE)) * ln(c.c / CAST(d.n AS DOUBLE))) AS entropy FROM {out}_c c JOIN {out}_ds d ON c.recording_id = d.recording_id GROUP BY c.recording_id")
     return p.then(
         out,
-        f"""SELECT q.id_1, q.id_2, {r6("100.0 * coalesce(t.rp, 0) / (n1.n * n2.n)")} AS recurrence_rate, {r6("100.0 * coalesce(v.total, 0) / nullif(t.rp, 0)")} AS laminarity_vertical, {r6("100.0 * coalesce(h.total, 0) / nullif(t.rp, 0)")} AS laminarity_horizontal,
-        {r6("100.0 * coalesce(d.total, 0) / nullif(t.rp, 0)")} AS determinism, {r6("coalesce(e.entropy, 0.0)")} AS entropy
+        f"""SELECT q.id_1, q.id_2, {r6("1e2 * coalesce(t.rp, 0) / (n1.n * n2.n)")} AS recurrence_rate, {r6("1e2 * coalesce(v.total, 0) / nullif(t.rp, 0)")} AS laminarity_vertical, {r6("1e2 * coalesce(h.total, 0) / nullif(t.rp, 0)")} AS laminarity_horizontal,
+        {r6("1e2 * coalesce(d.total, 0) / nullif(t.rp, 0)")} AS determinism, {r6("coalesce(e.entropy, 0.0)")} AS entropy
         FROM {out}_q q JOIN {out}_n n1 ON q.id_1 = n1.recording_id JOIN {out}_n n2 ON q.id_2 = n2.recording_id LEFT JOIN {out}_t t ON q.recording_id = t.recording_id LEFT JOIN {out}_vs v ON q.recording_id = v.recording_id
         LEFT JOIN {out}_hs h ON q.recording_id = h.recording_id LEFT JOIN {out}_ds d ON q.recording_id = d.recording_id LEFT JOIN {out}_e e ON q.recording_id = e.recording_id""",
     )
@@ -80,9 +80,9 @@ def cross_recurrence(p: Plan, source: str, pairs: str, out: str, radius: float,
 
 def saliency_map(p: Plan, source: str, out: str, width: float, height: float, kind: str = "count", nx: int = 25, ny: int = 25, sigma: float = 3.0, half: int = 6) -> Plan:
     """Dense map (by, bx, v) that sums to one: counts, durations or relative durations, smoothed by a separable Gaussian with zero padding."""
-    value = {"count": "1.0", "absolute_duration": "dur", "relative_duration": "dur / nullif(sum(dur) OVER (PARTITION BY recording_id), 0)"}[kind]
+    value = {"count": "1e0", "absolute_duration": "dur", "relative_duration": "dur / nullif(sum(dur) OVER (PARTITION BY recording_id), 0)"}[kind]
     taps = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
-    p = p.then(f"{out}_k", " UNION ALL ".join(f"SELECT {k - half} AS d, {w / taps.sum()!r} AS w" for k, w in enumerate(taps)))
+    p = p.then(f"{out}_k", " UNION ALL ".join(f"SELECT {k - half} AS d, {float(w / taps.sum())!r} AS w" for k, w in enumerate(taps)))
     p = p.then(f"{out}_b", f"SELECT CAST(floor(greatest(0.0, least(x, {width - 0.001})) / {width / nx}) AS BIGINT) AS gx, CAST(floor(greatest(0.0, least(y, {height - 0.001})) / {height / ny}) AS BIGINT) AS gy, {value} AS v FROM {source}")
     p = p.then(f"{out}_c", f"SELECT gx, gy, sum(v) AS v FROM {out}_b GROUP BY gx, gy")
     p = p.then(f"{out}_x", f"SELECT c.gx + k.d AS gx, c.gy, sum(c.v * k.w) AS v FROM {out}_c c CROSS JOIN {out}_k k WHERE c.gx + k.d BETWEEN 0 AND {nx - 1} GROUP BY c.gx + k.d, c.gy")
@@ -106,8 +106,8 @@ def map_against_fixations(p: Plan, fixation_bins: str, smap: str, out: str, nx:
     # AUC: each distinct fixated cell against all cells that are not fixated, ties count half
     p = p.then(f"{out}_d", f"SELECT DISTINCT recording_id, gx, gy, v FROM {out}_f")
     p = p.then(f"{out}_n", f"SELECT recording_id, count(*) AS n FROM {out}_d GROUP BY recording_id")
-    p = p.then(f"{out}_q", f"SELECT d.recording_id, sum(CASE WHEN m.v < d.v THEN 1.0 WHEN m.v = d.v THEN 0.5 ELSE 0.0 END) AS wins FROM {out}_d d CROSS JOIN {smap} m GROUP BY d.recording_id")
-    p = p.then(f"{out}_s", f"SELECT d.recording_id, sum(CASE WHEN e.v < d.v THEN 1.0 WHEN e.v = d.v THEN 0.5 ELSE 0.0 END) AS own FROM {out}_d d JOIN {out}_d e ON d.recording_id = e.recording_id GROUP BY d.recording_id")
+    p = p.then(f"{out}_q", f"SELECT d.recording_id, sum(CASE WHEN m.v < d.v THEN 1e0 WHEN m.v = d.v THEN 5e-1 ELSE 0e0 END) AS wins FROM {out}_d d CROSS JOIN {smap} m GROUP BY d.recording_id")
+    p = p.then(f"{out}_s", f"SELECT d.recording_id, sum(CASE WHEN e.v < d.v THEN 1e0 WHEN e.v = d.v THEN 5e-1 ELSE 0e0 END) AS own FROM {out}_d d JOIN {out}_d e ON d.recording_id = e.recording_id GROUP BY d.recording_id")
     p = p.then(f"{out}_g", f"SELECT recording_id, avg(z) AS nss, avg(below) AS percentile, avg(gain) AS gain FROM {out}_f GROUP BY recording_id")
     return p.then(out, f"SELECT g.recording_id, {r6('g.nss')} AS nss, {r6('100 * g.percentile')} AS percentile, {r6('g.gain')} AS information_gain, {r6(f'(q.wins - s.own) / nullif(n.n * ({nx * ny} - n.n), 0)')} AS auc FROM {out}_g g JOIN {out}_n n ON g.recording_id = n.recording_id JOIN {out}_q q ON g.recording_id = q.recording_id JOIN {out}_s s ON g.recording_id = s.recording_id")
 

@@ -38,9 +38,9 @@ def ibdt(p: Plan, source: str, out: str, window: float, fixation: float, pursuit
     """I-BDT: pursuit likelihood is the share of the last samples faster than the fixation level, its running mean the prior; speeds are Gaussian around three levels. Ties go to fixation, saccade, pursuit in turn."""
     d = max(1, math.ceil(window * fs))
     frame = f"({W} ROWS BETWEEN {d - 1} PRECEDING AND CURRENT ROW)"
-    p = p.then(f"{out}_l", f"SELECT *, avg(CASE WHEN {speed} > {fixation} THEN 1.0 ELSE 0.0 END) OVER {frame} AS pl FROM {source}")
+    p = p.then(f"{out}_l", f"SELECT *, avg(CASE WHEN {speed} > {fixation} THEN 1e0 ELSE 0e0 END) OVER {frame} AS pl FROM {source}")
     p = p.then(f"{out}_p", f"SELECT *, avg(pl) OVER {frame} AS pr FROM {out}_l")
-    gauss = lambda level, left: f"(CASE WHEN {left} THEN 1.0 ELSE exp(greatest(-700.0, -0.5 * power(({speed} - {level}) / {sd}, 2))) END)"
+    gauss = lambda level, left: f"(CASE WHEN {left} THEN 1e0 ELSE exp(greatest(-700.0, -0.5 * power(({speed} - {level}) / {sd}, 2))) END)"
     p = p.then(f"{out}_q", f"SELECT *, (1 - pr) / 2 * {gauss(fixation, f'{speed} < {fixation}')} AS qf, (1 - pr) / 2 * {gauss(saccade, f'{speed} > {saccade}')} AS qs, pr * pl AS qp FROM {out}_p")
     return p.then(out, f"SELECT recording_id, i, status, x, y, z, speed, CASE WHEN qf >= qs AND qf >= qp THEN 1 WHEN qs >= qp THEN 2 ELSE 3 END AS label FROM {out}_q")
 
