@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 #: Characters handled at a time inside a batch; bounds a Python worker's memory.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 250_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
