@@ -75,24 +75,49 @@ def tokenizer(path: str, pattern: str):
     return out
 
 
+def byte_slices(ids: np.ndarray, starts: list[int], ends: list[int]) -> list[bytes]:
+    """The bytes of ids[start:end] for each start and end."""
+    raw, width = ids.tobytes(), ids.itemsize
+    return [raw[a * width : b * width] for a, b in zip(starts, ends, strict=True)]
+
+
 class PieceIds:
-    """Ids of text pieces as packed bytes; frequent pieces are encoded once per worker."""
+    """Ids of text pieces as packed bytes; frequent pieces are encoded once per worker.
+
+    New pieces go to the library many at a time as one text, with a separator between
+    them that is a token of its own and never part of another; its id cuts the result.
+    """
+
+    def __init__(self, model, dtype: str, separator: str, mark: str):
+        self.model, self.dtype, self.separator, self.mark, self.known = model, dtype, separator, mark, {}
+        self.long: list[str] = []
+        (self.cut,) = self._ids(mark)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def __init__(self, model, dtype: str):
-        self.model, self.dtype, self.known = model, dtype, {}
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        ids = self._ids(self.separator.join(pieces))
+        at = np.flatnonzero(ids == self.cut)
+        if len(at) != len(pieces) - 1:
+            return [self._ids(p).tobytes() for p in pieces]
+        return byte_slices(ids, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)])
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         known = self.known
+        for p in self.long:
+            known.pop(p, None)
         new = [p for p in pieces if p not in known]
         if len(known) + len(new) > CACHED:
             known.clear()
             new = list(pieces)
-        extra = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, got in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(piece) <= CACHED_CHARS and len(known) < CACHED else extra)[piece] = np.asarray(got.ids, self.dtype).tobytes()
-        return known | extra if extra else known
+        plain = [p for p in new if self.mark not in p and not p.isspace()]
+        got = [(p, self._ids(p).tobytes()) for p in new if self.mark in p or p.isspace()]
+        for at in range(0, len(plain), 1024):
+            got += zip(plain[at : at + 1024], self._encode(plain[at : at + 1024]), strict=True)
+        known.update(got)
+        self.long = [p for p in new if len(p) > CACHED_CHARS]
+        return known
 
 
 def packed_ids(texts: list[str], cut, pieces: PieceIds) -> list[bytes]:
@@ -145,7 +170,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", off
 
 @lru_cache(maxsize=4)
 def _shared_pieces(path: str, pattern: str) -> PieceIds:
-    return PieceIds(tokenizer(path, pattern), "<i4")
+    return PieceIds(tokenizer(path, pattern), "<i4", "\n", "\n")
 
 
 @lru_cache(maxsize=4)

@@ -20,6 +20,7 @@ entry per row; an empty table gives no parts.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,17 +33,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import slices, text_of
-from .bpe import PieceIds, packed_ids
+from .bpe import CACHED, CACHED_CHARS, PieceIds, byte_slices, packed_ids
 
 MISSING_ID = -(2**63)
 
 
+#: A word of Latin letters with punctuation behind it: lower-casing and composing leave the parts apart.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]*)")
+#: Words that a worker remembers.
+CACHED_WORDS = 400_000
+
+
+class WordIds(PieceIds):
+    """Pieces of a lower-casing tokenizer with word ends; plain words are remembered without case and punctuation."""
+
+    def __init__(self, model, dtype: str, separator: str, mark: str):
+        super().__init__(model, dtype, separator, mark)
+        self.words: dict[str, bytes] = {}
+        vocabulary = model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn_words(self, words: set[str]) -> None:
+        if len(self.words) + len(words) > CACHED_WORDS:
+            self.words.clear()
+        new = [w for w in words if w not in self.words]
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            ids = self._ids(" ".join(part))
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            got = byte_slices(ids, [0, *stops[:-1]], stops) if len(stops) == len(part) else [self._ids(w).tobytes() for w in part]
+            self.words.update(zip(part, got, strict=True))
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        known = self.known
+        if len(known) + 2 * len(pieces) > CACHED:
+            known.clear()
+        split = {p: m.groups() for p in pieces if p not in known and (m := _WORD.fullmatch(p))}
+        lowered = {p: word.lower() for p, (word, _) in split.items()}
+        self._learn_words({*lowered.values()})
+        marks = super().learn({mark for _, mark in split.values() if mark} | {p for p in pieces if p not in split})
+        words = self.words
+        marks.update([(p, words[lowered[p]] + (marks[mark] if mark else b"")) for p, (_, mark) in split.items()])
+        self.long += [p for p in split if len(p) > CACHED_CHARS]
+        return marks
+
+
 @lru_cache(maxsize=4)
 def _pieces(path: str, dtype: str) -> PieceIds:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return PieceIds(Tokenizer.from_file(path), dtype)
+    return WordIds(Tokenizer.from_file(path), dtype, " \x01 ", "\x01")
 
 
 def _cut(text: str) -> list[str]:
