@@ -321,11 +321,11 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     found = stash(wrappers(pages, url, html), "wrappers").where("path IS NOT NULL")
     size = found.agg(F.sum(F.length("host") + F.length("path") + 32)).first()[0] or 0
     if size <= BROADCAST_BYTES:
-        found = F.broadcast(found)
+        found = found.hint("broadcast")
     names = ["text", "n_chars"]
     kept = [c for c in pages.columns if c not in names]
     keyed = pages.select(*[F.col(c) for c in {*kept, html}], host_of(url).alias("__host"))
-    joined = keyed.join(found.withColumnRenamed("path", "__path"), keyed["__host"] == found["host"], "left").select(*kept, F.col(html).alias("__html"), "__path")
+    joined = keyed.join(found.select(F.col("host").alias("__host"), F.col("path").alias("__path")), "__host", "left").select(*kept, F.col(html).alias("__html"), "__path")
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
