@@ -40,8 +40,11 @@ MISSING_ID = -(2**63)
 
 #: A word of Latin letters with punctuation behind it: lower-casing and composing leave the parts apart.
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]*)")
+#: Texts that fall apart into words, digits and runs of signs, each of which ends in one end-of-word token; no apostrophes, which start contractions, and no special tokens ("<|").
+_SAFE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ \\n!-&(-@\\[-`{-~]*")
+_ATOM = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
 #: Words that a worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 
 
 class WordIds(PieceIds):
@@ -65,6 +68,15 @@ class WordIds(PieceIds):
             got = byte_slices(ids, [0, *stops[:-1]], stops) if len(stops) == len(part) else [self._ids(w).tobytes() for w in part]
             self.words.update(zip(part, got, strict=True))
 
+    def pack(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as packed integers."""
+        safe = ["<|" not in x and bool(_SAFE.fullmatch(x)) for x in texts]
+        rest = iter(packed_ids([x for x, ok in zip(texts, safe, strict=True) if not ok], _cut, self))
+        parts = [_ATOM.findall(x.lower()) if ok else next(rest) for x, ok in zip(texts, safe, strict=True)]
+        self._learn_words({p for x, ok in zip(parts, safe, strict=True) if ok for p in x})
+        get = self.words.__getitem__
+        return [b"".join(map(get, x)) if ok else x for x, ok in zip(parts, safe, strict=True)]
+
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         known = self.known
         if len(known) + 2 * len(pieces) > CACHED:
@@ -114,7 +126,6 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
     parts = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
-    cut = _cut if whitespace_dropped else (lambda x: [x])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -130,7 +141,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
             if outs is None:
                 outs = [fs.open_output_stream(f"{n}.{attempt}") for n in names]
             rows = []
-            for key, ids in zip(batch.column(id_col).to_pylist(), packed_ids(text_of(batch, text), cut, pieces), strict=True):
+            for key, ids in zip(batch.column(id_col).to_pylist(), pieces.pack(text_of(batch, text)) if whitespace_dropped else packed_ids(text_of(batch, text), lambda x: [x], pieces), strict=True):
                 outs[0].write(ids + end)
                 rows.append((MISSING_ID if key is None else key, tokens))
                 tokens += len(ids) // width + 1
