@@ -16,7 +16,9 @@ alone.
 Wrappers are small; they are broadcast only if their measured size is below
 ``BROADCAST_BYTES`` and joined by host otherwise. Edge cases: null or empty html gives
 an empty text, a null or odd url counts as the host ``''``; repeated pages get a row
-each; text that no tag encloses belongs to the root.
+each; text that no tag encloses belongs to the root; a tag that the end of the page
+cuts off is dropped; elements nested more than ``MAX_DEPTH`` deep are read as content
+of the deepest open one, so all work is linear in the page however deep its tree is.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ from .storage import stash
 
 PAGES_PER_HOST = 8
 BROADCAST_BYTES = 8_000_000
+#: Open elements beyond which a tree grows no deeper (browsers stop at about as many).
+MAX_DEPTH = 500
+#: Siblings beyond which alignment folds those of one label, then those of one tag, though they are no run.
+WIDE, WIDEST = 64, 256
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -50,7 +56,9 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 FURNITURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar topbar widget".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag that the end of the page cuts off.
+_CUT = re.compile(r"</?[a-zA-Z][^<>]*\Z")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _WORD = re.compile(r"[a-z]+")
 
@@ -77,10 +85,14 @@ def parse(page: str | None) -> Node:
     """The page's tree, built leniently: void and raw elements, implied ends of p, li and table cells, unmatched ends ignored."""
     root = Node("#root")
     open_nodes, at, page = [root], 0, page or ""
+    # elements below the deepest level: (tag, is furniture), how many of each tag, how many are furniture
+    beyond: list[tuple[str, bool]] = []
+    counts: dict[str, int] = {}
+    hidden = 0
     while True:
         m = _TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text:
+        text = page[at : m.start()] if m else _CUT.sub("", page[at:])
+        if text and not hidden:
             open_nodes[-1].kids.append(html_lib.unescape(text) if "&" in text else text)
         if not m:
             return root
@@ -90,6 +102,20 @@ def parse(page: str | None) -> Node:
         if not m[2]:
             continue
         tag = m[2].lower()
+        if beyond and m[1]:
+            if not counts.get(tag) and any(n.tag == tag for n in open_nodes):
+                beyond, counts, hidden = [], {}, 0
+            elif counts.get(tag):
+                name = ""
+                while name != tag:
+                    name, furniture = beyond.pop()
+                    counts[name] -= 1
+                    hidden -= furniture
+                if tag not in INLINE:
+                    open_nodes[-1].kids.append(" ")
+                continue
+            else:
+                continue
         if m[1]:
             for k in range(len(open_nodes) - 1, 0, -1):
                 if open_nodes[k].tag == tag:
@@ -98,7 +124,7 @@ def parse(page: str | None) -> Node:
                 if open_nodes[k].tag in SCOPES and tag not in SCOPES:
                     break
             continue
-        closing = {"p"} if tag in ENDS_P else CLOSES.get(tag)
+        closing = None if beyond else {"p"} if tag in ENDS_P else CLOSES.get(tag)
         if closing:
             for k in range(len(open_nodes) - 1, 0, -1):
                 if open_nodes[k].tag in closing:
@@ -107,7 +133,8 @@ def parse(page: str | None) -> Node:
                 if open_nodes[k].tag in SCOPES:
                     break
         node = Node(tag, m[3])
-        open_nodes[-1].kids.append(node)
+        if not hidden:
+            open_nodes[-1].kids.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -116,7 +143,13 @@ def parse(page: str | None) -> Node:
                 node.kids.append(html_lib.unescape(page[at : end.start()]))
             at = end.end()
             continue
-        if not m[3].endswith("/"):
+        if m[3].endswith("/"):
+            continue
+        if beyond or len(open_nodes) > MAX_DEPTH:
+            beyond.append((tag, node.furniture))
+            counts[tag] = counts.get(tag, 0) + 1
+            hidden += node.furniture
+        else:
             open_nodes.append(node)
 
 
@@ -141,28 +174,29 @@ def text_below(node: Node) -> str:
         if block:
             parts.append(" ")
 
-    # deep trees: an explicit stack would hide the order, so the depth is bounded by the parser's nesting
     _deep(walk, node)
     return " ".join("".join(parts).split())
 
 
 def _deep(fn, *args):
+    """Call a function that recurses a few frames for each of the at most ``MAX_DEPTH`` levels."""
     import sys
 
-    if sys.getrecursionlimit() < 20_000:
-        sys.setrecursionlimit(20_000)
+    if sys.getrecursionlimit() < 20 * MAX_DEPTH:
+        sys.setrecursionlimit(20 * MAX_DEPTH)
     return fn(*args)
 
 
 class Folded:
     """A node for alignment: label, own text, and children in which runs of one label are one node."""
 
-    __slots__ = ("label", "text", "kids", "furniture", "content")
+    __slots__ = ("label", "parts", "kids", "furniture", "content")
 
     def __init__(self, node: Node, inside: bool = False):
         self.label, self.furniture = node.label, _is_furniture(node, inside)
         self.content = node.tag in CONTENT_TAGS
-        self.text = "".join(k for k in node.kids if isinstance(k, str)).strip()
+        own = "".join(k for k in node.kids if isinstance(k, str)).strip()
+        self.parts = [own] if own else []
         self.kids: list[Folded] = []
         for k in node.kids:
             if not isinstance(k, str):
@@ -171,15 +205,35 @@ class Folded:
                     self.kids[-1].absorb(f)
                 else:
                     self.kids.append(f)
+        self._narrow()
+
+    @property
+    def text(self) -> str:
+        return "\n".join(self.parts)
+
+    def _narrow(self) -> None:
+        if len(self.kids) > WIDE:
+            self._fold(lambda k: k.label)
+        if len(self.kids) > WIDEST:
+            self._fold(lambda k: k.label.split(".")[0])
+
+    def _fold(self, name) -> None:
+        by: dict[tuple[str, bool], Folded] = {}
+        for k in self.kids:
+            first = by.setdefault((name(k), k.furniture), k)
+            if first is not k:
+                first.absorb(k)
+        self.kids = list(by.values())
 
     def absorb(self, other: Folded) -> None:
-        self.text += "\n" + other.text
+        self.parts += other.parts
         for k in other.kids:
             same = next((x for x in self.kids if x.label == k.label), None)
             if same:
                 same.absorb(k)
             else:
                 self.kids.append(k)
+        self._narrow()
 
 
 def match(a: Folded, b: Folded) -> tuple[int, list[tuple[Folded, Folded]]]:
