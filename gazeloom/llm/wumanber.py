@@ -13,7 +13,8 @@ merged per document, so nothing unbounded is broadcast.
 
 Edge cases: null and empty texts have no words and are never contaminated; items
 without words have no window; repeated items are all reported; item ids are
-compared as strings; repeated document rows give a row each.
+compared as strings; words of an item without id count as hit, but it is not in the
+list; repeated document rows give a row each.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ class Patterns:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             length = min(window, len(ids))
             for at in range(len(ids) - length + 1 if ids else 0):
-                by_length.setdefault(length, {}).setdefault(tuple(ids[at : at + length]), set()).add(item)
+                by_length.setdefault(length, {}).setdefault(tuple(ids[at : at + length]), set()).update(() if item is None else (item,))
         self.searches = [(WuManber(length, list(found)), list(found.values())) for length, found in sorted(by_length.items())]
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
