@@ -13,7 +13,8 @@
    already joins up large groups of copies.
 4. Nodes whose members are in one component have nothing left to find. The others
    are branched again until they hold at most ``SMALL`` members, then all pairs of
-   different components in a node are compared by sketches. Members with a candidate
+   different components in a node are compared by sketches, in blocks that hold up
+   to ``BLOCK`` members. Members with a candidate
    are compared on full sets, and links that join components come out. What is still
    large after ``DEPTH`` levels is compared in blocks, so no pair is dropped.
 5. Components of the confirmed links give the groups.
@@ -42,8 +43,9 @@ THRESHOLD = 80
 POSITIONS = 128
 TREES, BRANCHES, DEPTH = 4, 2, 4
 PATH = TREES * BRANCHES + DEPTH * BRANCHES
-#: Members of a node that are compared exhaustively (about 1 MB of sketches), and shingles of a group of full sets.
+#: Members of a node that are compared exhaustively, those that one group of them holds, and shingles of a group of full sets.
 SMALL = 4096
+BLOCK = 1024
 SET_ITEMS = 1 << 22
 #: Standard errors below the threshold at which a sketch still passes.
 SLACK = 4.7
@@ -215,7 +217,7 @@ def _promising(members: DataFrame, threshold: int) -> DataFrame:
     """(g, id, label, n): members that have a candidate of another component in their group, by sketches.
 
     A pair that meets in several roots' children counts in the first small one only:
-    ``tree`` is the number of the group's root, -1 below.
+    ``tree`` is the number of the group's root, negative below.
     """
     least = least_agreement(threshold)
     roots = TREES * BRANCHES
@@ -279,10 +281,14 @@ def _linked(docs: DataFrame, promising: DataFrame, id_col: str, text: str, words
 
 
 def _children(nodes: DataFrame, level: int) -> DataFrame:
-    """Each member in ``BRANCHES`` children of its node, chosen by minwise values not used before."""
-    first = TREES * BRANCHES + level * BRANCHES
-    keys = F.array(*[F.xxhash64("node", F.lit(first + k), F.col("path")[first + k]) for k in range(BRANCHES)])
-    return nodes.withColumn("node", F.explode(keys)).withColumn("tree", F.lit(-1))
+    """Each member in ``BRANCHES`` children of its node. Trees take different minwise values at a level, all new on their path.
+
+    ``tree`` becomes ``-1 - k`` below the root's child ``k``.
+    """
+    root = F.when(F.col("tree") < 0, -1 - F.col("tree")).otherwise(F.col("tree"))
+    places = [root + 1 + level * BRANCHES + k for k in range(BRANCHES)]
+    keys = F.array(*[F.xxhash64("node", at, F.element_at("path", at + 1)) for at in places])
+    return nodes.withColumn("node", F.explode(keys)).withColumn("tree", -1 - root)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -313,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         small = now.where(F.col("m") <= SMALL)
         if level == DEPTH:
             small = now
-        found.append(stash(_promising(_blocks(small, "node", F.col("m"), SMALL), threshold), "promising"))
+        found.append(stash(_promising(_blocks(small, "node", F.col("m"), BLOCK), threshold), "promising"))
         large = now.where(F.col("m") > SMALL)
         if level == DEPTH or large.isEmpty():
             break

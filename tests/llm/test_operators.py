@@ -134,6 +134,7 @@ def _brute(texts, words, threshold):
 @pytest.mark.parametrize("small", [4096, 6])
 def test_near_duplicates(spark, docs, monkeypatch, small):
     monkeypatch.setattr(cpsjoin, "SMALL", small)
+    monkeypatch.setattr(cpsjoin, "BLOCK", small)
     monkeypatch.setattr(cpsjoin, "SET_ITEMS", 4096 if small == 4096 else 600)
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in rng.integers(0, 500, 150)]
@@ -217,3 +218,27 @@ def test_pipeline(spark, sf):
     want = _brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
     assert {r.doc_id for r in out} <= {i for i, (_, c) in want.items() if c == i}
     assert len(out) > 0.8 * sum(c == i for i, (_, c) in want.items())
+
+
+def test_main_text_of_odd_markup():
+    deep = "<div>" * 3000 + "in<p>a</p><nav>menu<b>x</b></nav>b" + "</div>" * 3000
+    assert wrappers.main_text(deep, None) == "in a b"
+    assert wrappers.main_text("<article><p>text</p><a href=x", None) == "text"
+    assert wrappers.main_text("<p>x</p>" + "<a" * 50_000, None).startswith("x")
+    wide = "<article>" + "".join(f"<h2 class='r{k}'>t{k}</h2><p>x</p>" for k in range(3000)) + "</article>"
+    assert len(wrappers.main_text(wide, None).split()) == 6000
+    assert wrappers.induce([wide, wide.replace("t", "u")]) is None
+    assert wrappers.induce([deep, deep.replace("in", "out")])
+
+
+def test_benchmark_item_without_id(spark):
+    items = spark.createDataFrame([(None, "a b"), ("q", "a b"), (None, "c")], "item_id string, text string")
+    got = wumanber.find_windows(spark.createDataFrame([(1, "x a b c")], "doc_id long, text string"), items).first()
+    assert (got.n_words, got.n_hit, got["items"]) == (4, 3, ["q"])
+
+
+def test_children_of_trees_take_other_values(spark):
+    row = spark.createDataFrame([(t, t, list(range(cpsjoin.PATH))) for t in range(cpsjoin.TREES * cpsjoin.BRANCHES)], "node long, tree int, path array<long>")
+    for level in range(cpsjoin.DEPTH):
+        row = cpsjoin._children(row, level)
+        assert row.where("node IS NULL").isEmpty() and {r.tree for r in row.select("tree").distinct().collect()} == set(range(-8, 0))
