@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, StringIndexerModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,22 +15,66 @@ from .grouped import features
 
 CLASSIFIERS = {
     "rf": lambda n: RandomForestClassifier(maxDepth=10, numTrees=20, featureSubsetStrategy="sqrt", seed=0, featuresCol="scaled"),
-    "svm": lambda n: OneVsRest(classifier=LinearSVC(maxIter=20), featuresCol="scaled"),
+    "svm": lambda n: OneVsRest(classifier=LinearSVC(maxIter=20), featuresCol="scaled", labelCol="class", predictionCol="number"),
     "mlp": lambda n: MultilayerPerceptronClassifier(layers=[n, 32, 4], maxIter=60, seed=0, featuresCol="scaled"),
 }
 
+#: Expected training samples of the neighbour classifier, chosen by a hash of recording and sample; what the driver and each task hold.
+NEIGHBOUR_ROWS = 5000
+
+
+class Neighbours:
+    """Vote of the ``k`` nearest training samples; the smallest label wins ties."""
+
+    def __init__(self, scaler: PipelineModel, points: np.ndarray, labels: np.ndarray, k: int = 3):
+        self.scaler, self.points, self.labels, self.k = scaler, points, labels, k
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        points, labels, k = self.points, self.labels, min(self.k, len(self.points))
+
+        @F.pandas_udf("double")
+        def vote(rows: pd.Series) -> pd.Series:
+            out = []
+            for at in range(0, len(rows), 512):
+                x = np.stack(rows.iloc[at : at + 512].to_list())
+                far = (x**2).sum(1)[:, None] - 2 * x @ points.T + (points**2).sum(1)
+                near = labels[np.argpartition(far, k - 1, 1)[:, :k]]
+                out += [float(np.bincount(r).argmax()) for r in near]
+            return pd.Series(out, dtype=float)
+
+        return self.scaler.transform(df).withColumn("prediction", vote(vector_to_array("scaled")))
+
+
+def fit_neighbours(rows: DataFrame, k: int = 3, most: int = NEIGHBOUR_ROWS) -> Neighbours:
+    """From rows with ``recording_id, i, vector, label``; scaling uses all of them."""
+    n = rows.count()
+    if not n:
+        raise ValueError("no labelled samples")
+    scaler = Pipeline(stages=[StandardScaler(inputCol="vector", outputCol="scaled", withMean=True)]).fit(rows)
+    share = min(1.0, most / n)
+    chosen = rows.where(F.pmod(F.xxhash64("recording_id", "i"), F.lit(1 << 20)) < share * (1 << 20))
+    got = scaler.transform(chosen).select(vector_to_array("scaled").alias("x"), F.col("label").cast("int").alias("y")).collect()
+    return Neighbours(scaler, np.array([r.x for r in got]), np.array([r.y for r in got]), k)
+
 
 def vectors(gaze: DataFrame, kind: str, reach: int) -> DataFrame:
     return features(gaze, kind, reach).withColumn("vector", array_to_vector("features")).drop("features")
 
 
-def fit(gaze: DataFrame, labels: DataFrame, kind: str = "fc", classifier: str = "rf", reach: int = 5) -> PipelineModel:
-    """Fit on samples with a label above 0. ``mlp`` stands in for the convolutional net."""
+def fit(gaze: DataFrame, labels: DataFrame, kind: str = "fc", classifier: str = "rf", reach: int = 5) -> PipelineModel | Neighbours:
+    """Fit on samples with a label above 0. ``mlp`` stands in for the convolutional net; ``knn`` keeps a bounded sample."""
     rows = vectors(gaze, kind, reach).join(labels.where("label > 0"), ["recording_id", "i"]).withColumn("label", F.col("label").cast("double"))
+    if classifier == "knn":
+        return fit_neighbours(rows)
     width = 3 * 36 if kind == "hov" else 11
-    return Pipeline(stages=[StandardScaler(inputCol="vector", outputCol="scaled", withMean=True), CLASSIFIERS[classifier](width)]).fit(rows)
+    stages = [StandardScaler(inputCol="vector", outputCol="scaled", withMean=True), CLASSIFIERS[classifier](width)]
+    if classifier == "svm":
+        # one machine for each label that occurs; a machine without examples of its label can't be fitted
+        classes: StringIndexerModel = StringIndexer(inputCol="label", outputCol="class", stringOrderType="alphabetAsc").fit(rows)
+        stages = [stages[0], classes, stages[1], IndexToString(inputCol="number", outputCol="prediction", labels=classes.labels)]
+    return Pipeline(stages=stages).fit(rows)
 
 
-def predict(gaze: DataFrame, model: PipelineModel, kind: str = "fc", reach: int = 5) -> DataFrame:
+def predict(gaze: DataFrame, model: PipelineModel | Neighbours, kind: str = "fc", reach: int = 5) -> DataFrame:
     """(recording_id, i, label)."""
-    return model.transform(vectors(gaze, kind, reach)).select("recording_id", "i", F.col("prediction").cast("int").alias("label"))
+    return model.transform(vectors(gaze, kind, reach)).select("recording_id", "i", F.col("prediction").cast("double").cast("int").alias("label"))

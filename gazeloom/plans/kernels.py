@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aois, grouped, learning
+from ..operators import aois, grouped, learning, mining
 from ..operators import kernels as K
 from . import catalog as C
 
@@ -53,6 +53,12 @@ def _panels(s: SparkSession, d: str) -> DataFrame:
     return grouped.panel_patterns(collapsed.withColumn("panel", F.floor(F.col("recording_id") / 5)), "panel")
 
 
+def _patterns(s: SparkSession, d: str) -> DataFrame:
+    """All patterns of up to three AoIs that half of the recordings share."""
+    collapsed = _of(aois.collapse(C.SEQ, "seq", "co"), "co", s, d)
+    return mining.sequential_patterns(collapsed, longest=3, top=None)
+
+
 def _learned(kind: str, classifier: str):
     def query(s: SparkSession, d: str) -> DataFrame:
         g = gaze(s, d)
@@ -86,6 +92,10 @@ QUERIES = {
     "aoi_lempel_ziv": lambda s, d: grouped.lempel_ziv(scanpath(s, d)),
     "learn_forest": _learned("fc", "rf"),
     "learn_perceptron": _learned("fc", "mlp"),
+    "learn_machines": _learned("fc", "svm"),
+    "learn_neighbours": _learned("fc", "knn"),
+    "learn_directions": _learned("hov", "rf"),
+    "aoi_frequent_patterns": _patterns,
 } | {f"aoi_{m}": (lambda s, d, m=m: grouped.clusters(scanpath(s, d), m, DIAGONAL)) for m in ("kmeans", "dbscan", "density_peaks", "mean_shift", "affinity")}
 
 
