@@ -43,7 +43,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the decoded bytes."""
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    both = bpe.decode(coded.drop("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    both = bpe.decode(coded.drop("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), as_text=False)
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 

@@ -189,8 +189,8 @@ def _token_sizes(path: str) -> np.ndarray:
     return out
 
 
-def decode(df: DataFrame, ranks_path: str, ids: str = "ids", keep_ids: bool = True) -> DataFrame:
-    """Add ``decoded binary`` (the tokens' bytes) and ``decoded_text string``.
+def decode(df: DataFrame, ranks_path: str, ids: str = "ids", keep_ids: bool = True, as_text: bool = True) -> DataFrame:
+    """Add ``decoded binary`` (the tokens' bytes) and, with ``as_text``, ``decoded_text string``.
 
     Bytes are joined before they become text, so characters that several tokens
     share come back whole; what is still no UTF-8 (ids cut off inside a
@@ -198,7 +198,8 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", keep_ids: bool = Tr
     """
     names = ["decoded", "decoded_text"]
     kept = [c for c in df.columns if c not in names and (keep_ids or c != ids)]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())])
+    names = names[: 1 + as_text]
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, k) for n, k in zip(names, (T.BinaryType(), T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _token_table(ranks_path)
@@ -214,14 +215,14 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", keep_ids: bool = Tr
                         raw.append(b"".join(map(get, flat.tolist())))
                     else:
                         raw.append(b"".join(map(dense.__getitem__, flat.tolist() if len(flat) else ())))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(raw, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())], names=kept + names)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(raw, pa.binary())] + ([pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())] if as_text else []), names=kept + names)
 
     return df.mapInArrow(run, schema)
 
 
 def round_trip_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode whole texts and reduce both to digests."""
-    both = decode(encode(df.select(id_col, text), ranks_path, pattern, text), ranks_path)
+    both = decode(encode(df.select(id_col, text), ranks_path, pattern, text).drop(text), ranks_path, as_text=False)
     return both.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
