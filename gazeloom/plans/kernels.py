@@ -48,8 +48,8 @@ def _entropies(s: SparkSession, d: str) -> DataFrame:
 
 
 def _panels(s: SparkSession, d: str) -> DataFrame:
-    """Panels of five recordings, so groups stay small however many recordings there are."""
-    collapsed = _of(aois.collapse(C.SEQ, "seq", "co"), "co", s, d).where("k < 20")
+    """Whole collapsed sequences in panels of five recordings, so groups stay small however many recordings there are."""
+    collapsed = _of(aois.collapse(C.SEQ, "seq", "co"), "co", s, d)
     return grouped.panel_patterns(collapsed.withColumn("panel", F.floor(F.col("recording_id") / 5)), "panel")
 
 
