@@ -86,13 +86,15 @@ def pair_metrics(scanpaths: DataFrame, pairs: DataFrame, metrics: dict[str, Call
         for b in batches:
             rows = []
             for a, c, v, w in zip(b.id_1, b.id_2, b.v, b.w, strict=True):
-                s, t = (np.array([[q["x"], q["y"], q["dur"]] for q in z], float).reshape(-1, 3) for z in (v, w))
+                s, t = (np.asarray(z, float).reshape(-1, 3) for z in (v, w))
                 for name, fn in metrics.items():
                     got = fn(s, t)
                     rows += [(a, c, f"{name}_{k}", float(x)) for k, x in got.items()] if isinstance(got, dict) else [(a, c, name, float(got))]
             yield pd.DataFrame(rows, columns=["id_1", "id_2", "metric", "value"])
 
-    return _paired(pack_scanpaths(scanpaths), pairs, "v").mapInPandas(run, "id_1 long, id_2 long, metric string, value double")
+    # numbers in a row instead of structs: a batch of pairs holds many points
+    packed = pack_scanpaths(scanpaths).withColumn("v", F.flatten(F.transform("v", lambda q: F.array(*[q[c].cast("double") for c in ("x", "y", "dur")]))))
+    return _paired(packed, pairs, "v").mapInPandas(run, "id_1 long, id_2 long, metric string, value double")
 
 
 def sequence_metrics(sequences: DataFrame, pairs: DataFrame, metrics: dict[str, Callable[[list, list], float]], symbol: str = "aoi") -> DataFrame:

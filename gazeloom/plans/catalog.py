@@ -23,8 +23,15 @@ PATH = Plan().then(
     """SELECT user_id AS recording_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS k, value AS x, CAST(@json_k(props) AS DOUBLE) AS y, event_type,
     (lead(@micros(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - @micros(ts)) / 1e6 AS dur FROM {events}""",
 ).then("path", "SELECT recording_id, k, x, y, dur, CASE event_type WHEN 'click' THEN 'A' WHEN 'error' THEN 'B' WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'D' ELSE 'E' END AS aoi FROM seq0 WHERE dur IS NOT NULL")
-#: Pairs of recordings for pairwise operators: each with the next one, so the work grows with the recordings.
-PAIRS = PATH.then("ids", "SELECT DISTINCT recording_id FROM path").then("pairs", "SELECT id_1, id_2 FROM (SELECT recording_id AS id_1, lead(recording_id) OVER (ORDER BY recording_id) AS id_2 FROM ids) q WHERE id_2 IS NOT NULL")
+#: Blocks of recordings, and tasks that the pairs of blocks are dealt to (a hint to Spark, a comment elsewhere).
+BLOCKS, PAIR_TASKS = 32, 256
+#: Pairs of recordings for pairwise operators: all with id_1 < id_2. Each recording goes to every pair of its block with another, so two recordings meet in one cell only.
+PAIRS = (
+    PATH.then("ids", f"SELECT recording_id, ((recording_id % {BLOCKS}) + {BLOCKS}) % {BLOCKS} AS mine FROM (SELECT DISTINCT recording_id FROM path) q")
+    .then("blocks", f"SELECT @upto({BLOCKS}) AS c")
+    .then("dealt", "SELECT recording_id, mine, c - 1 AS other FROM ids CROSS JOIN blocks")
+    .then("pairs", f"SELECT /*+ REPARTITION({PAIR_TASKS}, id_1, id_2) */ id_1, id_2 FROM (SELECT a.recording_id AS id_1, b.recording_id AS id_2 FROM dealt a JOIN dealt b ON a.mine = b.other AND a.other = b.mine AND a.recording_id < b.recording_id) q")
+)
 SEQ = PATH.then("seq", "SELECT recording_id, k, aoi, dur FROM path")
 
 
