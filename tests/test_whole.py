@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from gazeloom.llm import cpsjoin
 from gazeloom.operators import aois
 from gazeloom.operators import kernels as K
 from gazeloom.plans import catalog, kernels
@@ -25,3 +26,16 @@ def test_pairwise_queries_take_all_pairs(spark, sf):
         assert sorted((r.id_1, r.id_2) for r in catalog.QUERIES[name](spark, sf).select("id_1", "id_2").collect()) == want, name
     for name in ("cross_spectra", "scanpath_similarity", "aoi_edit_distances"):
         assert sorted((r.id_1, r.id_2) for r in kernels.QUERIES[name](spark, sf).select("id_1", "id_2").distinct().collect()) == want, name
+
+
+def test_near_duplicates_in_large_nodes(spark, monkeypatch):
+    """Members that the trees below a large node part, whichever they are, still meet."""
+    monkeypatch.setattr(cpsjoin, "SMALL", 6)
+    monkeypatch.setattr(cpsjoin, "BLOCK", 8)
+    monkeypatch.setattr(cpsjoin, "_children", lambda nodes, level: nodes.withColumn("node", F.xxhash64("node", "id", F.lit(level))))
+    rng = np.random.default_rng(5)
+    common = " ".join(f"w{k}" for k in range(100))
+    own = [" ".join(f"z{k}" for k in rng.integers(0, 10**6, 8)) for _ in range(40)]
+    rows = [(2 * n + k, f"{common} {text}{' more' * k}") for n, text in enumerate(own) for k in range(2)]
+    got = cpsjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, threshold=95).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i // 2 * 2) for i in range(80)]
