@@ -9,7 +9,7 @@ deepest node that holds most of their text. The wrapper is the root's path of la
 furniture is named by its element, role, or class and id words.
 
 Every page is then parsed whole and the text below its wrapper's root is taken,
-without furniture. A page in which the path has no match (other layout, cut-off
+without furniture; where several nodes are at the root's path, that of all of them. A page in which the path has no match (other layout, cut-off
 markup) or whose host has no usable sample falls back to the same vote on the page
 alone.
 
@@ -201,7 +201,7 @@ class Folded:
         for k in node.kids:
             if not isinstance(k, str):
                 f = Folded(k, inside or self.content)
-                if self.kids and self.kids[-1].label == f.label:
+                if self.kids and (self.kids[-1].label, self.kids[-1].furniture) == (f.label, f.furniture):
                     self.kids[-1].absorb(f)
                 else:
                     self.kids.append(f)
@@ -228,7 +228,7 @@ class Folded:
     def absorb(self, other: Folded) -> None:
         self.parts += other.parts
         for k in other.kids:
-            same = next((x for x in self.kids if x.label == k.label), None)
+            same = next((x for x in self.kids if (x.label, x.furniture) == (k.label, k.furniture)), None)
             if same:
                 same.absorb(k)
             else:
@@ -322,25 +322,23 @@ def _own_path(root: Node) -> list[str]:
     return content_path(folded, own) or []
 
 
-def _follow(root: Node, path: list[str]) -> Node | None:
-    """The node at a path of labels, the first match at each step."""
-    node = root
+def _follow(root: Node, path: list[str]) -> list[Node]:
+    """All nodes at a path of labels, in page order, outside furniture: a folded node stands for each of its like-labelled siblings."""
+    nodes = [(root, False)]
     for label in path:
-        node = next((k for k in node.kids if not isinstance(k, str) and k.label == label), None)
-        if node is None:
-            return None
-    return node
+        nodes = [(k, inside or n.tag in CONTENT_TAGS) for n, inside in nodes for k in n.kids if not isinstance(k, str) and k.label == label and not _is_furniture(k, inside or n.tag in CONTENT_TAGS)]
+    return [n for n, _ in nodes]
 
 
 def main_text(page: str | None, path: list[str] | None) -> str:
-    """The main text of one page under a wrapper."""
+    """The main text of one page under a wrapper: of all nodes at its path, in page order."""
     if not page:
         return ""
     root = _deep(parse, page)
-    node = _follow(root, path) if path else None
-    if node is None:
-        node = _follow(root, _deep(_own_path, root)) or root
-    return text_below(node)
+    nodes = _follow(root, path) if path else []
+    if not nodes:
+        nodes = _follow(root, _deep(_own_path, root)) or [root]
+    return " ".join(x for x in map(text_below, nodes) if x)
 
 
 def host_of(url):

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gazeloom.llm import cpsjoin
+from gazeloom.llm import cpsjoin, wrappers
 from gazeloom.operators import aois
 from gazeloom.operators import kernels as K
 from gazeloom.plans import catalog, kernels
@@ -39,3 +39,17 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
     rows = [(2 * n + k, f"{common} {text}{' more' * k}") for n, text in enumerate(own) for k in range(2)]
     got = cpsjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, threshold=95).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i // 2 * 2) for i in range(80)]
+
+
+def test_main_text_of_several_roots():
+    three = "<body><div><p>one</p></div><div><p>two</p></div><div><p>three</p></div></body>"
+    assert wrappers.main_text(three, None) == "one two three"
+    assert wrappers.main_text(three, ["body", "div"]) == "one two three"
+    articles = "<main><article>first</article><nav>menu</nav><article>second</article></main>"
+    assert wrappers.main_text(articles, None) == "first second"
+    by_id = "<body><div id=top>logo</div><div id=content><p>the article</p></div><div id=sidebar>ads</div></body>"
+    assert wrappers.main_text(by_id, None) == "logo the article"
+    first_is_menu = "<body><div id=nav>menu</div><div id=content><p>the article</p></div><div class=x>note</div></body>"
+    assert "the article" in wrappers.main_text(first_is_menu, None)
+    pages = [three.replace("one", f"one {n}").replace("three", f"three {n}") for n in range(3)]
+    assert wrappers.main_text(pages[1], wrappers.induce(pages)) == "one 1 two three 1"
