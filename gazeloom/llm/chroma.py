@@ -5,7 +5,7 @@ filters, each a contrast of two rectangles in the pitch-class by time plane, are
 off the frames' integral image at every time step; each contrast is quantised to two
 Gray-coded bits, together a packed 32-bit integer. Two recordings are aligned by
 looking up pairs of integers ``GAP`` steps apart, voting in a histogram of offsets
-and counting bit errors over the overlap at the offsets with the most votes.
+and counting bit errors over the overlap at every offset with at least ``MIN_VOTES`` votes.
 
 Recordings with equal fingerprints form a class and only classes are looked up, so a
 recording that was stored millions of times is one row there. Edge cases: null,
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import stash
@@ -139,9 +139,7 @@ def align(prints: DataFrame, queries: Column) -> DataFrame:
     every = _keys(classes, "r", "rt")
     # a key that both sides hold many times is summed per offset before anything else is joined
     votes = asked.join(every, "key").where("q <> r").groupBy("q", "r", (F.col("rt") - F.col("qt")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = Window.partitionBy("q", "r").orderBy(F.desc("votes"), "offset")
-    peaks = votes.where(F.col("votes") >= MIN_VOTES).withColumn("k", F.row_number().over(best)).where("k <= 3").select("q", "r", "offset")
-    peaks = stash(peaks, "peaks")
+    peaks = stash(votes.where(F.col("votes") >= MIN_VOTES).select("q", "r", "offset"), "peaks")
     left = classes.select(F.col("class_id").alias("q"), F.col("codes").alias("x"))
     right = classes.select(F.col("class_id").alias("r"), F.col("codes").alias("y"))
     start = F.greatest(F.lit(1), 1 - F.col("offset"))

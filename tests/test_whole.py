@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gazeloom.llm import cpsjoin, wrappers
+from gazeloom.llm import chroma, cpsjoin, wrappers
 from gazeloom.operators import aois
 from gazeloom.operators import kernels as K
 from gazeloom.plans import catalog, kernels
@@ -53,3 +53,15 @@ def test_main_text_of_several_roots():
     assert "the article" in wrappers.main_text(first_is_menu, None)
     pages = [three.replace("one", f"one {n}").replace("three", f"three {n}") for n in range(3)]
     assert wrappers.main_text(pages[1], wrappers.induce(pages)) == "one 1 two three 1"
+
+
+def test_alignment_with_fewer_votes_than_a_held_tone(spark):
+    """Three offsets of the held tone have the most votes but too little overlap; the true one has five votes."""
+    rng = np.random.default_rng(2)
+    sound, held = rng.integers(0, 2**32, 40), np.full(20, 12345)
+    noisy = sound ^ (1 << rng.integers(0, 32, 40))
+    noisy[10:19] = sound[10:19]
+    rows = [(1, np.concatenate([noisy, held]).tolist()), (2, np.concatenate([held, sound]).tolist())]
+    got = {r.id: r for r in chroma.align(spark.createDataFrame(rows, "id long, codes array<long>"), F.col("id") == 1).collect()}
+    assert (got[1].n_links, got[1].best_class, got[1].best_offset) == (1, 2, 20)
+    assert got[1].bit_error == 31 / (40 * 32)
