@@ -135,7 +135,7 @@ def _plans() -> dict[str, Plan]:
     q["msd"] = curve.then("out", f"SELECT recording_id, lag_, {_r('msd_x', 'msd_y')} FROM msd")
     q["msd_exponents"] = signals.scaling_exponents(curve, "msd", "out", ["msd_x", "msd_y"], (0.5, 5.0), (2.0, 20.0))
     q["dacf"] = signals.dacf(GOOD, "good", "out", list(range(1, 12)), 3)
-    asof = Plan().then("lhs", "SELECT user_id AS g, CAST(@micros(ts) AS BIGINT) AS t, event_id AS id FROM {events}").then("rhs", "SELECT user_id AS g, CAST(@micros(ts) AS BIGINT) + 1000000 AS t, event_id AS v FROM {events} WHERE event_id % 3 = 0")
+    asof = Plan().then("lhs", "SELECT user_id AS g, CAST(@micros(ts) AS BIGINT) AS t, event_id AS id FROM {events}").then("rhs", "SELECT user_id AS g, CAST(@micros(ts) AS BIGINT) + 1000000 AS t, event_id AS v FROM {events}")
     q["asof_nearest"] = signals.asof_nearest(asof, "lhs", "rhs", "out", 5e10)
     hom = Plan().then("pts", "SELECT event_id AS id, event_id % 50 AS frame, value AS x, CAST(@json_k(props) AS DOUBLE) AS y FROM {events}").then("hom", "SELECT DISTINCT frame, 1.0 + frame / 100.0 AS h11, 0.01 * frame AS h12, 3.0 AS h13, 0.02 AS h21, 0.9 AS h22, CAST(frame AS DOUBLE) AS h23, 0.0001 AS h31, 0.0002 AS h32, 1.0 AS h33 FROM pts WHERE frame % 7 <> 0")
     mapped = signals.map_points(hom, "pts", "hom", "mp")

@@ -60,11 +60,13 @@ def _patterns(s: SparkSession, d: str) -> DataFrame:
 
 
 def _learned(kind: str, classifier: str):
+    """Labels of all recordings by a model fitted on every other one; ``training`` marks those."""
+
     def query(s: SparkSession, d: str) -> DataFrame:
         g = gaze(s, d)
         truth = _of(C.PLANS["ivvt"], "out", s, d).select("recording_id", "i", "label")
         model = learning.fit(g.where("recording_id % 2 = 0"), truth, kind, classifier)
-        return learning.predict(g.where("recording_id % 2 = 1"), model, kind)
+        return learning.predict(g, model, kind).withColumn("training", F.expr("recording_id % 2 = 0"))
 
     return query
 

@@ -1,5 +1,6 @@
 """Registered queries and operators do the whole job: no prefixes, neighbours only, first matches or top few."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -65,3 +66,23 @@ def test_alignment_with_fewer_votes_than_a_held_tone(spark):
     got = {r.id: r for r in chroma.align(spark.createDataFrame(rows, "id long, codes array<long>"), F.col("id") == 1).collect()}
     assert (got[1].n_links, got[1].best_class, got[1].best_offset) == (1, 2, 20)
     assert got[1].bit_error == 31 / (40 * 32)
+
+
+def test_learning_labels_all_recordings(spark, sf):
+    got = kernels.QUERIES["learn_forest"](spark, sf).select("recording_id", "i", "training").collect()
+    assert len(got) == kernels.gaze(spark, sf).count()
+    assert all(r.training == (r.recording_id % 2 == 0) for r in got) and len({r.training for r in got}) == 2
+
+
+def _same_as_duckdb(spark, sf, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    got = catalog.QUERIES[name](spark, sf)
+    rows = sorted(tuple(map(str, r)) for r in got.collect())
+    assert rows == sorted(tuple(map(str, r)) for r in con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall())
+    return got
+
+
+def test_asof_takes_all_events_as_second_stream(spark, sf):
+    got = _same_as_duckdb(spark, sf, "asof_nearest")
+    assert {r.v % 3 for r in got.select("v").where("v IS NOT NULL").collect()} == {0, 1, 2}
