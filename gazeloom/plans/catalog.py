@@ -91,7 +91,7 @@ def _plans() -> dict[str, Plan]:
     pur = events.event_table(_pursuits(KIN), "kin", "pur_iv", "pur", FS)
     q["pursuit_events"] = pur.then("out", f"SELECT recording_id, k, a, b, n, {_r('duration', 'mean_speed', 'peak', 'displacement', 'path')} FROM pur")
     q["pursuit_metrics"] = events.per_recording(pur, "pur", "lab", "out", FS, events.PURSUIT)
-    target = _pursuits(KIN).then("target", "SELECT recording_id, i, 250 + 200 * sin(i / 5.0) AS x, 50 + 40 * cos(i / 5.0) AS y FROM good WHERE i < 40")
+    target = _pursuits(KIN).then("target", "SELECT recording_id, i, 250 + 200 * sin(i / 5.0) AS x, 50 + 40 * cos(i / 5.0) AS y FROM good")
     q["pursuit_task"] = events.pursuit_task(target, "kin", "target", "pur_iv", "out", FS, 5, 40.0, 0.5)
     error = KIN.then("err", "SELECT recording_id, i, vx - 40 * cos(i / 5.0) AS e FROM kin")
     q["pursuit_task_entropy"] = events.approximate_entropy(error, "err", "out", 2, 150.0)

@@ -86,3 +86,10 @@ def _same_as_duckdb(spark, sf, name):
 def test_asof_takes_all_events_as_second_stream(spark, sf):
     got = _same_as_duckdb(spark, sf, "asof_nearest")
     assert {r.v % 3 for r in got.select("v").where("v IS NOT NULL").collect()} == {0, 1, 2}
+
+
+def test_pursuit_target_is_as_long_as_each_recording(spark, sf):
+    _same_as_duckdb(spark, sf, "pursuit_task")
+    target = catalog.PLANS["pursuit_task"].steps["target"]
+    plan = catalog.Plan({k: v for k, v in catalog.PLANS["pursuit_task"].steps.items() if k in ("gaze", "good")}).then("target", target)
+    assert plan.spark(spark, events=spark.read.parquet(f"{sf}/events.parquet")).count() == spark.read.parquet(f"{sf}/events.parquet").count()
