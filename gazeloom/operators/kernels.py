@@ -6,6 +6,7 @@ Plain numpy functions; ``grouped.py`` runs them inside Spark.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -436,16 +437,22 @@ def scanmatch(p: np.ndarray, q: np.ndarray, width: float, height: float, nx: int
     return needleman_wunsch(a, b, bonus, gap, cost) / (bonus * max(len(a), len(b)))
 
 
-def mannan(p: np.ndarray, q: np.ndarray, width: float, height: float, rounds: int = 100, seed: int = 0) -> float:
-    """100 (1 - D / mean D of random scanpaths) with D the linear distance of nearest points both ways."""
-    def linear(s: np.ndarray, t: np.ndarray) -> float:
-        d = _distances(s, t) ** 2
-        n, m = d.shape
-        return math.sqrt((m * d.min(1).sum() + n * d.min(0).sum()) / (2 * n * m * (width**2 + height**2)))
+def _mannan_distance(s: np.ndarray, t: np.ndarray, width: float, height: float) -> float:
+    d = _distances(s, t) ** 2
+    n, m = d.shape
+    return math.sqrt((m * d.min(1).sum() + n * d.min(0).sum()) / (2 * n * m * (width**2 + height**2)))
+
 
+@lru_cache(maxsize=1 << 16)
+def _mannan_chance(n: int, m: int, width: float, height: float, rounds: int, seed: int) -> float:
+    """Mean distance of random scanpaths, which depends on the lengths only."""
     rng = np.random.default_rng(seed)
-    chance = [linear(rng.uniform(0, 1, p[:, :2].shape) * (width, height), rng.uniform(0, 1, q[:, :2].shape) * (width, height)) for _ in range(rounds)]
-    return 100 * (1 - linear(p, q) / float(np.mean(chance)))
+    return float(np.mean([_mannan_distance(rng.uniform(0, 1, (n, 2)) * (width, height), rng.uniform(0, 1, (m, 2)) * (width, height), width, height) for _ in range(rounds)]))
+
+
+def mannan(p: np.ndarray, q: np.ndarray, width: float, height: float, rounds: int = 1000, seed: int = 0) -> float:
+    """100 (1 - D / mean D of random scanpaths) with D the linear distance of nearest points both ways."""
+    return 100 * (1 - _mannan_distance(p, q, width, height) / _mannan_chance(len(p), len(q), width, height, rounds, seed))
 
 
 # ---------------------------------------------------------------- spectra and fluctuation
@@ -728,7 +735,7 @@ def mean_shift(pts: np.ndarray, bandwidth: float, rounds: int = 100) -> np.ndarr
     return label
 
 
-def affinity_propagation(pts: np.ndarray, damping: float = 0.8, rounds: int = 200) -> np.ndarray:
+def affinity_propagation(pts: np.ndarray, damping: float = 0.8, rounds: int = 1000) -> np.ndarray:
     """Exemplars by message passing; preferences are the median similarity, and clusters of one point join the nearest other."""
     s = -((pts[:, None] - pts) ** 2).sum(2)
     n = len(pts)
@@ -736,6 +743,7 @@ def affinity_propagation(pts: np.ndarray, damping: float = 0.8, rounds: int = 20
     s = s + np.linspace(0, 1e-9, n * n).reshape(n, n)
     r, a, at = np.zeros((n, n)), np.zeros((n, n)), np.arange(n)
     for _ in range(rounds):
+        last_r, last_a = r, a
         both = a + s
         top = both.argmax(1)
         first = both[at, top]
@@ -750,6 +758,9 @@ def affinity_propagation(pts: np.ndarray, damping: float = 0.8, rounds: int = 20
         new = np.minimum(new, 0)
         new[at, at] = own
         a = damping * a + (1 - damping) * new
+        # messages at a fixed point: later rounds give the same exemplars
+        if np.array_equal(r, last_r) and np.array_equal(a, last_a):
+            break
     centres = np.flatnonzero((a + r).diagonal() > 0)
     if not len(centres):
         return np.zeros(n, int)

@@ -38,7 +38,7 @@ METRICS = {
     "frechet": K.discrete_frechet,
     "multimatch": lambda s, t: K.multimatch(s, t, DIAGONAL),
     "scanmatch": lambda s, t: K.scanmatch(s, t, C.WIDTH, C.HEIGHT, step=100_000.0),
-    "mannan": lambda s, t: K.mannan(s, t, C.WIDTH, C.HEIGHT, 20),
+    "mannan": lambda s, t: K.mannan(s, t, C.WIDTH, C.HEIGHT, 1000),
 }
 CENTERS = {"A": (50.0, 20.0), "B": (200.0, 70.0), "C": (400.0, 30.0), "D": (480.0, 90.0), "E": (250.0, 50.0)}
 

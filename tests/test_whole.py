@@ -93,3 +93,13 @@ def test_pursuit_target_is_as_long_as_each_recording(spark, sf):
     target = catalog.PLANS["pursuit_task"].steps["target"]
     plan = catalog.Plan({k: v for k, v in catalog.PLANS["pursuit_task"].steps.items() if k in ("gaze", "good")}).then("target", target)
     assert plan.spark(spark, events=spark.read.parquet(f"{sf}/events.parquet")).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_chance_level_and_rounds_of_the_reference():
+    rng = np.random.default_rng(0)
+    s, t = rng.uniform(0, 100, (9, 3)), rng.uniform(0, 100, (7, 3))
+    assert kernels.METRICS["mannan"](s, t) == K.mannan(s, t, catalog.WIDTH, catalog.HEIGHT, 1000)
+    assert kernels.METRICS["mannan"](s, t) != K.mannan(s, t, catalog.WIDTH, catalog.HEIGHT, 20)
+    pts = rng.uniform(0, 1, (60, 2)) * (500, 100)
+    assert (K.affinity_propagation(pts) == K.affinity_propagation(pts, rounds=1000)).all()
+    assert K.affinity_propagation.__defaults__[1] == 1000
