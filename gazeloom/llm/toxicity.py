@@ -2,17 +2,21 @@
 
 ``P(grade <= k) = logistic(theta_k - w.x)`` with one weight vector for all ordered
 thresholds; ``x`` marks which of the chosen words a text holds. The expected severity
-is the sum of ``P(grade > k)``.
+is the sum of ``P(grade > k)`` over the steps between grades.
 
-Fitting uses a bounded sample of labelled rows (``MAX_LABELLED`` expected rows, chosen
-by a hash of the id). Words enter if their share among the positive rows differs from
-that among the others by ``MIN_Z`` standard errors, at most ``MAX_FEATURES`` of them,
-so what the driver sees is bounded. Labels with two values only are graded first:
-positive rows with an above-median share of toxic words get grade 2.
+Grades come from the labels alone: any whole numbers, the least of which is "not
+toxic" (0 and what is below it count as 0). Labels with two values give one threshold.
+
+Fitting uses a bounded sample of labelled rows (``max_labelled`` expected rows, chosen
+by a hash of the id) and reads their whole texts. Words enter if their share among the
+positive rows differs from that among the others by ``min_z`` standard errors, at most
+``max_features`` of them, so what the driver sees is bounded: a row a document and a
+mark for each chosen word in it. Words are split and counted by built-in functions.
 
 Edge cases: null and empty texts have no features and get the base rate; null labels
-are left out; of repeated labels of a row the highest counts; without positive or
-without negative labels everything gets severity 0.
+are left out; of repeated labels of a row the highest counts, of repeated documents
+the least text; without positive or without negative labels, or without documents,
+everything gets severity 0; columns of the result's names are replaced.
 """
 
 from __future__ import annotations
@@ -21,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import slices, text_of
+from .storage import drop, stash
 from .wumanber import words_of
 
 MAX_LABELLED = 8000
@@ -38,16 +43,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class CumulativeLink:
-    """Weights by word and ordered thresholds."""
+    """Weights by word, ordered thresholds, and the grades that they part."""
 
-    def __init__(self, words: list[str], weights: np.ndarray, thresholds: np.ndarray):
-        self.words, self.weights, self.thresholds = words, weights, thresholds
+    def __init__(self, words: list[str], weights: np.ndarray, thresholds: np.ndarray, grades: list[int]):
+        self.words, self.weights, self.thresholds, self.grades = words, weights, thresholds, np.asarray(grades, np.int64)
 
     def above(self, eta: np.ndarray) -> np.ndarray:
-        """P(grade > k) for each k."""
+        """P(grade > k) for each grade but the last."""
         return _sigmoid(eta[:, None] - self.thresholds[None, :])
 
 
+NEVER = CumulativeLink([], np.zeros(0), np.array([np.inf]), [0, 1])
+
+
 def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, l2: float = 1.0, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Penalised maximum likelihood by Adam over marks (row, column); returns weights and thresholds.
 
@@ -82,73 +90,55 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray,
     return params[:n_features], np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
 
 
-def _distinct_words(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """``keep`` and the distinct words of each text."""
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("words", T.ArrayType(T.StringType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            words = [[w.decode() for w in sorted(set(words_of(x)))] for x in text_of(batch, text)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(words, pa.list_(pa.string()))], names=[*keep, "words"])
-
-    return df.select(*keep, text).mapInArrow(run, schema)
+def distinct_words(text: Column) -> Column:
+    """The distinct words of a text as :func:`~.wumanber.words_of` splits them, by built-in functions."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.array_remove(F.array_distinct(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")), "")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> CumulativeLink:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, min_z: float = MIN_Z) -> CumulativeLink:
     """Fit on a bounded sample of labelled rows."""
-    known = labels.where(F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("grade"))
-    n = known.count()
-    share = min(1.0, max_labelled / max(1, n))
+    known = labels.where(F.col(label).isNotNull()).groupBy(id_col).agg(F.greatest(F.max(label), F.lit(0)).cast("int").alias("grade"))
+    share = min(1.0, max_labelled / max(1, known.count()))
     # at most about max_labelled rows of two numbers: bounded, so it may be broadcast
     chosen = F.broadcast(known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20)))
-    sample = _distinct_words(docs.select(id_col, text).join(chosen, id_col), [id_col, "grade"], text).cache()
-    counts = sample.agg(F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("long")).alias("p")).first()
-    n, p = counts["n"], counts["p"] or 0
+    texts = docs.select(F.col(id_col), F.col(text).alias("text")).join(chosen, id_col).groupBy(id_col).agg(F.max("grade").alias("grade"), F.min("text").alias("text"))
+    sample = stash(texts.select(F.col(id_col).alias("id"), "grade", distinct_words(F.col("text")).alias("words")), "labelled")
+    known_rows = sample.select("id", "grade").orderBy("id").toPandas()
+    levels, grades = np.unique(np.append(known_rows.grade.to_numpy(np.int64), 0), return_inverse=True)
+    grades = grades[:-1]
+    n, p = len(grades), int((grades > 0).sum())
     if not p or p == n:
-        sample.unpersist()
-        return CumulativeLink([], np.zeros(0), np.array([np.inf]))
-    by_word = sample.select(F.explode("words").alias("word"), (F.col("grade") > 0).cast("long").alias("y")).groupBy("word").agg(F.count("*").alias("d"), F.sum("y").alias("dp"))
+        drop(sample)
+        return NEVER
+    marks = sample.select("id", (F.col("grade") > 0).cast("long").alias("y"), F.explode("words").alias("word"))
+    by_word = marks.groupBy("word").agg(F.count("*").alias("d"), F.sum("y").alias("dp"))
     pooled = (F.col("d") + 1) / (n + 2)
     z = (F.col("dp") / p - (F.col("d") - F.col("dp")) / (n - p)) / F.sqrt(pooled * (1 - pooled) * (1 / p + 1 / (n - p)))
-    words = [(r["word"], r["z"]) for r in by_word.where("d >= 3").select("word", z.alias("z")).where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "word").limit(MAX_FEATURES).collect()]
-    number = {w: i for i, (w, _) in enumerate(words)}
-    toxic = {w for w, score in words if score > 0}
-    schema = "grade int, cols array<int>"
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [[number[w] for w in x if w in number] for x in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(cols, pa.list_(pa.int32()))], names=["grade", "cols"])
-
-    got = sample.mapInArrow(marks, schema).toPandas()
-    sample.unpersist()
-    grades = got.grade.to_numpy(np.int64)
-    cols = [np.asarray(c, np.int64) for c in got.cols]
-    if grades.max() == 1:
-        strong = np.array([sum(words[k][0] in toxic for k in c) for c in cols])
-        positive = (grades == 1) & (strong > 0)
-        if positive.any():
-            grades = np.where(positive & (strong > np.median(strong[positive])), 2, grades)
-    rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    w, theta = fit_cumulative_link(rows, np.concatenate([np.zeros(0, np.int64), *cols]), grades, len(words))
-    return CumulativeLink([x for x, _ in words], w, theta)
+    words = [r["word"] for r in by_word.where("d >= 3").select("word", F.abs(z).alias("z")).where(F.col("z") >= min_z).orderBy(F.desc("z"), "word").limit(max_features).collect()]
+    numbered = docs.sparkSession.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, number int")
+    got = marks.join(F.broadcast(numbered), "word").select("id", "number").orderBy("id", "number").toPandas()
+    drop(sample)
+    rows = np.searchsorted(known_rows.id.to_numpy(), got.id.to_numpy())
+    w, theta = fit_cumulative_link(rows, got.number.to_numpy(np.int64), grades, len(words))
+    return CumulativeLink(words, w, theta, levels.tolist())
 
 
 def predict(df: DataFrame, model: CumulativeLink, text: str = "text") -> DataFrame:
-    """Add ``expected_severity double``, ``p_toxic double``, ``severity int`` (likeliest grade) and ``toxic boolean`` (p_toxic at least a half). Columns of these names are replaced."""
+    """Add ``expected_severity double``, ``p_toxic double``, ``severity int`` (the median grade) and ``toxic boolean`` (p_toxic at least a half, which is severity > 0). Columns of these names are replaced."""
     names = ["expected_severity", "p_toxic", "severity", "toxic"]
     kept = [c for c in df.columns if c not in names]
     kinds = [T.DoubleType(), T.DoubleType(), T.IntegerType(), T.BooleanType()]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = {w.encode(): float(x) for w, x in zip(model.words, model.weights, strict=True)}
-        known = weight.keys()
+        weight = {w.encode(): x for w, x in zip(model.words, model.weights.tolist(), strict=True)}
+        known, steps = weight.keys(), np.diff(model.grades)
         for batch in slices(batches, text):
             eta = np.array([sum(weight[w] for w in sorted(known & set(words_of(x)))) for x in text_of(batch, text)], float)
             above = model.above(eta)
-            grade = np.concatenate([1 - above[:, :1], above[:, :-1] - above[:, 1:], above[:, -1:]], 1).argmax(1)
-            out = [pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(grade.astype(np.int32)), pa.array(above[:, 0] >= 0.5)]
+            grade = model.grades[(above >= 0.5).sum(1)]
+            out = [pa.array(above @ steps), pa.array(above[:, 0]), pa.array(grade.astype(np.int32)), pa.array(above[:, 0] >= 0.5)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + out, names=kept + names)
 
     return df.mapInArrow(run, schema)

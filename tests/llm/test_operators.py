@@ -83,11 +83,40 @@ def test_chroma_alignment(spark):
 
 def test_toxicity(spark, docs, sf, odd):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels.select("doc_id", (F.col("toxic") * (2 - F.col("quality"))).alias("toxic")))
+    assert (np.diff(model.thresholds) > 0).all() and model.grades.tolist() == [0, 1, 2]
+    weight = dict(zip(model.words, model.weights, strict=True))
+    for r in toxicity.predict(docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")), model).collect():
+        eta = sum(weight.get(w.decode(), 0.0) for w in set(wumanber.words_of(r.text)))
+        above = [1 / (1 + np.exp(t - eta)) for t in model.thresholds]
+        assert r.expected_severity == pytest.approx(sum(above)) and r.p_toxic == pytest.approx(above[0])
+        assert r.severity == sum(x >= 0.5 for x in above) and r.toxic == (r.severity > 0)
+    assert toxicity.predict(odd, model).columns == [c for c in odd.columns] + ["expected_severity", "p_toxic", "severity", "toxic"]
+    assert toxicity.predict(odd.limit(0), model).count() == 0
+    for none in (toxicity.fit(docs, labels.limit(0)), toxicity.fit(docs.limit(0), labels), toxicity.fit(docs, labels.where("toxic = 0"))):
+        assert not toxicity.predict(odd, none).where("toxic OR severity > 0").count()
+
+
+def test_toxicity_held_out(spark):
+    rng = np.random.default_rng(2)
+    insults = ["scum", "twit", "lout", "oaf"]
+    rows, marks = [], []
+    for i in range(1200):
+        grade = int(rng.choice([0, 0, 0, 1, 2]))
+        words = [f"w{k}" for k in rng.integers(0, 400, 60)] + [str(x).upper() for x in rng.choice(insults, grade * 2, replace=False)]
+        rows.append((i, " ".join(rng.permutation(words))))
+        marks += [(i, 3 * grade), (i, None)] if i % 3 else []
+    docs, labels = spark.createDataFrame(rows + rows[:50], "doc_id long, text string"), spark.createDataFrame(marks + [(None, 3), (5000, 3)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    assert (np.diff(model.thresholds) > 0).all()
-    got = toxicity.predict(odd, model).collect()
-    assert len(got) == len(ODD) and all(0 <= r.expected_severity <= len(model.thresholds) for r in got)
-    assert not toxicity.predict(odd, toxicity.fit(docs, labels.limit(0))).where("toxic").count()
+    assert model.grades.tolist() == [0, 3, 6]
+    got = {r.doc_id: r for r in toxicity.predict(docs, model).collect()}
+    n_insults = {i: len(set(t.lower().split()) & set(insults)) for i, t in rows}
+    assert all(got[i].toxic == (n > 0) and got[i].severity == {0: 0, 2: 3, 4: 6}[n] for i, n in n_insults.items())
+
+
+def test_distinct_words_agree_with_the_search(spark, docs, odd):
+    for r in docs.select("text").unionByName(odd.select("text")).select("text", toxicity.distinct_words(F.col("text")).alias("words")).collect():
+        assert sorted(w.encode() for w in r.words) == sorted(set(wumanber.words_of(r.text)))
 
 
 def test_cumulative_link_orders_grades():
