@@ -1,30 +1,38 @@
 """Near duplicates: chosen-path set similarity join on word shingles.
 
 1. Each document becomes a set of hashed shingles, a set digest, a sketch (one byte
-   of each of ``POSITIONS`` minwise values) and ``PATH`` minwise values for the trees.
+   of each of ``POSITIONS`` minwise values) and one whole minwise value for each root.
    Equal sets form a class; only its first document goes on.
-2. Every class joins the roots' children of ``TREES`` independent trees, each
-   branching on ``BRANCHES`` selected minwise values. A pair with similarity ``s``
-   shares none of these nodes with probability ``(1 - s) ** (TREES * BRANCHES)``:
-   2.6e-7 at 0.85, 2.6e-6 at 0.80.
+2. Every class joins the ``ROOTS`` nodes at the top of ``TREES`` independent trees that
+   branch on ``BRANCHES`` minwise values.
 3. In every node with two or more members each is compared with the node's first
    and last member. Sketches discard pairs that are far below the threshold; the
    rest is confirmed on full sets. This costs time in proportion to the node and
    already joins up large groups of copies.
-4. Nodes whose members are in one component have nothing left to find. All pairs of
-   different components in a node of at most ``SMALL`` members are compared by
-   sketches, in blocks that hold up to ``BLOCK`` members. Members with a candidate
-   are compared on full sets, and links that join components come out. Larger nodes
-   are branched up to ``DEPTH`` times first, only to find links early and cheaply;
-   those that are still of several components are then compared in the same blocks
-   as a whole. So a pair that meets in a node of any size is compared there, and
-   nothing but 2 and the sketches decides what is missed.
-5. Components of the confirmed links give the groups.
+4. Nodes whose members are in one component have nothing left to find. In the others
+   the members outside the largest component are the *minority*. A node with a
+   minority of at most ``SMALL`` members is compared exhaustively: every minority
+   member with all others by sketches, the majority dealt over groups of ``BLOCK``,
+   so nothing but the minority is repeated. Members with a candidate are compared
+   on full sets, and links that join components come out.
+5. Other nodes are branched: each member goes to ``BRANCHES`` children, by a minwise
+   byte that the node picks. A node that has not become small after ``DEPTH`` levels
+   (its members agree in nearly everything, and still stars have not joined them) is
+   compared whole, dealt over pairs of blocks, so that no pair is dropped.
+6. Components of the confirmed links give the groups.
+
+A pair with similarity ``s`` shares no root with probability ``(1 - s) ** ROOTS``:
+5.8e-9 at 0.85, 1.0e-7 at 0.80. If each of its nodes must be branched, however often,
+a tree loses it with the probability ``q`` that a branching process dies out,
+``q = (1 - s + s * q) ** BRANCHES``, and all trees with ``q ** TREES``: 2.9e-8 at 0.85
+and 9.5e-7 at 0.80. The sketches lose about 1e-6 more.
 
 Full sets are made only for documents in a candidate pair. Nothing is collected to
 the driver but counts. Edge cases: a document without words (null, empty) has an
 empty set and links with nothing; one with fewer words than a shingle has its whole
-sequence as its only shingle; repeated rows get a row each.
+sequence as its only shingle; repeated rows get a row each; a row without id takes
+part through rows of the same set that have one, else its component is null and it
+is kept; columns other than id and text are not passed on.
 """
 
 from __future__ import annotations
@@ -43,10 +51,10 @@ from .storage import drop, stash
 WORDS = 5
 THRESHOLD = 80
 POSITIONS = 128
-TREES, BRANCHES, DEPTH = 4, 2, 4
-PATH = TREES * BRANCHES + DEPTH * BRANCHES
-#: Members of a node that are compared exhaustively, those that one group of them holds, and shingles of a group of full sets.
-SMALL = 4096
+TREES, BRANCHES, DEPTH = 5, 2, 8
+ROOTS = TREES * BRANCHES
+#: Minority of a node that is compared exhaustively, other members in one group of it, and shingles of a group of full sets.
+SMALL = 2048
 BLOCK = 1024
 SET_ITEMS = 1 << 22
 #: Standard errors below the threshold at which a sketch still passes.
@@ -54,7 +62,7 @@ SLACK = 4.7
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_MULTIPLIERS = _RNG.integers(1, 2**63, POSITIONS + PATH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = _RNG.integers(1, 2**63, POSITIONS + ROOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -215,24 +223,34 @@ def _blocks(df: DataFrame, node: str, weight, limit: int) -> DataFrame:
     return df.withColumn("g", F.when(F.col("k") > 1, pair).otherwise(F.col(node))).drop("k", "mine", "other")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Columns ``g``, ``home``, ``major`` for nodes of a small minority: members of the largest component are dealt over blocks, the others go to every block and are at home in one."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    df = df.withColumn("k", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("major", F.col("label") == F.col("top"))
+    df = df.withColumn("block", F.explode(F.when(F.col("major"), F.array("k")).otherwise(F.sequence(F.lit(0), blocks - 1))))
+    return df.withColumn("g", F.xxhash64("node", "block")).withColumn("home", F.col("block") == F.col("k")).drop("k", "block")
+
+
 def _promising(members: DataFrame, threshold: int) -> DataFrame:
     """(g, id, label, n): members that have a candidate of another component in their group, by sketches.
 
-    A pair that meets in several roots' children counts in the first small one only:
-    ``tree`` is the number of the group's root, negative below.
+    A pair that meets in several roots counts in the first small one only: ``tree`` is
+    the number of the group's root, negative below; ``large`` has the bits of a
+    member's roots that are branched instead. Two minority members are compared where
+    the one with the smaller id is at home.
     """
     least = least_agreement(threshold)
-    roots = TREES * BRANCHES
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        label, n, tree, large = (t.column(c).to_numpy() for c in ("label", "n", "tree", "large"))
+        ids, label, n, tree, large = (t.column(c).to_numpy() for c in ("id", "label", "n", "tree", "large"))
+        home, major = (t.column(c).to_numpy(zero_copy_only=False) for c in ("home", "major"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, POSITIONS)
-        path = t.column("path").combine_chunks().flatten().to_numpy().reshape(-1, PATH)[:, :roots]
-        usable = (large[:, None] >> np.arange(roots)) & 1 == 0
+        path = t.column("path").combine_chunks().flatten().to_numpy().reshape(-1, ROOTS)
+        usable = (large[:, None] >> np.arange(ROOTS)) & 1 == 0
         some = np.zeros(len(n), bool)
-        for i in range(len(n) - 1):
-            fit = (label[i + 1 :] != label[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * threshold)
-            at = np.flatnonzero(fit) + i + 1
+        for i in np.flatnonzero(~major):
+            mine = major | (ids > ids[i]) if home[i] else major
+            at = np.flatnonzero(mine & (label != label[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * threshold))
             if len(at):
                 at = at[(sketch[at] == sketch[i]).sum(1) >= least]
             if len(at) and tree[i] >= 0:
@@ -242,7 +260,7 @@ def _promising(members: DataFrame, threshold: int) -> DataFrame:
         if some.any():
             yield from t.select(["g", "id", "label", "n"]).filter(pa.array(some)).to_batches()
 
-    return _in_groups(members.select("g", "id", "label", "n", "tree", "large", "sketch", "path"), compare, "g long, id long, label long, n long")
+    return _in_groups(members.select("g", "id", "label", "n", "tree", "large", "home", "major", "sketch", "path"), compare, "g long, id long, label long, n long")
 
 
 def _linked(docs: DataFrame, promising: DataFrame, id_col: str, text: str, words: int, threshold: int) -> DataFrame:
@@ -282,15 +300,18 @@ def _linked(docs: DataFrame, promising: DataFrame, id_col: str, text: str, words
     return out
 
 
-def _children(nodes: DataFrame, level: int) -> DataFrame:
-    """Each member in ``BRANCHES`` children of its node. Trees take different minwise values at a level, all new on their path.
+def _children(nodes: DataFrame) -> DataFrame:
+    """Each member in ``BRANCHES`` children of its node, by the bytes of its sketch at places that hang on the node, so nodes of a tree choose independently."""
+    places = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int") + 1 for k in range(BRANCHES)]
+    keys = F.array(*[F.xxhash64("node", F.lit(k), F.col("sketch").substr(at, F.lit(1))) for k, at in enumerate(places)])
+    return nodes.withColumn("node", F.explode(keys)).withColumn("tree", F.lit(-1))
 
-    ``tree`` becomes ``-1 - k`` below the root's child ``k``.
-    """
-    root = F.when(F.col("tree") < 0, -1 - F.col("tree")).otherwise(F.col("tree"))
-    places = [root + 1 + level * BRANCHES + k for k in range(BRANCHES)]
-    keys = F.array(*[F.xxhash64("node", at, F.element_at("path", at + 1)) for at in places])
-    return nodes.withColumn("node", F.explode(keys)).withColumn("tree", -1 - root)
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """(node, m, top, minority): nodes with members of several components, their size, largest component, and members outside it."""
+    sizes = members.groupBy("node", "label").agg(F.count("*").alias("c"))
+    nodes = sizes.groupBy("node").agg(F.sum("c").alias("m"), F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.count("*").alias("parts"))
+    return nodes.where("parts > 1").select("node", "m", "top", (F.col("m") - F.col("most")).alias("minority"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -299,55 +320,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ``threshold`` is the least Jaccard similarity in percent.
     """
     sigs = stash(signatures(docs, id_col, text, words), "signatures")
-    classes = stash(sigs.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch"), F.min_by("path", "id").alias("path")), "classes")
+    classes = stash(sigs.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch"), F.min_by("path", "id").alias("path")), "classes")
 
-    roots = F.array(*[F.xxhash64(F.lit(k), F.col("path")[k]) for k in range(TREES * BRANCHES)])
+    roots = F.array(*[F.xxhash64(F.lit(k), F.col("path")[k]) for k in range(ROOTS)])
     members = classes.select("id", F.posexplode(roots).alias("tree", "node"))
     nodes = stash(members.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("first"), F.max("id").alias("last")).where("m > 1"), "nodes")
     shared = stash(members.join(nodes, "node").select("node", "tree", "id", "m", "first", "last"), "members")
+    drop(nodes)
     stars = shared.select(F.col("first").alias("a"), F.col("id").alias("b")).unionAll(shared.select(F.col("id").alias("a"), F.col("last").alias("b")))
     sketches = classes.select("id", "n", "sketch")
     pairs = stash(_alike(stars.where("a < b").distinct(), sketches, threshold), "pairs")
     links = _confirmed(docs, pairs, id_col, text, words, threshold)
+    drop(pairs)
 
-    # what the stars left: nodes with members of several components
+    # what the stars left: nodes with members of several components, those of two members apart
     labels = stash(components(links), "labels")
-    marked = shared.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    mixed = stash(marked.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node"), "mixed")
-    large_roots = shared.where(F.col("m") > SMALL).groupBy("id").agg(F.expr("bit_or(shiftleft(1, tree))").alias("large"))
+    marked = stash(shared.where("m > 2").join(labels, "id", "left").select("node", "tree", "id", F.coalesce("component", "id").alias("label")), "marked")
+    drop(shared)
+    mixed = stash(_mixed(marked), "mixed")
+    bits = marked.join(mixed.where(F.col("minority") > SMALL).select("node"), "node").groupBy("id").agg(F.expr("bit_or(shiftleft(1, tree))").alias("large"))
+    now = stash(marked.join(mixed, "node").join(bits, "id", "left").fillna(0, ["large"]).join(classes.select("id", "n", "sketch", "path"), "id"), "level")
+    drop(marked, mixed)
     found = []
-    now = stash(marked.where("m > 2").join(mixed, "node").join(large_roots, "id", "left").fillna(0, ["large"]).join(classes.select("id", "n", "sketch", "path"), "id"), "level")
-    whole = stash(now.where(F.col("m") > SMALL).drop("label", "large"), "large")
     for level in range(DEPTH + 1):
-        small = now.where(F.col("m") <= SMALL)
-        found.append(stash(_promising(_blocks(small, "node", F.col("m"), BLOCK), threshold), "promising"))
-        large = now.where(F.col("m") > SMALL)
-        if level == DEPTH or large.isEmpty():
+        found.append(stash(_promising(_spread(now.where(F.col("minority") <= SMALL)), threshold), "promising"))
+        large = now.where(F.col("minority") > SMALL)
+        if large.isEmpty():
+            break
+        if level == DEPTH:
+            whole = _blocks(large, "node", F.col("m"), BLOCK).withColumn("home", F.lit(True)).withColumn("major", F.lit(False))
+            found.append(stash(_promising(whole, threshold), "promising"))
             break
-        kids = stash(_children(large.drop("m"), level), "children")
-        sizes = stash(kids.groupBy("node").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "m"), "sizes")
-        after = stash(kids.join(sizes, "node"), "level")
-        drop(now, kids, sizes)
+        kids = stash(_children(large.drop("m", "top", "minority")), "children")
+        after = stash(kids.join(_mixed(kids), "node"), "level")
+        drop(now, kids)
         now = after
+    drop(now)
     rest = found[0]
     for more in found[1:]:
         rest = rest.unionAll(more)
     if not rest.isEmpty():
-        links = links.unionAll(_linked(docs, rest, id_col, text, words, threshold))
-        labels = stash(components(links), "labels")
-    # large nodes of several components, whole; a pair whose first common node is a small one has been compared there
-    left = whole.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component").withColumn("large", F.lit(0))
-    split = left.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node")
-    if not whole.isEmpty():
-        last = stash(_promising(_blocks(left.join(split, "node"), "node", F.col("m"), BLOCK), threshold), "promising")
-        if not last.isEmpty():
-            links = links.unionAll(_linked(docs, last, id_col, text, words, threshold))
-            labels = stash(components(links), "labels")
-        found.append(last)
-    drop(nodes, shared, mixed, now, whole, *found, pairs)
-    of_class = classes.select("h1", "h2", "n", "id").join(labels, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component_id"))
-    of_class = stash(of_class, "groups")
-    drop(classes)
+        more = _linked(docs, rest, id_col, text, words, threshold)
+        both = links.unionAll(more)
+        drop(labels)
+        labels = stash(components(both), "labels")
+        drop(more)
+    drop(links, *found)
+    of_class = stash(classes.select("h1", "h2", "n", "id").join(labels, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component_id")), "groups")
+    drop(classes, labels)
     out = sigs.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "h1", "h2").join(of_class.withColumnRenamed("n", "n_shingles"), ["h1", "h2", "n_shingles"], "left")
     group = F.coalesce("component_id", F.col(id_col))
-    return out.select(id_col, "n_shingles", group.alias("component_id"), (F.col(id_col) == group).alias("kept"))
+    return out.select(id_col, "n_shingles", group.alias("component_id"), F.coalesce(F.col(id_col) == group, group.isNull()).alias("kept"))

@@ -160,15 +160,16 @@ def _brute(texts, words, threshold):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("small", [4096, 6])
-def test_near_duplicates(spark, docs, monkeypatch, small):
+@pytest.mark.parametrize(("small", "depth"), [(2048, 8), (6, 2)])
+def test_near_duplicates(spark, docs, monkeypatch, small, depth):
     monkeypatch.setattr(cpsjoin, "SMALL", small)
-    monkeypatch.setattr(cpsjoin, "BLOCK", small)
-    monkeypatch.setattr(cpsjoin, "SET_ITEMS", 4096 if small == 4096 else 600)
+    monkeypatch.setattr(cpsjoin, "BLOCK", max(8, small // 2))
+    monkeypatch.setattr(cpsjoin, "DEPTH", depth)
+    monkeypatch.setattr(cpsjoin, "SET_ITEMS", 4096 if small == 2048 else 600)
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in rng.integers(0, 500, 150)]
-    made = [" ".join(w if k not in cut else f"z{n}" for k, w in enumerate(base)) for n in range(30) for cut in [set(rng.integers(0, 150, n % 5))]]
-    rows = [(r.doc_id, r.text) for r in docs.limit(120).collect()] + [(1000 + n, t) for n, t in enumerate(made)] + [(2000, None), (2001, ""), (2002, "one two"), (2003, "ONE two")]
+    made = [" ".join(w if k not in cut else f"z{n}" for k, w in enumerate(base)) for n in range(40) for cut in [set(rng.integers(0, 150, n % 9))]]
+    rows = [(r.doc_id, r.text) for r in docs.limit(120).collect()] + [(1000 + n, t) for n, t in enumerate(made)] + [(2000, None), (2001, ""), (2002, "one two"), (2003, "ONE two"), (2003, "ONE two")]
     want = _brute(rows, 3, 85)
     got = cpsjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")), words=3, threshold=85).collect()
     assert len(got) == len(rows)
@@ -176,6 +177,31 @@ def test_near_duplicates(spark, docs, monkeypatch, small):
         assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)
 
 
+def test_near_duplicates_of_a_large_node(spark):
+    """More documents that share a passage than a node compares at once, with links that stars miss, at the real limits."""
+    rng = np.random.default_rng(5)
+    passage = [f"p{k}" for k in range(60)]
+    texts = []
+    for n in range(2700):
+        own = [f"o{n}_{k}" for k in range(int(rng.integers(8, 13)))]
+        texts.append(passage + own)
+        if n % 9 == 0:
+            texts.append(passage + own[:-1] + [f"x{n}"])
+    rows = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    want = _brute(rows, 5, 80)
+    assert len({c for _, c in want.values()}) > cpsjoin.SMALL
+    got = cpsjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_near_duplicates_edge_cases(spark):
+    rows = [(None, "a b c d"), (5, "a b c d"), (None, "solo text here"), (None, None), (7, "other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in cpsjoin.near_duplicates(df, words=2).collect()), key=str)
+    assert got == sorted([(None, 5, False), (5, 5, True), (None, None, True), (None, None, True), (7, 7, True)], key=str)
+    assert cpsjoin.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 30)] + [(50, 40), (40, 40), (60, 50), (None, 3)], "a long, b long")
     got = {r.id: r.component for r in components.components(edges).collect()}
@@ -264,10 +290,3 @@ def test_benchmark_item_without_id(spark):
     items = spark.createDataFrame([(None, "a b"), ("q", "a b"), (None, "c")], "item_id string, text string")
     got = wumanber.find_windows(spark.createDataFrame([(1, "x a b c")], "doc_id long, text string"), items).first()
     assert (got.n_words, got.n_hit, got["items"]) == (4, 3, ["q"])
-
-
-def test_children_of_trees_take_other_values(spark):
-    row = spark.createDataFrame([(t, t, list(range(cpsjoin.PATH))) for t in range(cpsjoin.TREES * cpsjoin.BRANCHES)], "node long, tree int, path array<long>")
-    for level in range(cpsjoin.DEPTH):
-        row = cpsjoin._children(row, level)
-        assert row.where("node IS NULL").isEmpty() and {r.tree for r in row.select("tree").distinct().collect()} == set(range(-8, 0))
