@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Characters handled at a time inside a batch; bounds a Python worker's memory.
 CHUNK_CHARS = 250_000
@@ -32,3 +33,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_CH
 def text_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The strings of a column, null as the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of ``df`` has (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

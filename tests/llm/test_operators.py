@@ -234,24 +234,76 @@ def test_benchmark_windows(spark, docs, sf, odd):
     assert wumanber.find_windows(odd, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def _luhn(digits):
+    d = [int(c) for c in digits][::-1]
+    return (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
 def test_pseudonyms(spark, odd):
-    text = "4111111111111111 4111-1111-1111-1111 4111111111111112 1987-02-28 28/02/1987 1987-02-30 10.0.0.1 +1 (743) 555-3824 a.b@x.org token = \"" + "ab12" * 10 + "\""
-    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, text)], "doc_id long, text string")
-    got = {r.doc_id: r for r in feistel.pseudonymise(df, "k").collect()}
+    text = "4111111111111111 4111-1111-1111-1111 4111111111111112 1987-02-28 28/02/1987 1987-02-30 10.0.0.1 +1 (743) 555-3824 a.b@x.org 7992739871300008 token = \"" + "ab12" * 10 + "\""
+    assert _luhn("7992739871300008")
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, text)], "doc_id long, text string").withColumn("finds", F.lit("clash")).withColumn("New", F.lit("clash"))
+    made = feistel.pseudonymise(df, "k")
+    got = {r.doc_id: r for r in made.collect()}
     new = got[1].text.split(" ")
-    assert got[1].text == got[4].text and len(got[1].text.split(" ")) == len(text.split(" "))
+    assert got[1].text == got[4].text and got[1].finds == "clash" and len(got[1].text.split(" ")) == len(text.split(" "))
     assert new[0] == new[1].replace("-", "") != "4111111111111111" and new[2] == "4111111111111112" and new[5] == "1987-02-30"
-    digits = [int(c) for c in new[0]][::-1]
-    assert (sum(digits[0::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+    assert _luhn(new[0]) and "7992739871300008" in new
     assert new[3].split("-")[::-1] == new[4].split("/") and new[3] != "1987-02-28"
     for secret in ("10.0.0.1", "555-3824", "a.b@", "ab12ab12"):
         assert secret not in got[1].text
     assert got[2].text is None and got[3].text == "" and got[2].n_pseudonyms == 0
-    assert feistel.pseudonymise(odd, "k").count() == len(ODD)
+    assert feistel.pseudonymise(odd, "k").count() == len(ODD) and feistel.pseudonymise(odd.limit(0), "k").count() == 0
+    back = {r.doc_id: r.text for r in feistel.pseudonymise(made, "k", invert=True).collect()}
+    assert back == {1: text, 2: None, 3: "", 4: text}
     days = spark.range(0, 73000, 1).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
     assert days.where("d < '1903-01-01'").select(feistel.permute_day(F.col("d"), "k").alias("p")).distinct().count() == 1095
 
 
+def _values(kind, rng):
+    """Many valid values of a kind."""
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    n = 1500
+    if kind == "email":
+        return [f"{pick('abAB12', 3)}@x.org" for _ in range(n)] + [f"{c}@x.org" for c in "abcXYZ019"]
+    if kind == "hex":
+        return [x for _ in range(n // 3) for x in (pick("0123456789abcdef", 32), pick("0123456789ABCDEF", 32), pick("0123456789", 32))]
+    if kind == "secret":
+        return [f"token={pick('abAB12-_', 14)}" for _ in range(n)]
+    if kind == "ssn":
+        return [f"{a:03}-{g:02}-{s:04}" for a in (1, 665, 667, 899) for g in (1, 55, 99) for s in rng.integers(1, 10000, 120)]
+    if kind == "phone":
+        return [f"+1 ({a:03}) {e:03}-{k:04}" for a, e, k in zip(rng.integers(0, 1000, n), rng.integers(0, 1000, n), rng.integers(0, 10000, n), strict=True)] + [f"+44 20 {k:04} {n:04}" for k in range(10)]
+    if kind == "ipv4":
+        return [".".join(map(str, x)) for x in rng.integers(0, 256, (n, 4))]
+    if kind == "card":
+        bodies = [f"4{k:014}" for k in rng.integers(0, 10**9, n)] + [f"37{k:012}" for k in range(50)]
+        return [b + next(c for c in "0123456789" if _luhn(b + c)) for b in bodies]
+    days = np.datetime64("1985-01-01") + np.arange(600)
+    iso = [str(d) for d in days] + ["0001-01-01", "9999-12-31", "1899-12-31", "2099-11-13"]
+    cut = [x.split("-") for x in iso]
+    return iso + [f"{d}/{m}/{y}" for y, m, d in cut] + [f"{m}/{d}/{y}" for y, m, d in cut if int(d) > 12] + [f"{d}.{m}.{y}" for y, m, d in cut]
+
+
+@pytest.mark.parametrize("kind", list(feistel.PATTERNS))
+def test_pseudonyms_are_closed_and_invertible(spark, kind):
+    values = sorted(set(_values(kind, np.random.default_rng(7))))
+    made = feistel.pseudonymise(spark.createDataFrame([(v,) for v in values], "text string"), "k").withColumnRenamed("n_pseudonyms", "changed")
+    both = made.withColumn("new", F.col("text"))
+    rows = feistel.pseudonymise(both, "k", invert=True).select("new", "text", "changed").collect()
+    new = [r.new for r in rows]
+    assert [r.text for r in rows] == values and len(set(new)) == len(values)
+    assert sum(r.changed for r in rows) > 0.99 * len(values)
+    for v, x in zip(values, new, strict=True):
+        assert re.fullmatch(feistel.PATTERNS[kind], x) and len(x) == len(v) or kind == "ipv4"
+        if kind == "card":
+            assert _luhn(x) and re.match(feistel.ISSUERS, x)
+        if kind == "hex":
+            assert (x == x.upper()) == (v == v.upper()) or not re.search("[A-F]", v)
+        if kind == "phone" and re.match(r"\+1 \([2-9]..\) [2-9]", v):
+            assert re.match(r"\+1 \([2-9]..\) [2-9]", x)
+
+
 PAGE = "<html><body><header>Site</header><nav><a>Home</a></nav><div class='sidebar'>Side {n}</div><div id='post'><h1>T{n}</h1><p>Body &amp; <b>bo</b>ld {n}<br>x<p>more {n} words here that vary {n}</div><form>f</form><div class='comments'>c{n}</div><footer>F</footer><script>'</p>'</script></body></html>"
 
 
