@@ -1,28 +1,39 @@
 """HTML extraction by wrapper induction over pages of one host.
 
 A bounded sample of each host's pages (``PAGES_PER_HOST``, chosen by a hash of the
-page) is parsed into trees whose runs of like siblings are folded. Simple tree
-matching aligns the trees: nodes with equal text in all pages are template, nodes
-whose text varies are slots. The slots outside page furniture (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) vote for the content root: the
-deepest node that holds most of their text. The wrapper is the root's path of labels;
-furniture is named by its element, role, or class and id words.
-
-Every page is then parsed whole and the text below its wrapper's root is taken,
-without furniture; where several nodes are at the root's path, that of all of them. A page in which the path has no match (other layout, cut-off
-markup) or whose host has no usable sample falls back to the same vote on the page
-alone.
+page) is parsed into trees of blocks whose runs of like siblings are folded. Simple
+tree matching aligns the trees: a block's text that stands in the matching node of
+every sampled page is constant and becomes template, all other text is a slot. The
+slots vote for the content root: the deepest node that holds most of their text, or
+the ``article`` or ``main`` element around it. The wrapper is the root's path of labels
+and digests of the template blocks below it.
+
+Every page is then parsed whole and the slots' text below its wrapper's root is taken;
+where several nodes are at the root's path, that of all of them. Names decide only
+what alignment can't: slots in elements, roles or classes of page furniture (menus,
+adverts, reader comments vary from page to page, too) neither vote nor are taken. A
+class word counts if the rest of its class name is neutral, so ``related-posts`` is
+furniture and ``related-work`` is not; ``article`` and ``main`` are never furniture by
+their class, unless it is that of a comment. A page in which the path has no match
+(other layout, cut-off markup) or whose host has no usable sample falls back to a vote
+on the page alone.
+
+Pages that repeat one text are copies, not a template: constant blocks are template
+only where ``MIN_PAGES`` or more pages are aligned and the constant share of the
+root's text is below ``MAX_CONSTANT``.
 
 Wrappers are small; they are broadcast only if their measured size is below
 ``BROADCAST_BYTES`` and joined by host otherwise. Edge cases: null or empty html gives
 an empty text, a null or odd url counts as the host ``''``; repeated pages get a row
 each; text that no tag encloses belongs to the root; a tag that the end of the page
 cuts off is dropped; elements nested more than ``MAX_DEPTH`` deep are read as content
-of the deepest open one, so all work is linear in the page however deep its tree is.
+of the deepest open one, so all work is linear in the page however deep its tree is;
+other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -33,10 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import slices, text_of
+from .arrow import free_name, slices, text_of
 from .storage import stash
 
 PAGES_PER_HOST = 8
+#: Aligned pages that constant text needs to be template, and the share of the root's text from which it is a copy instead.
+MIN_PAGES, MAX_CONSTANT = 4, 0.2
 BROADCAST_BYTES = 8_000_000
 #: Open elements beyond which a tree grows no deeper (browsers stop at about as many).
 MAX_DEPTH = 500
@@ -49,11 +62,16 @@ INLINE = frozenset("img a abbr acronym b bdi bdo big cite code data del dfn em f
 #: Start tags that end an open element of the given kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Blocks that hold text and never are a content root.
+BLOCKS_OF_TEXT = INLINE | frozenset("blockquote h1 h2 h3 h4 h5 h6 li ol p pre table ul".split())
 SCOPES = frozenset("article aside body div footer form header html main nav ol section table ul".split())
 #: Elements, roles and name words of page furniture.
 FURNITURE_TAGS = frozenset("nav footer aside form button select textarea input script style noscript template iframe svg canvas dialog head title menu object embed".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 FURNITURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar topbar widget".split())
+#: Words that leave a class name furniture, besides those of at most two letters.
+NEUTRAL_WORDS = frozenset("area bar block body bottom box button buttons center col column container content desktop entry fixed floating form header holder inner item items left links list main mobile module outer page panel post posts right row section side site slot sponsors sticky thread title top unit user view wrap wrapper".split())
+COMMENT_WORDS = frozenset("comment comments replies reply respond".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -74,13 +92,20 @@ class Node:
         self.furniture = tag in FURNITURE_TAGS
         if raw and "=" in raw:
             attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
-            names = (attributes.get("class", "") + " " + attributes.get("id", "")).lower()
+            names = (attributes.get("class", "") + " " + attributes.get("id", "")).lower().split()
             name = " ".join(attributes.get("class", "").lower().split())
             hidden = attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""))
-            self.furniture = self.furniture or attributes.get("role", "").lower() in FURNITURE_ROLES or bool(hidden) or not FURNITURE_WORDS.isdisjoint(_WORD.findall(names))
+            known = COMMENT_WORDS if tag in CONTENT_TAGS else FURNITURE_WORDS
+            self.furniture = self.furniture or attributes.get("role", "").lower() in FURNITURE_ROLES or bool(hidden) or any(_names(x, known) for x in names)
         self.label = f"{tag}.{name}" if name else tag
 
 
+def _names(token: str, known: frozenset) -> bool:
+    """Whether a class or id names furniture: one of its words does, the rest is neutral."""
+    words = _WORD.findall(token)
+    return not known.isdisjoint(words) and all(len(w) < 3 or w in FURNITURE_WORDS or w in NEUTRAL_WORDS for w in words)
+
+
 def parse(page: str | None) -> Node:
     """The page's tree, built leniently: void and raw elements, implied ends of p, li and table cells, unmatched ends ignored."""
     root = Node("#root")
@@ -158,23 +183,53 @@ def _is_furniture(node: Node, inside: bool) -> bool:
     return node.furniture or (node.tag == "header" and not inside)
 
 
-def text_below(node: Node) -> str:
-    """Main text of a content root: blocks in page order, white space runs as one space, furniture left out."""
+def _is_inline(node: Node) -> bool:
+    """Whether an element is part of the text around it: inline, without blocks in it."""
+    return node.tag in INLINE and all(isinstance(k, str) or _is_inline(k) for k in node.kids)
+
+
+def own_text(node: Node, inside: bool) -> str:
+    """A block's own text with that of its inline elements, without its child blocks, white space runs as one space."""
     parts: list[str] = []
 
     def walk(n: Node) -> None:
+        for kid in n.kids:
+            if isinstance(kid, str):
+                parts.append(kid)
+            elif _is_inline(kid):
+                if not _is_furniture(kid, inside):
+                    walk(kid)
+            else:
+                parts.append(" ")
+
+    walk(node)
+    return " ".join("".join(parts).split())
+
+
+def _digest(path: list[str], text: str) -> str:
+    return hashlib.blake2b("\n".join([*path, text]).encode(), digest_size=8).hexdigest()
+
+
+def text_below(node: Node, template: frozenset[str] | set[str] = frozenset()) -> str:
+    """Main text of a content root: blocks in page order, white space runs as one space, template and furniture left out."""
+    parts: list[str] = []
+
+    def walk(n: Node, path: list[str], skip: bool) -> None:
         block = n.tag not in INLINE
         if block:
             parts.append(" ")
+        if template and not _is_inline(n):
+            skip = _digest(path, own_text(n, True)) in template
         for kid in n.kids:
             if isinstance(kid, str):
-                parts.append(kid)
+                if not skip:
+                    parts.append(kid)
             elif not _is_furniture(kid, True):
-                walk(kid)
+                walk(kid, path if _is_inline(kid) else [*path, kid.label], skip)
         if block:
             parts.append(" ")
 
-    _deep(walk, node)
+    _deep(walk, node, [], False)
     return " ".join("".join(parts).split())
 
 
@@ -188,18 +243,18 @@ def _deep(fn, *args):
 
 
 class Folded:
-    """A node for alignment: label, own text, and children in which runs of one label are one node."""
+    """A block for alignment: label, own texts, and child blocks in which runs of one label are one node."""
 
     __slots__ = ("label", "parts", "kids", "furniture", "content")
 
     def __init__(self, node: Node, inside: bool = False):
         self.label, self.furniture = node.label, _is_furniture(node, inside)
         self.content = node.tag in CONTENT_TAGS
-        own = "".join(k for k in node.kids if isinstance(k, str)).strip()
+        own = own_text(node, inside or self.content)
         self.parts = [own] if own else []
         self.kids: list[Folded] = []
         for k in node.kids:
-            if not isinstance(k, str):
+            if not isinstance(k, str) and not _is_inline(k):
                 f = Folded(k, inside or self.content)
                 if self.kids and (self.kids[-1].label, self.kids[-1].furniture) == (f.label, f.furniture):
                     self.kids[-1].absorb(f)
@@ -207,10 +262,6 @@ class Folded:
                     self.kids.append(f)
         self._narrow()
 
-    @property
-    def text(self) -> str:
-        return "\n".join(self.parts)
-
     def _narrow(self) -> None:
         if len(self.kids) > WIDE:
             self._fold(lambda k: k.label)
@@ -260,61 +311,78 @@ def match(a: Folded, b: Folded) -> tuple[int, list[tuple[Folded, Folded]]]:
     return best[n][m] + 1, pairs
 
 
-def content_path(first: Folded, varying: dict[int, int]) -> list[str] | None:
-    """Labels from the top to the deepest node with most of the slots' text; an article or main element with text comes first."""
+def content_path(first: Folded, slots: dict[int, int]) -> list[str] | None:
+    """Labels from the top to the deepest node with most of the slots' text, or to the article or main element around it."""
+    sums: dict[int, int] = {}
 
     def mass(n: Folded) -> int:
-        return 0 if n.furniture else varying.get(id(n), 0) + sum(map(mass, n.kids))
-
-    def named(n: Folded, path: list[str]) -> list[str] | None:
-        found = None
-        for k in n.kids:
-            if k.furniture:
-                continue
-            deeper = named(k, [*path, k.label])
-            if k.content and mass(k) and not deeper:
-                deeper = [*path, k.label]
-            if deeper and found is None:
-                found = deeper
-        return found
+        # furniture has no vote
+        if id(n) not in sums:
+            sums[id(n)] = 0 if n.furniture else slots.get(id(n), 0) + sum(map(mass, n.kids))
+        return sums[id(n)]
 
     if not mass(first):
         return None
-    if chosen := named(first, []):
-        return chosen
-    path, node = [], first
+    path, node, named = [], first, None
     while True:
-        total = mass(node)
         best = max(node.kids, key=mass, default=None)
-        if best is None or best.label.split(".")[0] in INLINE | {"p", "h1", "h2", "h3", "li", "ul", "ol", "table", "pre", "blockquote"} or mass(best) < 0.6 * total:
-            return path
+        if best is None or best.label.split(".")[0] in BLOCKS_OF_TEXT or mass(best) < 0.6 * mass(node):
+            return path if named is None else path[:named]
         node = best
         path.append(node.label)
+        if node.content:
+            named = len(path)
 
 
-def induce(pages: list[str]) -> list[str] | None:
-    """The content root's path of labels for pages of one host, or none."""
+def induce(pages: list[str]) -> tuple[list[str], list[str]] | None:
+    """The wrapper of one host's pages: the content root's path of labels and digests of the template blocks below it, or none."""
     trees = [Folded(parse(p)) for p in pages if p]
     if len(trees) < 2:
         return None
     first = trees[0]
-    varies: dict[int, int] = {}
-    sizes: dict[int, int] = {}
+    nodes: dict[int, Folded] = {}
+    constant: dict[int, set[str]] = {}
+    met: dict[int, int] = {}
     for other in trees[1:]:
         for a, b in match(first, other)[1]:
-            sizes[id(a)] = len(a.text)
-            if a.text != b.text:
-                varies[id(a)] = len(a.text)
-    return content_path(first, varies)
+            nodes[id(a)] = a
+            constant[id(a)] = constant.get(id(a), set(a.parts)) & set(b.parts)
+            met[id(a)] = met.get(id(a), 0) + 1
+    # constant is what matched in every page; text of nodes that only some pages have is no vote either way
+    for k, n in met.items():
+        if n < len(trees) - 1:
+            constant[k] = set()
+    path = content_path(first, {k: sum(len(x) for x in n.parts if x not in constant[k]) for k, n in nodes.items()})
+    if path is None:
+        return None
+    template: list[str] = []
+    sizes = [0, 0]
+
+    def note(n: Folded, at: list[str]) -> None:
+        same = constant.get(id(n), set())
+        for x in n.parts:
+            sizes[x in same] += len(x)
+        template.extend(_digest(at, x) for x in sorted(same))
+        for k in n.kids:
+            if not k.furniture:
+                note(k, [*at, k.label])
+
+    roots = [first]
+    for label in path:
+        roots = [k for n in roots for k in n.kids if k.label == label and not k.furniture]
+    for n in roots:
+        note(n, [])
+    usable = len(trees) >= MIN_PAGES and sizes[1] < MAX_CONSTANT * sum(sizes)
+    return path, sorted(set(template)) if usable else []
 
 
 def _own_path(root: Node) -> list[str]:
-    """A page's path without a wrapper: all its text counts as varying."""
+    """A page's path without a wrapper: all its text counts as slots."""
     folded = Folded(root)
     own: dict[int, int] = {}
 
     def note(n: Folded) -> None:
-        own[id(n)] = len(n.text)
+        own[id(n)] = sum(map(len, n.parts))
         for k in n.kids:
             note(k)
 
@@ -330,15 +398,17 @@ def _follow(root: Node, path: list[str]) -> list[Node]:
     return [n for n, _ in nodes]
 
 
-def main_text(page: str | None, path: list[str] | None) -> str:
+def main_text(page: str | None, wrapper: tuple[list[str], list[str]] | None) -> str:
     """The main text of one page under a wrapper: of all nodes at its path, in page order."""
     if not page:
         return ""
     root = _deep(parse, page)
+    path, template = wrapper or ([], [])
     nodes = _follow(root, path) if path else []
     if not nodes:
-        nodes = _follow(root, _deep(_own_path, root)) or [root]
-    return " ".join(x for x in map(text_below, nodes) if x)
+        nodes, template = _follow(root, _deep(_own_path, root)) or [root], []
+    known = set(template)
+    return " ".join(x for x in (text_below(n, known) for n in nodes) if x)
 
 
 def host_of(url):
@@ -347,7 +417,7 @@ def host_of(url):
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html", pages_per_host: int = PAGES_PER_HOST) -> DataFrame:
-    """(host, path string): the induced wrapper of each host as JSON, null where the sample has no common structure.
+    """(host, wrapper string): the induced wrapper of each host as JSON, null where the sample has no common structure.
 
     The sample is one page for each of ``pages_per_host`` hash cells of a host, so a
     host with a third of all pages needs no more than the others and map tasks
@@ -362,27 +432,28 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html", pages_per_h
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
-                path = _deep(induce, [x["html"] for x in row.column("sample")[0].as_py()])
-                yield pa.RecordBatch.from_pydict({"host": row.column("host"), "path": pa.array([None if path is None else json.dumps(path)], pa.string())})
+                found = _deep(induce, [x["html"] for x in row.column("sample")[0].as_py()])
+                yield pa.RecordBatch.from_pydict({"host": row.column("host"), "wrapper": pa.array([None if found is None else json.dumps(found)], pa.string())})
 
-    return packed.mapInArrow(run, "host string, path string")
+    return packed.mapInArrow(run, "host string, wrapper string")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Add ``text string`` (main text) and ``n_chars long`` to pages; columns of these names are replaced."""
-    found = stash(wrappers(pages, url, html), "wrappers").where("path IS NOT NULL")
-    size = found.agg(F.sum(F.length("host") + F.length("path") + 32)).first()[0] or 0
+    found = stash(wrappers(pages, url, html), "wrappers").where("wrapper IS NOT NULL")
+    size = found.agg(F.sum(F.length("host") + F.length("wrapper") + 32)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         found = found.hint("broadcast")
     names = ["text", "n_chars"]
     kept = [c for c in pages.columns if c not in names]
-    keyed = pages.select(*[F.col(c) for c in {*kept, html}], host_of(url).alias("__host"))
-    joined = keyed.join(found.select(F.col("host").alias("__host"), F.col("path").alias("__path")), "__host", "left").select(*kept, F.col(html).alias("__html"), "__path")
+    host_of_page, page, wrapper = (free_name(pages, n) for n in ("host", "page", "wrapper"))
+    keyed = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(html).alias(page), host_of(url).alias(host_of_page))
+    joined = keyed.join(found.select(F.col("host").alias(host_of_page), F.col("wrapper").alias(wrapper)), host_of_page, "left").drop(host_of_page)
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__html"):
-            texts = [main_text(x, json.loads(p) if p else None) for x, p in zip(text_of(batch, "__html"), batch.column("__path").to_pylist(), strict=True)]
+        for batch in slices(batches, page):
+            texts = [main_text(x, json.loads(w) if w else None) for x, w in zip(text_of(batch, page), batch.column(wrapper).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=kept + names)
 
     return joined.mapInArrow(run, schema)

@@ -308,15 +308,35 @@ PAGE = "<html><body><header>Site</header><nav><a>Home</a></nav><div class='sideb
 
 
 def test_main_text(spark):
-    rows = [(n, "http://h.org/a", PAGE.replace("{n}", str(n))) for n in range(5)] + [(9, None, "<article>solo  one</article><footer>no"), (10, "http://h.org", None), (11, "x", ""), (12, "x", "plain & simple")]
+    rows = [(n, "http://h.org/a", PAGE.replace("{n}", f"n{n}")) for n in range(5)] + [(9, None, "<article>solo  one</article><footer>no"), (10, "http://h.org", None), (11, "x", ""), (12, "x", "plain & simple")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit("clash"))
     got = {r.page_id: r for r in wrappers.extract(df).collect()}
     for n in range(5):
-        assert got[n].text == f"T{n} Body & bold {n} x more {n} words here that vary {n}" and got[n].n_chars == len(got[n].text)
+        assert got[n].text == f"Tn{n} Body & bold n{n} x more n{n} words here that vary n{n}" and got[n].n_chars == len(got[n].text)
     assert [got[k].text for k in (9, 10, 11, 12)] == ["solo one", "", "", "plain & simple"]
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+UNLISTED = "<body><div class='x7'>Welcome to the site of all things</div><article class='notice'><h1>T{n}</h1><div class='q3'>Read this on paper</div><p>Own <i>words</i> of page {n} and of no other, which go on for a good while {n}, and then for a while longer, so that notices are a small part of it all.</p><p>second {n} and third {n}</p><p>Read this on paper</p><div class='related-work'>earlier studies {n}</div><div class='related-posts'>see also {n}</div><div id='comments'>first! {n}</div></article><div class='x9'>All rights kept</div></body>"
+
+
+def test_main_text_takes_slots_and_leaves_the_template():
+    pages = [UNLISTED.replace("{n}", f"n{k}") for k in range(6)]
+    wrapper = wrappers.induce(pages)
+    assert wrapper[0] == ["body", "article.notice"] and len(wrapper[1]) == 2
+    for k in (0, 3, 9):
+        n = f"n{k}"
+        assert wrappers.main_text(UNLISTED.replace("{n}", n), wrapper) == f"T{n} Own words of page {n} and of no other, which go on for a good while {n}, and then for a while longer, so that notices are a small part of it all. second {n} and third {n} earlier studies {n}"
+    # copies of one article are no template, and a few pages make none
+    assert wrappers.induce(pages[:1] * 5) is None and wrappers.induce(pages[:3])[1] == []
+    copies = [p.replace("second", f"second{k}") for k, p in enumerate(pages[:1] * 6)]
+    assert wrappers.induce(copies)[1] == []
+    # the vote alone finds the root where no tag names it
+    plain = "<body><div class='a'>Site of all things</div><div class='b'><div class='c'><p>Text of {n} goes {n}</p></div><div class='d'>{n}</div></div><div class='e'>Site end</div></body>"
+    assert wrappers.induce([plain.replace("{n}", f"page{k}") for k in range(5)])[0] == ["body", "div.b", "div.c"]
+    assert [wrappers._names(x, wrappers.FURNITURE_WORDS) for x in ("related-posts", "related-work", "ad", "ad-300x250", "site-footer", "notice-of-intent", "text")] == [True, False, True, True, True, False, False]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
