@@ -27,6 +27,8 @@ from .arrow import slices, text_of
 
 #: Unicode White_Space, the class that \s stands for in the split pattern.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The split pattern that PIECES is made for (a fixed value of public tokenizers); with any other one whole texts go to the library.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Cuts a text only where the split pattern always ends a match, so pieces can be looked up separately.
 PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Pieces whose ids a worker remembers, and the longest that it remembers.
@@ -91,16 +93,16 @@ class PieceIds:
     def __init__(self, model, dtype: str, separator: str, mark: str):
         self.model, self.dtype, self.separator, self.mark, self.known = model, dtype, separator, mark, {}
         self.long: list[str] = []
-        (self.cut,) = self._ids(mark)
+        (self.cut,) = self.ids(mark)
 
-    def _ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> np.ndarray:
         return np.asarray(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        ids = self._ids(self.separator.join(pieces))
+        ids = self.ids(self.separator.join(pieces))
         at = np.flatnonzero(ids == self.cut)
         if len(at) != len(pieces) - 1:
-            return [self._ids(p).tobytes() for p in pieces]
+            return [self.ids(p).tobytes() for p in pieces]
         return byte_slices(ids, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)])
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
@@ -112,7 +114,7 @@ class PieceIds:
             known.clear()
             new = list(pieces)
         plain = [p for p in new if self.mark not in p and not p.isspace()]
-        got = [(p, self._ids(p).tobytes()) for p in new if self.mark in p or p.isspace()]
+        got = [(p, self.ids(p).tobytes()) for p in new if self.mark in p or p.isspace()]
         for at in range(0, len(plain), 1024):
             got += zip(plain[at : at + 1024], self._encode(plain[at : at + 1024]), strict=True)
         known.update(got)
@@ -158,7 +160,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", off
         size_of = _token_sizes(ranks_path)
         for batch in slices(batches, text):
             texts = text_of(batch, text)
-            ids = [np.frombuffer(x, "<i4") for x in packed_ids(texts, PIECES.findall, pieces)]
+            ids = [np.frombuffer(x, "<i4") for x in packed_ids(texts, PIECES.findall, pieces)] if pattern == SPLIT_PATTERN else [pieces.ids(x) for x in texts]
             places = [char_offsets(x, size_of[i]) for x, i in zip(texts, ids, strict=True)]
             out = [_lists(ids, pa.int32()), pa.array([p[2] for p in places], pa.int32())]
             if offsets:

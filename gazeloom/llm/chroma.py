@@ -10,7 +10,9 @@ and counting bit errors over the overlap at every offset with at least ``MIN_VOT
 Recordings with equal fingerprints form a class and only classes are looked up, so a
 recording that was stored millions of times is one row there. Edge cases: null,
 empty and too short recordings have an empty fingerprint, form no class with others
-and align with nothing; an odd last byte is ignored; silence has zero contrasts.
+and align with nothing (those without id are one class); an odd last byte is ignored;
+silence has zero contrasts; repeated rows get a row each; an empty table gives no rows;
+columns other than id and recording are not passed on.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SPAN = max(f[3] for f in FILTERS)
 CUTS = (-0.12, 0.0, 0.12)
 GRAY = np.array([0, 1, 3, 2], np.uint64)
 GAP = 4
+#: Tasks that the recordings with a key are dealt to.
+SALTS = 8
 #: Votes for an offset, overlapping steps, and share of wrong bits of an alignment.
 MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 4, 24, 0.25
 
@@ -132,13 +136,13 @@ def align(prints: DataFrame, queries: Column) -> DataFrame:
     the best class at which the recording starts; ties go to the smaller class.
     """
     prints = prints.withColumn("asked", queries)
-    digest = F.when(F.size("codes") > 0, F.sha2(F.array_join(F.col("codes").cast("array<string>"), ","), 256)).otherwise(F.concat(F.lit("id "), F.col("id").cast("string")))
+    digest = F.when(F.size("codes") > 0, F.sha2(F.array_join(F.col("codes").cast("array<string>"), ","), 256)).otherwise(F.concat(F.lit("id "), F.coalesce(F.col("id").cast("string"), F.lit("none"))))
     prints = stash(prints.withColumn("digest", digest), "prints")
     classes = stash(prints.groupBy("digest").agg(F.min("id").alias("class_id"), F.max("asked").alias("asked"), F.min_by("codes", "id").alias("codes")), "classes")
-    asked = _keys(classes.where("asked"), "q", "qt")
-    every = _keys(classes, "r", "rt")
-    # a key that both sides hold many times is summed per offset before anything else is joined
-    votes = asked.join(every, "key").where("q <> r").groupBy("q", "r", (F.col("rt") - F.col("qt")).alias("offset")).agg(F.count("*").alias("votes"))
+    # the looked-up side is repeated, so a key that many recordings hold (silence, a jingle) is dealt over SALTS tasks
+    asked = _keys(classes.where("asked"), "q", "qt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    every = _keys(classes, "r", "rt").withColumn("salt", F.pmod(F.xxhash64("r"), F.lit(SALTS)).cast("int"))
+    votes = asked.join(every, ["key", "salt"]).where("q <> r").groupBy("q", "r", (F.col("rt") - F.col("qt")).alias("offset")).agg(F.count("*").alias("votes"))
     peaks = stash(votes.where(F.col("votes") >= MIN_VOTES).select("q", "r", "offset"), "peaks")
     left = classes.select(F.col("class_id").alias("q"), F.col("codes").alias("x"))
     right = classes.select(F.col("class_id").alias("r"), F.col("codes").alias("y"))

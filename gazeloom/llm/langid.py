@@ -1,6 +1,7 @@
 """Language ID with a bit-sliced Bloom filter over character n-grams.
 
-Row ``r`` of the filter is a bit mask with one bit per language. An n-gram hashes
+Row ``r`` of the filter is a bit mask with one bit per language (several 64-bit masks,
+where there are more labels). An n-gram hashes
 to ``HASHES`` rows; the AND of these masks has the bit of every language whose
 n-gram set holds it (and some by chance). A text's score for a language is the
 number of its n-grams with that bit, less the hits that the filter's false-positive
@@ -13,7 +14,8 @@ filter has a fixed size however large the corpus is. Prediction reads whole text
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a text
 whose letters match no language goes to the first language in order with score 0;
-ties go to the first language in order; without labelled rows everything is ``und``.
+ties go to the first language in order; without labelled rows everything is ``und``;
+an empty table gives no rows; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -95,14 +97,16 @@ class BitSlicedFilter:
 
     def __init__(self, languages: list[str], grams: dict[str, np.ndarray]):
         self.languages = languages
-        kind = next((k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(k).itemsize), None)
-        if kind is None:
-            raise ValueError(f"{len(languages)} languages; a mask holds 64")
-        self.planes = np.zeros(ROWS, kind)
-        for bit, lang in enumerate(languages):
+        # a mask of the smallest kind, or several of 64 bits
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(languages) <= 8 * np.dtype(k).itemsize), np.uint64)
+        self.bits = 8 * np.dtype(kind).itemsize
+        self.planes = np.zeros((-(-len(languages) // self.bits), ROWS), kind)
+        filled = np.zeros(len(languages))
+        for k, lang in enumerate(languages):
+            word, bit = divmod(k, self.bits)
             for rows in self.rows_of(grams[lang]):
-                self.planes[rows] |= kind(1 << bit)
-        filled = np.array([np.count_nonzero(self.planes & kind(1 << b)) for b in range(len(languages))]) / ROWS
+                self.planes[word][rows] |= kind(1 << bit)
+            filled[k] = np.count_nonzero(self.planes[word] & kind(1 << bit)) / ROWS
         self.false_rate = filled**HASHES
 
     @staticmethod
@@ -110,11 +114,13 @@ class BitSlicedFilter:
         step = (grams >> np.uint64(40)) | np.uint64(1)
         return [((grams + np.uint64(k) * step) & np.uint64(ROWS - 1)).astype(np.intp) for k in range(HASHES)]
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        first, *rest = self.rows_of(grams)
-        out = self.planes[first]
+    def masks(self, rows_of_grams: list[np.ndarray], word: int) -> np.ndarray:
+        """All languages of a mask word that hold each n-gram: the AND of its rows."""
+        first, *rest = rows_of_grams
+        plane = self.planes[word]
+        out = plane[first]
         for rows in rest:
-            out = out & self.planes[rows]
+            out = out & plane[rows]
         return out
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,10 +131,12 @@ class BitSlicedFilter:
         one = self.planes.dtype.type(1)
         for order in ORDERS:
             grams, of = gram_hashes(points, owner, order)
-            masks = self.masks(grams)
+            rows = self.rows_of(grams)
             total += np.bincount(of, minlength=len(texts))
-            for bit in range(len(self.languages)):
-                hits[:, bit] += np.bincount(of, (masks >> self.planes.dtype.type(bit)) & one, len(texts))
+            for word in range(len(self.planes)):
+                masks = self.masks(rows, word)
+                for k in range(word * self.bits, min((word + 1) * self.bits, len(self.languages))):
+                    hits[:, k] += np.bincount(of, (masks >> self.planes.dtype.type(k % self.bits)) & one, len(texts))
         return np.maximum(0, (hits - total[:, None] * self.false_rate) / (1 - self.false_rate)), letters
 
 

@@ -14,11 +14,13 @@ Parts are written under a name of the attempt and renamed, so a task that runs
 again after a lost executor replaces a part by the same bytes. Edge cases: null
 and empty texts hold only the end id; rows with a null document id come first
 and are written with the smallest 64-bit id; repeated document ids keep one
-entry per row; an empty table gives no parts.
+entry per row, in the order of their texts' hashes; an empty table gives no parts;
+columns other than id and text are not written.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -36,6 +38,9 @@ from .arrow import slices, text_of
 from .bpe import CACHED, CACHED_CHARS, PieceIds, byte_slices, packed_ids
 
 MISSING_ID = -(2**63)
+#: Stored bytes of the input that a part is made of, and documents and tokens that a reader holds.
+PART_BYTES = 64 << 20
+READ_ROWS, READ_TOKENS = 2048, 1 << 21
 
 
 #: A word of Latin letters with punctuation behind it: lower-casing and composing leave the parts apart.
@@ -63,9 +68,9 @@ class WordIds(PieceIds):
         new = [w for w in words if w not in self.words]
         for at in range(0, len(new), 1024):
             part = new[at : at + 1024]
-            ids = self._ids(" ".join(part))
+            ids = self.ids(" ".join(part))
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            got = byte_slices(ids, [0, *stops[:-1]], stops) if len(stops) == len(part) else [self._ids(w).tobytes() for w in part]
+            got = byte_slices(ids, [0, *stops[:-1]], stops) if len(stops) == len(part) else [self.ids(w).tobytes() for w in part]
             self.words.update(zip(part, got, strict=True))
 
     def pack(self, texts: list[str]) -> list[bytes]:
@@ -116,6 +121,12 @@ def vocabulary_dtype(tokenizer_path: str) -> str:
     return "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 2**16 else "<u4"
 
 
+def _plan_bytes(df: DataFrame) -> int:
+    """The size that the plan states for its files; 0 where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else 0
+
+
 def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text: str = "text", parts: int | None = None, whitespace_dropped: bool = True) -> DataFrame:
     """Encode whole texts, append ``end_id``, write the parts; returns the ``bases`` table (one row per part).
 
@@ -123,7 +134,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
     """
     spark = df.sparkSession
     dtype = vocabulary_dtype(tokenizer_path)
-    parts = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(_plan_bytes(df) / PART_BYTES))
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
 
@@ -154,7 +165,9 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
             fs.move(f"{name}.{attempt}", name)
         yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [docs], "n_tokens": [tokens]}, pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ordered = df.select(id_col, text).repartitionByRange(parts, F.col(id_col)).sortWithinPartitions(id_col, text)
+    # the texts' hash parts rows of one id, too, so an id that is repeated often fits
+    order = [F.col(id_col), F.xxhash64(text)]
+    ordered = df.select(id_col, text).repartitionByRange(parts, *order).sortWithinPartitions(*order, text)
     rows = ordered.mapInArrow(write, "part int, n_docs long, n_tokens long").collect()  # one row per part
     sizes = sorted((r["part"], r["n_docs"], r["n_tokens"]) for r in rows)
     base, table = 0, []
@@ -166,12 +179,38 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
     return bases.select("*", F.lit(dtype).alias("dtype"))
 
 
-def _mapped(fs, path: str, dtype: str, shape=(-1,)) -> np.ndarray:
-    """The file's integers, mapped into memory where the file system is local."""
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype, "r").reshape(shape) if os.path.getsize(path) else np.zeros(0, dtype).reshape(shape)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype).reshape(shape)
+class _Integers:
+    """The integers of a file: mapped into memory where the file system is local, else read in the ranges that are asked for."""
+
+    def __init__(self, fs, path: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        local = isinstance(fs, pafs.LocalFileSystem)
+        self.file = None if local else fs.open_input_file(path)
+        self.all = (np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)) if local else None
+        self.size = len(self.all) if local else self.file.size() // self.dtype.itemsize
+
+    def range(self, a: int, b: int) -> np.ndarray:
+        if self.file is None:
+            return self.all[a:b]
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((b - a) * width, a * width), self.dtype)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+def _document_rows(index: _Integers, total: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, starts and ends of up to ``READ_ROWS`` documents of about ``READ_TOKENS`` tokens at a time."""
+    n = index.size // 2
+    at = 0
+    while at < n:
+        upto = min(at + READ_ROWS, n)
+        rows = index.range(2 * at, 2 * min(upto + 1, n)).reshape(-1, 2)
+        edges = rows[:, 1] if upto < n else np.append(rows[:, 1], total)
+        k = min(upto - at, max(1, int(np.searchsorted(edges, edges[0] + READ_TOKENS))))
+        yield rows[:k, 0], edges[:k], edges[1 : k + 1]
+        at += k
 
 
 def read_token_files(spark: SparkSession, folder: str, dtype: str, bases: DataFrame | None = None, with_ids: bool = True) -> DataFrame:
@@ -183,20 +222,22 @@ def read_token_files(spark: SparkSession, folder: str, dtype: str, bases: DataFr
         fs, path = _open(folder)
         for batch in batches:
             for part, base, total in zip(*(batch.column(c).to_pylist() for c in ("part", "base", "n_tokens")), strict=True):
-                ids = _mapped(fs, f"{path}/part-{part:05d}.bin", dtype)
-                index = _mapped(fs, f"{path}/part-{part:05d}.idx", "<i8", (-1, 2))
-                ends = np.append(index[1:, 1], total)
-                for at in range(0, len(index), 2048):
-                    rows = [(int(a), int(b)) for a, b in zip(index[at : at + 2048, 1], ends[at : at + 2048], strict=True)]
+                ids, index = (_Integers(fs, f"{path}/part-{part:05d}.{x}", kind) for x, kind in (("bin", dtype), ("idx", "<i8")))
+                for keys, starts, ends in _document_rows(index, total):
+                    first = int(starts[0])
+                    held = ids.range(first, int(ends[-1]))
+                    own = [held[a - first : b - first] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                     got = {
-                        "doc_id": pa.array([None if k == MISSING_ID else int(k) for k in index[at : at + 2048, 0]], pa.int64()),
-                        "start": pa.array([base + a for a, _ in rows], pa.int64()),
-                        "n_tokens": pa.array([b - a for a, b in rows], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in rows], pa.int64()),
+                        "doc_id": pa.array([None if k == MISSING_ID else k for k in keys.tolist()], pa.int64()),
+                        "start": pa.array(base + starts),
+                        "n_tokens": pa.array(ends - starts),
+                        "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64()),
                     }
                     if with_ids:
-                        got["ids"] = pa.array([ids[a:b].astype("<i8") for a, b in rows], pa.list_(pa.int64()))
+                        got["ids"] = pa.array([x.astype("<i8") for x in own], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(got)
+                ids.close()
+                index.close()
 
     n = max(1, bases.count())
     one_each = bases.select("part", "base", "n_tokens").repartition(n, F.col("part"))

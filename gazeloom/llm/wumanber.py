@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import slices, text_of
+from .arrow import free_name, slices, text_of
 
 WINDOW = 13
 #: Benchmark text that one scan carries.
@@ -121,19 +121,20 @@ def find_windows(df: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     shards = max(1, math.ceil(total / shard_bytes))
     if shards == 1:
         return _scan(df, items.collect(), text, window)
-    base = df.withColumn("__row", F.monotonically_increasing_id())
+    row = free_name(df, "row")
+    base = df.withColumn(row, F.monotonically_increasing_id())
     from .storage import stash
 
     base = stash(base, "scan-input")
     parts = []
     for k in range(shards):
         mine = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(shards)) == k).collect()
-        parts.append(_scan(base.select("__row", text), mine, text, window).drop(text))
+        parts.append(_scan(base.select(row, text), mine, text, window).drop(text))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionAll(p)
     # a document has one row per shard here, so each group is small
-    merged = found.groupBy("__row").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = found.groupBy(row).agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     empty = F.array().cast(_SPAN)
     joined = F.aggregate(
         "spans",
@@ -145,7 +146,7 @@ def find_windows(df: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     )
     merged = merged.withColumn("spans", joined).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
     kept = [c for c in df.columns if c not in ("n_words", "n_hit", "spans", "items")]
-    return base.select("__row", *kept).join(merged, "__row").select(*kept, "n_words", "n_hit", "spans", "items")
+    return base.select(row, *kept).join(merged, row).select(*kept, "n_words", "n_hit", "spans", "items")
 
 
 def _scan(df: DataFrame, items: list, text: str, window: int) -> DataFrame:

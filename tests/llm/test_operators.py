@@ -81,6 +81,89 @@ def test_chroma_alignment(spark):
     assert len({got[i].class_id for i in (4, 5, 100)}) == 3
 
 
+def test_chroma_alignment_finds_what_all_pairs_find(spark):
+    """Shifted, cut and noisy copies: links against the bit errors of all pairs at all offsets."""
+    rng = np.random.default_rng(4)
+    tones = lambda n: (np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (k / 12) * np.arange(256) / 2048) for k in rng.integers(0, 24, n)]) * 9000).astype("<i2")
+    made = [tones(70) for _ in range(8)]
+    rows = []
+    for one in made:
+        for shift in (0, 7, 19):
+            for noise in (0, 300, 2500):
+                cut = one[chroma.HOP * shift : len(one) - chroma.HOP * int(rng.integers(0, 20))]
+                rows.append((len(rows), np.clip(cut + rng.normal(0, noise + 1e-9, len(cut)), -32000, 32000).astype("<i2").tobytes()))
+    rows += [(None, None), (None, b""), (len(rows), np.zeros(20000, "<i2").tobytes()), (len(rows) + 1, np.zeros(24000, "<i2").tobytes())]
+    prints = chroma.add_fingerprints(spark.createDataFrame(rows, "id long, pcm binary").withColumn("codes", F.lit("clash")), "id", "pcm")
+    codes = {r.id: np.array(r.codes, np.uint64) for r in prints.collect() if r.codes}
+    want = set()
+    for q in codes:
+        for r in codes:
+            if q < r and not np.array_equal(codes[q], codes[r]):
+                x, y = codes[q], codes[r]
+                for shift in range(chroma.MIN_OVERLAP - len(x), len(y) - chroma.MIN_OVERLAP + 1):
+                    a, b = max(0, -shift), min(len(x), len(y) - shift)
+                    if np.bitwise_count(x[a:b] ^ y[a + shift : b + shift]).sum() <= chroma.MAX_ERROR * 32 * (b - a):
+                        want.add((q, r))
+                        break
+    got = {r.id: r for r in chroma.align(prints, F.lit(True)).collect() if r.id is not None}
+    assert len(want) > 100
+    found = sum(r.n_links for r in got.values())
+    assert 0.9 * 2 * len(want) <= found <= 2 * len(want)
+    whole = chroma.align(prints, F.lit(True))
+    assert whole.count() == len(rows) and chroma.align(prints.limit(0), F.lit(True)).count() == 0
+
+
+def test_language_id_against_sets(docs):
+    """Predictions equal those of exact n-gram sets but for the filter's errors; more labels than a mask holds."""
+    many = docs.withColumn("lang", F.concat("lang", F.pmod(F.col("doc_id"), F.lit(30)).cast("string")))
+    model = langid.fit(many, docs_per_language=30, grams_per_language=3000)
+    assert len(model.languages) > 64 and len(model.planes) > 1
+    texts = [r.text or "" for r in docs.where("doc_id % 7 = 0").collect()]
+    grams = {}
+    points, owner, _ = langid.letter_stream(texts)
+    hits, _ = model.scores(texts)
+    for k in (0, 63, 64, len(model.languages) - 1):
+        alone = langid.BitSlicedFilter([model.languages[k]], {model.languages[k]: grams.setdefault(k, _kept_grams(many, model.languages[k]))})
+        assert np.allclose(alone.scores(texts)[0][:, 0], hits[:, k], atol=1e-6)
+
+
+def _kept_grams(df, lang):
+    labelled = df.where(F.col("lang") == lang)
+    found = langid.count_grams(labelled, "text", "lang").orderBy(F.desc("n"), "gram").limit(3000).toPandas()
+    return found.gram.to_numpy(np.int64).view(np.uint64)
+
+
+def test_bpe_with_another_pattern(odd):
+    import tiktoken
+
+    pattern = r"\w+|\W"
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    for r in bpe.encode(odd.where("doc_id <> 5"), RANKS, pattern).collect():
+        assert list(r.ids) == enc.encode_ordinary(r.text or "")
+
+
+def test_token_files_are_read_in_ranges(spark, monkeypatch):
+    """The same rows where documents are read a few at a time and from a file system that maps nothing."""
+    monkeypatch.setattr(token_files, "READ_ROWS", 3)
+    monkeypatch.setattr(token_files, "READ_TOKENS", 7)
+    import pyarrow.fs as pafs
+
+    folder = new_dir(spark, "r").removeprefix("file://")
+    import os
+
+    os.makedirs(folder)
+    sizes = [1, 9, 2, 2, 2, 2, 2, 30, 1, 1, 1]
+    starts = np.cumsum([0] + sizes)
+    np.arange(starts[-1], dtype="<u2").tofile(f"{folder}/x.bin")
+    np.stack([np.arange(len(sizes)) + 5, starts[:-1]], 1).astype("<i8").tofile(f"{folder}/x.idx")
+    for fs in (pafs.LocalFileSystem(), pafs.SubTreeFileSystem("/", pafs.LocalFileSystem())):
+        index, ids = (token_files._Integers(fs, f"{folder}/x.{x}", k) for x, k in (("idx", "<i8"), ("bin", "<u2")))
+        rows = [(int(k), int(a), int(b)) for ks, aa, bb in token_files._document_rows(index, int(starts[-1])) for k, a, b in zip(ks, aa, bb, strict=True)]
+        assert rows == [(i + 5, starts[i], starts[i + 1]) for i in range(len(sizes))]
+        assert ids.range(3, 6).tolist() == [3, 4, 5]
+        ids.close()
+
+
 def test_toxicity(spark, docs, sf, odd):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.fit(docs, labels.select("doc_id", (F.col("toxic") * (2 - F.col("quality"))).alias("toxic")))
