@@ -17,22 +17,31 @@ from gazeloom.llm.storage import stash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose letters match no learned language, go; ``lang`` stays as given where known."""
-    marked = langid.predict(docs.withColumn("__text", F.col("text")), langid.fit(docs), "__text")
+    """Documents without a letter, or whose letters match no learned language, go; ``lang`` stays as given where known.
+
+    Where no document has a language, nothing can be learned and all stay.
+    """
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = langid.predict(docs.select(given, F.col("text").alias("text")), model)
     kept = marked.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    lang = F.coalesce("row.lang", "lang_pred").alias("lang")
+    return kept.select(*[lang if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates stays (five-word shingles, similarity 0.8)."""
-    dropped = cpsjoin.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    """The first document of each group of near duplicates stays (five-word shingles, similarity 0.8); of rows that repeat its id and text all stay."""
+    dropped = cpsjoin.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words in benchmark windows go."""
-    found = wumanber.find_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~wumanber.contaminated()).select(*docs.columns)
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = wumanber.find_windows(docs.select(given, F.col("text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~wumanber.contaminated()).select("row.*")
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
