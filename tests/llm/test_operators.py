@@ -420,14 +420,62 @@ def test_main_text_takes_slots_and_leaves_the_template():
     assert [wrappers._names(x, wrappers.FURNITURE_WORDS) for x in ("related-posts", "related-work", "ad", "ad-300x250", "site-footer", "notice-of-intent", "text")] == [True, False, True, True, True, False, False]
 
 
+def _leaked(texts, items):
+    """Ids of documents that the contract's rule calls contaminated."""
+    windows = {}
+    for t in items:
+        w = wumanber.words_of(t)
+        n = min(13, len(w))
+        for k in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(n, set()).add(tuple(w[k : k + n]))
+    out = set()
+    for i, t in texts.items():
+        w, hit = wumanber.words_of(t), set()
+        for n, known in windows.items():
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in known:
+                    hit |= set(range(k, k + n))
+        if hit and 20 * len(hit) >= len(w):
+            out.add(i)
+    return out
+
+
 def test_pipeline(spark, sf):
+    """Each stage against brute force on what the one before kept."""
     import corpus_pipeline
+    import tiktoken
 
-    out = corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens").collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = _brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
-    assert {r.doc_id for r in out} <= {i for i, (_, c) in want.items() if c == i}
-    assert len(out) > 0.8 * sum(c == i for i, (_, c) in want.items())
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
+    all_docs, tables = texts(docs), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stash(stage(spark, docs, sf), name)
+        assert docs.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
+        tables.append(texts(docs))
+    known, single, clean, private = tables
+    letters = {i for i, t in all_docs.items() if any(c.isalpha() for c in t or "")}
+    assert set(known) <= letters and len(known) >= 0.99 * len(letters)
+    groups = _brute(list(known.items()), 5, 80)
+    assert set(single) == {i for i, (_, c) in groups.items() if c == i}
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert set(clean) == set(single) - _leaked(single, items)
+    assert set(private) == set(clean) and all(private[i] == clean[i] or re.search("[0-9@]|token", clean[i]) for i in clean)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    out = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert out == {i: enc.encode_ordinary(t) for i, t in private.items()}
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    import corpus_pipeline
+
+    rows = [(None, "some words here", None), (1, None, None), (2, "", None), (3, "x" * 60_000, None), (4, "a few words", None), (4, "a few words", None), (5, "A few words", None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("source", "n_chars", "score", "lang_pred", "n_words", "items", "kept", "row", "finds", "ids", "id", "n")})
+    for df, want in ((odd, len(rows) - 1), (odd.limit(0), 0), (odd.withColumn("lang", F.lit("en")), 4)):
+        docs = df
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.stash(stage(spark, docs, sf), name)
+            assert docs.columns == odd.columns
+        assert docs.count() == want and corpus_pipeline.tokens(spark, docs, sf).count() == want
 
 
 def test_main_text_of_odd_markup():
