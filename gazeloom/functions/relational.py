@@ -17,6 +17,7 @@ MACROS = {
     "json_k": ("get_json_object({0}, '$.k')", "json_extract_string({0}, '$.k')"),
     "micros": ("unix_micros(CAST({0} AS TIMESTAMP))", "epoch_us({0})"),
     "upto": ("explode(sequence(1, CAST({0} AS INT)))", "unnest(generate_series(1, CAST({0} AS INT)))"),
+    "except": ("* EXCEPT ({0})", "* EXCLUDE ({0})"),
     "letter": ("char(CAST(65 + {0} AS INT))", "chr(CAST(65 + {0} AS INT))"),
 }
 _MACRO = re.compile(r"@(\w+)\(")

@@ -8,13 +8,19 @@ from __future__ import annotations
 
 from ..functions.kinematics import W
 from ..functions.relational import Plan, bcea_sql, r6
+from .islands import run_samples
 
 
-def event_table(p: Plan, samples: str, intervals: str, out: str, fs: float, bcea_probability: float = 0.68, initial: float = 0.02) -> Plan:
-    """(recording_id, k, a, b) with durations, centroids, speeds, accelerations, displacement, path, BCEA, direction, curvature."""
+def event_table(p: Plan, samples: str, where: str, out: str, fs: float, labelled: str = "1 = 1", bcea_probability: float = 0.68, initial: float = 0.02) -> Plan:
+    """(recording_id, k, a, b) with durations, centroids, speeds, accelerations, displacement, path, BCEA, direction, curvature; ``n_samples`` and ``n_labelled`` count the recording's samples.
+
+    ``samples`` carry the first and last sample ``a``, ``b`` of their run; those with ``where`` are events.
+    """
     t_s = int(initial * fs) + 1
-    ev = "PARTITION BY recording_id, k"
-    p = p.then(f"{out}_s", f"SELECT s.recording_id, s.i, s.x, s.y, s.z, s.speed, t.k, t.a, t.b FROM {samples} s JOIN {intervals} t ON s.recording_id = t.recording_id AND s.i BETWEEN t.a AND t.b")
+    ev = "PARTITION BY recording_id, a"
+    whole = "OVER (PARTITION BY recording_id)"
+    p = p.then(f"{out}_n", f"SELECT *, count(*) {whole} AS n_samples, sum(CASE WHEN {labelled} THEN 1 ELSE 0 END) {whole} AS n_labelled FROM {samples}")
+    p = p.then(f"{out}_s", f"SELECT recording_id, i, x, y, z, speed, a, b, n_samples, n_labelled FROM {out}_n WHERE {where}")
     p = p.then(
         f"{out}_e",
         f"""SELECT *, first_value(x) OVER ({ev} ORDER BY i) AS xa, first_value(y) OVER ({ev} ORDER BY i) AS ya, max(CASE WHEN i = b THEN x END) OVER ({ev}) AS xb, max(CASE WHEN i = b THEN y END) OVER ({ev}) AS yb,
@@ -29,9 +35,9 @@ def event_table(p: Plan, samples: str, intervals: str, out: str, fs: float, bcea
     p = p.then(f"{out}_d", f"SELECT *, coalesce(perp * (along - lag(along) OVER ({ev} ORDER BY i)), 0) AS slice FROM {out}_c")
     angle = lambda dx, dy: f"(degrees(atan2({dy} + 1e-10, {dx} + 1e-10)) + CASE WHEN atan2({dy} + 1e-10, {dx} + 1e-10) < 0 THEN 360 ELSE 0 END)"
     agg = lambda f, c, where: f"{f}(CASE WHEN {where} THEN {c} END)"
-    return p.then(
-        out,
-        f"""SELECT recording_id, k, a, b, b - a + 1 AS n, (b - a + 1) / CAST({fs} AS DOUBLE) AS duration, avg(x) AS cx, avg(y) AS cy,
+    p = p.then(
+        f"{out}_a",
+        f"""SELECT recording_id, a, b, b - a + 1 AS n, max(n_samples) AS n_samples, max(n_labelled) AS n_labelled, (b - a + 1) / CAST({fs} AS DOUBLE) AS duration, avg(x) AS cx, avg(y) AS cy,
         {agg("avg", "speed", "i < b")} AS mean_speed, coalesce({agg("stddev_samp", "speed", "i < b")}, 0.0) AS sd_speed, max(pk) AS peak, max(pi_) AS peak_i,
         max(chord) AS displacement, {agg("sum", "speed", "i < b")} / {fs} AS path,
         CASE WHEN count(*) > 1 THEN {bcea_sql(bcea_probability)} END AS bcea,
@@ -39,8 +45,9 @@ def event_table(p: Plan, samples: str, intervals: str, out: str, fs: float, bcea
         max(xb - xa) AS dx, max(yb - ya) AS dy, max(xt - xa) AS tx, max(yt - ya) AS ty,
         max(perp) AS max_curvature, sum(slice) AS area_curvature,
         avg(acc) AS mean_acc, coalesce(stddev_samp(acc), 0.0) AS sd_acc, {agg("avg", "acc", "i < pi_")} AS mean_up, {agg("avg", "acc", "i >= pi_")} AS mean_down, {agg("max", "acc", "i < pi_")} AS peak_up, {agg("max", "acc", "i >= pi_")} AS peak_down
-        FROM {out}_d GROUP BY recording_id, k, a, b""",
+        FROM {out}_d GROUP BY recording_id, a, b""",
     )
+    return p.then(out, f"SELECT *, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY a) - 1 AS BIGINT) AS k FROM {out}_a")
 
 
 def mean_sd(column: str, name: str) -> str:
@@ -51,12 +58,10 @@ def _weighted(c: str, w: str) -> str:
     return f"sum({w} * {c}) / nullif(sum({w}), 0)"
 
 
-def per_recording(p: Plan, events: str, samples: str, out: str, fs: float, metrics: list[str], labelled: str = "1 = 1") -> Plan:
+def per_recording(p: Plan, events: str, out: str, fs: float, metrics: list[str]) -> Plan:
     """One row per recording with an event: counts and rates, then the given metric columns over its events."""
-    p = p.then(f"{out}_n", f"SELECT recording_id, count(*) AS n_samples, sum(CASE WHEN {labelled} THEN 1 ELSE 0 END) AS n_labelled FROM {samples} GROUP BY recording_id")
-    p = p.then(f"{out}_j", f"SELECT e.*, c.n_samples, c.n_labelled FROM {events} e JOIN {out}_n c ON e.recording_id = c.recording_id")
     rate = [f"count(*) AS n_events", r6(f"count(*) / (max(n_samples) / CAST({fs} AS DOUBLE))") + " AS frequency", r6(f"count(*) / nullif(max(n_labelled) / CAST({fs} AS DOUBLE), 0)") + " AS frequency_labelled"]
-    return p.then(out, f"SELECT recording_id, {', '.join(rate + metrics)} FROM {out}_j GROUP BY recording_id")
+    return p.then(out, f"SELECT recording_id, {', '.join(rate + metrics)} FROM {events} GROUP BY recording_id")
 
 
 FIXATION = [
@@ -121,17 +126,16 @@ def saccade_columns(p: Plan, events: str, out: str) -> Plan:
     return p.then(out, f"SELECT *, degrees(acos(greatest(-1.0, least(1.0, (dx * pdx + dy * pdy) / nullif(sqrt(dx * dx + dy * dy) * sqrt(pdx * pdx + pdy * pdy), 0))))) AS successive FROM {out}_l")
 
 
-def pursuit_task(p: Plan, samples: str, target: str, intervals: str, out: str, fs: float, start: int, tolerance: float = 1.0, accuracy: float = 0.15) -> Plan:
+def pursuit_task(p: Plan, samples: str, target: str, where: str, out: str, fs: float, start: int, tolerance: float = 1.0, accuracy: float = 0.15) -> Plan:
     """Pursuit of a known target: per recording counts, slope ratios and gain, crossing times, speed gains and accuracy.
 
-    The target's sample j meets the gaze sample ``start + j``; intervals are clipped to the window.
+    The target's sample j meets the gaze sample ``start + j``; pursuits are the runs of samples with ``where`` inside that window.
     """
-    p = p.then(f"{out}_w", f"SELECT s.recording_id, s.i, s.x, s.y, s.speed, t.x AS tx, t.y AS ty FROM {samples} s JOIN {target} t ON s.recording_id = t.recording_id AND s.i = t.i + {start}")
+    p = p.then(f"{out}_w", f"SELECT s.recording_id, s.i, s.status, s.x, s.y, s.speed, s.label, t.x AS tx, t.y AS ty FROM {samples} s JOIN {target} t ON s.recording_id = t.recording_id AND s.i = t.i + {start}")
     p = p.then(f"{out}_r", f"SELECT recording_id, min(i) AS lo, max(i) AS hi, count(*) AS n_window FROM {out}_w GROUP BY recording_id")
-    p = p.then(f"{out}_c", f"SELECT v.recording_id, v.k, greatest(v.a, r.lo) AS a, least(v.b, r.hi) AS b FROM {intervals} v JOIN {out}_r r ON v.recording_id = r.recording_id WHERE v.a <= r.hi AND v.b >= r.lo")
-    p = p.then(f"{out}_s", f"SELECT w.*, c.k, c.a, c.b FROM {out}_w w JOIN {out}_c c ON w.recording_id = c.recording_id AND w.i BETWEEN c.a AND c.b")
+    p = run_samples(p, f"{out}_w", f"{out}_s", where)
     slope = lambda c: f"covar_samp({c}, i) / nullif(var_samp(i), 0)"
-    p = p.then(f"{out}_v", f"SELECT recording_id, k, a, b, b - a + 1 AS n, ({slope('x')}) / nullif({slope('tx')}, 0) AS ratio_x, ({slope('y')}) / nullif({slope('ty')}, 0) AS ratio_y, avg(CASE WHEN i < b THEN speed END) AS v, max(CASE WHEN i < b THEN speed END) AS peak, sum(CASE WHEN i < b THEN speed END) / {fs} AS path FROM {out}_s GROUP BY recording_id, k, a, b")
+    p = p.then(f"{out}_v", f"SELECT recording_id, a, b, b - a + 1 AS n, ({slope('x')}) / nullif({slope('tx')}, 0) AS ratio_x, ({slope('y')}) / nullif({slope('ty')}, 0) AS ratio_y, avg(CASE WHEN i < b THEN speed END) AS v, max(CASE WHEN i < b THEN speed END) AS peak, sum(CASE WHEN i < b THEN speed END) / {fs} AS path FROM {out}_s GROUP BY recording_id, a, b")
     p = p.then(f"{out}_iv", f"""SELECT recording_id, count(*) AS n_events, avg(n) / {fs} AS duration, sum(n) AS n_in, avg(v) AS velocity, avg(peak) AS peak, avg(path) AS distance, avg(ratio_x) AS gain_x, avg(ratio_y) AS gain_y,
         sum(n * ratio_x) / nullif(sum(CASE WHEN ratio_x IS NOT NULL THEN n END), 0) AS weighted_gain_x, avg(CASE WHEN ratio_x BETWEEN {1 - accuracy} AND {1 + accuracy} THEN 1e0 ELSE 0e0 END) AS accuracy_x FROM {out}_v GROUP BY recording_id""")
     d = lambda c: f"(lead({c}) OVER ({W}) - {c})"

@@ -6,12 +6,12 @@ import math
 
 from ..functions.kinematics import W
 from ..functions.relational import Plan
-from .islands import duration_filter, runs, two_class
+from .islands import duration_filter, two_class, with_runs
 
 
 def ivt(p: Plan, source: str, out: str, threshold: float, fs: float, speed: str = "speed", **limits) -> Plan:
     """I-VT: a sample is fixation if its own or the previous forward speed is at most the threshold."""
-    p = p.then(f"{out}_in", f"SELECT recording_id, i, status, CASE WHEN {speed} <= {threshold} OR lag({speed}) OVER ({W}) <= {threshold} THEN 1 ELSE 0 END AS slow FROM {source}")
+    p = p.then(f"{out}_in", f"SELECT recording_id, i, x, y, z, speed, status, CASE WHEN {speed} <= {threshold} OR lag({speed}) OVER ({W}) <= {threshold} THEN 1 ELSE 0 END AS slow FROM {source}")
     return two_class(p, f"{out}_in", out, "slow = 1", fs, **limits)
 
 
@@ -24,14 +24,11 @@ def ivmp(p: Plan, source: str, out: str, saccade: float, rayleigh: float, window
     """I-VMP: runs between saccades are cut into tiles; a tile is pursuit if the squared mean of its unit directions exceeds ``rayleigh``. Tiles of one sample stay fixation."""
     w = math.ceil(window * fs)
     p = p.then(f"{out}_sp", f"SELECT *, CASE WHEN {speed} > {saccade} THEN 1 ELSE 0 END AS sac, sqrt(vx * vx + vy * vy) AS vn FROM {source}")
-    p = runs(p, f"{out}_sp", f"{out}_run", "sac = 0")
-    p = p.then(f"{out}_tile", f"SELECT s.recording_id, s.i, s.vx / nullif(s.vn, 0) AS cx, s.vy / nullif(s.vn, 0) AS cy, r.a, CAST(floor((s.i - r.a) / {w}) AS BIGINT) AS tile FROM {out}_sp s JOIN {out}_run r ON s.recording_id = r.recording_id AND s.i BETWEEN r.a AND r.b")
-    p = p.then(f"{out}_dir", f"SELECT recording_id, a, tile, count(*) AS n, power(avg(coalesce(cx, 0)), 2) + power(avg(coalesce(cy, 0)), 2) AS r2 FROM {out}_tile GROUP BY recording_id, a, tile")
-    return p.then(
-        out,
-        f"""SELECT s.recording_id, s.i, s.status, s.x, s.y, s.z, s.speed, CASE WHEN s.sac = 1 THEN 2 WHEN d.n >= 2 AND d.r2 > {rayleigh} THEN 3 ELSE 1 END AS label
-        FROM {out}_sp s LEFT JOIN {out}_tile t ON s.recording_id = t.recording_id AND s.i = t.i LEFT JOIN {out}_dir d ON t.recording_id = d.recording_id AND t.a = d.a AND t.tile = d.tile""",
-    )
+    p = with_runs(p, f"{out}_sp", f"{out}_run", "sac", out)
+    p = p.then(f"{out}_tile", f"SELECT *, coalesce(vx / nullif(vn, 0), 0) AS cx, coalesce(vy / nullif(vn, 0), 0) AS cy, CAST(floor((i - a_{out}) / {w}) AS BIGINT) AS tile FROM {out}_run")
+    of_tile = f"OVER (PARTITION BY recording_id, a_{out}, tile)"
+    p = p.then(f"{out}_dir", f"SELECT *, count(*) {of_tile} AS n_tile, power(avg(cx) {of_tile}, 2) + power(avg(cy) {of_tile}, 2) AS r2 FROM {out}_tile")
+    return p.then(out, f"SELECT recording_id, i, status, x, y, z, speed, CASE WHEN sac = 1 THEN 2 WHEN n_tile >= 2 AND r2 > {rayleigh} THEN 3 ELSE 1 END AS label FROM {out}_dir")
 
 
 def ibdt(p: Plan, source: str, out: str, window: float, fixation: float, pursuit: float, saccade: float, sd: float, fs: float, speed: str = "speed") -> Plan:
@@ -48,4 +45,4 @@ def ibdt(p: Plan, source: str, out: str, window: float, fixation: float, pursuit
 def three_class(p: Plan, labels: str, out: str, fs: float, fix: tuple[float, float] = (0.07, 2.0), pursuit: tuple[float, float] = (0.1, 2.0)) -> Plan:
     """Duration limits of three-class methods; what they reject is saccade. ``event`` names the class."""
     p = duration_filter(p, labels, f"{out}_d", fs, {1: fix, 3: pursuit})
-    return p.then(out, f"SELECT recording_id, i, label, CASE label WHEN 1 THEN 'fix' WHEN 2 THEN 'sac' ELSE 'pur' END AS event FROM {out}_d")
+    return p.then(out, f"SELECT *, CASE label WHEN 1 THEN 'fix' WHEN 2 THEN 'sac' ELSE 'pur' END AS event FROM {out}_d")

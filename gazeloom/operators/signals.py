@@ -15,10 +15,14 @@ def log_lags(low: int, high: int, count: int) -> list[int]:
 
 def msd(p: Plan, source: str, out: str, lags: list[int], fs: float) -> Plan:
     """Mean squared displacement per recording, axis and lag (lags up to a quarter of the samples), with log time and log value."""
-    p = p.then(f"{out}_k", " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS lag_" for k in lags))
-    p = p.then(f"{out}_n", f"SELECT recording_id, count(*) AS n FROM {source} GROUP BY recording_id")
-    p = p.then(f"{out}_p", f"SELECT a.recording_id, k.lag_, power(b.x - a.x, 2) AS dx, power(b.y - a.y, 2) AS dy FROM {source} a CROSS JOIN {out}_k k JOIN {source} b ON a.recording_id = b.recording_id AND b.i = a.i + k.lag_ JOIN {out}_n n ON a.recording_id = n.recording_id WHERE k.lag_ * 4 <= n.n")
-    return p.then(out, f"SELECT recording_id, lag_, lag_ / CAST({fs} AS DOUBLE) AS seconds, avg(dx) AS msd_x, avg(dy) AS msd_y FROM {out}_p GROUP BY recording_id, lag_")
+    leads = ", ".join(f"power(lead({c}, {k}) OVER ({W}) - {c}, 2) AS d{c}{k}" for k in lags for c in "xy")
+    p = p.then(f"{out}_d", f"SELECT recording_id, count(*) OVER (PARTITION BY recording_id) AS n, {leads} FROM {source}")
+    means = ", ".join(f"avg(d{c}{k}) AS m{c}{k}" for k in lags for c in "xy")
+    p = p.then(f"{out}_m", f"SELECT recording_id, max(n) AS n, {means} FROM {out}_d GROUP BY recording_id")
+    # one row per recording is left, so the lags are rows again at little cost
+    each = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS lag_" for k in lags)
+    pick = lambda c: "CASE lag_ " + " ".join(f"WHEN {k} THEN m{c}{k}" for k in lags) + " END"
+    return p.then(f"{out}_k", each).then(out, f"SELECT recording_id, lag_, lag_ / CAST({fs} AS DOUBLE) AS seconds, {pick('x')} AS msd_x, {pick('y')} AS msd_y FROM {out}_m CROSS JOIN {out}_k WHERE lag_ * 4 <= n")
 
 
 def scaling_exponents(p: Plan, curve: str, out: str, columns: list[str], short: tuple[float, float], long: tuple[float, float]) -> Plan:
@@ -34,10 +38,12 @@ def scaling_exponents(p: Plan, curve: str, out: str, columns: list[str], short:
 def dacf(p: Plan, source: str, out: str, lags: list[int], order: int = 20) -> Plan:
     """Autocorrelation of displacements over ``order`` samples at given lags, relative to the first lag."""
     p = p.then(f"{out}_d", f"SELECT recording_id, i, lead(x, {order}) OVER ({W}) - x AS d FROM {source}")
+    leads = ", ".join(f"d * lead(d, {k}) OVER ({W}) AS c{k}" for k in lags)
+    p = p.then(f"{out}_l", f"SELECT recording_id, {leads} FROM {out}_d")
+    p = p.then(f"{out}_m", "SELECT recording_id, " + ", ".join(f"avg(c{k}) AS m{k}" for k in lags) + f" FROM {out}_l GROUP BY recording_id")
     p = p.then(f"{out}_k", " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS lag_" for k in lags))
-    p = p.then(f"{out}_c", f"SELECT a.recording_id, k.lag_, avg(a.d * b.d) AS c FROM {out}_d a CROSS JOIN {out}_k k JOIN {out}_d b ON a.recording_id = b.recording_id AND b.i = a.i + k.lag_ WHERE a.d IS NOT NULL AND b.d IS NOT NULL GROUP BY a.recording_id, k.lag_")
-    p = p.then(f"{out}_f", f"SELECT recording_id, c AS c0 FROM {out}_c WHERE lag_ = {min(lags)}")
-    return p.then(out, f"SELECT c.recording_id, c.lag_, {r6('c.c / nullif(f.c0, 0)')} AS dacf FROM {out}_c c JOIN {out}_f f ON c.recording_id = f.recording_id")
+    pick = "CASE lag_ " + " ".join(f"WHEN {k} THEN m{k}" for k in lags) + " END"
+    return p.then(out, f"SELECT recording_id, lag_, {r6(f'({pick}) / nullif(m{min(lags)}, 0)')} AS dacf FROM {out}_m CROSS JOIN {out}_k WHERE {pick} IS NOT NULL AND m{min(lags)} IS NOT NULL")
 
 
 def asof_nearest(p: Plan, left: str, right: str, out: str, tolerance: float | None = None) -> Plan:

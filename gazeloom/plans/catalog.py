@@ -11,17 +11,19 @@ FS, WIDTH, HEIGHT = 1.0, 500.0, 100.0
 SLOW, FAST = 120.0, 250.0
 RADIUS = 0.1 * (WIDTH**2 + HEIGHT**2) ** 0.5
 
-GAZE = Plan().then(
+#: Named before any window, so that Spark sees one partitioning all the way up.
+SOURCE = Plan().then("source", "SELECT user_id AS recording_id, ts, event_id, event_type, value AS x, CAST(@json_k(props) AS DOUBLE) AS y FROM {events}")
+GAZE = SOURCE.then(
     "gaze",
-    """SELECT user_id AS recording_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i, value AS x, CAST(@json_k(props) AS DOUBLE) AS y,
-    CAST(600 AS DOUBLE) AS z, CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END AS status FROM {events}""",
+    """SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i, x, y,
+    CAST(600 AS DOUBLE) AS z, CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END AS status FROM source""",
 )
 GOOD = GAZE.then("good", "SELECT recording_id, i, x, y, z, CAST(1 AS DOUBLE) AS status FROM gaze")
 KIN = kin.kinematics(GOOD, "good", "kin", FS, WIDTH, HEIGHT)
-PATH = Plan().then(
+PATH = SOURCE.then(
     "seq0",
-    """SELECT user_id AS recording_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS k, value AS x, CAST(@json_k(props) AS DOUBLE) AS y, event_type,
-    (lead(@micros(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - @micros(ts)) / 1e6 AS dur FROM {events}""",
+    """SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY ts, event_id) - 1 AS BIGINT) AS k, x, y, event_type,
+    (lead(@micros(ts)) OVER (PARTITION BY recording_id ORDER BY ts, event_id) - @micros(ts)) / 1e6 AS dur FROM source""",
 ).then("path", "SELECT recording_id, k, x, y, dur, CASE event_type WHEN 'click' THEN 'A' WHEN 'error' THEN 'B' WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'D' ELSE 'E' END AS aoi FROM seq0 WHERE dur IS NOT NULL")
 #: Blocks of recordings, and tasks that the pairs of blocks are dealt to (a hint to Spark, a comment elsewhere).
 BLOCKS, PAIR_TASKS = 32, 256
@@ -41,18 +43,18 @@ def _r(*columns: str) -> str:
 
 def _fixations(p: Plan) -> Plan:
     p = segmentation.ivt(p, "kin", "lab", SLOW, FS, min_fix=1.0, max_fix=1000.0, min_sac=0.0)
-    return events.event_table(p, "kin", "lab_fix", "fix", FS)
+    return events.event_table(p, "lab", "label = 1", "fix", FS, "label > 0")
 
 
 def _saccades(p: Plan) -> Plan:
     p = segmentation.ivt(p, "kin", "lab", SLOW, FS, min_fix=1.0, max_fix=1000.0, min_sac=0.0)
-    return events.saccade_columns(events.event_table(p, "kin", "lab_sac", "sac0", FS), "sac0", "sac")
+    return events.saccade_columns(events.event_table(p, "lab", "label = 2", "sac0", FS, "label > 0"), "sac0", "sac")
 
 
 def _pursuits(p: Plan) -> Plan:
     p = segmentation.ivvt(p, "kin", "v3", FAST, SLOW)
     p = segmentation.three_class(p, "v3", "lab", FS, (1.0, 1000.0), (1.0, 1000.0))
-    return islands.runs(p.then("lab_s", "SELECT recording_id, i, 1.0 AS status, label FROM lab"), "lab_s", "pur_iv", "label = 3")
+    return islands.with_runs(p, "lab", "lab_r", "label", "lr").then("lab_s", "SELECT *, a_lr AS a, b_lr AS b FROM lab_r")
 
 
 def _plans() -> dict[str, Plan]:
@@ -74,7 +76,7 @@ def _plans() -> dict[str, Plan]:
     q["interval_status"] = islands.runs(GAZE, "gaze", "rn", "x <= 300", 1, 50, 0.7).then("out", "SELECT recording_id, k, a, b FROM rn")
     two = segmentation.ivt(KIN, "kin", "lab", SLOW, FS, min_fix=1.0, max_fix=1000.0, min_sac=0.0)
     q["binary_duration_filter"] = islands.duration_filter(two, "lab", "df", FS, {1: (3.0, 10.0)}).then("out", "SELECT recording_id, label, count(*) AS n, min(i) AS first_i, max(i) AS last_i FROM df GROUP BY recording_id, label")
-    q["interval_centroids"] = islands.samples_of(islands.runs(GOOD, "good", "rn", "x <= 150", 1), "good", "rn", "sm").then("out", f"SELECT recording_id, k, {r6('avg(x)')} AS cx, {r6('avg(y)')} AS cy, {r6('max(x) - min(x) + max(y) - min(y)')} AS dispersion FROM sm GROUP BY recording_id, k")
+    q["interval_centroids"] = islands.run_samples(GOOD, "good", "sm", "x <= 150", 1).then("out", f"SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY a) - 1 AS BIGINT) AS k, {r6('avg(x)')} AS cx, {r6('avg(y)')} AS cy, {r6('max(x) - min(x) + max(y) - min(y)')} AS dispersion FROM sm GROUP BY recording_id, a")
     # segmentation
     q["ivt"] = two.then("out", "SELECT recording_id, i, label FROM lab")
     q["ivt_angular"] = segmentation.ivt(KIN, "kin", "lab", 12.0, FS, "speed_angular", min_fix=1.0, max_fix=1000.0, min_sac=0.0).then("out", "SELECT recording_id, i, label FROM lab")
@@ -84,15 +86,15 @@ def _plans() -> dict[str, Plan]:
     # events
     fix, sac = _fixations(KIN), _saccades(KIN)
     q["fixation_events"] = fix.then("out", f"SELECT recording_id, k, a, b, n, {_r('duration', 'cx', 'cy', 'mean_speed', 'sd_speed', 'displacement', 'path', 'bcea')} FROM fix")
-    q["fixation_metrics"] = events.per_recording(fix, "fix", "lab", "out", FS, [m.replace("{fs}", str(FS)) for m in events.FIXATION], "label > 0")
+    q["fixation_metrics"] = events.per_recording(fix, "fix", "out", FS, [m.replace("{fs}", str(FS)) for m in events.FIXATION])
     q["fixation_durations"] = fix.then("out", f"SELECT recording_id, count(*) AS n, {events.mean_sd('duration', 'duration')} FROM fix GROUP BY recording_id")
     q["saccade_events"] = sac.then("out", f"SELECT recording_id, k, a, b, n, {_r('duration', 'displacement', 'amplitude3', 'path', 'direction', 'initial_direction', 'max_curvature', 'area_curvature', 'peak', 'mean_acc', 'mean_up', 'mean_down', 'successive')}, peak_i FROM sac")
-    q["saccade_metrics"] = events.per_recording(sac, "sac", "lab", "out", FS, events.SACCADE, "label > 0")
-    pur = events.event_table(_pursuits(KIN), "kin", "pur_iv", "pur", FS)
+    q["saccade_metrics"] = events.per_recording(sac, "sac", "out", FS, events.SACCADE)
+    pur = events.event_table(_pursuits(KIN), "lab_s", "label = 3", "pur", FS)
     q["pursuit_events"] = pur.then("out", f"SELECT recording_id, k, a, b, n, {_r('duration', 'mean_speed', 'peak', 'displacement', 'path')} FROM pur")
-    q["pursuit_metrics"] = events.per_recording(pur, "pur", "lab", "out", FS, events.PURSUIT)
+    q["pursuit_metrics"] = events.per_recording(pur, "pur", "out", FS, events.PURSUIT)
     target = _pursuits(KIN).then("target", "SELECT recording_id, i, 250 + 200 * sin(i / 5.0) AS x, 50 + 40 * cos(i / 5.0) AS y FROM good")
-    q["pursuit_task"] = events.pursuit_task(target, "kin", "target", "pur_iv", "out", FS, 5, 40.0, 0.5)
+    q["pursuit_task"] = events.pursuit_task(target, "lab", "target", "label = 3", "out", FS, 5, 40.0, 0.5)
     error = KIN.then("err", "SELECT recording_id, i, vx - 40 * cos(i / 5.0) AS e FROM kin")
     q["pursuit_task_entropy"] = events.approximate_entropy(error, "err", "out", 2, 150.0)
     # scanpaths
