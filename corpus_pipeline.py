@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazeloom.llm import bpe, cpsjoin, feistel, langid, wumanber
@@ -16,6 +16,16 @@ from gazeloom.llm.queries import PII_KEY
 from gazeloom.llm.storage import stash
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``text`` and all other columns in one named ``row``, so that no name clashes with an operator's results."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def _unpacked(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them replaced."""
+    return df.select(*[new[c].alias(c) if c in new else F.col(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose letters match no learned language, go; ``lang`` stays as given where known.
 
@@ -24,11 +34,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     if not model.languages:
         return docs
-    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    marked = langid.predict(docs.select(given, F.col("text").alias("text")), model)
+    marked = langid.predict(_packed(docs), model)
     kept = marked.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0))
-    lang = F.coalesce("row.lang", "lang_pred").alias("lang")
-    return kept.select(*[lang if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+    return _unpacked(kept, docs, lang=F.coalesce("row.lang", "lang_pred"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words in benchmark windows go."""
-    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    found = wumanber.find_windows(docs.select(given, F.col("text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~wumanber.contaminated()).select("row.*")
+    found = wumanber.find_windows(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _unpacked(found.where(~wumanber.contaminated()), docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
