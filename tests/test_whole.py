@@ -2,9 +2,7 @@
 
 import duckdb
 import numpy as np
-from pyspark.sql import functions as F
 
-from gazeloom.llm import chroma, cpsjoin, wrappers
 from gazeloom.operators import aois
 from gazeloom.operators import kernels as K
 from gazeloom.plans import catalog, kernels
@@ -29,45 +27,6 @@ def test_pairwise_queries_take_all_pairs(spark, sf):
         assert sorted((r.id_1, r.id_2) for r in kernels.QUERIES[name](spark, sf).select("id_1", "id_2").distinct().collect()) == want, name
 
 
-def test_near_duplicates_in_large_nodes(spark, monkeypatch):
-    """Members that the trees below a large node part, whichever they are, still meet."""
-    monkeypatch.setattr(cpsjoin, "SMALL", 6)
-    monkeypatch.setattr(cpsjoin, "BLOCK", 8)
-    monkeypatch.setattr(cpsjoin, "_children", lambda nodes, level: nodes.withColumn("node", F.xxhash64("node", "id", F.lit(level))))
-    rng = np.random.default_rng(5)
-    common = " ".join(f"w{k}" for k in range(100))
-    own = [" ".join(f"z{k}" for k in rng.integers(0, 10**6, 8)) for _ in range(40)]
-    rows = [(2 * n + k, f"{common} {text}{' more' * k}") for n, text in enumerate(own) for k in range(2)]
-    got = cpsjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, threshold=95).collect()
-    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i // 2 * 2) for i in range(80)]
-
-
-def test_main_text_of_several_roots():
-    three = "<body><div><p>one</p></div><div><p>two</p></div><div><p>three</p></div></body>"
-    assert wrappers.main_text(three, None) == "one two three"
-    assert wrappers.main_text(three, ["body", "div"]) == "one two three"
-    articles = "<main><article>first</article><nav>menu</nav><article>second</article></main>"
-    assert wrappers.main_text(articles, None) == "first second"
-    by_id = "<body><div id=top>logo</div><div id=content><p>the article</p></div><div id=sidebar>ads</div></body>"
-    assert wrappers.main_text(by_id, None) == "logo the article"
-    first_is_menu = "<body><div id=nav>menu</div><div id=content><p>the article</p></div><div class=x>note</div></body>"
-    assert "the article" in wrappers.main_text(first_is_menu, None)
-    pages = [three.replace("one", f"one {n}").replace("three", f"three {n}") for n in range(3)]
-    assert wrappers.main_text(pages[1], wrappers.induce(pages)) == "one 1 two three 1"
-
-
-def test_alignment_with_fewer_votes_than_a_held_tone(spark):
-    """Three offsets of the held tone have the most votes but too little overlap; the true one has five votes."""
-    rng = np.random.default_rng(2)
-    sound, held = rng.integers(0, 2**32, 40), np.full(20, 12345)
-    noisy = sound ^ (1 << rng.integers(0, 32, 40))
-    noisy[10:19] = sound[10:19]
-    rows = [(1, np.concatenate([noisy, held]).tolist()), (2, np.concatenate([held, sound]).tolist())]
-    got = {r.id: r for r in chroma.align(spark.createDataFrame(rows, "id long, codes array<long>"), F.col("id") == 1).collect()}
-    assert (got[1].n_links, got[1].best_class, got[1].best_offset) == (1, 2, 20)
-    assert got[1].bit_error == 31 / (40 * 32)
-
-
 def test_learning_labels_all_recordings(spark, sf):
     got = kernels.QUERIES["learn_forest"](spark, sf).select("recording_id", "i", "training").collect()
     assert len(got) == kernels.gaze(spark, sf).count()
