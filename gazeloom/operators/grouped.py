@@ -14,7 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.relational import Plan
 from . import kernels as K
+from .islands import two_class
+from .segmentation import three_class
 
 
 def per_recording(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, columns: list[str], order: str = "i", key: str = "recording_id") -> DataFrame:
@@ -29,7 +32,7 @@ def per_recording(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sch
 
 
 def labels(df: DataFrame, method: str, **p) -> DataFrame:
-    """(recording_id, i, label) by a scan method over (i, x, y, speed, vx, vy): idit, idet, ihmm, ikf, imst, i2mc (1 fixation, 0 other), ivdt (1, 2, 3)."""
+    """(recording_id, i, status, label) by a scan method over (i, x, y, status, speed, vx, vy), before post-processing: idit, idet, ihmm, ikf, imst, i2mc (1 fixation, 0 other), ivdt (1, 2, 3)."""
     methods = {
         "idit": lambda g: K.dispersion_windows(g.x.to_numpy(), g.y.to_numpy(), p["window"], p["limit"]),
         "idet": lambda g: K.density_runs(g.x.to_numpy(), g.y.to_numpy(), p["eps"], p["window"], p["min_points"]),
@@ -40,7 +43,17 @@ def labels(df: DataFrame, method: str, **p) -> DataFrame:
         "ivdt": lambda g: K.velocity_dispersion(g.x.to_numpy(), g.y.to_numpy(), g.speed.to_numpy(), p["fast"], p["window"], p["limit"]),
     }
     fn = methods[method]
-    return per_recording(df, lambda g: pd.DataFrame({"i": g.i, "label": fn(g)}), "i long, label int", ["x", "y", "speed", "vx", "vy"])
+    return per_recording(df, lambda g: pd.DataFrame({"i": g.i, "status": g.status, "label": fn(g)}), "i long, status double, label int", ["x", "y", "status", "speed", "vx", "vy"])
+
+
+def segment(df: DataFrame, method: str, fs: float, limits: dict, **p) -> DataFrame:
+    """(recording_id, i, label): a scan method with its post-processing, that of two classes (1 fixation, 2 saccade, 0 none) or for ivdt of three."""
+    raw = Plan().then("raw", "SELECT recording_id, i, status, label AS scan FROM {raw}")
+    if method == "ivdt":
+        done = three_class(raw.then("scanned", "SELECT recording_id, i, status, scan AS label FROM raw"), "scanned", "lab", fs, **limits)
+    else:
+        done = two_class(raw, "raw", "lab", "scan = 1", fs, **limits)
+    return done.then("out", "SELECT recording_id, i, label FROM lab").spark(df.sparkSession, raw=labels(df, method, **p))
 
 
 def spectra(df: DataFrame, fs: float, segment: int | None = None, window: str = "hann", column: str = "x") -> DataFrame:
@@ -181,9 +194,10 @@ def entropies(transitions: DataFrame) -> DataFrame:
         names = sorted({*g.src, *g.dst})
         p = np.zeros((len(names), len(names)))
         p[[names.index(a) for a in g.src], [names.index(b) for b in g.dst]] = g.n
-        return pd.DataFrame({k: [v] for k, v in K.transition_entropies(p / np.maximum(p.sum(1, keepdims=True), 1e-300)).items()})
+        found = K.transition_entropies(p / np.maximum(p.sum(1, keepdims=True), 1e-300))
+        return pd.DataFrame({k: [v] for k, v in found.items()} | {"aois": [names]})
 
-    return per_recording(transitions, run, "stationary double, joint double, conditional double, mutual_information double", ["dst", "n"], "src")
+    return per_recording(transitions, run, "stationary double, joint double, conditional double, mutual_information double, conditional_by_row array<double>, mutual_information_by_row array<double>, aois array<string>", ["dst", "n"], "src")
 
 
 def fluctuation(df: DataFrame, scales: list[int], order: int = 2) -> DataFrame:

@@ -26,18 +26,23 @@ def _spread(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def dispersion_windows(x: np.ndarray, y: np.ndarray, window: int, limit: float) -> np.ndarray:
-    """I-DiT: windows that grow while their dispersion is below the limit; 1 on fixation samples, the sample that broke the limit included."""
-    n, i = len(x), 0
+    """I-DiT: windows that grow while their dispersion is below the limit; 1 on fixation samples.
+
+    The sample that broke the limit ends the fixation and the next window starts after it. A window never grows onto the last sample; at the end windows may be shorter, of two samples at least.
+    """
+    n, start = len(x), 0
     fix = np.zeros(n, int)
-    while i + window <= n:
-        j = i + window
-        if _spread(x[i:j], y[i:j]) < limit:
-            while j < n and _spread(x[i : j + 1], y[i : j + 1]) < limit:
-                j += 1
-            fix[i : min(j + 1, n)] = 1
-            i = max(j, i + 1)
-        else:
-            i += 1
+    while start + 2 <= min(start + window, n):
+        stop = min(start + window, n)
+        box = [x[start:stop].min(), x[start:stop].max(), y[start:stop].min(), y[start:stop].max()]
+        if box[1] - box[0] + box[3] - box[2] >= limit:
+            start += 1
+            continue
+        while stop < n - 1 and box[1] - box[0] + box[3] - box[2] < limit:
+            box = [min(box[0], x[stop]), max(box[1], x[stop]), min(box[2], y[stop]), max(box[3], y[stop])]
+            stop += 1
+        fix[start:stop] = 1
+        start = stop
     return fix
 
 
@@ -107,30 +112,48 @@ def viterbi(start: np.ndarray, trans: np.ndarray, emission: np.ndarray) -> np.nd
     return out
 
 
-def kalman_speed(pos: np.ndarray, speed: np.ndarray, dt: float, sigma_1: float, sigma_2: float) -> np.ndarray:
-    """Predicted speed of a constant-velocity Kalman filter on position and speed of an axis."""
-    state, cov = np.array([pos[0], speed[0]]), np.eye(2)
-    move, noise, meas = np.array([[1, dt], [0, 1]]), np.diag([0.0, sigma_1**2]), np.eye(2) * sigma_2**2
-    out = np.zeros(len(pos))
-    for t in range(len(pos)):
-        state, cov = move @ state, move @ cov @ move.T + noise
-        out[t] = state[1]
-        gain = cov @ np.linalg.inv(cov + meas)
-        state = state + gain @ (np.array([pos[t], speed[t]]) - state)
-        cov = (np.eye(2) - gain) @ cov
+def kalman_gains(n: int, dt: float, sigma_1: float, sigma_2: float) -> np.ndarray:
+    """Gains of position and speed at each sample after the first; they hang on the parameters only.
+
+    The covariance starts at zero, and its update multiplies entry by entry, as users of the method know it.
+    """
+    p = [0.0, 0.0, 0.0, 0.0]
+    out = np.zeros((n, 2))
+    for t in range(1, n):
+        q = (p[0] + dt * (p[1] + p[2]) + dt * dt * p[3] + sigma_1**2, p[1] + dt * p[3], p[2] + dt * p[3], p[3] + sigma_1**2)
+        gain = q[0] / (q[0] + sigma_2**2), q[2] / (q[0] + sigma_2**2)
+        p = [(1 - gain[0]) * q[0], q[1], (1 - gain[1]) * q[2], q[3]]
+        out[t] = gain
+    return out
+
+
+def kalman_speed(pos: np.ndarray, first_speed: float, gains: np.ndarray, dt: float) -> np.ndarray:
+    """Predicted speeds of a constant-velocity Kalman filter on the positions of an axis; the first is given."""
+    where, speed = float(pos[0]), float(first_speed)
+    out = np.full(len(pos), speed)
+    for t, (seen, (g, h)) in enumerate(zip(pos[1:].tolist(), gains[1:].tolist(), strict=False), 1):
+        out[t] = speed
+        off = seen - (where + dt * speed)
+        where, speed = where + dt * speed + g * off, speed + h * off
     return out
 
 
 def kalman_windows(x: np.ndarray, y: np.ndarray, vx: np.ndarray, vy: np.ndarray, dt: float, sigma_1: float, sigma_2: float, window: int, limit: float, divisor: float = 5.0) -> np.ndarray:
-    """I-KF: windows whose summed squared prediction error over ``divisor`` stays below the limit are fixation; a partial last window is."""
+    """I-KF: windows whose summed squared difference of predicted and measured speed, over ``divisor``, is at most the limit are fixation, and so is the sample after each; what follows the last whole window counts as 0. The last sample is never marked by itself."""
     n = len(x)
     if not n:
         return np.zeros(0, int)
-    error = (kalman_speed(x, vx, dt, sigma_1, sigma_2) - vx) ** 2 + (kalman_speed(y, vy, dt, sigma_1, sigma_2) - vy) ** 2
+    gains = kalman_gains(n, dt, sigma_1, sigma_2)
+    off = (np.hypot(kalman_speed(x, vx[0], gains, dt), kalman_speed(y, vy[0], gains, dt)) - np.hypot(vx, vy)) ** 2
+    # a window that ends with the recording is a partial one
+    whole = max(0, (n - 1) // window)
     chi = np.zeros(n)
-    for a in range(0, n - window + 1, window):
-        chi[a : a + window] = error[a : a + window].sum() / divisor
-    return (chi < limit).astype(int)
+    chi[: whole * window] = np.repeat(off[: whole * window].reshape(whole, window).sum(1) / divisor, window)
+    low = chi[:-1] <= limit
+    fix = np.zeros(n, bool)
+    fix[:-1] |= low
+    fix[1:] |= low
+    return fix.astype(int)
 
 
 def spanning_tree_votes(x: np.ndarray, y: np.ndarray, window: int, eps: float, min_points: int) -> np.ndarray:
@@ -201,28 +224,21 @@ def two_means_fixations(x: np.ndarray, y: np.ndarray, window: int, step: int) ->
 
 
 def velocity_dispersion(x: np.ndarray, y: np.ndarray, speed: np.ndarray, fast: float, window: int, limit: float) -> np.ndarray:
-    """I-VDT: 2 above the speed limit; else 1 in growing windows of small dispersion, 3 elsewhere."""
-    n = len(x)
+    """I-VDT: 2 above the speed limit; in slow runs longer than a window 1 in growing windows of small dispersion, 0 on the sample that ends one, 3 elsewhere."""
+    slow = np.concatenate([[0], (speed <= fast).astype(int), [0]])
     label = np.where(speed > fast, 2, 3)
-    a = 0
-    while a < n:
-        if label[a] == 2:
-            a += 1
-            continue
-        b = a
-        while b < n and speed[b] <= fast:
-            b += 1
-        i = a
-        while i + window <= b:
-            j = i + window
-            if _spread(x[i:j], y[i:j]) < limit:
-                while j < b and _spread(x[i : j + 1], y[i : j + 1]) < limit:
-                    j += 1
-                label[i:j] = 1
-                i = j
-            else:
-                i += 1
-        a = b
+    edges = np.diff(slow)
+    for first, past in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
+        start = first if past - first > window else past
+        while start + window <= past:
+            stop = start + window
+            if _spread(x[start:stop], y[start:stop]) >= limit:
+                start += 1
+                continue
+            while stop < past and _spread(x[start:stop], y[start:stop]) < limit:
+                stop += 1
+            label[start : stop - 1], label[stop - 1] = 1, 0
+            start = stop
     return label
 
 
@@ -820,8 +836,8 @@ def fisher_vector(model: dict[str, np.ndarray], pts: np.ndarray) -> np.ndarray:
     return v / max(np.linalg.norm(v), 1e-12)
 
 
-def transition_entropies(p: np.ndarray, tolerance: float = 1e-12, rounds: int = 100_000) -> dict[str, float]:
-    """Stationary, joint and conditional entropy and mutual information of a transition matrix; empty rows count as uniform."""
+def transition_entropies(p: np.ndarray, tolerance: float = 1e-12, rounds: int = 100_000) -> dict[str, float | list[float]]:
+    """Stationary, joint and conditional entropy and mutual information of a transition matrix, the last two also by row; empty rows count as uniform."""
     p = np.where(p.sum(1, keepdims=True) > 0, p, 1 / len(p))
     p = p / p.sum(1, keepdims=True)
     pi = np.full(len(p), 1 / len(p))
@@ -833,9 +849,16 @@ def transition_entropies(p: np.ndarray, tolerance: float = 1e-12, rounds: int =
         pi = new
     log = lambda z: np.log(np.where(z > 0, z, 1))
     joint = pi[:, None] * p
-    stationary, cond = float(-(pi * log(pi)).sum()), float(-(joint * log(p)).sum())
-    both = float(-(joint * log(joint)).sum())
-    return {"stationary": stationary, "joint": both, "conditional": cond, "mutual_information": stationary - cond}
+    by_row = -(p * log(p)).sum(1)
+    shared = np.where((p > 0) & (pi > 0), joint * (log(p) - log(pi)), 0).sum(1)
+    return {
+        "stationary": float(-(pi * log(pi)).sum()),
+        "joint": float(-(joint * log(joint)).sum()),
+        "conditional": float(pi @ by_row),
+        "mutual_information": float(shared.sum()),
+        "conditional_by_row": by_row.tolist(),
+        "mutual_information_by_row": shared.tolist(),
+    }
 
 
 def direction_histograms(x: np.ndarray, y: np.ndarray, reach: int, bins: int = 36) -> np.ndarray:

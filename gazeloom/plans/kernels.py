@@ -29,9 +29,18 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of(C.PAIRS, "pairs", spark, sf_dir)
 
 
+#: Post-processing for gaze made of events, as in the catalogue.
+TWO, THREE = {"min_fix": 1.0, "max_fix": 1000.0, "min_sac": 0.0}, {"fix": (1.0, 1000.0), "pursuit": (1.0, 1000.0)}
+
+
 def _labels(method: str, **p):
-    return lambda s, d: grouped.labels(gaze(s, d), method, **p)
+    return lambda s, d: grouped.segment(gaze(s, d), method, C.FS, THREE if method == "ivdt" else TWO, **p)
+
 
+IKF = {"dt": 1.0, "sigma_1": 50.0, "sigma_2": 60.0, "window": 4, "limit": 4e4}
+IDIT = {"window": 2, "limit": 80.0}
+IVDT = {"fast": C.FAST, "window": 2, "limit": 120.0}
+IDET = {"eps": 80.0, "window": 5, "min_points": 3}
 
 METRICS = {
     "dtw": K.dtw,
@@ -72,13 +81,13 @@ def _learned(kind: str, classifier: str):
 
 
 QUERIES = {
-    "idit": _labels("idit", window=2, limit=80.0),
-    "idet": _labels("idet", eps=80.0, window=5, min_points=3),
+    "idit": _labels("idit", **IDIT),
+    "idet": _labels("idet", **IDET),
     "ihmm": _labels("ihmm", low=50.0, high=250.0, variance=5000.0),
-    "ikf": _labels("ikf", dt=1.0, sigma_1=50.0, sigma_2=60.0, window=4, limit=4e4),
+    "ikf": _labels("ikf", **IKF),
     "imst": _labels("imst", window=10, eps=60.0, min_points=3),
     "i2mc": _labels("i2mc", window=8, step=2),
-    "ivdt": _labels("ivdt", fast=C.FAST, window=2, limit=120.0),
+    "ivdt": _labels("ivdt", **IVDT),
     "periodogram": lambda s, d: grouped.spectra(gaze(s, d), C.FS, None, "boxcar"),
     "welch": lambda s, d: grouped.spectra(gaze(s, d), C.FS, 16),
     "cross_spectra": lambda s, d: grouped.cross_spectra(gaze(s, d), pairs(s, d), C.FS, 16),
@@ -132,3 +141,105 @@ def _borji(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["saliency_auc_borji"] = _borji
+
+
+def _oracle(plan) -> str:
+    """A plan in DuckDB's dialect that may have recursive relations."""
+    return plan.duckdb().replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _idet_sql() -> str:
+    """I-DeT without a scan: how far a sample's neighbourhood reaches on either side is a chain of conditions on the next samples."""
+    def reach(f: str) -> str:
+        close = [f"coalesce(sqrt(power({f}(x, {j}) OVER ({C.kin.W}) - x, 2) + power({f}(y, {j}) OVER ({C.kin.W}) - y, 2)) <= {IDET['eps']}, false)" for j in range(1, IDET["window"] + 1)]
+        return "CASE " + " ".join(f"WHEN NOT {c} THEN {k}" for k, c in enumerate(close)) + f" ELSE {IDET['window']} END"
+
+    p = C.KIN.then("around", f"SELECT recording_id, i, status, {reach('lag')} AS back, {reach('lead')} AS ahead FROM kin")
+    p = p.then("raw", f"SELECT s.recording_id, s.i, max(s.status) AS status, max(CASE WHEN c.back + c.ahead + 1 >= {IDET['min_points']} THEN 1 ELSE 0 END) AS scan FROM around s JOIN around c ON s.recording_id = c.recording_id AND s.i BETWEEN c.i - c.back AND c.i + c.ahead GROUP BY s.recording_id, s.i")
+    return _oracle(_two_classes(p))
+
+
+def _two_classes(p):
+    """Labels of two classes after ``raw`` (recording_id, i, status, scan)."""
+    return grouped.two_class(p, "raw", "lab", "scan = 1", C.FS, **TWO).then("out", "SELECT recording_id, i, label FROM lab")
+
+
+def _ikf_sql() -> str:
+    """I-KF as a recursion over samples: covariance, then both axes' positions and speeds."""
+    q, r, dt, w = IKF["sigma_1"] ** 2, IKF["sigma_2"] ** 2, IKF["dt"], IKF["window"]
+    p = C.KIN.then(
+        "filt",
+        f"""SELECT recording_id, i, x AS px, vx AS sx, y AS py, vy AS sy, vx AS ox, vy AS oy, 0e0 AS p0, 0e0 AS p1, 0e0 AS p2, 0e0 AS p3 FROM kin WHERE i = 0
+        UNION ALL SELECT recording_id, i, px + {dt} * sx + g * (x - px - {dt} * sx), sx + h * (x - px - {dt} * sx), py + {dt} * sy + g * (y - py - {dt} * sy), sy + h * (y - py - {dt} * sy), sx, sy, (1 - g) * q0, q1, (1 - h) * q2, q3
+        FROM (SELECT *, q0 / (q0 + {r}) AS g, q2 / (q0 + {r}) AS h FROM (SELECT k.recording_id, k.i, k.x, k.y, f.px, f.sx, f.py, f.sy, f.p0 + {dt} * (f.p1 + f.p2) + {dt * dt} * f.p3 + {q} AS q0, f.p1 + {dt} * f.p3 AS q1, f.p2 + {dt} * f.p3 AS q2, f.p3 + {q} AS q3 FROM filt f JOIN kin k ON f.recording_id = k.recording_id AND k.i = f.i + 1) a) b""",
+    )
+    p = p.then("off", "SELECT k.recording_id, k.i, k.status, power(sqrt(f.ox * f.ox + f.oy * f.oy) - sqrt(k.vx * k.vx + k.vy * k.vy), 2) AS e, count(*) OVER (PARTITION BY k.recording_id) AS n FROM kin k JOIN filt f ON k.recording_id = f.recording_id AND k.i = f.i")
+    p = p.then("chi", f"SELECT *, CASE WHEN (floor(i / {w}) + 1) * {w} < n THEN sum(e) OVER (PARTITION BY recording_id, floor(i / {w})) / 5 ELSE 0 END AS c FROM off")
+    low = f"c <= {IKF['limit']}"
+    p = p.then("raw", f"SELECT recording_id, i, status, CASE WHEN ({low} AND i < n - 1) OR coalesce(lag({low}) OVER ({C.kin.W}), false) THEN 1 ELSE 0 END AS scan FROM chi")
+    return _oracle(_two_classes(p))
+
+
+#: Coordinates of each recording as lists, for recursions that look at ranges; and a range's dispersion.
+_LISTS = C.KIN.then("lists", "SELECT recording_id, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys, count(*) AS n FROM kin GROUP BY recording_id")
+_RANGE = "list_max(xs[s + 1:e]) - list_min(xs[s + 1:e]) + list_max(ys[s + 1:e]) - list_min(ys[s + 1:e])"
+
+
+def _idit_sql() -> str:
+    """I-DiT as a recursion over windows [s, e): 0 tries a window, 1 grows one."""
+    w, limit = IDIT["window"], IDIT["limit"]
+    p = _LISTS.then(
+        "walk",
+        f"""SELECT recording_id, CAST(0 AS BIGINT) AS s, least({w}, n) AS e, 0 AS phase FROM lists
+        UNION ALL SELECT recording_id, CASE WHEN phase = 0 AND NOT ok THEN s + 1 WHEN phase = 1 AND NOT grow THEN e ELSE s END,
+        CASE WHEN phase = 0 AND NOT ok THEN least(s + 1 + {w}, n) WHEN phase = 0 THEN e WHEN grow THEN e + 1 ELSE least(e + {w}, n) END, CASE WHEN phase = 0 AND ok OR phase = 1 AND grow THEN 1 ELSE 0 END
+        FROM (SELECT v.recording_id, s, e, phase, n, {_RANGE} < {limit} AS ok, e < n - 1 AND {_RANGE} < {limit} AS grow FROM walk v JOIN lists l ON v.recording_id = l.recording_id WHERE e - s >= 2) q""",
+    )
+    p = p.then("held", "SELECT recording_id, s, max(e) AS e FROM walk WHERE phase = 1 GROUP BY recording_id, s")
+    p = p.then("raw", "SELECT k.recording_id, k.i, k.status, CASE WHEN h.s IS NULL THEN 0 ELSE 1 END AS scan FROM kin k LEFT JOIN held h ON k.recording_id = h.recording_id AND k.i >= h.s AND k.i < h.e")
+    return _oracle(_two_classes(p))
+
+
+def _ivdt_sql() -> str:
+    """I-VDT as the same recursion inside the slow runs."""
+    w, limit, fast = IVDT["window"], IVDT["limit"], IVDT["fast"]
+    p = C.islands.runs(_LISTS, "kin", "slow", f"speed <= {fast}", w)
+    p = p.then(
+        "walk",
+        f"""SELECT recording_id, b + 1 AS past, a AS s, a + {w} AS e, 0 AS phase FROM slow
+        UNION ALL SELECT recording_id, past, CASE WHEN phase = 0 AND NOT ok THEN s + 1 WHEN phase = 1 AND NOT grow THEN e ELSE s END,
+        CASE WHEN phase = 0 AND NOT ok THEN s + 1 + {w} WHEN phase = 0 THEN e WHEN grow THEN e + 1 ELSE e + {w} END, CASE WHEN phase = 0 AND ok OR phase = 1 AND grow THEN 1 ELSE 0 END
+        FROM (SELECT v.recording_id, past, s, e, phase, {_RANGE} < {limit} AS ok, e < past AND {_RANGE} < {limit} AS grow FROM walk v JOIN lists l ON v.recording_id = l.recording_id WHERE phase = 1 OR s + {w} <= past) q""",
+    )
+    p = p.then("held", "SELECT recording_id, s, max(e) AS e FROM walk WHERE phase = 1 GROUP BY recording_id, s")
+    p = p.then("scanned", f"SELECT k.recording_id, k.i, k.status, CASE WHEN k.speed > {fast} THEN 2 WHEN h.s IS NULL THEN 3 WHEN k.i = h.e - 1 THEN 0 ELSE 1 END AS label FROM kin k LEFT JOIN held h ON k.recording_id = h.recording_id AND k.i >= h.s AND k.i < h.e")
+    return _oracle(grouped.three_class(p, "scanned", "lab", C.FS, **THREE).then("out", "SELECT recording_id, i, label FROM lab"))
+
+
+def _lempel_ziv_sql() -> str:
+    """Phrases of a recording as a recursion over its symbols."""
+    p = C.PATH.then("seqs", "SELECT recording_id, list(aoi ORDER BY k) AS s, count(*) AS n FROM path GROUP BY recording_id")
+    p = p.then(
+        "lz",
+        """SELECT recording_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS seen, '' AS phrase FROM seqs
+        UNION ALL SELECT recording_id, k + 1, CASE WHEN list_contains(seen, next) THEN seen ELSE list_append(seen, next) END, CASE WHEN list_contains(seen, next) THEN next ELSE '' END
+        FROM (SELECT z.recording_id, z.k, z.seen, concat(z.phrase, q.s[z.k + 1]) AS next FROM lz z JOIN seqs q ON z.recording_id = q.recording_id WHERE z.k < q.n) t""",
+    )
+    return _oracle(p.then("out", "SELECT z.recording_id, CAST(len(z.seen) + CASE WHEN z.phrase = '' THEN 0 ELSE 1 END AS BIGINT) AS complexity FROM lz z JOIN seqs q ON z.recording_id = q.recording_id AND z.k = q.n"))
+
+
+def _patterns_sql() -> str:
+    """Patterns of up to three symbols, gaps allowed, by joins of places."""
+    co = aois.collapse(C.SEQ, "seq", "co")
+    parts = []
+    for n in (1, 2, 3):
+        names = [f"s{j}" for j in range(n)]
+        joins = "co s0" + "".join(f" JOIN co s{j} ON s{j}.recording_id = s0.recording_id AND s{j}.k > s{j - 1}.k" for j in range(1, n))
+        symbols = ", ".join(f"{x}.aoi" for x in names)
+        parts.append(f"SELECT concat_ws(',', {symbols}) AS pattern, CAST({n} AS INT) AS len, count(DISTINCT s0.recording_id) AS support FROM {joins} GROUP BY {symbols}")
+    p = co.then("found", " UNION ALL ".join(parts)).then("total", "SELECT count(DISTINCT recording_id) AS n FROM co")
+    return p.then("out", "SELECT pattern, len, support, support / CAST(n AS DOUBLE) AS share FROM found CROSS JOIN total WHERE support >= ceil(0.5 * n)").duckdb()
+
+
+#: Checks of scan methods by other means in SQL.
+ORACLE_SQL = {"idet": _idet_sql(), "ikf": _ikf_sql(), "idit": _idit_sql(), "ivdt": _ivdt_sql(), "aoi_lempel_ziv": _lempel_ziv_sql(), "aoi_frequent_patterns": _patterns_sql()}
