@@ -12,18 +12,18 @@ SLOW, FAST = 120.0, 250.0
 RADIUS = 0.1 * (WIDTH**2 + HEIGHT**2) ** 0.5
 
 #: Named before any window, so that Spark sees one partitioning all the way up.
-SOURCE = Plan().then("source", "SELECT user_id AS recording_id, ts, event_id, event_type, value AS x, CAST(@json_k(props) AS DOUBLE) AS y FROM {events}")
-GAZE = SOURCE.then(
+_SOURCE = "(SELECT user_id AS recording_id, ts, event_id, event_type, value AS x, CAST(@json_k(props) AS DOUBLE) AS y FROM {events}) s"
+GAZE = Plan().then(
     "gaze",
-    """SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i, x, y,
-    CAST(600 AS DOUBLE) AS z, CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END AS status FROM source""",
+    f"""SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i, x, y,
+    CAST(600 AS DOUBLE) AS z, CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END AS status FROM {_SOURCE}""",
 )
 GOOD = GAZE.then("good", "SELECT recording_id, i, x, y, z, CAST(1 AS DOUBLE) AS status FROM gaze")
 KIN = kin.kinematics(GOOD, "good", "kin", FS, WIDTH, HEIGHT)
-PATH = SOURCE.then(
+PATH = Plan().then(
     "seq0",
-    """SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY ts, event_id) - 1 AS BIGINT) AS k, x, y, event_type,
-    (lead(@micros(ts)) OVER (PARTITION BY recording_id ORDER BY ts, event_id) - @micros(ts)) / 1e6 AS dur FROM source""",
+    f"""SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY ts, event_id) - 1 AS BIGINT) AS k, x, y, event_type,
+    (lead(@micros(ts)) OVER (PARTITION BY recording_id ORDER BY ts, event_id) - @micros(ts)) / 1e6 AS dur FROM {_SOURCE}""",
 ).then("path", "SELECT recording_id, k, x, y, dur, CASE event_type WHEN 'click' THEN 'A' WHEN 'error' THEN 'B' WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'D' ELSE 'E' END AS aoi FROM seq0 WHERE dur IS NOT NULL")
 #: Blocks of recordings, and tasks that the pairs of blocks are dealt to (a hint to Spark, a comment elsewhere).
 BLOCKS, PAIR_TASKS = 32, 256

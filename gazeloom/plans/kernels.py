@@ -80,6 +80,12 @@ def _learned(kind: str, classifier: str):
     return query
 
 
+def _rounded(spectra: DataFrame) -> DataFrame:
+    """Six decimals of the frequency and three of the power, so that sums in another order agree."""
+    keep = lambda c, n: (F.floor(F.col(c) * 10**n + 0.5) / 10**n).alias(c)
+    return spectra.select("recording_id", "cell", keep("frequency", 6), keep("power", 3))
+
+
 QUERIES = {
     "idit": _labels("idit", **IDIT),
     "idet": _labels("idet", **IDET),
@@ -88,8 +94,8 @@ QUERIES = {
     "imst": _labels("imst", window=10, eps=60.0, min_points=3),
     "i2mc": _labels("i2mc", window=8, step=2),
     "ivdt": _labels("ivdt", **IVDT),
-    "periodogram": lambda s, d: grouped.spectra(gaze(s, d), C.FS, None, "boxcar"),
-    "welch": lambda s, d: grouped.spectra(gaze(s, d), C.FS, 16),
+    "periodogram": lambda s, d: _rounded(grouped.spectra(gaze(s, d), C.FS, None, "boxcar")),
+    "welch": lambda s, d: _rounded(grouped.spectra(gaze(s, d), C.FS, 16)),
     "cross_spectra": lambda s, d: grouped.cross_spectra(gaze(s, d), pairs(s, d), C.FS, 16),
     "dfa": lambda s, d: grouped.fluctuation(gaze(s, d), [4, 6, 8, 12, 16]),
     "persistence_bars": lambda s, d: grouped.persistence(gaze(s, d), 5.0),
@@ -241,5 +247,18 @@ def _patterns_sql() -> str:
     return p.then("out", "SELECT pattern, len, support, support / CAST(n AS DOUBLE) AS share FROM found CROSS JOIN total WHERE support >= ceil(0.5 * n)").duckdb()
 
 
-#: Checks of scan methods by other means in SQL.
-ORACLE_SQL = {"idet": _idet_sql(), "ikf": _ikf_sql(), "idit": _idit_sql(), "ivdt": _ivdt_sql(), "aoi_lempel_ziv": _lempel_ziv_sql(), "aoi_frequent_patterns": _patterns_sql()}
+def _spectrum_sql(segment: int | None) -> str:
+    """Spectral density as plain sums over cosines and sines: one segment without a taper, or half-overlapping ones with a Hann taper."""
+    size = f"least({segment}, n)" if segment else "n"
+    taper = "0.5 - 0.5 * cos(2 * pi() * j / m)" if segment else "1e0"
+    p = C.KIN.then("sized", f"SELECT recording_id, i, x, n, CAST({size} AS BIGINT) AS m FROM (SELECT *, count(*) OVER (PARTITION BY recording_id) AS n FROM kin) q")
+    p = p.then("starts", "SELECT recording_id, m, unnest(range(0, n - m + 1, CASE WHEN m = n THEN m ELSE m - m // 2 END)) AS a FROM (SELECT DISTINCT recording_id, n, m FROM sized) q")
+    p = p.then("cut", "SELECT t.recording_id, t.a, t.m, z.i - t.a AS j, z.x - avg(z.x) OVER (PARTITION BY t.recording_id, t.a) AS v FROM starts t JOIN sized z ON t.recording_id = z.recording_id AND z.i >= t.a AND z.i < t.a + t.m")
+    p = p.then("tapered", f"SELECT recording_id, a, m, j, v * ({taper}) AS v, power({taper}, 2) AS t2 FROM cut")
+    p = p.then("cells", "SELECT recording_id, a, m, cell, sum(v * cos(2 * pi() * cell * j / m)) AS re, sum(v * sin(2 * pi() * cell * j / m)) AS im, sum(t2) AS t2 FROM (SELECT *, unnest(range(0, m // 2 + 1)) AS cell FROM tapered) q GROUP BY recording_id, a, m, cell")
+    p = p.then("means", f"SELECT recording_id, m, cell, avg((re * re + im * im) / ({C.FS} * t2)) * CASE WHEN cell = 0 OR cell * 2 = m THEN 1 ELSE 2 END AS power FROM cells GROUP BY recording_id, m, cell")
+    return p.then("out", f"SELECT recording_id, CAST(cell AS BIGINT) AS cell, floor(cell * {C.FS} / m * 1e6 + 0.5) / 1e6 AS frequency, floor(power * 1e3 + 0.5) / 1e3 AS power FROM means").duckdb()
+
+
+#: Checks of kernels by other means in SQL.
+ORACLE_SQL = {"idet": _idet_sql(), "ikf": _ikf_sql(), "idit": _idit_sql(), "ivdt": _ivdt_sql(), "aoi_lempel_ziv": _lempel_ziv_sql(), "aoi_frequent_patterns": _patterns_sql(), "periodogram": _spectrum_sql(None), "welch": _spectrum_sql(16)}

@@ -8,7 +8,9 @@ import pytest
 from gazeloom.operators import islands
 from gazeloom.functions.relational import Plan
 from gazeloom.operators import kernels as K
-from gazeloom.plans import catalog
+from gazeloom.functions import kinematics as kin
+from gazeloom.operators import aois, segmentation
+from gazeloom.plans import catalog, kernels
 
 LETTERS = ["XMJYXUZ", "MZJXJYAWXU", "MZJAJYYAWXU", "AWXJYAW", "MZJAWXU", "XMJYAUZ"]
 LCS = {(0, 1): 5, (0, 2): 5, (0, 3): 3, (0, 4): 4, (0, 5): 6, (1, 2): 9, (1, 3): 5, (1, 4): 7, (2, 4): 7, (4, 5): 4}
@@ -59,17 +61,54 @@ def test_islands(spark):
     assert run(0, 2) == [(5, 6), (9, 9)]
 
 
-@pytest.mark.parametrize("name", sorted(catalog.PLANS)[::4])
-def test_plan_equals_duckdb(spark, sf, name):
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL | kernels.ORACLE_SQL))
+def test_query_equals_duckdb(spark, sf, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
-    a, b = catalog.QUERIES[name](spark, sf).toPandas(), con.execute(catalog.ORACLE_SQL[name]).df()
+    a, b = (catalog.QUERIES | kernels.QUERIES)[name](spark, sf).toPandas(), con.execute((catalog.ORACLE_SQL | kernels.ORACLE_SQL)[name]).df()
     cols = sorted(a.columns)
     assert cols == sorted(b.columns)
     show = lambda f: sorted(tuple("-" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, (float, np.number, int)) else str(v) for v in r) for r in f[cols].astype(object).itertuples(index=False))
     assert show(a) == show(b)
 
 
+def _rows(con, plan, table, values):
+    con.execute(f"CREATE OR REPLACE VIEW given AS SELECT * FROM (VALUES {values}) t({table})")
+    return con.execute(plan.duckdb()).fetchall()
+
+
+def test_goldens_of_plans():
+    con = duckdb.connect()
+    src = Plan().then("g", "SELECT CAST(1 AS BIGINT) AS recording_id, CAST(i AS BIGINT) AS i, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, 600.0 AS z, 1.0 AS status FROM given")
+    got = _rows(con, kin.kinematics(src, "g", "k", 10.0, 0, 0).then("out", "SELECT speed FROM k ORDER BY i"), "i, x, y", "(0, 0, 0), (1, 3, 4), (2, 3, 4)")
+    assert [r[0] for r in got] == [50, 0, 0]
+    got = _rows(con, kin.moving_average(src, "g", "m", 3).then("out", "SELECT s_x FROM m ORDER BY i"), "i, x, y", ", ".join(f"({k}, {k + 1}, 0)" for k in range(6)))
+    assert [r[0] for r in got] == [3, 3, 3, 3, 4, 5]
+    slow = Plan().then("g", "SELECT CAST(1 AS BIGINT) AS recording_id, CAST(i AS BIGINT) AS i, 1.0 AS status, fix FROM given")
+    got = _rows(con, islands.two_class(slow, "g", "lab", "fix = 1", 10.0, 0.3, 2.0, 0.0).then("out", "SELECT label FROM lab ORDER BY i"), "i, fix", "(0, 1), (1, 0), " + ", ".join(f"({k}, 1)" for k in range(2, 10)))
+    assert [r[0] for r in got] == [2, 2] + [1] * 8
+    seq = Plan().then("s", "SELECT CAST(1 AS BIGINT) AS recording_id, CAST(k AS BIGINT) AS k, aoi, CAST(dur AS DOUBLE) AS dur FROM given")
+    got = _rows(con, aois.collapse(seq, "s", "c").then("out", "SELECT aoi, dur FROM c ORDER BY k"), "k, aoi, dur", "(0, 'A', 1), (1, 'A', 2), (2, 'B', 3), (3, 'B', 4), (4, 'A', 5)")
+    assert got == [("A", 3), ("B", 7), ("A", 5)]
+    got = _rows(con, segmentation.three_class(segmentation.ivvt(kin.kinematics(src, "g", "k", 1.0, 0, 0), "k", "v", 5, 1), "v", "lab", 1.0, (2.0, 9.0), (2.0, 9.0)).then("out", "SELECT label FROM lab ORDER BY i"), "i, x, y", "(0, 0, 0), (1, 0, 0), (2, 0, 0), (3, 9, 0), (4, 11, 0), (5, 13, 0), (6, 13.5, 0)")
+    assert [r[0] for r in got] == [1, 1, 2, 3, 3, 1, 1]
+
+
+def test_scan_goldens():
+    flat = np.zeros(7)
+    x = np.array([0, 0, 0, 10, 10.1, 10.2, 30])
+    assert K.dispersion_windows(x, flat, 2, 1.0).tolist() == [1, 1, 1, 1, 1, 1, 0]
+    assert K.dispersion_windows(x[:5], flat[:5], 4, 1.0).tolist() == [0, 0, 0, 1, 1]
+    assert K.velocity_dispersion(x, flat, np.array([0, 0, 9, 0, 0, 9, 0.0]), 5, 2, 1.0).tolist() == [3, 3, 2, 3, 3, 2, 3]
+    assert K.velocity_dispersion(x, flat, np.zeros(7), 5, 2, 1.0).tolist() == [1, 1, 1, 0, 1, 1, 0]
+    assert K.kalman_windows(flat, flat, flat, flat, 1.0, 1.0, 1.0, 3, 0.0).tolist() == [1] * 7
+    # one step by hand: q = 1, gains 1/2 and 0/2, so the speed stays until the second update
+    assert K.kalman_gains(3, 1.0, 1.0, 1.0).tolist() == [[0, 0], [0.5, 0], [pytest.approx(2.5 / 3.5), pytest.approx(1 / 3.5)]]
+    rows = K.transition_entropies(np.array([[0.5, 0.5], [1.0, 0.0]]))
+    assert rows["conditional_by_row"] == [pytest.approx(np.log(2)), 0] and sum(rows["mutual_information_by_row"]) == pytest.approx(rows["mutual_information"])
+    assert rows["stationary"] == pytest.approx(rows["conditional"] + rows["mutual_information"])
+
+
 def test_readers(spark, tmp_path):
     from gazeloom.sources import readers
 
