@@ -388,31 +388,34 @@ def lempel_ziv(symbols: list) -> list[tuple]:
 # ---------------------------------------------------------------- MultiMatch, ScanMatch, Mannan
 
 
+def _without(p: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Points that stay, each with the durations of those that go right behind it; the first stays."""
+    out = p[~gone].copy()
+    out[:, 2] = np.bincount(np.cumsum(~gone) - 1, p[:, 2])
+    return out
+
+
 def simplify_scanpath(p: np.ndarray, amplitude: float, angle: float, duration: float, rounds: int = 10) -> np.ndarray:
-    """Saccades (x, y of start, dx, dy, duration) of a scanpath, short or straight neighbours merged, durations summed."""
-    s = [[*p[k, :2], *(p[k + 1, :2] - p[k, :2]), p[k, 2]] for k in range(len(p) - 1)]
+    """Saccades (x, y of start, dx, dy, duration) of a simplified scanpath.
+
+    Each round first drops short fixations where the direction hardly turns, then those at the end of a small saccade that starts or ends at a short fixation; ends when nothing goes.
+    """
+    p = np.asarray(p, float)[:, :3]
     for _ in range(rounds):
-        before = len(s)
-        for turn in (0, 1):
-            k, out = 0, []
-            while k < len(s):
-                u = s[k]
-                if k + 1 < len(s):
-                    v = s[k + 1]
-                    lu, lv = math.hypot(u[2], u[3]), math.hypot(v[2], v[3])
-                    cos = (u[2] * v[2] + u[3] * v[3]) / (lu * lv) if lu * lv else 1.0
-                    short = lu < amplitude and lv < amplitude and v[4] < duration
-                    straight = math.degrees(math.acos(max(-1.0, min(1.0, cos)))) < angle and v[4] < duration
-                    if short if turn == 0 else straight:
-                        out.append([u[0], u[1], u[2] + v[2], u[3] + v[3], u[4] + v[4]])
-                        k += 2
-                        continue
-                out.append(u)
-                k += 1
-            s = out
-        if len(s) == before:
+        before = len(p)
+        if len(p) > 2:
+            d = np.diff(p[:, :2], axis=0)
+            size = np.hypot(d[:, 0], d[:, 1])
+            both = size[:-1] * size[1:]
+            cos = np.divide((d[:-1] * d[1:]).sum(1), both, out=np.ones_like(both), where=both > 0)
+            turn = np.degrees(np.arccos(np.clip(cos, -1, 1)))
+            p = _without(p, np.concatenate([[False], (turn <= angle) & (p[1:-1, 2] <= duration), [False]]))
+        if len(p) > 1:
+            step = np.hypot(*np.diff(p[:, :2], axis=0).T)
+            p = _without(p, np.concatenate([[False], (step <= amplitude) & ((p[:-1, 2] <= duration) | (p[1:, 2] <= duration))]))
+        if len(p) == before:
             break
-    return np.array(s, float).reshape(-1, 5)
+    return np.concatenate([p[:-1, :2], np.diff(p[:, :2], axis=0), p[:-1, 2:]], 1)
 
 
 def multimatch(p: np.ndarray, q: np.ndarray, diagonal: float, amplitude: float = 0.055, angle: float = 35.0, duration: float = 0.4) -> dict[str, float]:

@@ -94,6 +94,12 @@ def test_goldens_of_plans():
     assert [r[0] for r in got] == [1, 1, 2, 3, 3, 1, 1]
 
 
+def test_simplified_scanpath():
+    p = np.array([(0, 0, 0.1), (10, 0, 0.1), (20, 0, 0.1), (20, 50, 1), (20, 51, 0.1)])
+    assert K.simplify_scanpath(p, 5, 35, 0.4) == pytest.approx(np.array([(0, 0, 20, 0, 0.2), (20, 0, 0, 50, 0.1)]))
+    assert K.simplify_scanpath(p[:1], 5, 35, 0.4).shape == (0, 5) and K.simplify_scanpath(p[:2], 50, 35, 0.4).shape == (0, 5)
+
+
 def test_scan_goldens():
     flat = np.zeros(7)
     x = np.array([0, 0, 0, 10, 10.1, 10.2, 30])
