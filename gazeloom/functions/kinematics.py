@@ -134,3 +134,9 @@ def normalised(p: Plan, source: str, out: str, column: str) -> Plan:
 def spatial_bins(p: Plan, source: str, out: str, nx: int, ny: int, width: float, height: float) -> Plan:
     """Grid cell of each point; the far edges belong to the last cells."""
     return p.then(out, f"SELECT *, CAST(floor(least(x, {width - 0.001}) / {width / nx}) AS BIGINT) AS gx, CAST(floor(least(y, {height - 0.001}) / {height / ny}) AS BIGINT) AS gy FROM {source}")
+
+
+def bin_corners(p: Plan, out: str, nx: int, ny: int, width: float, height: float) -> Plan:
+    """(symbol, x, y): the lower corner of each grid cell by its name."""
+    p = p.then(f"{out}_x", f"SELECT @upto({nx}) AS c").then(f"{out}_y", f"SELECT @upto({ny}) AS c")
+    return p.then(out, f"SELECT concat(@letter(v.c - 1), @letter(u.c - 1)) AS symbol, (u.c - 1) * {width / nx} AS x, (v.c - 1) * {height / ny} AS y FROM {out}_x u CROSS JOIN {out}_y v")

@@ -1,8 +1,9 @@
 """Relational plans as SQL text that Spark runs and DuckDB checks.
 
 A plan is a chain of named relations. Where the dialects differ the text holds a
-``@name(...)`` macro. Spark gets the input DataFrames bound by name, so nothing is
-registered in the session and Catalyst optimises the whole chain at once.
+``@name(...)`` macro. Spark gets the input DataFrames and the earlier relations bound by
+name, so nothing stays registered in the session, each relation is analysed once, by
+itself, and Catalyst optimises the whole chain.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ MACROS = {
     "micros": ("unix_micros(CAST({0} AS TIMESTAMP))", "epoch_us({0})"),
     "upto": ("explode(sequence(1, CAST({0} AS INT)))", "unnest(generate_series(1, CAST({0} AS INT)))"),
     "except": ("* EXCEPT ({0})", "* EXCLUDE ({0})"),
+    "half_even": ("bround({0})", "round_even({0}, 0)"),
     "letter": ("char(CAST(65 + {0} AS INT))", "chr(CAST(65 + {0} AS INT))"),
 }
 _MACRO = re.compile(r"@(\w+)\(")
+_SOURCE = re.compile(r"\b(FROM|JOIN) (\w+)\b")
 
 
 def r6(x: str) -> str:
@@ -58,8 +61,18 @@ class Plan:
         return out
 
     def spark(self, spark: SparkSession, **inputs: DataFrame) -> DataFrame:
-        """Run over DataFrames bound to the ``{name}`` places of the text."""
-        return spark.sql(self.text(0), **inputs)
+        """Run over DataFrames bound to the ``{name}`` places of the text.
+
+        One long text would reach the analyzer's limit of iterations.
+        """
+        made: dict[str, DataFrame] = {}
+        for name, step in self.steps.items():
+            text = Plan({name: step}).text(0)
+            earlier = {m[2] for m in _SOURCE.finditer(text) if m[2] in made}
+            text = _SOURCE.sub(lambda m, earlier=earlier: f"{m[1]} {{{m[2]}}}" if m[2] in earlier else m[0], text)
+            given = {k: v for k, v in inputs.items() if f"{{{k}}}" in text}
+            made[name] = spark.sql(text, **(given | {k: made[k] for k in earlier}))
+        return made[name]
 
     def duckdb(self) -> str:
         return re.sub(r"\{(\w+)\}", r"\1", self.text(1))

@@ -53,6 +53,17 @@ def bcea(p: Plan, points: str, out: str, probability: float = 0.68) -> Plan:
     return p.then(out, f"SELECT a.recording_id, {r6('avg(a.bcea)')} AS mean_bcea, {r6('avg(abs(a.bcea - m.med))')} AS dispersion, {r6('sum(a.bcea * a.dur) / nullif(sum(a.dur), 0)')} AS weighted_bcea FROM {out}_a a JOIN {out}_m m ON a.recording_id = m.recording_id GROUP BY a.recording_id")
 
 
+def ellipses(p: Plan, points: str, out: str) -> Plan:
+    """Centre and covariance of the points of each AoI and recording (0 for one point), from which its ellipse is drawn."""
+    spread = ", ".join(f"{r6(f'coalesce({f}, 0.0)')} AS {n}" for f, n in (("var_samp(x)", "var_x"), ("covar_samp(x, y)", "cov_xy"), ("var_samp(y)", "var_y")))
+    return p.then(out, f"SELECT recording_id, aoi, count(*) AS n, {r6('avg(x)')} AS cx, {r6('avg(y)')} AS cy, {spread} FROM {points} GROUP BY recording_id, aoi")
+
+
+def chord_edges(p: Plan, transitions: str, out: str) -> Plan:
+    """Edges of a chord diagram: transitions weighted by whole hundred-thousandths of their probability."""
+    return p.then(out, f"SELECT recording_id, src, dst, CAST(floor(p * 1e5) AS BIGINT) AS weight FROM {transitions} WHERE p > 0")
+
+
 def transitions(p: Plan, seq: str, out: str) -> Plan:
     """(recording_id, src, dst, n, p): observed transitions; rows of p sum to one."""
     p = p.then(f"{out}_l", f"SELECT recording_id, aoi AS src, lead(aoi) OVER ({WK}) AS dst FROM {seq}")

@@ -1,7 +1,8 @@
 """Metrics of fixations, saccades and pursuits: one wide table per event, one per recording.
 
 Speeds of an event leave out its last sample; durations count all samples. Deviations
-are sample deviations, 0 for fewer than two values.
+are sample deviations, 0 for fewer than two values. Distances are Euclidean in three
+dimensions or, on request, visual angles in degrees between gaze vectors (x, y, z).
 """
 
 from __future__ import annotations
@@ -11,23 +12,38 @@ from ..functions.relational import Plan, bcea_sql, r6
 from .islands import run_samples
 
 
-def event_table(p: Plan, samples: str, where: str, out: str, fs: float, labelled: str = "1 = 1", bcea_probability: float = 0.68, initial: float = 0.02) -> Plan:
+def distance(kind: str, a: tuple[str, str, str], b: tuple[str, str, str]) -> str:
+    """Distance of two gaze vectors: ``euclidean`` or ``angular`` (degrees)."""
+    if kind == "euclidean":
+        return "sqrt(" + " + ".join(f"power({v} - {u}, 2)" for u, v in zip(a, b, strict=True)) + ")"
+    if kind != "angular":
+        raise ValueError(f"no distance named {kind}")
+    dot = lambda u, v: " + ".join(f"{s} * {t}" for s, t in zip(u, v, strict=True))
+    return f"degrees(acos(greatest(-1.0, least(1.0, ({dot(a, b)}) / nullif(sqrt({dot(a, a)}) * sqrt({dot(b, b)}), 0)))))"
+
+
+def event_table(p: Plan, samples: str, where: str, out: str, fs: float, labelled: str = "1 = 1", bcea_probability: float = 0.68, initial: float = 0.02, kind: str = "euclidean") -> Plan:
     """(recording_id, k, a, b) with durations, centroids, speeds, accelerations, displacement, path, BCEA, direction, curvature; ``n_samples`` and ``n_labelled`` count the recording's samples.
 
-    ``samples`` carry the first and last sample ``a``, ``b`` of their run; those with ``where`` are events.
+    ``samples`` carry the first and last sample ``a``, ``b`` of their run; those with ``where`` are events. ``kind`` is the
+    distance of ``displacement`` and ``path``; directions and curvature stay in the plane. ``pool_mean`` and ``pool_sd`` are of the speeds of all events of the recording.
     """
     t_s = int(initial * fs) + 1
     ev = "PARTITION BY recording_id, a"
     whole = "OVER (PARTITION BY recording_id)"
+    # the Euclidean step to the next sample is its speed already
+    ahead = "".join(f", lead({c}) OVER ({ev} ORDER BY i) AS n{c}" for c in "xyz") if kind != "euclidean" else ""
+    to_next = distance(kind, ("x", "y", "z"), ("nx", "ny", "nz")) if ahead else f"speed / {fs}"
     p = p.then(f"{out}_n", f"SELECT *, count(*) {whole} AS n_samples, sum(CASE WHEN {labelled} THEN 1 ELSE 0 END) {whole} AS n_labelled FROM {samples}")
-    p = p.then(f"{out}_s", f"SELECT recording_id, i, x, y, z, speed, a, b, n_samples, n_labelled FROM {out}_n WHERE {where}")
+    p = p.then(f"{out}_s", f"SELECT recording_id, i, x, y, z, speed, a, b, n_samples, n_labelled{ahead} FROM {out}_n WHERE {where}")
     p = p.then(
         f"{out}_e",
-        f"""SELECT *, first_value(x) OVER ({ev} ORDER BY i) AS xa, first_value(y) OVER ({ev} ORDER BY i) AS ya, max(CASE WHEN i = b THEN x END) OVER ({ev}) AS xb, max(CASE WHEN i = b THEN y END) OVER ({ev}) AS yb,
+        f"""SELECT *, first_value(x) OVER ({ev} ORDER BY i) AS xa, first_value(y) OVER ({ev} ORDER BY i) AS ya, max(CASE WHEN i = b THEN x END) OVER ({ev}) AS xb, max(CASE WHEN i = b THEN y END) OVER ({ev}) AS yb, first_value(z) OVER ({ev} ORDER BY i) AS za, max(CASE WHEN i = b THEN z END) OVER ({ev}) AS zb,
+        CASE WHEN i < b THEN {to_next} END AS step, avg(CASE WHEN i < b THEN speed END) {whole} AS pool_mean, stddev_samp(CASE WHEN i < b THEN speed END) {whole} AS pool_sd,
         max(CASE WHEN i = a + least({t_s}, b - a) THEN x END) OVER ({ev}) AS xt, max(CASE WHEN i = a + least({t_s}, b - a) THEN y END) OVER ({ev}) AS yt,
         max(CASE WHEN i < b THEN speed END) OVER ({ev}) AS pk, CASE WHEN i + 1 < b THEN abs(lead(speed) OVER ({ev} ORDER BY i) - speed) * {fs} END AS acc FROM {out}_s""",
     )
-    p = p.then(f"{out}_p", f"SELECT *, min(CASE WHEN i < b AND speed = pk THEN i END) OVER ({ev}) AS pi_, sqrt(power(xb - xa, 2) + power(yb - ya, 2)) AS chord FROM {out}_e")
+    p = p.then(f"{out}_p", f"SELECT *, min(CASE WHEN i < b AND speed = pk THEN i END) OVER ({ev}) AS pi_, sqrt(power(xb - xa, 2) + power(yb - ya, 2)) AS chord, {distance(kind, ("xa", "ya", "za"), ("xb", "yb", "zb"))} AS far FROM {out}_e")
     p = p.then(
         f"{out}_c",
         f"""SELECT *, coalesce(abs((xb - xa) * (y - ya) - (yb - ya) * (x - xa)) / nullif(chord, 0), 0) AS perp, coalesce(((x - xa) * (xb - xa) + (y - ya) * (yb - ya)) / nullif(chord, 0), 0) AS along FROM {out}_p""",
@@ -39,7 +55,7 @@ def event_table(p: Plan, samples: str, where: str, out: str, fs: float, labelled
         f"{out}_a",
         f"""SELECT recording_id, a, b, b - a + 1 AS n, max(n_samples) AS n_samples, max(n_labelled) AS n_labelled, (b - a + 1) / CAST({fs} AS DOUBLE) AS duration, avg(x) AS cx, avg(y) AS cy,
         {agg("avg", "speed", "i < b")} AS mean_speed, coalesce({agg("stddev_samp", "speed", "i < b")}, 0.0) AS sd_speed, max(pk) AS peak, max(pi_) AS peak_i,
-        max(chord) AS displacement, {agg("sum", "speed", "i < b")} / {fs} AS path,
+        max(far) AS displacement, max(chord) AS chord, sum(step) AS path, max(pool_mean) AS pool_mean, coalesce(max(pool_sd), 0.0) AS pool_sd,
         CASE WHEN count(*) > 1 THEN {bcea_sql(bcea_probability)} END AS bcea,
         {angle("max(xb - xa)", "max(yb - ya)")} AS direction, {angle("max(xt - xa)", "max(yt - ya)")} AS initial_direction,
         max(xb - xa) AS dx, max(yb - ya) AS dy, max(xt - xa) AS tx, max(yt - ya) AS ty,
@@ -58,6 +74,11 @@ def _weighted(c: str, w: str) -> str:
     return f"sum({w} * {c}) / nullif(sum({w}), 0)"
 
 
+def _weighted_known(c: str, w: str) -> str:
+    """Weighted mean of the known values only."""
+    return f"sum({w} * {c}) / nullif(sum(CASE WHEN {c} IS NOT NULL THEN {w} END), 0)"
+
+
 def per_recording(p: Plan, events: str, out: str, fs: float, metrics: list[str]) -> Plan:
     """One row per recording with an event: counts and rates, then the given metric columns over its events."""
     rate = [f"count(*) AS n_events", r6(f"count(*) / (max(n_samples) / CAST({fs} AS DOUBLE))") + " AS frequency", r6(f"count(*) / nullif(max(n_labelled) / CAST({fs} AS DOUBLE), 0)") + " AS frequency_labelled"]
@@ -73,6 +94,10 @@ FIXATION = [
     mean_sd("path", "drift_distance"),
     mean_sd("displacement / nullif((n - 1) / CAST({fs} AS DOUBLE), 0)", "drift_velocity"),
     mean_sd("bcea", "bcea"),
+    # weights and durations that count all samples
+    r6(_weighted("mean_speed", "n")) + " AS velocity_weighted_samples",
+    r6(f"sqrt({_weighted('sd_speed * sd_speed', 'n')})") + " AS velocity_pooled_sd_samples",
+    mean_sd("displacement / (n / CAST({fs} AS DOUBLE))", "drift_velocity_samples"),
 ]
 
 SACCADE = [
@@ -81,10 +106,11 @@ SACCADE = [
     mean_sd("path", "travel"),
     mean_sd("amplitude3 / nullif(path, 0)", "efficiency"),
     mean_sd("direction", "direction"),
-    mean_sd("degrees(acos(greatest(-1.0, least(1.0, abs(dx) / nullif(displacement, 0)))))", "horizontal_deviation"),
+    mean_sd("degrees(acos(greatest(-1.0, least(1.0, abs(dx) / nullif(chord, 0)))))", "horizontal_deviation"),
+    mean_sd("degrees(acos(greatest(-1.0, least(1.0, dx / nullif(chord, 0)))))", "horizontal_angle"),
     mean_sd("successive", "successive_deviation"),
     mean_sd("initial_direction", "initial_direction"),
-    mean_sd("degrees(acos(greatest(-1.0, least(1.0, (dx * tx + dy * ty) / nullif(displacement * sqrt(tx * tx + ty * ty), 0)))))", "initial_deviation"),
+    mean_sd("degrees(acos(greatest(-1.0, least(1.0, (dx * tx + dy * ty) / nullif(chord * sqrt(tx * tx + ty * ty), 0)))))", "initial_deviation"),
     mean_sd("max_curvature", "max_curvature"),
     mean_sd("area_curvature", "area_curvature"),
     mean_sd("mean_speed", "velocity"),
@@ -92,7 +118,11 @@ SACCADE = [
     r6(f"sqrt({_weighted('sd_speed * sd_speed', '(n - 1)')})") + " AS velocity_pooled_sd",
     mean_sd("peak", "peak_velocity"),
     mean_sd("mean_acc", "acceleration_profile"),
-    r6(_weighted("mean_acc", "(n - 2)")) + " AS acceleration_profile_weighted",
+    r6(_weighted("mean_speed", "n")) + " AS velocity_weighted_samples",
+    r6(f"sqrt({_weighted('sd_speed * sd_speed', 'n')})") + " AS velocity_pooled_sd_samples",
+    r6(_weighted_known("mean_acc", "greatest(n - 2, 0)")) + " AS acceleration_profile_weighted",
+    r6(_weighted_known("mean_up", "greatest(n - 2, 0)")) + " AS acceleration_weighted",
+    r6(_weighted_known("mean_down", "greatest(n - 2, 0)")) + " AS deceleration_weighted",
     mean_sd("mean_up", "acceleration"),
     mean_sd("mean_down", "deceleration"),
     mean_sd("peak_up", "peak_acceleration"),
@@ -116,6 +146,8 @@ PURSUIT = [
     mean_sd("displacement", "amplitude"),
     mean_sd("path", "distance"),
     mean_sd("displacement / nullif(path, 0)", "efficiency"),
+    r6("max(pool_mean)") + " AS velocity_pooled",
+    r6("max(pool_sd)") + " AS velocity_pooled_sd",
 ]
 
 
@@ -126,23 +158,30 @@ def saccade_columns(p: Plan, events: str, out: str) -> Plan:
     return p.then(out, f"SELECT *, degrees(acos(greatest(-1.0, least(1.0, (dx * pdx + dy * pdy) / nullif(sqrt(dx * dx + dy * dy) * sqrt(pdx * pdx + pdy * pdy), 0))))) AS successive FROM {out}_l")
 
 
-def pursuit_task(p: Plan, samples: str, target: str, where: str, out: str, fs: float, start: int, tolerance: float = 1.0, accuracy: float = 0.15) -> Plan:
+def pursuit_task(p: Plan, samples: str, target: str, where: str, out: str, fs: float, start: int, tolerance: float = 1.0, accuracy: float = 0.15, kind: str = "euclidean") -> Plan:
     """Pursuit of a known target: per recording counts, slope ratios and gain, crossing times, speed gains and accuracy.
 
     The target's sample j meets the gaze sample ``start + j``; pursuits are the runs of samples with ``where`` inside that window.
     """
-    p = p.then(f"{out}_w", f"SELECT s.recording_id, s.i, s.status, s.x, s.y, s.speed, s.label, t.x AS tx, t.y AS ty FROM {samples} s JOIN {target} t ON s.recording_id = t.recording_id AND s.i = t.i + {start}")
+    p = p.then(f"{out}_w", f"SELECT s.recording_id, s.i, s.status, s.x, s.y, s.z, s.speed, s.label, t.x AS tx, t.y AS ty FROM {samples} s JOIN {target} t ON s.recording_id = t.recording_id AND s.i = t.i + {start}")
     p = p.then(f"{out}_r", f"SELECT recording_id, min(i) AS lo, max(i) AS hi, count(*) AS n_window FROM {out}_w GROUP BY recording_id")
     p = run_samples(p, f"{out}_w", f"{out}_s", where)
+    run = "PARTITION BY recording_id, a ORDER BY i"
+    far = distance(kind, tuple(f"first_value({c}) OVER ({run})" for c in "xyz"), ("x", "y", "z"))
+    to_next = distance(kind, ("x", "y", "z"), tuple(f"lead({c}) OVER ({run})" for c in "xyz"))
+    p = p.then(f"{out}_t", f"SELECT *, {far} AS far, {to_next} AS step, avg(CASE WHEN i < b THEN speed END) OVER (PARTITION BY recording_id) AS pool_mean, stddev_samp(CASE WHEN i < b THEN speed END) OVER (PARTITION BY recording_id) AS pool_sd FROM {out}_s")
     slope = lambda c: f"covar_samp({c}, i) / nullif(var_samp(i), 0)"
-    p = p.then(f"{out}_v", f"SELECT recording_id, a, b, b - a + 1 AS n, ({slope('x')}) / nullif({slope('tx')}, 0) AS ratio_x, ({slope('y')}) / nullif({slope('ty')}, 0) AS ratio_y, avg(CASE WHEN i < b THEN speed END) AS v, max(CASE WHEN i < b THEN speed END) AS peak, sum(CASE WHEN i < b THEN speed END) / {fs} AS path FROM {out}_s GROUP BY recording_id, a, b")
-    p = p.then(f"{out}_iv", f"""SELECT recording_id, count(*) AS n_events, avg(n) / {fs} AS duration, sum(n) AS n_in, avg(v) AS velocity, avg(peak) AS peak, avg(path) AS distance, avg(ratio_x) AS gain_x, avg(ratio_y) AS gain_y,
-        sum(n * ratio_x) / nullif(sum(CASE WHEN ratio_x IS NOT NULL THEN n END), 0) AS weighted_gain_x, avg(CASE WHEN ratio_x BETWEEN {1 - accuracy} AND {1 + accuracy} THEN 1e0 ELSE 0e0 END) AS accuracy_x FROM {out}_v GROUP BY recording_id""")
+    p = p.then(f"{out}_v", f"SELECT recording_id, a, b, b - a + 1 AS n, ({slope('x')}) / nullif({slope('tx')}, 0) AS ratio_x, ({slope('y')}) / nullif({slope('ty')}, 0) AS ratio_y, avg(CASE WHEN i < b THEN speed END) AS v, max(CASE WHEN i < b THEN speed END) AS peak, sum(step) AS path, max(CASE WHEN i = b THEN far END) AS amplitude, max(pool_mean) AS pool_mean, coalesce(max(pool_sd), 0.0) AS pool_sd FROM {out}_t GROUP BY recording_id, a, b")
+    near = lambda c: f"CASE WHEN ratio_{c} > {1 - accuracy} AND ratio_{c} < {1 + accuracy} THEN 1e0 ELSE 0e0 END"
+    known = lambda c: f"nullif(sum(CASE WHEN ratio_{c} IS NOT NULL THEN n END), 0)"
+    gains = ", ".join(f"avg(ratio_{c}) AS gain_{c}, sum(n * ratio_{c}) / {known(c)} AS weighted_gain_{c}, avg({near(c)}) AS accuracy_{c}, sum(n * {near(c)}) / {known(c)} AS weighted_accuracy_{c}" for c in "xy")
+    p = p.then(f"{out}_iv", f"""SELECT recording_id, count(*) AS n_events, avg(n) / {fs} AS duration, sum(n) AS n_in, avg(v) AS velocity, max(pool_mean) AS velocity_pooled, max(pool_sd) AS velocity_pooled_sd, avg(peak) AS peak, avg(path) AS distance,
+        avg(amplitude) AS amplitude, avg(amplitude / nullif(path, 0)) AS efficiency, {gains} FROM {out}_v GROUP BY recording_id""")
     d = lambda c: f"(lead({c}) OVER ({W}) - {c})"
     p = p.then(f"{out}_g", f"SELECT recording_id, i, x, y, tx, ty, {d('x')} AS gx, {d('y')} AS gy, {d('tx')} AS hx, {d('ty')} AS hy FROM {out}_w")
     p = p.then(f"{out}_o", f"""SELECT recording_id, avg(sqrt(gx * gx + gy * gy) / nullif(sqrt(hx * hx + hy * hy), 0)) AS overall, avg(gx / nullif(hx, 0)) AS overall_x, avg(gy / nullif(hy, 0)) AS overall_y,
         min(CASE WHEN abs(x - tx) < {tolerance} THEN i END) - min(i) AS cross_x, min(CASE WHEN abs(y - ty) < {tolerance} THEN i END) - min(i) AS cross_y FROM {out}_g GROUP BY recording_id""")
-    cols = ", ".join(f"{r6(f'v.{c}')} AS {c}" for c in ("duration", "velocity", "peak", "distance", "gain_x", "gain_y", "weighted_gain_x", "accuracy_x"))
+    cols = ", ".join(f"{r6(f'v.{c}')} AS {c}" for c in ("duration", "velocity", "velocity_pooled", "velocity_pooled_sd", "peak", "distance", "amplitude", "efficiency", *(f"{m}_{d}" for m in ("gain", "weighted_gain", "accuracy", "weighted_accuracy") for d in "xy")))
     return p.then(
         out,
         f"""SELECT r.recording_id, coalesce(v.n_events, 0) AS n_events, {r6(f"coalesce(v.n_events, 0) / (r.n_window / CAST({fs} AS DOUBLE))")} AS frequency, {r6("coalesce(v.n_in, 0) / CAST(r.n_window AS DOUBLE)")} AS proportion, {cols},

@@ -46,17 +46,29 @@ def dacf(p: Plan, source: str, out: str, lags: list[int], order: int = 20) -> Pl
     return p.then(out, f"SELECT recording_id, lag_, {r6(f'({pick}) / nullif(m{min(lags)}, 0)')} AS dacf FROM {out}_m CROSS JOIN {out}_k WHERE {pick} IS NOT NULL AND m{min(lags)} IS NOT NULL")
 
 
-def asof_nearest(p: Plan, left: str, right: str, out: str, tolerance: float | None = None) -> Plan:
-    """Nearest right row (g, t, v) of each left row (g, t, id) within the group ``g``; ties look backward; beyond the tolerance null.
+def asof_nearest(p: Plan, left: str, right: str, out: str, tolerance: float | None = None, fill: bool = False) -> Plan:
+    """Nearest right row (g, t, v) of each left row (g, t, id) within the group ``g``; ties look backward; beyond the tolerance null, or with ``fill`` the nearest row all the same, and ``within`` tells which.
 
     Both sides are put in one order once; the neighbours are the last and the next right row there. Of right rows at one time the largest value counts.
     """
     p = p.then(f"{out}_u", f"SELECT g, t, id, CAST(NULL AS DOUBLE) AS rt, CAST(NULL AS BIGINT) AS v, 1 AS side FROM {left} UNION ALL SELECT g, t, NULL AS id, CAST(t AS DOUBLE) AS rt, max(v) AS v, 0 AS side FROM {right} GROUP BY g, t")
     back, ahead = "PARTITION BY g ORDER BY t, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "PARTITION BY g ORDER BY t DESC, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     p = p.then(f"{out}_w", f"SELECT g, t, id, side, max(rt) OVER ({back}) AS t0, min(rt) OVER ({ahead}) AS t1 FROM {out}_u")
-    limit = f"AND abs(w.near - w.t) <= {tolerance}" if tolerance is not None else ""
+    limit = f"AND abs(w.near - w.t) <= {tolerance}" if tolerance is not None and not fill else ""
+    within = f", CASE WHEN abs(w.near - w.t) <= {tolerance} THEN 1 ELSE 0 END AS within" if tolerance is not None and fill else ""
     p = p.then(f"{out}_n", f"SELECT g, t, id, CASE WHEN t1 IS NULL OR (t0 IS NOT NULL AND t - t0 <= t1 - t) THEN t0 ELSE t1 END AS near FROM {out}_w WHERE side = 1")
-    return p.then(out, f"SELECT w.g, w.id, w.t, r.v FROM {out}_n w LEFT JOIN (SELECT g, t, max(v) AS v FROM {right} GROUP BY g, t) r ON w.g = r.g AND w.near = r.t {limit}")
+    return p.then(out, f"SELECT w.g, w.id, w.t, r.v{within} FROM {out}_n w LEFT JOIN (SELECT g, t, max(v) AS v FROM {right} GROUP BY g, t) r ON w.g = r.g AND w.near = r.t {limit}")
+
+
+def interpolated_frames(p: Plan, points: str, frames: str, out: str) -> Plan:
+    """Frame number of each point (g, t, id) between the frames (g, t, frame) around it, linear in time, halves to even; before the first and after the last frame theirs.
+
+    Frame numbers grow with time. A point in a group without frames has none.
+    """
+    p = p.then(f"{out}_u", f"SELECT g, t, id, CAST(NULL AS BIGINT) AS ft, CAST(NULL AS BIGINT) AS frame, 1 AS side FROM {points} UNION ALL SELECT g, t, NULL AS id, t AS ft, max(frame) AS frame, 0 AS side FROM {frames} GROUP BY g, t")
+    back, ahead = (f"OVER (PARTITION BY g ORDER BY t{way}, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for way in ("", " DESC"))
+    p = p.then(f"{out}_w", f"SELECT g, t, id, side, max(ft) {back} AS t0, max(frame) {back} AS f0, min(ft) {ahead} AS t1, min(frame) {ahead} AS f1 FROM {out}_u")
+    return p.then(out, f"SELECT g, id, t, CAST(@half_even(CASE WHEN t0 IS NULL THEN f1 WHEN t1 IS NULL OR t1 = t0 THEN f0 ELSE f0 + (f1 - f0) * ((t - t0) / CAST(t1 - t0 AS DOUBLE)) END) AS BIGINT) AS frame FROM {out}_w WHERE side = 1")
 
 
 def map_points(p: Plan, points: str, homographies: str, out: str) -> Plan:

@@ -41,14 +41,14 @@ def _r(*columns: str) -> str:
     return ", ".join(f"{r6(c)} AS {c}" for c in columns)
 
 
-def _fixations(p: Plan) -> Plan:
+def _fixations(p: Plan, kind: str = "euclidean") -> Plan:
     p = segmentation.ivt(p, "kin", "lab", SLOW, FS, min_fix=1.0, max_fix=1000.0, min_sac=0.0)
-    return events.event_table(p, "lab", "label = 1", "fix", FS, "label > 0")
+    return events.event_table(p, "lab", "label = 1", "fix", FS, "label > 0", kind=kind)
 
 
-def _saccades(p: Plan) -> Plan:
+def _saccades(p: Plan, kind: str = "euclidean") -> Plan:
     p = segmentation.ivt(p, "kin", "lab", SLOW, FS, min_fix=1.0, max_fix=1000.0, min_sac=0.0)
-    return events.saccade_columns(events.event_table(p, "lab", "label = 2", "sac0", FS, "label > 0"), "sac0", "sac")
+    return events.saccade_columns(events.event_table(p, "lab", "label = 2", "sac0", FS, "label > 0", kind=kind), "sac0", "sac")
 
 
 def _pursuits(p: Plan) -> Plan:
@@ -71,6 +71,7 @@ def _plans() -> dict[str, Plan]:
     q["spatial_bins"] = bins.then("out", "SELECT recording_id, k, gx, gy, concat(@letter(gy), @letter(gx)) AS symbol FROM bins")
     q["spatial_temporal_bins"] = bins.then("rep", "SELECT recording_id, k, gx, gy, @upto(ceil(dur / 20000.0)) AS r FROM bins").then("out", "SELECT recording_id, k, concat(@letter(gy), @letter(gx)) AS symbol, count(*) AS repeats FROM rep GROUP BY recording_id, k, gy, gx")
     q["bin_distances"] = Plan().then("cx", "SELECT @upto(10) AS c").then("cells", f"SELECT a.c - 1 AS gx, b.c - 1 AS gy FROM cx a CROSS JOIN cx b").then("d", f"SELECT CAST(a.gx AS BIGINT) AS gx1, CAST(a.gy AS BIGINT) AS gy1, CAST(b.gx AS BIGINT) AS gx2, CAST(b.gy AS BIGINT) AS gy2, sqrt(power((a.gx - b.gx) * {WIDTH / 10}, 2) + power((a.gy - b.gy) * {HEIGHT / 10}, 2)) AS d FROM cells a CROSS JOIN cells b").then("out", f"SELECT gx1, gy1, gx2, gy2, {r6('d / max(d) OVER ()')} AS distance FROM d")
+    q["bin_corners"] = kin.bin_corners(Plan(), "bc", 10, 10, WIDTH, HEIGHT).then("out", f"SELECT symbol, {_r('x', 'y')} FROM bc")
     # runs and filters
     q["interval_merging"] = islands.runs(GOOD, "good", "rn", "x <= 100", 1).then("out", "SELECT recording_id, k, a, b, b - a + 1 AS n FROM rn")
     q["interval_status"] = islands.runs(GAZE, "gaze", "rn", "x <= 300", 1, 50, 0.7).then("out", "SELECT recording_id, k, a, b FROM rn")
@@ -93,8 +94,13 @@ def _plans() -> dict[str, Plan]:
     pur = events.event_table(_pursuits(KIN), "lab_s", "label = 3", "pur", FS)
     q["pursuit_events"] = pur.then("out", f"SELECT recording_id, k, a, b, n, {_r('duration', 'mean_speed', 'peak', 'displacement', 'path')} FROM pur")
     q["pursuit_metrics"] = events.per_recording(pur, "pur", "out", FS, events.PURSUIT)
+    # distances as visual angles
+    q["fixation_metrics_angular"] = events.per_recording(_fixations(KIN, "angular"), "fix", "out", FS, [m.replace("{fs}", str(FS)) for m in events.FIXATION])
+    q["saccade_metrics_angular"] = events.per_recording(_saccades(KIN, "angular"), "sac", "out", FS, events.SACCADE)
+    q["pursuit_metrics_angular"] = events.per_recording(events.event_table(_pursuits(KIN), "lab_s", "label = 3", "pur", FS, kind="angular"), "pur", "out", FS, events.PURSUIT)
     target = _pursuits(KIN).then("target", "SELECT recording_id, i, 250 + 200 * sin(i / 5.0) AS x, 50 + 40 * cos(i / 5.0) AS y FROM good")
     q["pursuit_task"] = events.pursuit_task(target, "lab", "target", "label = 3", "out", FS, 5, 40.0, 0.5)
+    q["pursuit_task_angular"] = events.pursuit_task(target, "lab", "target", "label = 3", "out", FS, 5, 40.0, 0.5, "angular")
     error = KIN.then("err", "SELECT recording_id, i, vx - 40 * cos(i / 5.0) AS e FROM kin")
     q["pursuit_task_entropy"] = events.approximate_entropy(error, "err", "out", 2, 150.0)
     # scanpaths
@@ -125,6 +131,8 @@ def _plans() -> dict[str, Plan]:
     q["aoi_durations"] = aois.durations(SEQ, "seq", "out")
     q["aoi_bcea"] = aois.bcea(PATH, "path", "out")
     q["aoi_transitions"] = aois.transitions(SEQ, "seq", "tr").then("out", f"SELECT recording_id, src, dst, n, {r6('p')} AS p FROM tr")
+    q["aoi_ellipses"] = aois.ellipses(PATH, "path", "out")
+    q["aoi_chord_edges"] = aois.chord_edges(aois.transitions(SEQ, "seq", "tr"), "tr", "out")
     q["aoi_ngrams"] = aois.ngrams(SEQ, "seq", "out")
     q["aoi_sequential_patterns"] = aois.sequential_pairs(SEQ, "seq", "out")
     q["aoi_trend"] = aois.trend(SEQ, "seq", "out")
@@ -139,6 +147,10 @@ def _plans() -> dict[str, Plan]:
     q["dacf"] = signals.dacf(GOOD, "good", "out", list(range(1, 12)), 3)
     asof = Plan().then("lhs", "SELECT user_id AS g, CAST(@micros(ts) AS BIGINT) AS t, event_id AS id FROM {events}").then("rhs", "SELECT user_id AS g, CAST(@micros(ts) AS BIGINT) + 1000000 AS t, event_id AS v FROM {events}")
     q["asof_nearest"] = signals.asof_nearest(asof, "lhs", "rhs", "out", 5e10)
+    q["asof_nearest_filled"] = signals.asof_nearest(asof, "lhs", "rhs", "out", 5e10, fill=True)
+    # a camera of one frame in 20,000 s, gaze between its frames
+    camera = Plan().then("lhs", "SELECT user_id AS g, CAST(@micros(ts) AS BIGINT) AS t, event_id AS id FROM {events}").then("cam", "SELECT g, max(t) + CAST(c - 1 AS BIGINT) * 20000000000 AS t, c - 1 AS frame FROM (SELECT user_id AS g, min(CAST(@micros(ts) AS BIGINT)) AS t, @upto(150) AS c FROM {events} GROUP BY user_id) q GROUP BY g, c")
+    q["frame_interpolation"] = signals.interpolated_frames(camera, "lhs", "cam", "out")
     hom = Plan().then("pts", "SELECT event_id AS id, event_id % 50 AS frame, value AS x, CAST(@json_k(props) AS DOUBLE) AS y FROM {events}").then("hom", "SELECT DISTINCT frame, 1.0 + frame / 100.0 AS h11, 0.01 * frame AS h12, 3.0 AS h13, 0.02 AS h21, 0.9 AS h22, CAST(frame AS DOUBLE) AS h23, 0.0001 AS h31, 0.0002 AS h32, 1.0 AS h33 FROM pts WHERE frame % 7 <> 0")
     mapped = signals.map_points(hom, "pts", "hom", "mp")
     q["reference_mapping"] = mapped.then("out", "SELECT id, frame, ref_x, ref_y, mapped FROM mp")
