@@ -122,6 +122,43 @@ def sequence_metrics(sequences: DataFrame, pairs: DataFrame, metrics: dict[str,
     return _paired(packed, pairs, "v").mapInPandas(run, "id_1 long, id_2 long, metric string, value double")
 
 
+def alignments(sequences: DataFrame, pairs: DataFrame, symbol: str = "aoi", align: Callable[[list, list], tuple[float, list]] = K.edit_alignment) -> DataFrame:
+    """(id_1, id_2, score, aligned) for pairs of symbol sequences: an alignment as pairs of symbols, ``_`` for a gap."""
+    packed = sequences.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", symbol))), lambda s: s[symbol]).alias("v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for one, two, v, w in zip(b.id_1, b.id_2, b.v, b.w, strict=True):
+                score, places = align(list(v), list(w))
+                rows.append((one, two, score, [(v[i] if i >= 0 else "_") + (w[j] if j >= 0 else "_") for i, j in places]))
+            yield pd.DataFrame(rows, columns=["id_1", "id_2", "score", "aligned"])
+
+    return _paired(packed, pairs, "v").mapInPandas(run, "id_1 long, id_2 long, score double, aligned array<string>")
+
+
+def warp_links(scanpaths: DataFrame, pairs: DataFrame, kind: str = "dtw") -> DataFrame:
+    """(id_1, id_2, distance, left, right) for scanpath pairs: the linked places of a warping, ``left[n]`` with ``right[n]``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for one, two, v, w in zip(b.id_1, b.id_2, b.v, b.w, strict=True):
+                far, links = K.warp_links(*(np.asarray(z, float).reshape(-1, 2) for z in (v, w)), kind)
+                rows.append((one, two, far, [i for i, _ in links], [j for _, j in links]))
+            yield pd.DataFrame(rows, columns=["id_1", "id_2", "distance", "left", "right"])
+
+    packed = pack_scanpaths(scanpaths, ("x", "y")).withColumn("v", F.flatten(F.transform("v", lambda q: F.array(*[q[c].cast("double") for c in "xy"]))))
+    return _paired(packed, pairs, "v").mapInPandas(run, "id_1 long, id_2 long, distance double, left array<int>, right array<int>")
+
+
+def same_centers(one: dict[str, tuple[float, float]], two: dict[str, tuple[float, float]]) -> dict[str, tuple[float, float]]:
+    """The centres that two sequences share; alignments by distance need the same."""
+    if not one or one.keys() != two.keys() or any(tuple(one[k]) != tuple(two[k]) for k in one):
+        raise ValueError("both sequences need the same centres")
+    return one
+
+
 def edit_metrics(centers: dict[str, tuple[float, float]] | None = None) -> dict[str, Callable[[list, list], float]]:
     """Levenshtein, generalized edit, Needleman-Wunsch, common subsequence and Smith-Waterman measures, by the longer length."""
     top = max((np.hypot(p[0] - q[0], p[1] - q[1]) for p in centers.values() for q in centers.values()), default=1.0) or 1.0 if centers else 1.0
@@ -176,12 +213,12 @@ def clusters(df: DataFrame, method: str, diagonal: float) -> DataFrame:
     return per_recording(df, run, "k long, aoi string", ["x", "y"], "k")
 
 
-def hmm_aois(df: DataFrame, states: int = 3) -> DataFrame:
-    """(recording_id, k, aoi, and the recording's Fisher vector) by a Gaussian model of fixations."""
+def hmm_aois(df: DataFrame, states: int | None = 3) -> DataFrame:
+    """(recording_id, k, aoi, and the recording's Fisher vector) by a Gaussian model of fixations; without a number of states as many as the best clusters."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         pts = g[["x", "y"]].to_numpy(float)
-        model = K.gaussian_hmm_2d(pts, min(states, len(pts)))
+        model = K.gaussian_hmm_2d(pts, min(states or len(set(K.kmeans_auto(pts).tolist())), len(pts)))
         return pd.DataFrame({"k": g.k, "aoi": [chr(65 + int(c)) for c in model["labels"]], "fisher": [K.fisher_vector(model, pts).tolist()] + [None] * (len(g) - 1)})
 
     return per_recording(df, run, "k long, aoi string, fisher array<double>", ["x", "y"], "k")

@@ -6,6 +6,7 @@ Plain numpy functions; ``grouped.py`` runs them inside Spark.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -245,55 +246,99 @@ def velocity_dispersion(x: np.ndarray, y: np.ndarray, speed: np.ndarray, fast: f
 # ---------------------------------------------------------------- dynamic programs
 
 
+def _table(top: np.ndarray, side: np.ndarray, cost: np.ndarray, step: Callable[..., np.ndarray]) -> np.ndarray:
+    """A dynamic program's table by anti-diagonals: ``step(diagonal, above, left, cost)`` gives all cells of one at once."""
+    n, m = cost.shape
+    table = np.empty((n + 1, m + 1))
+    table[0], table[:, 0] = top, side
+    if n and m:
+        flat, wide = table.ravel(), np.zeros((n, m + 1))
+        wide[:, :m] = cost
+        c = wide.ravel()
+        for d in range(n + m - 1):
+            lo, hi = max(0, d - m + 1), min(n - 1, d)
+            a, b = (lo + 1) * m + d + 2, (hi + 1) * m + d + 3
+            flat[a:b:m] = step(flat[a - m - 2 : b - m - 2 : m], flat[a - m - 1 : b - m - 1 : m], flat[a - 1 : b - 1 : m], c[lo * m + d : hi * m + d + 1 : m])
+    return table
+
+
+def _costs(a: list, b: list, cost: Callable[[int, int], float] | None) -> np.ndarray:
+    """Cost of each pair of places; without ``cost`` 0 for equal symbols and 1 else."""
+    if cost is None:
+        return (np.array(a, object)[:, None] != np.array(b, object)[None, :]).astype(float).reshape(len(a), len(b))
+    return np.array([[cost(i, j) for j in range(len(b))] for i in range(len(a))], float).reshape(len(a), len(b))
+
+
+def _edit_table(a: list, b: list, deletion: float, insertion: float, cost: np.ndarray) -> np.ndarray:
+    top, side = np.arange(len(b) + 1) * insertion, np.arange(len(a) + 1) * deletion
+    return _table(top, side, cost, lambda d, up, left, c: np.minimum(np.minimum(d + c, up + deletion), left + insertion))
+
+
 def weighted_levenshtein(a: list, b: list, deletion: float = 1.0, insertion: float = 1.0, substitution=None) -> float:
     """Edit distance with given costs; ``substitution(i, j)`` defaults to 0 for equal symbols and 1 else."""
-    cost = substitution or (lambda i, j: 0.0 if a[i] == b[j] else 1.0)
-    row = [j * insertion for j in range(len(b) + 1)]
-    for i in range(len(a)):
-        new = [row[0] + deletion]
-        for j in range(len(b)):
-            new.append(min(row[j] + cost(i, j), row[j + 1] + deletion, new[j] + insertion))
-        row = new
-    return float(row[-1])
+    return float(_edit_table(a, b, deletion, insertion, _costs(a, b, substitution))[-1, -1])
+
+
+def edit_alignment(a: list, b: list, deletion: float = 1.0, insertion: float = 1.0, substitution=None) -> tuple[float, list[tuple[int, int]]]:
+    """Edit distance and its alignment: places (i, j) from the start, -1 for a gap. Of equal ways back a pair comes before a deletion and that before an insertion."""
+    cost = _costs(a, b, substitution)
+    table = _edit_table(a, b, deletion, insertion, cost)
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        here = table[i, j]
+        if i and j and table[i - 1, j - 1] + cost[i - 1, j - 1] == here:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif i and (not j or table[i - 1, j] + deletion == here):
+            i -= 1
+            out.append((i, -1))
+        else:
+            j -= 1
+            out.append((-1, j))
+    return float(table[-1, -1]), out[::-1]
 
 
 def needleman_wunsch(a: list, b: list, bonus: float = 0.1, gap: float = 0.25, mismatch=None) -> float:
     """Best global alignment score: ``bonus`` for equal symbols, minus a distance for others, minus ``gap``."""
-    cost = mismatch or (lambda i, j: 1.0)
-    row = [-j * gap for j in range(len(b) + 1)]
-    for i in range(len(a)):
-        new = [row[0] - gap]
-        for j in range(len(b)):
-            fit = bonus if a[i] == b[j] else -cost(i, j)
-            new.append(max(row[j] + fit, row[j + 1] - gap, new[j] - gap))
-        row = new
-    return float(row[-1])
+    same = _costs(a, b, None) == 0
+    fit = np.where(same, bonus, -_costs(a, b, mismatch or (lambda i, j: 1.0)))
+    return float(_table(-np.arange(len(b) + 1) * gap, -np.arange(len(a) + 1) * gap, fit, lambda d, up, left, c: np.maximum(np.maximum(d + c, up - gap), left - gap))[-1, -1])
 
 
 def _distances(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.hypot(s[:, None, 0] - t[None, :, 0], s[:, None, 1] - t[None, :, 1])
 
 
+def _warp_table(s: np.ndarray, t: np.ndarray, join: Callable[[np.ndarray, np.ndarray], np.ndarray], first: float) -> np.ndarray:
+    top, side = np.full(len(t) + 1, np.inf), np.full(len(s) + 1, np.inf)
+    top[0] = side[0] = first
+    return _table(top, side, _distances(s, t), lambda d, up, left, c: join(c, np.minimum(np.minimum(d, up), left)))
+
+
+#: How a warping joins a distance to the best way so far, and what it starts from.
+WARPS = {"dtw": (np.add, 0.0), "frechet": (np.maximum, -np.inf)}
+
+
 def dtw(s: np.ndarray, t: np.ndarray) -> float:
     """Dynamic time warping distance of two point sequences."""
-    d = _distances(s, t)
-    acc = np.full((len(s) + 1, len(t) + 1), np.inf)
-    acc[0, 0] = 0
-    for i in range(len(s)):
-        for j in range(len(t)):
-            acc[i + 1, j + 1] = d[i, j] + min(acc[i, j], acc[i, j + 1], acc[i + 1, j])
-    return float(acc[-1, -1])
+    return float(_warp_table(s, t, *WARPS["dtw"])[-1, -1])
 
 
 def discrete_frechet(s: np.ndarray, t: np.ndarray) -> float:
     """Discrete Frechet distance."""
-    d = _distances(s, t)
-    acc = np.full((len(s) + 1, len(t) + 1), np.inf)
-    acc[0, 0] = -np.inf
-    for i in range(len(s)):
-        for j in range(len(t)):
-            acc[i + 1, j + 1] = max(d[i, j], min(acc[i, j], acc[i, j + 1], acc[i + 1, j]))
-    return float(acc[-1, -1])
+    return float(_warp_table(s, t, *WARPS["frechet"])[-1, -1])
+
+
+def warp_links(s: np.ndarray, t: np.ndarray, kind: str = "dtw") -> tuple[float, list[tuple[int, int]]]:
+    """Distance and linked places (i, j) of a warping, from the start; of equal ways back the diagonal comes first, then the first sequence's step. Empty sequences have none."""
+    table = _warp_table(s, t, *WARPS[kind])
+    out, i, j = [], len(s), len(t)
+    while i and j:
+        out.append((i - 1, j - 1))
+        back = (table[i - 1, j - 1], table[i - 1, j], table[i, j - 1])
+        at = back.index(min(back))
+        i, j = i - (at != 2), j - (at != 1)
+    return float(table[-1, -1]), out[::-1]
 
 
 def longest_common_subsequence(a: list, b: list) -> list:
@@ -315,17 +360,50 @@ def longest_common_subsequence(a: list, b: list) -> list:
     return out[::-1]
 
 
+def _local_table(fit: np.ndarray, base: float, step: float) -> np.ndarray:
+    """Scores of the best local alignment that ends at each pair of places.
+
+    A gap that follows a gap of the same direction is never better than one longer gap, so a row's gaps start from the cells without one.
+    """
+    n, m = fit.shape
+    h, open_ = np.zeros((n + 1, m + 1)), np.full(m + 1, -np.inf)
+    ramp = step * np.arange(m + 1)
+    for i in range(1, n + 1):
+        open_ = np.maximum(open_, h[i - 1] - base) - step
+        row = np.maximum(0.0, open_)
+        row[1:] = np.maximum(row[1:], h[i - 1, :-1] + fit[i - 1])
+        row[0] = 0.0
+        row[1:] = np.maximum(row[1:], np.maximum.accumulate(row + ramp)[:-1] - base - ramp[1:])
+        h[i] = row
+    return h
+
+
 def smith_waterman(a: list, b: list, similarity=None, base: float = 0.1, step: float = 0.05) -> float:
     """Best local alignment score with gap costs base + step * length."""
-    fit = similarity or (lambda i, j: 1.0 if a[i] == b[j] else -1.0)
-    n, m = len(a), len(b)
-    h = np.zeros((n + 1, m + 1))
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            up = (h[i - np.arange(1, i + 1), j] - base - step * np.arange(1, i + 1)).max()
-            left = (h[i, j - np.arange(1, j + 1)] - base - step * np.arange(1, j + 1)).max()
-            h[i, j] = max(0.0, h[i - 1, j - 1] + fit(i - 1, j - 1), up, left)
-    return float(h.max())
+    return float(_local_table(_costs(a, b, similarity or (lambda i, j: 1.0 if a[i] == b[j] else -1.0)), base, step).max())
+
+
+def local_alignment(a: list, b: list, similarity=None, base: float = 0.1, step: float = 0.05) -> tuple[float, list[tuple[int, int]]]:
+    """Score and places (i, j) of a best local alignment, -1 for gaps; of equal ends the first, of equal ways back a pair, then a gap in ``b``, then one in ``a``."""
+    fit = _costs(a, b, similarity or (lambda i, j: 1.0 if a[i] == b[j] else -1.0))
+    h = _local_table(fit, base, step)
+    i, j = (int(v) for v in np.unravel_index(h.argmax(), h.shape))
+    out = []
+    while h[i, j] > 0:
+        if abs(h[i - 1, j - 1] + fit[i - 1, j - 1] - h[i, j]) < 1e-9:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+            continue
+        up = np.flatnonzero(np.abs(h[i - 1 :: -1, j] - base - step * np.arange(1, i + 1) - h[i, j]) < 1e-9)
+        if len(up):
+            gap = int(up[0]) + 1
+            out += [(i - 1 - k, -1) for k in range(gap)]
+            i -= gap
+        else:
+            gap = int(np.flatnonzero(np.abs(h[i, j - 1 :: -1] - base - step * np.arange(1, j + 1) - h[i, j]) < 1e-9)[0]) + 1
+            out += [(-1, j - 1 - k) for k in range(gap)]
+            j -= gap
+    return float(h.max()), out[::-1]
 
 
 def emine(sequences: list[list]) -> list:

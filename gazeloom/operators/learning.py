@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -45,6 +47,32 @@ class Neighbours:
         return self.scaler.transform(df).withColumn("prediction", vote(vector_to_array("scaled")))
 
 
+def joint_areas(points: DataFrame, most: int = 15, seed: int = 0) -> DataFrame:
+    """(recording_id, k, aoi, cx, cy): areas of interest shared by all recordings, by k-means over all points (recording_id, k, x, y) together.
+
+    Of 2 to ``most`` clusters the number with the best silhouette counts. Letters go by the centre's x, then y. With fewer than three different points all are one area.
+    """
+    spark = points.sparkSession
+    rows = points.select("recording_id", "k", "x", "y", array_to_vector(F.array(F.col("x").cast("double"), F.col("y").cast("double"))).alias("at")).where("x IS NOT NULL AND y IS NOT NULL")
+    # three rows at most come back; whether there are as many is all that counts
+    if rows.select("x", "y").distinct().limit(3).count() < 3:
+        middle = rows.agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+        return rows.select("recording_id", "k", F.lit("A").alias("aoi")).crossJoin(F.broadcast(middle))
+    judge = ClusteringEvaluator(featuresCol="at", predictionCol="cluster")
+    best, found = None, None
+    for n in range(2, most + 1):
+        model = KMeans(k=n, seed=seed, featuresCol="at", predictionCol="cluster").fit(rows)
+        made = len(model.clusterCenters())
+        if made < n:
+            break
+        score = judge.evaluate(model.transform(rows))
+        if best is None or score > best:
+            best, found = score, model
+    centers = sorted((float(c[0]), float(c[1]), i) for i, c in enumerate(found.clusterCenters()))
+    named = spark.createDataFrame([(i, chr(65 + n), x, y) for n, (x, y, i) in enumerate(centers)], "cluster int, aoi string, cx double, cy double")
+    return found.transform(rows).join(F.broadcast(named), "cluster").select("recording_id", "k", "aoi", "cx", "cy")
+
+
 def fit_neighbours(rows: DataFrame, k: int = 3, most: int = NEIGHBOUR_ROWS) -> Neighbours:
     """From rows with ``recording_id, i, vector, label``; scaling uses all of them."""
     n = rows.count()

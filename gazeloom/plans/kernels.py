@@ -56,6 +56,12 @@ def _entropies(s: SparkSession, d: str) -> DataFrame:
     return grouped.entropies(_of(aois.transitions(C.SEQ, "seq", "tr"), "tr", s, d))
 
 
+def _hmm_transitions(s: SparkSession, d: str) -> DataFrame:
+    """Transitions between the areas of each recording's Gaussian model, with as many states as its best clusters."""
+    areas = grouped.hmm_aois(scanpath(s, d), None).select("recording_id", "k", "aoi")
+    return aois.transitions(C.Plan(), "{areas}", "tr").spark(s, areas=areas)
+
+
 def _panels(s: SparkSession, d: str) -> DataFrame:
     """Whole collapsed sequences in panels of five recordings, so groups stay small however many recordings there are."""
     collapsed = _of(aois.collapse(C.SEQ, "seq", "co"), "co", s, d)
@@ -104,6 +110,13 @@ QUERIES = {
     "scanpath_similarity": lambda s, d: grouped.pair_metrics(scanpath(s, d), pairs(s, d), METRICS),
     "aoi_edit_distances": lambda s, d: grouped.sequence_metrics(scanpath(s, d), pairs(s, d), grouped.edit_metrics(CENTERS)),
     "aoi_hmm": lambda s, d: grouped.hmm_aois(scanpath(s, d)),
+    "aoi_hmm_transitions": _hmm_transitions,
+    "aoi_hmm_transition_entropy": lambda s, d: grouped.entropies(_hmm_transitions(s, d)),
+    "aoi_joint_kmeans": lambda s, d: learning.joint_areas(scanpath(s, d)),
+    "aoi_alignments": lambda s, d: grouped.alignments(scanpath(s, d), pairs(s, d)),
+    "aoi_local_alignments": lambda s, d: grouped.alignments(scanpath(s, d), pairs(s, d), align=K.local_alignment),
+    "scanpath_dtw_links": lambda s, d: grouped.warp_links(scanpath(s, d), pairs(s, d)),
+    "scanpath_frechet_links": lambda s, d: grouped.warp_links(scanpath(s, d), pairs(s, d), "frechet"),
     "aoi_transition_entropy": _entropies,
     "aoi_common_patterns": _panels,
     "aoi_lempel_ziv": lambda s, d: grouped.lempel_ziv(scanpath(s, d)),

@@ -34,7 +34,42 @@ def gaze_arff(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("i", (F.row_number().over(Window.partitionBy("recording").orderBy("time_us")) - 1).cast("long")).join(F.broadcast(sized), "recording")
     label = F.create_map(*[F.lit(x) for k, v in ARFF_LABELS.items() for x in (k, v)])[F.col("name")]
     off = (F.col("x_px") < 0) | (F.col("y_px") < 0) | (F.col("x_px") > F.col("width_px")) | (F.col("y_px") > F.col("height_px"))
-    return rows.select("recording", "i", "time_us", "x_px", "y_px", (F.col("x_px") * F.col("width_mm") / F.col("width_px")).alias("x"), (F.col("y_px") * F.col("height_mm") / F.col("height_px")).alias("y"), "confidence", F.coalesce(label, F.lit(0)).alias("label"), off.alias("off_screen"))
+    return rows.select("recording", "i", "time_us", "x_px", "y_px", (F.col("x_px") * F.col("width_mm") / F.col("width_px")).alias("x"), (F.col("y_px") * F.col("height_mm") / F.col("height_px")).alias("y"), "confidence", F.coalesce(label, F.lit(0)).alias("label"), off.alias("off_screen"), "width_mm", "height_mm")
+
+
+def cleaned(df: DataFrame, most_noise: float) -> DataFrame:
+    """Recordings (recording, i, x, y, label) with at most ``most_noise`` of their samples labelled 0; x and y of those samples are interpolated.
+
+    Samples without a position count as noise, too. The last known position holds to the end; before the first one positions stay null.
+    """
+    whole, order = Window.partitionBy("recording"), Window.partitionBy("recording").orderBy("i")
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    df = df.withColumn("label", F.when(known, F.col("label")).otherwise(0))
+    place = F.when(F.col("label") != 0, F.struct("i", "x", "y"))
+    # one struct for all helpers, so that no column of the input clashes
+    near = F.struct(F.avg(F.when(F.col("label") == 0, 1.0).otherwise(0.0)).over(whole).alias("noise"), F.last(place, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.first(place, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("q"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), near.alias("near")).where(F.col("near.noise") <= most_noise)
+    gap = F.col("near.q.i") - F.col("near.p.i")
+    between = lambda c: F.when(F.col("near.q").isNull() | (gap == 0), F.col(f"near.p.{c}")).otherwise(F.col(f"near.p.{c}") + (F.col(f"near.q.{c}") - F.col(f"near.p.{c}")) * (F.col("row.i") - F.col("near.p.i")) / gap)
+    return rows.select(*[between(c).alias(c) if c in ("x", "y") else F.col(f"row.`{c}`") for c in df.columns])
+
+
+def gaze_arff_cleaned(spark: SparkSession, path: str, plane: tuple[float, float] = (475.0, 280.0), most_noise: float = 0.05) -> DataFrame:
+    """:func:`gaze_arff` centred on a common plane, samples off the screen without label, noise interpolated, noisy recordings dropped."""
+    df = gaze_arff(spark, path)
+    off = (F.col("x") <= 0) | (F.col("y") <= 0) | (F.col("x") > F.col("width_mm")) | (F.col("y") > F.col("height_mm"))
+    moved = {c: F.when(~off, F.col(c) - F.col(size) / 2 + to / 2) for c, size, to in (("x", "width_mm", plane[0]), ("y", "height_mm", plane[1]))}
+    return cleaned(df.withColumns(moved | {"label": F.when(off, 0).otherwise(F.col("label"))}), most_noise)
+
+
+#: Labels of recordings in degrees: oscillations after saccades are fixations; pursuits, blinks and undefined samples are noise.
+DEGREE_LABELS = {3: 1, 4: 0, 5: 0}
+
+
+def degrees_cleaned(df: DataFrame, screen: tuple[float, float] = (533.0, 301.0), distance: float = 565.0, most_noise: float = 0.10) -> DataFrame:
+    """Recordings (recording, i, x, y in degrees, label) on the plane, relabelled and cleaned."""
+    new = F.create_map(*[F.lit(v) for pair in DEGREE_LABELS.items() for v in pair])[F.col("label")]
+    return cleaned(degrees_to_plane(df, screen[0] / 2, screen[1] / 2, distance).withColumn("label", F.coalesce(new, F.col("label"))), most_noise)
 
 
 def head_mounted_csv(spark: SparkSession, path: str, width: float, height: float) -> DataFrame:
