@@ -136,6 +136,31 @@ def spatial_bins(p: Plan, source: str, out: str, nx: int, ny: int, width: float,
     return p.then(out, f"SELECT *, CAST(floor(least(x, {width - 0.001}) / {width / nx}) AS BIGINT) AS gx, CAST(floor(least(y, {height - 0.001}) / {height / ny}) AS BIGINT) AS gy FROM {source}")
 
 
+def joint_bins(p: Plan, source: str, pairs: str, out: str, nx: int, ny: int) -> Plan:
+    """(id_1, id_2, side, k, gx, gy): grid cells of both scanpaths (recording_id, k, x, y) of each pair, on the plane from 0 to the pair's largest coordinates."""
+    p = p.then(f"{out}_m", f"SELECT recording_id, max(x) AS mx, max(y) AS my FROM {source} GROUP BY recording_id")
+    p = p.then(f"{out}_p", f"SELECT q.id_1, q.id_2, greatest(a.mx, b.mx) + 0.001 AS wx, greatest(a.my, b.my) + 0.001 AS wy FROM {pairs} q JOIN {out}_m a ON a.recording_id = q.id_1 JOIN {out}_m b ON b.recording_id = q.id_2")
+    cell = lambda c, n: f"CAST(floor(least(s.{c}, q.w{c} - 0.001) / (q.w{c} / {n})) AS BIGINT) AS g{c}"
+    return p.then(out, " UNION ALL ".join(f"SELECT q.id_1, q.id_2, {side} AS side, s.k, {cell('x', nx)}, {cell('y', ny)} FROM {out}_p q JOIN {source} s ON s.recording_id = q.id_{side}" for side in (1, 2)))
+
+
+#: Smoothing by name; the first leaves positions as they are.
+SMOOTHINGS = ("none", "moving_average", "speed_moving_average", "savgol")
+
+
+def smoothed(p: Plan, source: str, out: str, method: str | None, window: int = 5, order: int = 3, fs: float = 1.0) -> Plan:
+    """``source`` with ``s_x`` and ``s_y`` by the named method."""
+    if method in (None, "none"):
+        return p.then(out, f"SELECT *, x AS s_x, y AS s_y FROM {source}")
+    if method == "moving_average":
+        return moving_average(p, source, out, window)
+    if method == "speed_moving_average":
+        return speed_moving_average(p, source, out, window, fs)
+    if method == "savgol":
+        return savgol(p, source, out, window, order)
+    raise ValueError(f"no smoothing named {method}; there are {', '.join(SMOOTHINGS)}")
+
+
 def bin_corners(p: Plan, out: str, nx: int, ny: int, width: float, height: float) -> Plan:
     """(symbol, x, y): the lower corner of each grid cell by its name."""
     p = p.then(f"{out}_x", f"SELECT @upto({nx}) AS c").then(f"{out}_y", f"SELECT @upto({ny}) AS c")

@@ -7,12 +7,25 @@ from ..functions.relational import Plan, bcea_sql, r6
 WK = "PARTITION BY recording_id ORDER BY k"
 
 
-def predefined(p: Plan, points: str, rectangles: str, out: str) -> Plan:
-    """AoI of each point by rectangles (aoi, idx, x0, y0, x1, y1); of overlapping ones the last; points outside are dropped."""
+def predefined(p: Plan, points: str, rectangles: str, out: str, fewest: int = 1) -> Plan:
+    """AoI of each point by rectangles (aoi, idx, x0, y0, x1, y1); of overlapping ones the last; points outside are dropped.
+
+    In each recording only rectangles with ``fewest`` points or more count; points of others go to the next rectangle that holds them.
+    """
+    if fewest > 1:
+        inside = f"SELECT s.recording_id, s.k, s.x, s.y, s.dur, r.aoi, r.idx, count(*) OVER (PARTITION BY s.recording_id, r.idx) AS held FROM {points} s JOIN {rectangles} r ON s.x BETWEEN r.x0 AND r.x1 AND s.y BETWEEN r.y0 AND r.y1"
+        p = p.then(f"{out}_i", inside).then(f"{out}_l", f"SELECT *, row_number() OVER (PARTITION BY recording_id, k ORDER BY idx DESC) AS r FROM {out}_i WHERE held >= {fewest}")
+        return p.then(out, f"SELECT recording_id, k, x, y, dur, aoi FROM {out}_l WHERE r = 1")
     p = p.then(f"{out}_j", f"SELECT s.recording_id, s.k, s.x, s.y, s.dur, max(r.idx) AS idx FROM {points} s JOIN {rectangles} r ON s.x BETWEEN r.x0 AND r.x1 AND s.y BETWEEN r.y0 AND r.y1 GROUP BY s.recording_id, s.k, s.x, s.y, s.dur")
     return p.then(out, f"SELECT j.recording_id, j.k, j.x, j.y, j.dur, r.aoi FROM {out}_j j JOIN {rectangles} r ON j.idx = r.idx")
 
 
+def center_distances(p: Plan, centers: str, out: str) -> Plan:
+    """(a, b, d, share): distance of each two centres (aoi, cx, cy), and its share of the largest."""
+    p = p.then(f"{out}_d", f"SELECT a.aoi AS a, b.aoi AS b, sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) AS d FROM {centers} a CROSS JOIN {centers} b")
+    return p.then(out, f"SELECT a, b, {r6('d')} AS d, {r6('d / nullif(max(d) OVER (), 0)')} AS share FROM {out}_d")
+
+
 def nearest_center(p: Plan, points: str, centers: str, out: str) -> Plan:
     """AoI of each point by the nearest centre (aoi, cx, cy); ties go to the first name."""
     p = p.then(f"{out}_d", f"SELECT s.recording_id, s.k, s.x, s.y, s.dur, c.aoi, row_number() OVER (PARTITION BY s.recording_id, s.k ORDER BY power(s.x - c.cx, 2) + power(s.y - c.cy, 2), c.aoi) AS r FROM {points} s CROSS JOIN {centers} c")

@@ -161,12 +161,13 @@ def same_centers(one: dict[str, tuple[float, float]], two: dict[str, tuple[float
 
 def edit_metrics(centers: dict[str, tuple[float, float]] | None = None) -> dict[str, Callable[[list, list], float]]:
     """Levenshtein, generalized edit, Needleman-Wunsch, common subsequence and Smith-Waterman measures, by the longer length."""
-    top = max((np.hypot(p[0] - q[0], p[1] - q[1]) for p in centers.values() for q in centers.values()), default=1.0) or 1.0 if centers else 1.0
+    index = {name: n for n, name in enumerate(centers or {})}
+    at = np.array(list((centers or {}).values()), float).reshape(-1, 2)
+    between = np.hypot(at[:, None, 0] - at[:, 0], at[:, None, 1] - at[:, 1])
+    top = float(between.max(initial=0.0)) or 1.0
 
-    def far(s: list, t: list):
-        if not centers:
-            return lambda i, j: 0.0 if s[i] == t[j] else 1.0
-        return lambda i, j: float(np.hypot(*(np.subtract(centers[s[i]], centers[t[j]])))) / top
+    def far(s: list, t: list) -> np.ndarray | None:
+        return between[np.ix_([index[v] for v in s], [index[v] for v in t])] / top if centers else None
 
     longer = lambda s, t: max(len(s), len(t), 1)
     return {
@@ -174,7 +175,8 @@ def edit_metrics(centers: dict[str, tuple[float, float]] | None = None) -> dict[
         "generalized_edit": lambda s, t: K.weighted_levenshtein(s, t, 0.3, 0.3, far(s, t)) / longer(s, t),
         "needleman_wunsch": lambda s, t: -K.needleman_wunsch(s, t, 0.1, 0.25, far(s, t)) / longer(s, t),
         "longest_common_subsequence": lambda s, t: len(K.longest_common_subsequence(s, t)) / longer(s, t),
-        "smith_waterman": lambda s, t: K.smith_waterman(s, t) / longer(s, t),
+        # with centres a pair's similarity is a fifth of the largest distance less its own, and the score counts by that threshold
+        "smith_waterman": lambda s, t: K.smith_waterman(s, t, 0.2 - far(s, t) if centers else None) / (longer(s, t) * (0.2 * top if centers else 1.0)),
     }
 
 
@@ -195,10 +197,12 @@ def shapes(df: DataFrame, width: float, height: float) -> DataFrame:
 
 
 def clusters(df: DataFrame, method: str, diagonal: float) -> DataFrame:
-    """(recording_id, k, aoi): areas by clustering each scanpath: kmeans, dbscan, density_peaks, mean_shift, affinity. Noise is dropped."""
+    """(recording_id, k, aoi): areas by clustering each scanpath: kmeans, dbscan, density_peaks, mean_shift, affinity; noise is dropped, ``dbscan_all`` gives it to the nearest centre, ``mean_shift_near`` drops points far from their mode."""
     methods = {
         "kmeans": K.kmeans_auto,
         "dbscan": lambda p: K.dbscan(p, 0.05 * diagonal),
+        "dbscan_all": lambda p: K.to_nearest_centre(p, K.dbscan(p, 0.05 * diagonal)),
+        "mean_shift_near": lambda p: K.mean_shift(p, 0.1 * diagonal, orphans=False),
         "density_peaks": lambda p: K.density_peaks(p, 0.1 * diagonal),
         "mean_shift": lambda p: K.mean_shift(p, 0.1 * diagonal),
         "affinity": K.affinity_propagation,
@@ -237,12 +241,12 @@ def entropies(transitions: DataFrame) -> DataFrame:
     return per_recording(transitions, run, "stationary double, joint double, conditional double, mutual_information double, conditional_by_row array<double>, mutual_information_by_row array<double>, aois array<string>", ["dst", "n"], "src")
 
 
-def fluctuation(df: DataFrame, scales: list[int], order: int = 2) -> DataFrame:
+def fluctuation(df: DataFrame, scales: list[int], order: int = 2, overlap: bool = False) -> DataFrame:
     """Hurst exponents (log-log slope of detrended fluctuation) of x and y."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         t = np.array(scales, float)
-        return pd.DataFrame({f"hurst_{c}": [K.loglog_slope(t, K.dfa(g[c].to_numpy(float), scales, order))] for c in "xy"})
+        return pd.DataFrame({f"hurst_{c}": [K.loglog_slope(t, K.dfa(g[c].to_numpy(float), scales, order, overlap))] for c in "xy"})
 
     return per_recording(df, run, "hurst_x double, hurst_y double", ["x", "y"])
 
@@ -264,6 +268,18 @@ def sine_phase(df: DataFrame, fs: float) -> DataFrame:
     return per_recording(df, run, "amplitude double, frequency double, phase double", ["x"])
 
 
+def phase_difference(df: DataFrame, fs: float) -> DataFrame:
+    """Phase of the sine that fits the target (tx) less that of the gaze (x), in radians; null for fewer than eight samples."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) < 8:
+            return pd.DataFrame({"phase": [np.nan]})
+        t = g.i.to_numpy(float) / fs
+        return pd.DataFrame({"phase": [K.sine_fit(t, g.tx.to_numpy(float))[2] - K.sine_fit(t, g.x.to_numpy(float))[2]]})
+
+    return per_recording(df, run, "phase double", ["x", "tx"])
+
+
 def panel_patterns(sequences: DataFrame, panel: str) -> DataFrame:
     """(panel, emine, cdba): a common subsequence and a barycentre for each panel of sequences (recording_id, k, aoi, panel)."""
 

@@ -262,8 +262,10 @@ def _table(top: np.ndarray, side: np.ndarray, cost: np.ndarray, step: Callable[.
     return table
 
 
-def _costs(a: list, b: list, cost: Callable[[int, int], float] | None) -> np.ndarray:
-    """Cost of each pair of places; without ``cost`` 0 for equal symbols and 1 else."""
+def _costs(a: list, b: list, cost: Callable[[int, int], float] | np.ndarray | None) -> np.ndarray:
+    """Cost of each pair of places, given as a table or by place; without ``cost`` 0 for equal symbols and 1 else."""
+    if isinstance(cost, np.ndarray):
+        return cost
     if cost is None:
         return (np.array(a, object)[:, None] != np.array(b, object)[None, :]).astype(float).reshape(len(a), len(b))
     return np.array([[cost(i, j) for j in range(len(b))] for i in range(len(a))], float).reshape(len(a), len(b))
@@ -301,7 +303,7 @@ def edit_alignment(a: list, b: list, deletion: float = 1.0, insertion: float = 1
 def needleman_wunsch(a: list, b: list, bonus: float = 0.1, gap: float = 0.25, mismatch=None) -> float:
     """Best global alignment score: ``bonus`` for equal symbols, minus a distance for others, minus ``gap``."""
     same = _costs(a, b, None) == 0
-    fit = np.where(same, bonus, -_costs(a, b, mismatch or (lambda i, j: 1.0)))
+    fit = np.where(same, bonus, -_costs(a, b, (lambda i, j: 1.0) if mismatch is None else mismatch))
     return float(_table(-np.arange(len(b) + 1) * gap, -np.arange(len(a) + 1) * gap, fit, lambda d, up, left, c: np.maximum(np.maximum(d + c, up - gap), left - gap))[-1, -1])
 
 
@@ -378,14 +380,18 @@ def _local_table(fit: np.ndarray, base: float, step: float) -> np.ndarray:
     return h
 
 
+def _similarities(a: list, b: list, similarity: Callable[[int, int], float] | np.ndarray | None) -> np.ndarray:
+    return 1.0 - 2.0 * _costs(a, b, None) if similarity is None else _costs(a, b, similarity)
+
+
 def smith_waterman(a: list, b: list, similarity=None, base: float = 0.1, step: float = 0.05) -> float:
     """Best local alignment score with gap costs base + step * length."""
-    return float(_local_table(_costs(a, b, similarity or (lambda i, j: 1.0 if a[i] == b[j] else -1.0)), base, step).max())
+    return float(_local_table(_similarities(a, b, similarity), base, step).max())
 
 
 def local_alignment(a: list, b: list, similarity=None, base: float = 0.1, step: float = 0.05) -> tuple[float, list[tuple[int, int]]]:
     """Score and places (i, j) of a best local alignment, -1 for gaps; of equal ends the first, of equal ways back a pair, then a gap in ``b``, then one in ``a``."""
-    fit = _costs(a, b, similarity or (lambda i, j: 1.0 if a[i] == b[j] else -1.0))
+    fit = _similarities(a, b, similarity)
     h = _local_table(fit, base, step)
     i, j = (int(v) for v in np.unravel_index(h.argmax(), h.shape))
     out = []
@@ -800,6 +806,16 @@ def dbscan(pts: np.ndarray, eps: float, fewest: int = 5) -> np.ndarray:
     return label
 
 
+def to_nearest_centre(pts: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Points of noise (-1) go to the cluster whose centre is nearest; without clusters all stay."""
+    names = np.unique(label[label >= 0])
+    if not len(names):
+        return label
+    centres = np.array([pts[label == c].mean(0) for c in names])
+    far = np.hypot(pts[:, None, 0] - centres[:, 0], pts[:, None, 1] - centres[:, 1])
+    return np.where(label >= 0, label, names[far.argmin(1)])
+
+
 def density_peaks(pts: np.ndarray, radius: float) -> np.ndarray:
     """Centres where density times distance to a denser point exceeds its weighted geometric mean; points go to the nearest centre."""
     d = np.hypot(pts[:, None, 0] - pts[:, 0], pts[:, None, 1] - pts[:, 1])
@@ -812,8 +828,8 @@ def density_peaks(pts: np.ndarray, radius: float) -> np.ndarray:
     return d[:, centres].argmin(1) if len(centres) else np.zeros(len(pts), int)
 
 
-def mean_shift(pts: np.ndarray, bandwidth: float, rounds: int = 100) -> np.ndarray:
-    """Flat-kernel mean shift; modes closer than the bandwidth are one."""
+def mean_shift(pts: np.ndarray, bandwidth: float, rounds: int = 100, orphans: bool = True) -> np.ndarray:
+    """Flat-kernel mean shift; modes closer than the bandwidth are one. Without ``orphans`` points farther than the bandwidth from their mode are noise (-1)."""
     modes = pts.astype(float).copy()
     for _ in range(rounds):
         near = np.hypot(modes[:, None, 0] - pts[:, 0], modes[:, None, 1] - pts[:, 1]) <= bandwidth
@@ -829,6 +845,8 @@ def mean_shift(pts: np.ndarray, bandwidth: float, rounds: int = 100) -> np.ndarr
             centres.append(m)
             hit = len(centres) - 1
         label[i] = hit
+    if not orphans and len(pts):
+        label[np.hypot(*(pts - np.array(centres)[label]).T) > bandwidth] = -1
     return label
 
 

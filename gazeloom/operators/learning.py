@@ -60,6 +60,7 @@ def joint_areas(points: DataFrame, most: int = 15, seed: int = 0) -> DataFrame:
         return rows.select("recording_id", "k", F.lit("A").alias("aoi")).crossJoin(F.broadcast(middle))
     judge = ClusteringEvaluator(featuresCol="at", predictionCol="cluster")
     best, found = None, None
+    rows.persist()  # read by every round of every fit; lost parts are made again
     for n in range(2, most + 1):
         model = KMeans(k=n, seed=seed, featuresCol="at", predictionCol="cluster").fit(rows)
         made = len(model.clusterCenters())
@@ -68,6 +69,7 @@ def joint_areas(points: DataFrame, most: int = 15, seed: int = 0) -> DataFrame:
         score = judge.evaluate(model.transform(rows))
         if best is None or score > best:
             best, found = score, model
+    rows.unpersist()
     centers = sorted((float(c[0]), float(c[1]), i) for i, c in enumerate(found.clusterCenters()))
     named = spark.createDataFrame([(i, chr(65 + n), x, y) for n, (x, y, i) in enumerate(centers)], "cluster int, aoi string, cx double, cy double")
     return found.transform(rows).join(F.broadcast(named), "cluster").select("recording_id", "k", "aoi", "cx", "cy")

@@ -112,6 +112,16 @@ def map_against_fixations(p: Plan, fixation_bins: str, smap: str, out: str, nx:
     return p.then(out, f"SELECT g.recording_id, {r6('g.nss')} AS nss, {r6('100 * g.percentile')} AS percentile, {r6('g.gain')} AS information_gain, {r6(f'(q.wins - s.own) / nullif(n.n * ({nx * ny} - n.n), 0)')} AS auc FROM {out}_g g JOIN {out}_n n ON g.recording_id = n.recording_id JOIN {out}_q q ON g.recording_id = q.recording_id JOIN {out}_s s ON g.recording_id = s.recording_id")
 
 
+def nss_with_tolerance(p: Plan, fixation_bins: str, smap: str, out: str, sigma: float = 0.5, reach: int = 1) -> Plan:
+    """Per recording the mean z-score of a map at its fixated cells, smoothed by a Gaussian over ``reach`` cells to each side (zero beyond the map), and the gain over a uniform map in bits."""
+    weight = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    weight /= weight.sum()
+    kernel = " UNION ALL ".join(f"SELECT {i} AS ox, {j} AS oy, {float(weight[i + reach] * weight[j + reach])!r} AS w" for i in range(-reach, reach + 1) for j in range(-reach, reach + 1))
+    p = p.then(f"{out}_k", kernel).then(f"{out}_z", f"SELECT gx, gy, v, count(*) OVER () AS cells, (v - avg(v) OVER ()) / nullif(stddev_samp(v) OVER (), 0) AS z FROM {smap}")
+    p = p.then(f"{out}_c", f"SELECT m.gx + k.ox AS gx, m.gy + k.oy AS gy, sum(m.z * k.w) AS z, max(CASE WHEN k.ox = 0 AND k.oy = 0 THEN ln(greatest(m.v, 1e-12) * m.cells) / ln(2.0) END) AS gain FROM {out}_z m CROSS JOIN {out}_k k GROUP BY m.gx + k.ox, m.gy + k.oy")
+    return p.then(out, f"SELECT f.recording_id, {r6('avg(c.z)')} AS nss, {r6('avg(c.gain)')} AS information_gain FROM {fixation_bins} f JOIN {out}_c c ON f.gx = c.gx AND f.gy = c.gy GROUP BY f.recording_id")
+
+
 def point_mapping(p: Plan, source: str, pairs: str, out: str) -> Plan:
     """Nearest-point mapping of each pair both ways and the eye analysis distance."""
     p = p.then(f"{out}_d", f"SELECT q.id_1, q.id_2, a.k AS i, b.k AS j, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM {pairs} q JOIN {source} a ON a.recording_id = q.id_1 JOIN {source} b ON b.recording_id = q.id_2")

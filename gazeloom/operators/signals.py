@@ -71,10 +71,11 @@ def interpolated_frames(p: Plan, points: str, frames: str, out: str) -> Plan:
     return p.then(out, f"SELECT g, id, t, CAST(@half_even(CASE WHEN t0 IS NULL THEN f1 WHEN t1 IS NULL OR t1 = t0 THEN f0 ELSE f0 + (f1 - f0) * ((t - t0) / CAST(t1 - t0 AS DOUBLE)) END) AS BIGINT) AS frame FROM {out}_w WHERE side = 1")
 
 
-def map_points(p: Plan, points: str, homographies: str, out: str) -> Plan:
-    """Perspective mapping of points (frame, x, y) by a homography per frame (h11 ... h33), to three decimals; points of frames without one stay unmapped."""
+def map_points(p: Plan, points: str, homographies: str, out: str, fill: float | None = None) -> Plan:
+    """Perspective mapping of points (frame, x, y) by a homography per frame (h11 ... h33), to three decimals; points of frames without one stay unmapped, with ``fill`` for their place."""
     den = "nullif(h.h31 * p.x + h.h32 * p.y + h.h33, 0)"
-    mapped = lambda a: f"floor((h.h{a}1 * p.x + h.h{a}2 * p.y + h.h{a}3) / {den} * 1000 + 0.5) / 1000"
+    place = lambda a: f"floor((h.h{a}1 * p.x + h.h{a}2 * p.y + h.h{a}3) / {den} * 1000 + 0.5) / 1000"
+    mapped = lambda a: place(a) if fill is None else f"coalesce({place(a)}, {fill})"
     return p.then(out, f"SELECT p.id, p.frame, p.x, p.y, {mapped(1)} AS ref_x, {mapped(2)} AS ref_y, CASE WHEN h.frame IS NULL THEN 0 ELSE 1 END AS mapped FROM {points} p LEFT JOIN {homographies} h ON p.frame = h.frame")
 
 
@@ -84,3 +85,11 @@ def persistence_curves(p: Plan, bars: str, out: str, low: float, high: float, ce
     p = p.then(f"{out}_a", f"SELECT b.recording_id, g.cell, b.death - b.birth AS life, least(g.t - b.birth, b.death - g.t) AS tent FROM {bars} b JOIN {out}_g g ON g.t >= b.birth AND g.t < b.death")
     p = p.then(f"{out}_s", f"SELECT *, life / sum(life) OVER (PARTITION BY recording_id, cell) AS q FROM {out}_a WHERE life > 0")
     return p.then(out, f"SELECT recording_id, cell, count(*) AS betti, {r6('sum(life)')} AS persistence, {r6('max(tent)')} AS landscape, {r6('-sum(q * log10(q))')} AS entropy FROM {out}_s GROUP BY recording_id, cell")
+
+
+def persistence_landscapes(p: Plan, bars: str, out: str, low: float, high: float, order: int = 3, cells: int = 50) -> Plan:
+    """(recording_id, cell, level, value): the ``order`` largest tent values of bars (recording_id, birth, death) at each point of a grid; zero values have no row."""
+    p = p.then(f"{out}_g", f"SELECT {low} + (c - 1) * {(high - low) / (cells - 1)} AS t, CAST(c AS BIGINT) AS cell FROM (SELECT @upto({cells}) AS c) q")
+    p = p.then(f"{out}_a", f"SELECT b.recording_id, g.cell, least(g.t - b.birth, b.death - g.t) AS tent FROM {bars} b JOIN {out}_g g ON g.t > b.birth AND g.t < b.death")
+    p = p.then(f"{out}_r", f"SELECT *, CAST(row_number() OVER (PARTITION BY recording_id, cell ORDER BY tent DESC) AS BIGINT) AS level FROM {out}_a")
+    return p.then(out, f"SELECT recording_id, cell, level, {r6('tent')} AS value FROM {out}_r WHERE level <= {order}")

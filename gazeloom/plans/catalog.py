@@ -115,6 +115,8 @@ def _plans() -> dict[str, Plan]:
     q["saliency_compare"] = scanpaths.compare_maps(maps, "ma", "mb", "out")
     ref = scanpaths.saliency_map(odd, "path_a", "ma", WIDTH, HEIGHT).then("mr", "SELECT gx, gy, floor(v * 1e9 + 0.5) / 1e9 AS v FROM ma").then("fb", f"SELECT recording_id, CAST(floor(least(x, {WIDTH - 0.001}) / {WIDTH / 25}) AS BIGINT) AS gx, CAST(floor(least(y, {HEIGHT - 0.001}) / {HEIGHT / 25}) AS BIGINT) AS gy FROM path_b")
     q["saliency_reference"] = scanpaths.map_against_fixations(ref, "fb", "mr", "out", 25, 25)
+    q["saliency_tolerance"] = scanpaths.nss_with_tolerance(ref, "fb", "mr", "out")
+    q["pair_bins"] = kin.joint_bins(PAIRS, "path", "pairs", "jb", 8, 8).then("out", "SELECT id_1, id_2, side, gx, gy, count(*) AS n FROM jb GROUP BY id_1, id_2, side, gx, gy")
     q["eye_analysis_distance"] = scanpaths.point_mapping(PAIRS, "path", "pairs", "out")
     q["time_delay_embedding"] = scanpaths.time_delay_embedding(PAIRS, "path", "pairs", "out")
     sym = kin.spatial_bins(PAIRS, "path", "bins", 8, 8, WIDTH, HEIGHT).then("sym", "SELECT recording_id, k, concat(@letter(gy), @letter(gx)) AS s FROM bins")
@@ -122,9 +124,11 @@ def _plans() -> dict[str, Plan]:
     # areas of interest
     rect = PATH.then("rect", " UNION ALL ".join(f"SELECT '{n}' AS aoi, {i} AS idx, {x0} AS x0, {y0} AS y0, {x1} AS x1, {y1} AS y1" for i, (n, x0, y0, x1, y1) in enumerate([("A", 0.0, 0.0, 150.0, 50.0), ("B", 100.0, 20.0, 300.0, 80.0), ("C", 250.0, 0.0, 500.0, 60.0)])))
     q["aoi_predefined"] = aois.predefined(rect, "path", "rect", "pd").then("out", "SELECT recording_id, k, aoi FROM pd")
+    q["aoi_predefined_frequent"] = aois.predefined(rect, "path", "rect", "pd", 10).then("out", "SELECT recording_id, k, aoi FROM pd")
     cent = PATH.then("cent", " UNION ALL ".join(f"SELECT '{n}' AS aoi, {x} AS cx, {y} AS cy" for n, x, y in [("A", 50.0, 20.0), ("B", 200.0, 70.0), ("C", 400.0, 30.0), ("D", 499.0, 99.0)]))
     near = aois.nearest_center(cent, "path", "cent", "nc")
     q["aoi_nearest_center"] = near.then("out", "SELECT recording_id, k, aoi FROM nc")
+    q["aoi_center_distances"] = aois.center_distances(Plan({"cent": cent.steps["cent"]}), "cent", "out")
     q["aoi_merge_small"] = aois.merge_small(near, "nc", "mg", 2000).then("out", "SELECT recording_id, k, aoi FROM mg")
     q["aoi_collapse"] = aois.collapse(SEQ, "seq", "co").then("out", f"SELECT recording_id, k, aoi, {_r('dur')} FROM co")
     q["aoi_temporal_binning"] = aois.temporal_binning(SEQ, "seq", "tb", 50000.0).then("out", f"SELECT recording_id, k, CAST(r AS BIGINT) AS r, aoi, {_r('dur')} FROM tb")
@@ -157,6 +161,9 @@ def _plans() -> dict[str, Plan]:
     q["reference_frame_medians"] = mapped.then("out", f"SELECT frame, {r6('median(ref_x)')} AS ref_x, {r6('median(ref_y)')} AS ref_y, count(*) AS n FROM mp GROUP BY frame")
     bars = GOOD.then("bars", "SELECT recording_id, least(x, nx) AS birth, greatest(x, nx) AS death FROM (SELECT recording_id, x, lead(x) OVER (PARTITION BY recording_id ORDER BY i) AS nx FROM good) q WHERE nx IS NOT NULL AND abs(nx - x) > 5")
     q["persistence_curves"] = signals.persistence_curves(bars, "bars", "out", 0.0, 500.0)
+    q["persistence_landscapes"] = signals.persistence_landscapes(bars, "bars", "out", 0.0, 500.0)
+    q["reference_mapping_filled"] = signals.map_points(hom, "pts", "hom", "mp", 0.0).then("out", "SELECT id, frame, ref_x, ref_y, mapped FROM mp")
+    q["smoothing_none"] = kin.smoothed(GOOD, "good", "sm", None).then("out", f"SELECT recording_id, i, {_r('s_x', 's_y')} FROM sm")
     return q
 
 

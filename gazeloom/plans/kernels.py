@@ -62,6 +62,22 @@ def _hmm_transitions(s: SparkSession, d: str) -> DataFrame:
     return aois.transitions(C.Plan(), "{areas}", "tr").spark(s, areas=areas)
 
 
+def _cells(s: SparkSession, d: str) -> DataFrame:
+    """Scanpaths as names of grid cells."""
+    bins = C.kin.spatial_bins(C.PATH, "path", "bins", 10, 10, C.WIDTH, C.HEIGHT)
+    return _of(bins.then("cells", "SELECT recording_id, k, concat(@letter(gy), @letter(gx)) AS aoi FROM bins"), "cells", s, d)
+
+
+#: Corners of those cells by name.
+CORNERS = {chr(65 + y) + chr(65 + x): (x * C.WIDTH / 10, y * C.HEIGHT / 10) for x in range(10) for y in range(10)}
+
+
+def _target_phase(s: SparkSession, d: str) -> DataFrame:
+    """Gaze against the target of the pursuit task."""
+    both = C.KIN.then("both", "SELECT recording_id, i, x, 250 + 200 * sin(i / 5.0) AS tx FROM kin")
+    return grouped.phase_difference(_of(both, "both", s, d), C.FS)
+
+
 def _panels(s: SparkSession, d: str) -> DataFrame:
     """Whole collapsed sequences in panels of five recordings, so groups stay small however many recordings there are."""
     collapsed = _of(aois.collapse(C.SEQ, "seq", "co"), "co", s, d)
@@ -104,6 +120,9 @@ QUERIES = {
     "welch": lambda s, d: _rounded(grouped.spectra(gaze(s, d), C.FS, 16)),
     "cross_spectra": lambda s, d: grouped.cross_spectra(gaze(s, d), pairs(s, d), C.FS, 16),
     "dfa": lambda s, d: grouped.fluctuation(gaze(s, d), [4, 6, 8, 12, 16]),
+    "dfa_overlap": lambda s, d: grouped.fluctuation(gaze(s, d), [4, 6, 8, 12, 16], overlap=True),
+    "pursuit_task_phase": _target_phase,
+    "scanpath_edit_distances": lambda s, d: grouped.sequence_metrics(_cells(s, d), pairs(s, d), grouped.edit_metrics(CORNERS)),
     "persistence_bars": lambda s, d: grouped.persistence(gaze(s, d), 5.0),
     "sine_phase": lambda s, d: grouped.sine_phase(gaze(s, d), C.FS),
     "scanpath_shapes": lambda s, d: grouped.shapes(scanpath(s, d), C.WIDTH, C.HEIGHT),
@@ -126,7 +145,7 @@ QUERIES = {
     "learn_neighbours": _learned("fc", "knn"),
     "learn_directions": _learned("hov", "rf"),
     "aoi_frequent_patterns": _patterns,
-} | {f"aoi_{m}": (lambda s, d, m=m: grouped.clusters(scanpath(s, d), m, DIAGONAL)) for m in ("kmeans", "dbscan", "density_peaks", "mean_shift", "affinity")}
+} | {f"aoi_{m}": (lambda s, d, m=m: grouped.clusters(scanpath(s, d), m, DIAGONAL)) for m in ("kmeans", "dbscan", "dbscan_all", "density_peaks", "mean_shift", "mean_shift_near", "affinity")}
 
 
 def _gamma(s: SparkSession, d: str) -> DataFrame:

@@ -122,3 +122,44 @@ def test_cleaned_recordings(spark, tmp_path):
     rows = readers.gaze_arff_cleaned(spark, str(tmp_path / "a.arff")).orderBy("i").collect()
     assert (rows[0].x, rows[0].y) == (20 - 100 + 237.5, 40 - 50 + 140) and rows[-1].label == 0 and rows[-1].x == rows[-2].x
     assert readers.gaze_arff_cleaned(spark, str(tmp_path / "a.arff"), most_noise=0.01).count() == 0
+
+
+def test_noise_and_orphans():
+    pts = np.array([(0, 0), (1, 0), (0, 1), (1, 1), (0.5, 0.5), (50, 50), (6, 6)], float)
+    label = K.dbscan(pts, 2.0)
+    assert label.tolist() == [0] * 5 + [-1, -1] and K.to_nearest_centre(pts, label).tolist() == [0] * 7
+    assert K.to_nearest_centre(pts, np.full(7, -1)).tolist() == [-1] * 7
+    line = np.array([(x, 0) for x in range(0, 60, 4)], float)
+    for reach in (5.0, 13.0):
+        every, near = K.mean_shift(line, reach), K.mean_shift(line, reach, orphans=False)
+        assert (every >= 0).all() and ((near == every) | (near == -1)).all()
+
+
+def test_phase_difference(spark):
+    t = np.arange(64) / 64
+    rows = [(1, i, float(np.sin(2 * np.pi * 5 * v + 0.2)), float(np.sin(2 * np.pi * 5 * v + 0.9))) for i, v in enumerate(t)] + [(2, 0, 1.0, 1.0)]
+    got = {r.recording_id: r.phase for r in grouped.phase_difference(spark.createDataFrame(rows, "recording_id long, i long, x double, tx double"), 64).collect()}
+    assert abs(np.angle(np.exp(1j * (got[1] - 0.7)))) < 1e-3 and got[2] is None
+
+
+def test_smoothing_by_name():
+    from gazeloom.functions import kinematics as kin
+    from gazeloom.functions.relational import Plan
+
+    assert all("s_x" in kin.smoothed(Plan(), "g", "out", m).steps["out"] for m in kin.SMOOTHINGS)
+    with pytest.raises(ValueError):
+        kin.smoothed(Plan(), "g", "out", "median")
+
+
+def test_metrics_by_centres():
+    centers = {"A": (0.0, 0.0), "B": (3.0, 4.0), "C": (0.0, 10.0)}
+    by_place = lambda s, t: lambda i, j: float(np.hypot(*np.subtract(centers[s[i]], centers[t[j]]))) / 10.0
+    s, t = list("ABCAB"), list("BCA")
+    got = {k: f(s, t) for k, f in grouped.edit_metrics(centers).items()}
+    assert got["generalized_edit"] == pytest.approx(K.weighted_levenshtein(s, t, 0.3, 0.3, by_place(s, t)) / 5)
+    assert got["needleman_wunsch"] == pytest.approx(-K.needleman_wunsch(s, t, 0.1, 0.25, by_place(s, t)) / 5)
+    assert got["smith_waterman"] == pytest.approx(K.smith_waterman(s, t, lambda i, j: 0.2 - by_place(s, t)(i, j)) / (5 * 2.0))
+    plain = {k: f(s, t) for k, f in grouped.edit_metrics().items()}
+    assert plain["levenshtein"] == got["levenshtein"] == K.weighted_levenshtein(s, t) / 5
+    assert plain["smith_waterman"] == K.smith_waterman(s, t) / 5
+    assert all(f([], []) == 0 for m in (None, centers) for f in grouped.edit_metrics(m).values())
