@@ -267,7 +267,9 @@ def _costs(a: list, b: list, cost: Callable[[int, int], float] | np.ndarray | No
     if isinstance(cost, np.ndarray):
         return cost
     if cost is None:
-        return (np.array(a, object)[:, None] != np.array(b, object)[None, :]).astype(float).reshape(len(a), len(b))
+        number: dict = {}
+        x, y = (np.array([number.setdefault(v, len(number)) for v in s], int) for s in (a, b))
+        return (x[:, None] != y).astype(float)
     return np.array([[cost(i, j) for j in range(len(b))] for i in range(len(a))], float).reshape(len(a), len(b))
 
 
@@ -536,7 +538,8 @@ def scanmatch(p: np.ndarray, q: np.ndarray, width: float, height: float, nx: int
     if not a or not b:
         return float("nan")
     top = math.hypot(nx - 1, ny - 1)
-    cost = lambda i, j: 2 * math.hypot(a[i][0] - b[j][0], a[i][1] - b[j][1]) / top - bonus
+    u, v = np.array(a, float), np.array(b, float)
+    cost = 2 * np.hypot(u[:, None, 0] - v[:, 0], u[:, None, 1] - v[:, 1]) / top - bonus
     return needleman_wunsch(a, b, bonus, gap, cost) / (bonus * max(len(a), len(b)))
 
 

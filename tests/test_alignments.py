@@ -163,3 +163,11 @@ def test_metrics_by_centres():
     assert plain["levenshtein"] == got["levenshtein"] == K.weighted_levenshtein(s, t) / 5
     assert plain["smith_waterman"] == K.smith_waterman(s, t) / 5
     assert all(f([], []) == 0 for m in (None, centers) for f in grouped.edit_metrics(m).values())
+
+
+def test_symbols_of_any_kind():
+    a, b = [(0, 1), (2, 3), (0, 1)], [(0, 1), (0, 1)]
+    assert K.weighted_levenshtein(a, b) == 1 and K.needleman_wunsch(a, b, 1.0, 0.5) == 1.5 and K.smith_waterman(a, b) == pytest.approx(1.85)
+    assert K.weighted_levenshtein([(0, 1)], [0, 1]) == 2
+    s = np.array([(10, 10, 1.0), (60, 40, 2.0), (90, 90, 1.0)])
+    assert K.scanmatch(s, s, 100, 100) == pytest.approx(1)
