@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chroma, cpsjoin, feistel, langid, token_files, toxicity, wrappers, wumanber
+from . import bpe, chat, chroma, cpsjoin, divergence, feistel, langid, token_files, toxicity, trie, url_filter, wrappers, wumanber
 from .storage import new_dir
 
 
@@ -83,5 +83,30 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_language_id, op4_chroma_alignment, op5_toxicity, op6_chat_snapshots, op7_near_duplicates, op8_benchmark_windows, op9_pseudonyms, op10_main_text)}
-ORACLE_SQL: dict[str, str] = {"op6_chat_snapshots": chat.ORACLE}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation is rebuilt with the beginning of another one, so that prefixes are shared."""
+    return trie.trie(*trie.forked(trie.placed_turns(_table(spark, sf_dir, "conversations"))))
+
+
+#: Fixed rules of the query.
+URL_RULES = (
+    url_filter.Rule("block", "net", "/"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled URL table is what the rules decide; the model carries it over to all other pages."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = pages.select("url", url_filter.rule_of(*url_filter.parts(F.col("url")), URL_RULES)[1].alias("verdict"))
+    return url_filter.judge(pages, url_filter.fit(labelled), URL_RULES).drop("url")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_language_id, op4_chroma_alignment, op5_toxicity, op6_chat_snapshots, op7_near_duplicates, op8_benchmark_windows, op9_pseudonyms, op10_main_text, op11_prefix_trie, op12_url_filter, op13_source_divergence)}
+ORACLE_SQL: dict[str, str] = {"op6_chat_snapshots": chat.ORACLE, "op11_prefix_trie": trie.ORACLE, "op13_source_divergence": divergence.ORACLE}
