@@ -88,7 +88,8 @@ def difference(p: Column, q: Column) -> Column:
 class _Cell:
     """Sums of one cell: sources ``rows`` (index, name, share of a term that it lacks) of two blocks."""
 
-    def __init__(self, lang: str, own: int, other: int, first_share: bool, kept: int):
+    def __init__(self, lang: str, own: int, other: int, first_share: bool, kept: int, block: int, rows_at_once: int):
+        self.block, self.rows_at_once = block, rows_at_once
         self.lang, self.own, self.other, self.extra = lang, own, other, kept if first_share else 0
         self.sources: tuple[dict[int, tuple[str, int]], ...] = ({}, {})
         self.pending: list[tuple[np.ndarray, ...]] = []
@@ -97,14 +98,14 @@ class _Cell:
 
     def source(self, index: int, name: str, least: int) -> None:
         for side, block in enumerate((self.own, self.other)):
-            if index // BLOCK == block:
+            if index // self.block == block:
                 self.sources[side][index] = (name, least)
 
     def _least(self, side: int) -> np.ndarray:
-        out = np.ones(BLOCK, np.int64)
+        out = np.ones(self.block, np.int64)
         for index, (_, least) in self.sources[side].items():
-            out[index % BLOCK] = least
-        return out[: max((i % BLOCK for i in self.sources[side]), default=-1) + 1]
+            out[index % self.block] = least
+        return out[: max((i % self.block for i in self.sources[side]), default=-1) + 1]
 
     @staticmethod
     def _differ(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -114,7 +115,7 @@ class _Cell:
         """Counts of columns, numbered in ascending order; a column may go on in the next call."""
         self.pending.append((column, index, share, terms))
         self.n_pending += len(column)
-        if self.n_pending >= ROWS:
+        if self.n_pending >= self.rows_at_once:
             self.compare(ends=False)
 
     def compare(self, ends: bool) -> None:
@@ -133,8 +134,8 @@ class _Cell:
         shares = []
         for side, block in enumerate((self.own, self.other)):
             dense = np.tile(least[side], (len(first), 1))
-            here = index // BLOCK == block
-            dense[row[here], index[here] % BLOCK] = share[here]
+            here = index // self.block == block
+            dense[row[here], index[here] % self.block] = share[here]
             shares.append(dense)
         if self.sums is None:
             self.sums = np.zeros((len(least[0]), len(least[1])), np.int64)
@@ -149,22 +150,22 @@ class _Cell:
         for i, (a, p) in sorted(self.sources[0].items()):
             for j, (b, q) in sorted(self.sources[1].items()):
                 if i < j:
-                    summed = int(self.sums[i % BLOCK, j % BLOCK]) if self.sums is not None else 0
+                    summed = int(self.sums[i % self.block, j % self.block]) if self.sums is not None else 0
                     out.append((self.lang, a, b, summed + self.extra * int(self._differ(p, q))))
         return out
 
 
-def compare_sources(columns: DataFrame, sources: DataFrame) -> DataFrame:
+def compare_sources(columns: DataFrame, sources: DataFrame, block: int = BLOCK, shares: int = SHARES, rows_at_once: int = ROWS) -> DataFrame:
     """(lang, a, b, value) for each two sources of a language, summed over all kept terms.
 
     ``columns``: (lang, column string, index, share, terms), a row for each count of each distinct column;
     ``sources``: (lang, source, index, n_sources, least, kept), ``least`` being the share of a term without counts.
     """
-    block, last = F.floor(F.col("index") / BLOCK), F.floor((F.col("n_sources") - 1) / BLOCK)
+    own_block, last = F.floor(F.col("index") / block), F.floor((F.col("n_sources") - 1) / block)
     other = F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("y")
     no = F.lit(None)
-    data = columns.select("lang", block.alias("x"), other, F.pmod(F.xxhash64("column"), F.lit(SHARES)).alias("part"), "column", "index", "share", "terms", no.cast("string").alias("source"), no.cast("long").alias("kept"))
-    heads = sources.select("lang", block.alias("x"), other, "index", "least", "source", "kept").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    data = columns.select("lang", own_block.alias("x"), other, F.pmod(F.xxhash64("column"), F.lit(shares)).alias("part"), "column", "index", "share", "terms", no.cast("string").alias("source"), no.cast("long").alias("kept"))
+    heads = sources.select("lang", own_block.alias("x"), other, "index", "least", "source", "kept").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
     heads = heads.select("lang", "x", "y", "part", no.cast("string").alias("column"), "index", F.col("least").alias("share"), no.cast("long").alias("terms"), "source", "kept")
     dealt = data.unionByName(heads)
     low, high = F.least("x", "y"), F.greatest("x", "y")
@@ -194,7 +195,7 @@ def compare_sources(columns: DataFrame, sources: DataFrame) -> DataFrame:
                     if now is not None:
                         done += now.rows()
                     key, last_column, number = here, None, 0
-                    now = _Cell(here[0], here[1], here[2], here[3] == 0, batch.column("kept")[int(at)].as_py())
+                    now = _Cell(here[0], here[1], here[2], here[3] == 0, batch.column("kept")[int(at)].as_py(), block, rows_at_once)
                 heads = int(np.searchsorted(code[at:to] >= 0, True))
                 for i in range(at, at + heads):
                     now.source(int(index[i]), batch.column("source")[int(i)].as_py(), int(share[i]))
@@ -217,7 +218,7 @@ def compare_sources(columns: DataFrame, sources: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "lang string, a string, b string, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
-def audit(df: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+def audit(df: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block: int = BLOCK, shares: int = SHARES, rows_at_once: int = ROWS) -> DataFrame:
     """Rows (lang, source, part, item, value, rank): ``pair`` compares the source with each other one of its language, ``term``
     has the ``top`` terms that it uses more than the language does."""
     counts = stash(count_terms(df), "counts")
@@ -245,6 +246,9 @@ def audit(df: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     compared = compare_sources(
         shared.where("terms IS NOT NULL").select("lang", F.col("term").alias("column"), "index", "n_sources", p.alias("share"), "terms"),
         groups.select("lang", "source", "index", "n_sources", "least", "kept"),
+        block,
+        shares,
+        rows_at_once,
     )
     # each pair stands for both of its sources
     pairs = compared.select("lang", "value", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("way"))

@@ -70,9 +70,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 def grams(host: Column, path: Column, orders: Sequence[int] = ORDERS) -> Column:
     """Distinct character n-grams of host and path, marked by side; a full stop ends the host on both sides."""
     sides = (("h", F.concat(F.lit("."), host, F.lit("."))), ("p", path))
+
     # a look-ahead matches at every character, so one pass finds overlapping n-grams
-    each = [F.transform(F.regexp_extract_all(s, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1), lambda g, k=f"{side}{n}": F.concat(F.lit(k), g)) for side, s in sides for n in orders]
-    return F.array_distinct(F.concat(*each))
+    def found(side: str, whole: Column, n: int) -> Column:
+        return F.transform(F.regexp_extract_all(whole, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1), lambda g: F.concat(F.lit(f"{side}{n}"), g))
+
+    return F.array_distinct(F.concat(*[found(side, whole, n) for side, whole in sides for n in orders]))
 
 
 @dataclass

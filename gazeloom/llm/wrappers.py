@@ -4,23 +4,23 @@ A bounded sample of each host's pages (``PAGES_PER_HOST``, chosen by a hash of t
 page) is parsed into trees of blocks whose runs of like siblings are folded. Simple
 tree matching aligns the trees: a block's text that stands in the matching node of
 every sampled page is constant and becomes template, all other text is a slot. The
-slots vote for the content root: the deepest node that holds most of their text, or
-the ``article`` or ``main`` element around it. The wrapper is the root's path of labels
-and digests of the template blocks below it.
-
-Every page is then parsed whole and the slots' text below its wrapper's root is taken;
-where several nodes are at the root's path, that of all of them. Names decide only
-what alignment can't: slots in elements, roles or classes of page furniture (menus,
-adverts, reader comments vary from page to page, too) neither vote nor are taken. A
-class word counts if the rest of its class name is neutral, so ``related-posts`` is
-furniture and ``related-work`` is not; ``article`` and ``main`` are never furniture by
-their class, unless it is that of a comment. A page in which the path has no match
-(other layout, cut-off markup) or whose host has no usable sample falls back to a vote
-on the page alone.
+wrapper of a host is the set of digests of its template blocks, each with its path.
+
+Every page is then parsed whole and all its slots are content. If ``article`` and
+``main`` elements hold at least half of the slots' text, the outermost of them are the
+content and what is outside goes. Names decide only what alignment can't: slots in
+elements, roles or classes of page furniture (menus, adverts, reader comments vary from
+page to page, too) are left out. A class word counts if the rest of its class name is
+neutral, so ``related-posts`` is furniture and ``related-work`` is not; ``article`` and
+``main`` are never furniture by their class, unless it is that of a comment. A ``header``
+is furniture where it heads the whole page, not a part of it. A ``form`` is furniture
+unless it encloses an ``article`` or ``main`` element, or forms hold more of the page's
+text than all else: then they are wrappers.
 
 Pages that repeat one text are copies, not a template: constant blocks are template
-only where ``MIN_PAGES`` or more pages are aligned and the constant share of the
-root's text is below ``MAX_CONSTANT``.
+only where ``MIN_PAGES`` or more pages are aligned and less than ``MAX_CONSTANT`` of the
+text outside furniture is constant. A constant headline stays if slots follow it before
+the next one. A page without any slot keeps its constant text.
 
 Wrappers are small; they are broadcast only if their measured size is below
 ``BROADCAST_BYTES`` and joined by host otherwise. Edge cases: null or empty html gives
@@ -48,8 +48,8 @@ from .arrow import free_name, slices, text_of
 from .storage import stash
 
 PAGES_PER_HOST = 8
-#: Aligned pages that constant text needs to be template, and the share of the root's text from which it is a copy instead.
-MIN_PAGES, MAX_CONSTANT = 4, 0.2
+#: Aligned pages that constant text needs to be template, and the share of their text from which they are copies instead.
+MIN_PAGES, MAX_CONSTANT = 4, 0.5
 BROADCAST_BYTES = 8_000_000
 #: Open elements beyond which a tree grows no deeper (browsers stop at about as many).
 MAX_DEPTH = 500
@@ -62,8 +62,7 @@ INLINE = frozenset("img a abbr acronym b bdi bdo big cite code data del dfn em f
 #: Start tags that end an open element of the given kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Blocks that hold text and never are a content root.
-BLOCKS_OF_TEXT = INLINE | frozenset("blockquote h1 h2 h3 h4 h5 h6 li ol p pre table ul".split())
+HEADLINES = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 SCOPES = frozenset("article aside body div footer form header html main nav ol section table ul".split())
 #: Elements, roles and name words of page furniture.
 FURNITURE_TAGS = frozenset("nav footer aside form button select textarea input script style noscript template iframe svg canvas dialog head title menu object embed".split())
@@ -73,6 +72,8 @@ FURNITURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising
 NEUTRAL_WORDS = frozenset("area bar block body bottom box button buttons center col column container content desktop entry fixed floating form header holder inner item items left links list main mobile module outer page panel post posts right row section side site slot sponsors sticky thread title top unit user view wrap wrapper".split())
 COMMENT_WORDS = frozenset("comment comments replies reply respond".split())
 CONTENT_TAGS = frozenset(("article", "main"))
+#: Elements that enclose a whole page, besides the only block of such an element.
+PAGE_TAGS = frozenset(("#root", "html", "body", "form"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 #: A tag that the end of the page cuts off.
@@ -82,21 +83,23 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An element with its children (nodes and text strings)."""
+    """An element with its children (nodes and text strings); ``form`` if only its tag makes it furniture."""
 
-    __slots__ = ("tag", "label", "furniture", "kids")
+    __slots__ = ("tag", "label", "furniture", "form", "kids")
 
     def __init__(self, tag: str, raw: str = ""):
         self.tag, self.kids = tag, []
         name = ""
-        self.furniture = tag in FURNITURE_TAGS
+        self.furniture = named = False
         if raw and "=" in raw:
             attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
             names = (attributes.get("class", "") + " " + attributes.get("id", "")).lower().split()
             name = " ".join(attributes.get("class", "").lower().split())
             hidden = attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""))
             known = COMMENT_WORDS if tag in CONTENT_TAGS else FURNITURE_WORDS
-            self.furniture = self.furniture or attributes.get("role", "").lower() in FURNITURE_ROLES or bool(hidden) or any(_names(x, known) for x in names)
+            named = attributes.get("role", "").lower() in FURNITURE_ROLES or bool(hidden) or any(_names(x, known) for x in names)
+        self.furniture = named or tag in FURNITURE_TAGS
+        self.form = tag == "form" and not named
         self.label = f"{tag}.{name}" if name else tag
 
 
@@ -107,7 +110,44 @@ def _names(token: str, known: frozenset) -> bool:
 
 
 def parse(page: str | None) -> Node:
-    """The page's tree, built leniently: void and raw elements, implied ends of p, li and table cells, unmatched ends ignored."""
+    """The page's tree, in which headers and forms are judged by their place."""
+    root = _tree(page)
+    _deep(_settle, root)
+    return root
+
+
+def _settle(root: Node) -> None:
+    """Headers of the page become furniture, forms around its content don't stay it."""
+    forms: list[tuple[Node, int, bool]] = []
+
+    def walk(n: Node, heads: bool) -> tuple[int, bool]:
+        """Letters outside furniture below a node, and whether a content element is among them."""
+        size, content = 0, n.tag in CONTENT_TAGS
+        blocks = [k for k in n.kids if not isinstance(k, str) and not _is_inline(k) and not (k.furniture and not k.form)]
+        for kid in n.kids:
+            if isinstance(kid, str):
+                size += len(kid.strip())
+            else:
+                if kid.tag == "header" and heads:
+                    kid.furniture = True
+                if not kid.furniture or kid.form:
+                    more, inner = walk(kid, heads and (kid.tag in PAGE_TAGS or len(blocks) == 1 and kid.tag not in CONTENT_TAGS))
+                    content = content or inner
+                    size += more
+        if n.form:
+            forms.append((n, size, content))
+            return 0, content
+        return size, content
+
+    outside, _ = walk(root, True)
+    wrap = sum(size for _, size, _ in forms) > outside
+    for form, _, content in forms:
+        if content or wrap:
+            form.furniture = False
+
+
+def _tree(page: str | None) -> Node:
+    """The page's elements, built leniently: void and raw elements, implied ends of p, li and table cells, unmatched ends ignored."""
     root = Node("#root")
     open_nodes, at, page = [root], 0, page or ""
     # elements below the deepest level: (tag, is furniture), how many of each tag, how many are furniture
@@ -178,17 +218,12 @@ def parse(page: str | None) -> Node:
             open_nodes.append(node)
 
 
-def _is_furniture(node: Node, inside: bool) -> bool:
-    # a header inside the content holds the headline; one outside is the page's
-    return node.furniture or (node.tag == "header" and not inside)
-
-
 def _is_inline(node: Node) -> bool:
     """Whether an element is part of the text around it: inline, without blocks in it."""
     return node.tag in INLINE and all(isinstance(k, str) or _is_inline(k) for k in node.kids)
 
 
-def own_text(node: Node, inside: bool) -> str:
+def own_text(node: Node) -> str:
     """A block's own text with that of its inline elements, without its child blocks, white space runs as one space."""
     parts: list[str] = []
 
@@ -197,7 +232,7 @@ def own_text(node: Node, inside: bool) -> str:
             if isinstance(kid, str):
                 parts.append(kid)
             elif _is_inline(kid):
-                if not _is_furniture(kid, inside):
+                if not kid.furniture:
                     walk(kid)
             else:
                 parts.append(" ")
@@ -210,26 +245,45 @@ def _digest(path: list[str], text: str) -> str:
     return hashlib.blake2b("\n".join([*path, text]).encode(), digest_size=8).hexdigest()
 
 
-def text_below(node: Node, template: frozenset[str] | set[str] = frozenset()) -> str:
-    """Main text of a content root: blocks in page order, white space runs as one space, template and furniture left out."""
+def _slots(root: Node, template: frozenset[str] | set[str]) -> tuple[int, int]:
+    """Letters of slots outside furniture, and how many of them are in content elements."""
+    sums = [0, 0]
+
+    def walk(n: Node, path: list[str], inside: bool) -> None:
+        inside = inside or n.tag in CONTENT_TAGS
+        own = own_text(n)
+        if own and not (template and _digest(path, own) in template):
+            sums[0] += len(own)
+            sums[1] += len(own) * inside
+        for kid in n.kids:
+            if not isinstance(kid, str) and not kid.furniture and not _is_inline(kid):
+                walk(kid, [*path, kid.label], inside)
+
+    walk(root, [], False)
+    return sums[0], sums[1]
+
+
+def _text(root: Node, template: frozenset[str] | set[str], named: bool) -> str:
+    """Blocks in page order, white space runs as one space, template and furniture left out; of content elements only if they are ``named``."""
     parts: list[str] = []
 
-    def walk(n: Node, path: list[str], skip: bool) -> None:
+    def walk(n: Node, path: list[str], skip: bool, taken: bool) -> None:
         block = n.tag not in INLINE
+        taken = taken or n.tag in CONTENT_TAGS
         if block:
             parts.append(" ")
         if template and not _is_inline(n):
-            skip = _digest(path, own_text(n, True)) in template
+            skip = _digest(path, own_text(n)) in template
         for kid in n.kids:
             if isinstance(kid, str):
-                if not skip:
+                if taken and not skip:
                     parts.append(kid)
-            elif not _is_furniture(kid, True):
-                walk(kid, path if _is_inline(kid) else [*path, kid.label], skip)
+            elif not kid.furniture:
+                walk(kid, path if _is_inline(kid) else [*path, kid.label], skip, taken)
         if block:
             parts.append(" ")
 
-    _deep(walk, node, [], False)
+    walk(root, [], False, not named)
     return " ".join("".join(parts).split())
 
 
@@ -245,17 +299,16 @@ def _deep(fn, *args):
 class Folded:
     """A block for alignment: label, own texts, and child blocks in which runs of one label are one node."""
 
-    __slots__ = ("label", "parts", "kids", "furniture", "content")
+    __slots__ = ("label", "parts", "kids", "furniture", "headline")
 
-    def __init__(self, node: Node, inside: bool = False):
-        self.label, self.furniture = node.label, _is_furniture(node, inside)
-        self.content = node.tag in CONTENT_TAGS
-        own = own_text(node, inside or self.content)
+    def __init__(self, node: Node):
+        self.label, self.furniture, self.headline = node.label, node.furniture, node.tag in HEADLINES
+        own = own_text(node)
         self.parts = [own] if own else []
         self.kids: list[Folded] = []
         for k in node.kids:
             if not isinstance(k, str) and not _is_inline(k):
-                f = Folded(k, inside or self.content)
+                f = Folded(k)
                 if self.kids and (self.kids[-1].label, self.kids[-1].furniture) == (f.label, f.furniture):
                     self.kids[-1].absorb(f)
                 else:
@@ -311,104 +364,61 @@ def match(a: Folded, b: Folded) -> tuple[int, list[tuple[Folded, Folded]]]:
     return best[n][m] + 1, pairs
 
 
-def content_path(first: Folded, slots: dict[int, int]) -> list[str] | None:
-    """Labels from the top to the deepest node with most of the slots' text, or to the article or main element around it."""
-    sums: dict[int, int] = {}
-
-    def mass(n: Folded) -> int:
-        # furniture has no vote
-        if id(n) not in sums:
-            sums[id(n)] = 0 if n.furniture else slots.get(id(n), 0) + sum(map(mass, n.kids))
-        return sums[id(n)]
-
-    if not mass(first):
-        return None
-    path, node, named = [], first, None
-    while True:
-        best = max(node.kids, key=mass, default=None)
-        if best is None or best.label.split(".")[0] in BLOCKS_OF_TEXT or mass(best) < 0.6 * mass(node):
-            return path if named is None else path[:named]
-        node = best
-        path.append(node.label)
-        if node.content:
-            named = len(path)
-
-
-def induce(pages: list[str]) -> tuple[list[str], list[str]] | None:
-    """The wrapper of one host's pages: the content root's path of labels and digests of the template blocks below it, or none."""
+def induce(pages: list[str]) -> list[str] | None:
+    """The wrapper of one host's pages: digests of the template blocks; none without two pages to align."""
     trees = [Folded(parse(p)) for p in pages if p]
     if len(trees) < 2:
         return None
     first = trees[0]
-    nodes: dict[int, Folded] = {}
     constant: dict[int, set[str]] = {}
     met: dict[int, int] = {}
     for other in trees[1:]:
         for a, b in match(first, other)[1]:
-            nodes[id(a)] = a
             constant[id(a)] = constant.get(id(a), set(a.parts)) & set(b.parts)
             met[id(a)] = met.get(id(a), 0) + 1
-    # constant is what matched in every page; text of nodes that only some pages have is no vote either way
+    # constant is what matched in every page
     for k, n in met.items():
         if n < len(trees) - 1:
             constant[k] = set()
-    path = content_path(first, {k: sum(len(x) for x in n.parts if x not in constant[k]) for k, n in nodes.items()})
-    if path is None:
-        return None
     template: list[str] = []
     sizes = [0, 0]
 
-    def note(n: Folded, at: list[str]) -> None:
+    def note(n: Folded, at: list[str]) -> bool:
+        """Notes the template below a node; whether there are slots, too."""
         same = constant.get(id(n), set())
+        found = any(x not in same for x in n.parts)
         for x in n.parts:
             sizes[x in same] += len(x)
         template.extend(_digest(at, x) for x in sorted(same))
-        for k in n.kids:
-            if not k.furniture:
-                note(k, [*at, k.label])
-
-    roots = [first]
-    for label in path:
-        roots = [k for n in roots for k in n.kids if k.label == label and not k.furniture]
-    for n in roots:
-        note(n, [])
-    usable = len(trees) >= MIN_PAGES and sizes[1] < MAX_CONSTANT * sum(sizes)
-    return path, sorted(set(template)) if usable else []
-
-
-def _own_path(root: Node) -> list[str]:
-    """A page's path without a wrapper: all its text counts as slots."""
-    folded = Folded(root)
-    own: dict[int, int] = {}
-
-    def note(n: Folded) -> None:
-        own[id(n)] = sum(map(len, n.parts))
-        for k in n.kids:
-            note(k)
-
-    note(folded)
-    return content_path(folded, own) or []
-
-
-def _follow(root: Node, path: list[str]) -> list[Node]:
-    """All nodes at a path of labels, in page order, outside furniture: a folded node stands for each of its like-labelled siblings."""
-    nodes = [(root, False)]
-    for label in path:
-        nodes = [(k, inside or n.tag in CONTENT_TAGS) for n, inside in nodes for k in n.kids if not isinstance(k, str) and k.label == label and not _is_furniture(k, inside or n.tag in CONTENT_TAGS)]
-    return [n for n, _ in nodes]
-
-
-def main_text(page: str | None, wrapper: tuple[list[str], list[str]] | None) -> str:
-    """The main text of one page under a wrapper: of all nodes at its path, in page order."""
+        kids = [k for k in n.kids if not k.furniture]
+        kept, slots = [len(template)], []
+        for k in kids:
+            slots.append(note(k, [*at, k.label]))
+            kept.append(len(template))
+        for i in range(len(kids) - 1, -1, -1):
+            after = next((j for j in range(i + 1, len(kids)) if slots[j] or kids[j].headline), None)
+            if kids[i].headline and not slots[i] and after is not None and slots[after]:
+                del template[kept[i] : kept[i + 1]]
+        return found or any(slots)
+
+    note(first, [])
+    return sorted(set(template)) if len(trees) >= MIN_PAGES and sizes[1] < MAX_CONSTANT * sum(sizes) else []
+
+
+def main_text(page: str | None, wrapper: list[str] | None) -> str:
+    """The main text of one page under the template of its host."""
     if not page:
         return ""
-    root = _deep(parse, page)
-    path, template = wrapper or ([], [])
-    nodes = _follow(root, path) if path else []
-    if not nodes:
-        nodes, template = _follow(root, _deep(_own_path, root)) or [root], []
-    known = set(template)
-    return " ".join(x for x in (text_below(n, known) for n in nodes) if x)
+
+    def read() -> str:
+        root, template = parse(page), frozenset(wrapper or ())
+        slots, named = _slots(root, template)
+        if not slots:
+            template = frozenset()
+            slots, named = _slots(root, template)
+        return _text(root, template, 0 < slots <= 2 * named)
+
+    return _deep(read)
 
 
 def host_of(url):
