@@ -1,4 +1,4 @@
-"""Kernels inside Spark: one recording per group, one pair per row, one panel of recordings per group.
+"""Kernels inside Spark: one recording per group, pairs by blocks, one panel of recordings per group.
 
 Only the columns that a kernel reads are shuffled, and a group is sorted inside the
 task, since groups come in no order. A recording fits a worker; a panel is a bounded
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.relational import Plan
 from . import kernels as K
+from . import pairwise
 from .islands import two_class
 from .segmentation import three_class
 
@@ -67,89 +68,70 @@ def spectra(df: DataFrame, fs: float, segment: int | None = None, window: str =
     return per_recording(df, run, "cell long, frequency double, power double", [column])
 
 
-def cross_spectra(df: DataFrame, pairs: DataFrame, fs: float, segment: int, column: str = "x") -> DataFrame:
-    """(id_1, id_2, cell, frequency, re, im, coherency) for pairs of recordings."""
-    packed = df.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", column))), lambda s: s[column]).alias("v"))
+def cross_spectra(df: DataFrame, fs: float, segment: int | None, column: str = "x", pairs: DataFrame | None = None) -> DataFrame:
+    """(id_1, id_2, cell, frequency, re, im, coherency) for all pairs of recordings, or those given; without a segment length one segment of each pair's longer length (coherency null)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for a, c, v, w in zip(b.id_1, b.id_2, b.v, b.w, strict=True):
-                n = max(len(v), len(w))
-                v, w = (np.pad(np.asarray(z, float), (0, n - len(z))) for z in (v, w))
-                f, p = K.spectral_density(v, w, fs, segment)
-                yield pd.DataFrame({"id_1": a, "id_2": c, "cell": range(len(f)), "frequency": f, "re": p.real, "im": p.imag, "coherency": K.coherency(v, w, fs, segment)[1]})
+    def kernel(one, v, ids, vs):
+        for two, w in zip(ids.tolist(), vs, strict=True):
+            n = max(len(v), len(w))
+            x, y = (np.pad(np.asarray(z, float), (0, n - len(z))) for z in (v, w))
+            f, p = K.spectral_density(x, y, fs, segment, "hann" if segment else "boxcar")
+            coherency = K.coherency(x, y, fs, segment)[1] if segment else [None] * len(f)
+            yield from zip([one] * len(f), [two] * len(f), range(len(f)), f.tolist(), p.real.tolist(), p.imag.tolist(), list(coherency), strict=True)
 
-    return _paired(packed, pairs, "v").mapInPandas(run, "id_1 long, id_2 long, cell long, frequency double, re double, im double, coherency double")
+    return pairwise.between(pairwise.pack_points(df, (column,), "i"), pairs, kernel, "id_1 long, id_2 long, cell long, frequency double, re double, im double, coherency double")
 
 
-def _paired(packed: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
-    other = "w" if column == "v" else f"{column}_2"
-    return pairs.join(packed.withColumnRenamed("recording_id", "id_1"), "id_1").join(packed.select(F.col("recording_id").alias("id_2"), F.col(column).alias(other)), "id_2")
+def pair_metrics(scanpaths: DataFrame, metrics: dict[str, Callable[[np.ndarray, np.ndarray], float | dict]], pairs: DataFrame | None = None) -> DataFrame:
+    """(id_1, id_2, metric, value) for all pairs of scanpaths, or those given; a metric may return several named values."""
 
+    def kernel(one, v, ids, vs):
+        s = np.asarray(v, float).reshape(-1, 3)
+        for two, w in zip(ids.tolist(), vs, strict=True):
+            t = np.asarray(w, float).reshape(-1, 3)
+            for name, fn in metrics.items():
+                got = fn(s, t)
+                for k, x in got.items() if isinstance(got, dict) else [(None, got)]:
+                    yield one, two, name if k is None else f"{name}_{k}", float(x)
 
-def pack_scanpaths(df: DataFrame, columns: tuple[str, ...] = ("x", "y", "dur")) -> DataFrame:
-    """(recording_id, v array<struct>): the ordered points of each scanpath."""
-    return df.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("k", *columns))).alias("v"))
+    return pairwise.between(pairwise.pack_points(scanpaths, ("x", "y", "dur")), pairs, kernel, "id_1 long, id_2 long, metric string, value double")
 
 
-def pair_metrics(scanpaths: DataFrame, pairs: DataFrame, metrics: dict[str, Callable[[np.ndarray, np.ndarray], float | dict]]) -> DataFrame:
-    """(id_1, id_2, metric, value) for scanpath pairs; a metric may return several named values. Points are packed once per recording, not once per pair."""
+def sequence_metrics(sequences: DataFrame, metrics: dict[str, Callable[[list, list], float]], symbol: str = "aoi", pairs: DataFrame | None = None) -> DataFrame:
+    """(id_1, id_2, metric, value) for all pairs of symbol sequences, or those given."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for a, c, v, w in zip(b.id_1, b.id_2, b.v, b.w, strict=True):
-                s, t = (np.asarray(z, float).reshape(-1, 3) for z in (v, w))
-                for name, fn in metrics.items():
-                    got = fn(s, t)
-                    rows += [(a, c, f"{name}_{k}", float(x)) for k, x in got.items()] if isinstance(got, dict) else [(a, c, name, float(got))]
-            yield pd.DataFrame(rows, columns=["id_1", "id_2", "metric", "value"])
+    def kernel(one, v, ids, vs):
+        mine = list(v)
+        for two, w in zip(ids.tolist(), vs, strict=True):
+            other = list(w)
+            for name, fn in metrics.items():
+                yield one, two, name, float(fn(mine, other))
 
-    # numbers in a row instead of structs: a batch of pairs holds many points
-    packed = pack_scanpaths(scanpaths).withColumn("v", F.flatten(F.transform("v", lambda q: F.array(*[q[c].cast("double") for c in ("x", "y", "dur")]))))
-    return _paired(packed, pairs, "v").mapInPandas(run, "id_1 long, id_2 long, metric string, value double")
+    return pairwise.between(pairwise.pack_symbols(sequences, symbol), pairs, kernel, "id_1 long, id_2 long, metric string, value double")
 
 
-def sequence_metrics(sequences: DataFrame, pairs: DataFrame, metrics: dict[str, Callable[[list, list], float]], symbol: str = "aoi") -> DataFrame:
-    """(id_1, id_2, metric, value) for pairs of symbol sequences."""
-    packed = sequences.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", symbol))), lambda s: s[symbol]).alias("v"))
+def alignments(sequences: DataFrame, symbol: str = "aoi", align: Callable[[list, list], tuple[float, list]] = K.edit_alignment, pairs: DataFrame | None = None) -> DataFrame:
+    """(id_1, id_2, score, aligned) for all pairs of symbol sequences, or those given: an alignment as pairs of symbols, ``_`` for a gap."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(a, c, name, float(fn(list(v), list(w)))) for a, c, v, w in zip(b.id_1, b.id_2, b.v, b.w, strict=True) for name, fn in metrics.items()]
-            yield pd.DataFrame(rows, columns=["id_1", "id_2", "metric", "value"])
+    def kernel(one, v, ids, vs):
+        mine = list(v)
+        for two, w in zip(ids.tolist(), vs, strict=True):
+            score, places = align(mine, list(w))
+            yield one, two, float(score), [(mine[i] if i >= 0 else "_") + (w[j] if j >= 0 else "_") for i, j in places]
 
-    return _paired(packed, pairs, "v").mapInPandas(run, "id_1 long, id_2 long, metric string, value double")
+    return pairwise.between(pairwise.pack_symbols(sequences, symbol), pairs, kernel, "id_1 long, id_2 long, score double, aligned array<string>")
 
 
-def alignments(sequences: DataFrame, pairs: DataFrame, symbol: str = "aoi", align: Callable[[list, list], tuple[float, list]] = K.edit_alignment) -> DataFrame:
-    """(id_1, id_2, score, aligned) for pairs of symbol sequences: an alignment as pairs of symbols, ``_`` for a gap."""
-    packed = sequences.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", symbol))), lambda s: s[symbol]).alias("v"))
+def warp_links(scanpaths: DataFrame, kind: str = "dtw", pairs: DataFrame | None = None) -> DataFrame:
+    """(id_1, id_2, distance, left, right) for all pairs of scanpaths, or those given: the linked places of a warping, ``left[n]`` with ``right[n]``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for one, two, v, w in zip(b.id_1, b.id_2, b.v, b.w, strict=True):
-                score, places = align(list(v), list(w))
-                rows.append((one, two, score, [(v[i] if i >= 0 else "_") + (w[j] if j >= 0 else "_") for i, j in places]))
-            yield pd.DataFrame(rows, columns=["id_1", "id_2", "score", "aligned"])
+    def kernel(one, v, ids, vs):
+        s = np.asarray(v, float).reshape(-1, 2)
+        for two, w in zip(ids.tolist(), vs, strict=True):
+            far, links = K.warp_links(s, np.asarray(w, float).reshape(-1, 2), kind)
+            yield one, two, far, [i for i, _ in links], [j for _, j in links]
 
-    return _paired(packed, pairs, "v").mapInPandas(run, "id_1 long, id_2 long, score double, aligned array<string>")
-
-
-def warp_links(scanpaths: DataFrame, pairs: DataFrame, kind: str = "dtw") -> DataFrame:
-    """(id_1, id_2, distance, left, right) for scanpath pairs: the linked places of a warping, ``left[n]`` with ``right[n]``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for one, two, v, w in zip(b.id_1, b.id_2, b.v, b.w, strict=True):
-                far, links = K.warp_links(*(np.asarray(z, float).reshape(-1, 2) for z in (v, w)), kind)
-                rows.append((one, two, far, [i for i, _ in links], [j for _, j in links]))
-            yield pd.DataFrame(rows, columns=["id_1", "id_2", "distance", "left", "right"])
-
-    packed = pack_scanpaths(scanpaths, ("x", "y")).withColumn("v", F.flatten(F.transform("v", lambda q: F.array(*[q[c].cast("double") for c in "xy"]))))
-    return _paired(packed, pairs, "v").mapInPandas(run, "id_1 long, id_2 long, distance double, left array<int>, right array<int>")
+    return pairwise.between(pairwise.pack_points(scanpaths), pairs, kernel, "id_1 long, id_2 long, distance double, left array<int>, right array<int>")
 
 
 def same_centers(one: dict[str, tuple[float, float]], two: dict[str, tuple[float, float]]) -> dict[str, tuple[float, float]]:

@@ -345,6 +345,23 @@ def warp_links(s: np.ndarray, t: np.ndarray, kind: str = "dtw") -> tuple[float,
     return float(table[-1, -1]), out[::-1]
 
 
+def warp_within(s: np.ndarray, t: np.ndarray, limit: float, kind: str = "dtw") -> float:
+    """The warping distance if it is at most ``limit``, else infinity; ends early, since each way meets one of two neighbouring diagonals."""
+    join, first = WARPS[kind]
+    d = _distances(s, t)
+    n, m = d.shape
+    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    before[0] = first
+    for k in range(n + m - 1):
+        i = np.arange(max(0, k - m + 1), min(n, k + 1))
+        now = np.full(n + 1, np.inf)
+        now[i + 1] = join(d[i, k - i], np.minimum(np.minimum(before[i], last[i]), last[i + 1]))
+        if min(now.min(), last.min()) > limit:
+            return math.inf
+        before, last = last, now
+    return float(last[n]) if last[n] <= limit else math.inf
+
+
 def longest_common_subsequence(a: list, b: list) -> list:
     """A longest common subsequence; of equal ones the one that skips the first sequence's end."""
     n, m = len(a), len(b)
@@ -415,44 +432,57 @@ def local_alignment(a: list, b: list, similarity=None, base: float = 0.1, step:
 
 
 def emine(sequences: list[list]) -> list:
-    """A common subsequence: the closest pair is replaced by its longest common subsequence until one is left."""
-    left = [list(s) for s in sequences]
+    """A common subsequence: the closest pair is replaced by its longest common subsequence until one is left; of equally close pairs the first, merged ones come last."""
+    left = dict(enumerate(list(s) for s in sequences))
+    far = {(i, j): weighted_levenshtein(left[i], left[j]) for i in left for j in left if i < j}
     while len(left) > 1:
-        pairs = [(weighted_levenshtein(left[i], left[j]), i, j) for i in range(len(left)) for j in range(i + 1, len(left))]
-        _, i, j = min(pairs)
-        common = longest_common_subsequence(left[i], left[j])
-        left = [s for k, s in enumerate(left) if k not in (i, j)] + [common]
-    return left[0] if left else []
+        _, i, j = min((d, i, j) for (i, j), d in far.items())
+        common, new = longest_common_subsequence(left.pop(i), left.pop(j)), max(i, j, *left, 0) + 1
+        far = {k: d for k, d in far.items() if i not in k and j not in k} | {(k, new): weighted_levenshtein(s, common) for k, s in left.items()}
+        left[new] = common
+    return next(iter(left.values()), [])
+
+
+def barycentre_votes(mean: list, s: list) -> list[tuple[int, object]]:
+    """(place, symbol) for each link of the warping of a sequence onto a consensus; of equal ways back the diagonal comes first, then the consensus's step."""
+    if not mean or not s:
+        return []
+    d = _costs(mean, s, None)
+    top, side = np.full(len(s) + 1, np.inf), np.full(len(mean) + 1, np.inf)
+    top[0] = side[0] = 0
+    acc = _table(top, side, d, lambda diagonal, up, left, c: c + np.minimum(np.minimum(diagonal, up), left))
+    i, j, out = len(mean), len(s), []
+    while i and j:
+        out.append((i - 1, s[j - 1]))
+        _, i, j = min((acc[i - 1, j - 1], i - 1, j - 1), (acc[i - 1, j], i - 1, j), (acc[i, j - 1], i, j - 1))
+    return out
 
 
-def cdba(sequences: list[list], rounds: int = 20, seed: int = 1) -> list:
-    """Constrained barycentre: a seeded start of median length, improved by majority over alignments; neighbours must occur together in some sequence."""
+def barycentre_step(votes: list[dict], pairs: set[tuple]) -> list:
+    """The symbol with most votes for each place (the first in order at a tie) among those that follow the one before in some sequence."""
+    new: list = []
+    for v in votes:
+        ranked = sorted(v, key=lambda x: (-v[x], str(x)))
+        allowed = [x for x in ranked if not new or x == new[-1] or (new[-1], x) in pairs]
+        new.append((allowed or ranked)[0])
+    return new
+
+
+def cdba(sequences: list[list], rounds: int = 20, seed: int = 1, start: list | None = None) -> list:
+    """Constrained barycentre: a start (seeded, if none is given) of median length, improved by majority over alignments; neighbours must occur together in some sequence."""
     rng = np.random.default_rng(seed)
     sequences = [s for s in sequences if s]
     if not sequences:
         return []
     pairs = {p for s in sequences for p in zip(s, s[1:], strict=False)}
-    start = sequences[int(rng.integers(len(sequences)))]
-    length = int(np.median([len(s) for s in sequences]))
-    mean = list(start[:length])
+    start = sequences[int(rng.integers(len(sequences)))] if start is None else start
+    mean = list(start[: int(np.median([len(s) for s in sequences]))])
     for _ in range(rounds):
         votes: list[dict] = [{} for _ in mean]
         for s in sequences:
-            d = np.array([[0.0 if x == y else 1.0 for y in s] for x in mean])
-            acc = np.full((len(mean) + 1, len(s) + 1), np.inf)
-            acc[0, 0] = 0
-            for i in range(len(mean)):
-                for j in range(len(s)):
-                    acc[i + 1, j + 1] = d[i, j] + min(acc[i, j], acc[i, j + 1], acc[i + 1, j])
-            i, j = len(mean), len(s)
-            while i and j:
-                votes[i - 1][s[j - 1]] = votes[i - 1].get(s[j - 1], 0) + 1
-                _, i, j = min((acc[i - 1, j - 1], i - 1, j - 1), (acc[i - 1, j], i - 1, j), (acc[i, j - 1], i, j - 1))
-        new: list = []
-        for v in votes:
-            ranked = sorted(v, key=lambda x: (-v[x], str(x)))
-            allowed = [x for x in ranked if not new or x == new[-1] or (new[-1], x) in pairs]
-            new.append((allowed or ranked)[0])
+            for place, symbol in barycentre_votes(mean, s):
+                votes[place][symbol] = votes[place].get(symbol, 0) + 1
+        new = barycentre_step(votes, pairs)
         if new == mean:
             break
         mean = new
@@ -511,11 +541,9 @@ def multimatch(p: np.ndarray, q: np.ndarray, diagonal: float, amplitude: float =
     if not len(s) or not len(t):
         return dict.fromkeys(names, float("nan"))
     d = np.hypot(s[:, None, 2] - t[None, :, 2], s[:, None, 3] - t[None, :, 3])
-    acc = np.full((len(s) + 1, len(t) + 1), np.inf)
-    acc[0, 0] = 0
-    for i in range(len(s)):
-        for j in range(len(t)):
-            acc[i + 1, j + 1] = d[i, j] + min(acc[i, j], acc[i, j + 1], acc[i + 1, j])
+    top, side = np.full(len(t) + 1, np.inf), np.full(len(s) + 1, np.inf)
+    top[0] = side[0] = 0
+    acc = _table(top, side, d, lambda diagonal, up, left, c: c + np.minimum(np.minimum(diagonal, up), left))
     i, j, path = len(s), len(t), []
     while i and j:
         path.append((i - 1, j - 1))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aois, grouped, learning, mining
+from ..operators import aois, common, grouped, learning, mining, pairwise
 from ..operators import kernels as K
 from . import catalog as C
 
@@ -25,10 +25,6 @@ def scanpath(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of(C.PATH, "path", spark, sf_dir)
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _of(C.PAIRS, "pairs", spark, sf_dir)
-
-
 #: Post-processing for gaze made of events, as in the catalogue.
 TWO, THREE = {"min_fix": 1.0, "max_fix": 1000.0, "min_sac": 0.0}, {"fix": (1.0, 1000.0), "pursuit": (1.0, 1000.0)}
 
@@ -84,6 +80,16 @@ def _panels(s: SparkSession, d: str) -> DataFrame:
     return grouped.panel_patterns(collapsed.withColumn("panel", F.floor(F.col("recording_id") / 5)), "panel")
 
 
+def _collapsed(s: SparkSession, d: str) -> DataFrame:
+    return _of(aois.collapse(C.SEQ, "seq", "co"), "co", s, d)
+
+
+def _barycentre(s: SparkSession, d: str) -> DataFrame:
+    """The barycentre of all recordings, place by place."""
+    mean, rounds = common.barycentre(_collapsed(s, d))
+    return s.createDataFrame([(k, x, rounds) for k, x in enumerate(mean)], "place int, aoi string, rounds int")
+
+
 def _patterns(s: SparkSession, d: str) -> DataFrame:
     """All patterns of up to three AoIs that half of the recordings share."""
     collapsed = _of(aois.collapse(C.SEQ, "seq", "co"), "co", s, d)
@@ -118,24 +124,24 @@ QUERIES = {
     "ivdt": _labels("ivdt", **IVDT),
     "periodogram": lambda s, d: _rounded(grouped.spectra(gaze(s, d), C.FS, None, "boxcar")),
     "welch": lambda s, d: _rounded(grouped.spectra(gaze(s, d), C.FS, 16)),
-    "cross_spectra": lambda s, d: grouped.cross_spectra(gaze(s, d), pairs(s, d), C.FS, 16),
+    "cross_spectra": lambda s, d: grouped.cross_spectra(gaze(s, d), C.FS, 16),
     "dfa": lambda s, d: grouped.fluctuation(gaze(s, d), [4, 6, 8, 12, 16]),
     "dfa_overlap": lambda s, d: grouped.fluctuation(gaze(s, d), [4, 6, 8, 12, 16], overlap=True),
     "pursuit_task_phase": _target_phase,
-    "scanpath_edit_distances": lambda s, d: grouped.sequence_metrics(_cells(s, d), pairs(s, d), grouped.edit_metrics(CORNERS)),
+    "scanpath_edit_distances": lambda s, d: grouped.sequence_metrics(_cells(s, d), grouped.edit_metrics(CORNERS)),
     "persistence_bars": lambda s, d: grouped.persistence(gaze(s, d), 5.0),
     "sine_phase": lambda s, d: grouped.sine_phase(gaze(s, d), C.FS),
     "scanpath_shapes": lambda s, d: grouped.shapes(scanpath(s, d), C.WIDTH, C.HEIGHT),
-    "scanpath_similarity": lambda s, d: grouped.pair_metrics(scanpath(s, d), pairs(s, d), METRICS),
-    "aoi_edit_distances": lambda s, d: grouped.sequence_metrics(scanpath(s, d), pairs(s, d), grouped.edit_metrics(CENTERS)),
+    "scanpath_similarity": lambda s, d: grouped.pair_metrics(scanpath(s, d), METRICS),
+    "aoi_edit_distances": lambda s, d: grouped.sequence_metrics(scanpath(s, d), grouped.edit_metrics(CENTERS)),
     "aoi_hmm": lambda s, d: grouped.hmm_aois(scanpath(s, d)),
     "aoi_hmm_transitions": _hmm_transitions,
     "aoi_hmm_transition_entropy": lambda s, d: grouped.entropies(_hmm_transitions(s, d)),
     "aoi_joint_kmeans": lambda s, d: learning.joint_areas(scanpath(s, d)),
-    "aoi_alignments": lambda s, d: grouped.alignments(scanpath(s, d), pairs(s, d)),
-    "aoi_local_alignments": lambda s, d: grouped.alignments(scanpath(s, d), pairs(s, d), align=K.local_alignment),
-    "scanpath_dtw_links": lambda s, d: grouped.warp_links(scanpath(s, d), pairs(s, d)),
-    "scanpath_frechet_links": lambda s, d: grouped.warp_links(scanpath(s, d), pairs(s, d), "frechet"),
+    "aoi_alignments": lambda s, d: grouped.alignments(scanpath(s, d)),
+    "aoi_local_alignments": lambda s, d: grouped.alignments(scanpath(s, d), align=K.local_alignment),
+    "scanpath_dtw_links": lambda s, d: grouped.warp_links(scanpath(s, d)),
+    "scanpath_frechet_links": lambda s, d: grouped.warp_links(scanpath(s, d), "frechet"),
     "aoi_transition_entropy": _entropies,
     "aoi_common_patterns": _panels,
     "aoi_lempel_ziv": lambda s, d: grouped.lempel_ziv(scanpath(s, d)),
@@ -148,6 +154,29 @@ QUERIES = {
 } | {f"aoi_{m}": (lambda s, d, m=m: grouped.clusters(scanpath(s, d), m, DIAGONAL)) for m in ("kmeans", "dbscan", "dbscan_all", "density_peaks", "mean_shift", "mean_shift_near", "affinity")}
 
 
+def _points(s: SparkSession, d: str) -> DataFrame:
+    return pairwise.pack_points(scanpath(s, d))
+
+
+def _symbols(s: SparkSession, d: str) -> DataFrame:
+    bins = C.kin.spatial_bins(C.PATH, "path", "bins", 8, 8, C.WIDTH, C.HEIGHT)
+    return pairwise.pack_symbols(_of(bins.then("sym", "SELECT recording_id, k, concat(@letter(gy), @letter(gx)) AS aoi FROM bins"), "sym", s, d))
+
+
+#: All pairs block by block; the catalogue's joins of the same names check them in SQL.
+QUERIES |= {
+    "cross_recurrence": lambda s, d: pairwise.compare(_points(s, d), pairwise.cross_recurrence(C.RADIUS), pairwise.CROSS_RECURRENCE),
+    "eye_analysis_distance": lambda s, d: pairwise.compare(_points(s, d), pairwise.point_mapping, pairwise.POINT_MAPPING),
+    "time_delay_embedding": lambda s, d: pairwise.compare(_points(s, d), pairwise.time_delay_embedding(), pairwise.TIME_DELAY),
+    "subsmatch_similarity": lambda s, d: pairwise.compare(_symbols(s, d), pairwise.subsequence_similarity(), pairwise.SUBSEQUENCES),
+    "pair_bins": lambda s, d: pairwise.compare(_points(s, d), pairwise.joint_bins(8, 8), pairwise.JOINT_BINS),
+    "aoi_common_subsequence": lambda s, d: common.common_subsequence(_collapsed(s, d)).withColumn("pattern", F.array_join("pattern", ",")),
+    "aoi_barycentre": _barycentre,
+    "aoi_likeness_tree": lambda s, d: common.likeness_tree(_collapsed(s, d)),
+    "scanpath_near_pairs": lambda s, d: pairwise.compare(_points(s, d), pairwise.near_pairs(100.0), pairwise.NEAR),
+}
+
+
 def _gamma(s: SparkSession, d: str) -> DataFrame:
     import pandas as pd
 

@@ -20,10 +20,7 @@ def test_common_patterns_read_whole_sequences(spark, sf):
 def test_pairwise_queries_take_all_pairs(spark, sf):
     ids = sorted(r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().where("count > 1").collect())
     want = [(a, b) for a in ids for b in ids if a < b]
-    assert sorted((r.id_1, r.id_2) for r in kernels.pairs(spark, sf).collect()) == want
-    for name in ("cross_recurrence", "eye_analysis_distance", "time_delay_embedding", "subsmatch_similarity"):
-        assert sorted((r.id_1, r.id_2) for r in catalog.QUERIES[name](spark, sf).select("id_1", "id_2").collect()) == want, name
-    for name in ("cross_spectra", "scanpath_similarity", "aoi_edit_distances"):
+    for name in ("cross_recurrence", "eye_analysis_distance", "time_delay_embedding", "subsmatch_similarity", "cross_spectra", "scanpath_similarity", "aoi_edit_distances"):
         assert sorted((r.id_1, r.id_2) for r in kernels.QUERIES[name](spark, sf).select("id_1", "id_2").distinct().collect()) == want, name
 
 
