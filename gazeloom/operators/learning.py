@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import convnet
 from .grouped import features
 
 CLASSIFIERS = {
@@ -91,12 +92,14 @@ def vectors(gaze: DataFrame, kind: str, reach: int) -> DataFrame:
     return features(gaze, kind, reach).withColumn("vector", array_to_vector("features")).drop("features")
 
 
-def fit(gaze: DataFrame, labels: DataFrame, kind: str = "fc", classifier: str = "rf", reach: int = 5) -> PipelineModel | Neighbours:
-    """Fit on samples with a label above 0. ``mlp`` stands in for the convolutional net; ``knn`` keeps a bounded sample."""
+def fit(gaze: DataFrame, labels: DataFrame, kind: str = "fc", classifier: str = "rf", reach: int = 5, net: dict | None = None) -> PipelineModel | Neighbours | convnet.Fitted:
+    """Fit on samples with a label above 0: ``rf``, ``svm`` (linear), ``rbf`` (Gaussian kernel), ``knn`` (keeps a bounded sample), ``mlp``, or ``cnn``, which reads windows instead of features and takes the options of :func:`.convnet.fit`."""
+    if classifier == "cnn":
+        return convnet.fit(gaze, labels, **(net or {}))
     rows = vectors(gaze, kind, reach).join(labels.where("label > 0"), ["recording_id", "i"]).withColumn("label", F.col("label").cast("double"))
     if classifier == "knn":
         return fit_neighbours(rows)
-    width = 3 * 36 if kind == "hov" else 11
+    width = len(rows.select(vector_to_array("vector").alias("v")).first()["v"]) if classifier == "mlp" else 0
     stages = [StandardScaler(inputCol="vector", outputCol="scaled", withMean=True), CLASSIFIERS[classifier](width)]
     if classifier == "svm":
         # one machine for each label that occurs; a machine without examples of its label can't be fitted
@@ -105,6 +108,7 @@ def fit(gaze: DataFrame, labels: DataFrame, kind: str = "fc", classifier: str =
     return Pipeline(stages=stages).fit(rows)
 
 
-def predict(gaze: DataFrame, model: PipelineModel | Neighbours, kind: str = "fc", reach: int = 5) -> DataFrame:
+def predict(gaze: DataFrame, model: PipelineModel | Neighbours | convnet.Fitted, kind: str = "fc", reach: int = 5) -> DataFrame:
     """(recording_id, i, label)."""
-    return model.transform(vectors(gaze, kind, reach)).select("recording_id", "i", F.col("prediction").cast("double").cast("int").alias("label"))
+    rows = gaze if isinstance(model, convnet.Fitted) else vectors(gaze, kind, reach)
+    return model.transform(rows).select("recording_id", "i", F.col("prediction").cast("double").cast("int").alias("label"))
