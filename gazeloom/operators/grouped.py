@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import Plan
@@ -40,11 +40,34 @@ def labels(df: DataFrame, method: str, **p) -> DataFrame:
         "ihmm": lambda g: K.gaussian_hmm_1d(g.speed.to_numpy(), p["low"], p["high"], p["variance"], p.get("rounds", 10)),
         "ikf": lambda g: K.kalman_windows(g.x.to_numpy(), g.y.to_numpy(), g.vx.to_numpy(), g.vy.to_numpy(), p["dt"], p["sigma_1"], p["sigma_2"], p["window"], p["limit"]),
         "imst": lambda g: K.spanning_tree_votes(g.x.to_numpy(), g.y.to_numpy(), p["window"], p["eps"], p["min_points"]),
-        "i2mc": lambda g: K.two_means_fixations(g.x.to_numpy(), g.y.to_numpy(), p["window"], p["step"]),
+        "i2mc": lambda g: K.two_means_fixations(g.x.to_numpy(), g.y.to_numpy(), p["window"], p["step"], p.get("shortest", 0), p.get("distance", 0.0)),
         "ivdt": lambda g: K.velocity_dispersion(g.x.to_numpy(), g.y.to_numpy(), g.speed.to_numpy(), p["fast"], p["window"], p["limit"]),
     }
     fn = methods[method]
-    return per_recording(df, lambda g: pd.DataFrame({"i": g.i, "status": g.status, "label": fn(g)}), "i long, status double, label int", ["x", "y", "status", "speed", "vx", "vy"])
+    run = lambda g: pd.DataFrame({"i": g.i, "status": g.status, "label": fn(g)})
+    if method == "ivdt":
+        return by_parts(df, run, F.col("speed") > p["fast"])
+    return per_recording(df, run, "i long, status double, label int", ["x", "y", "status", "speed", "vx", "vy"])
+
+
+def by_parts(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], known: Column, most: int = 10_000) -> DataFrame:
+    """(recording_id, i, status, label) of a scan whose state is known at samples where ``known`` holds: a recording is cut behind such samples, so a long one fills many tasks.
+
+    Parts are as long as it takes to hold ``most`` samples and end at a known one; the cut changes no label.
+    """
+    order = Window.partitionBy("recording_id").orderBy("i")
+    # the block that the last known sample before this one lies in: it changes only behind a known sample
+    last = F.max(F.when(known, F.floor(F.col("i") / most))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = df.select("recording_id", "i", "x", "y", "status", "speed", F.coalesce(last, F.lit(-1)).alias("part"))
+    schema = "recording_id long, i long, status double, label int"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf.sort_values("i", kind="stable").reset_index(drop=True)
+        out = fn(g)
+        out.insert(0, "recording_id", g.recording_id)
+        return out
+
+    return parted.groupBy("recording_id", "part").applyInPandas(run, schema)
 
 
 def segment(df: DataFrame, method: str, fs: float, limits: dict, **p) -> DataFrame:
@@ -178,8 +201,8 @@ def shapes(df: DataFrame, width: float, height: float) -> DataFrame:
     return per_recording(df, run, "hull_area double, hull_vertices long, voronoi_mean double, voronoi_skewness double, voronoi_gamma double, higuchi double", ["x", "y"], "k")
 
 
-def clusters(df: DataFrame, method: str, diagonal: float) -> DataFrame:
-    """(recording_id, k, aoi): areas by clustering each scanpath: kmeans, dbscan, density_peaks, mean_shift, affinity; noise is dropped, ``dbscan_all`` gives it to the nearest centre, ``mean_shift_near`` drops points far from their mode."""
+def clusters(df: DataFrame, method: str, diagonal: float, neighbours: int | None = None) -> DataFrame:
+    """(recording_id, k, aoi): areas by clustering each scanpath: kmeans, dbscan, density_peaks, mean_shift, affinity; noise is dropped, ``dbscan_all`` gives it to the nearest centre, ``mean_shift_near`` drops points far from their mode; ``affinity`` needs a number of ``neighbours`` above ``kernels.AFFINITY_POINTS`` points."""
     methods = {
         "kmeans": K.kmeans_auto,
         "dbscan": lambda p: K.dbscan(p, 0.05 * diagonal),
@@ -187,7 +210,7 @@ def clusters(df: DataFrame, method: str, diagonal: float) -> DataFrame:
         "mean_shift_near": lambda p: K.mean_shift(p, 0.1 * diagonal, orphans=False),
         "density_peaks": lambda p: K.density_peaks(p, 0.1 * diagonal),
         "mean_shift": lambda p: K.mean_shift(p, 0.1 * diagonal),
-        "affinity": K.affinity_propagation,
+        "affinity": lambda p: K.affinity_propagation(p, neighbours=neighbours),
     }
     fn = methods[method]
 
@@ -277,8 +300,26 @@ def lempel_ziv(sequences: DataFrame) -> DataFrame:
     return per_recording(sequences, lambda g: pd.DataFrame({"complexity": [len(K.lempel_ziv(list(g.aoi)))]}), "complexity long", ["aoi"], "k")
 
 
-def features(df: DataFrame, kind: str = "fc", reach: int = 5) -> DataFrame:
-    """(recording_id, i, features array<double>): sample features for learning, ``fc`` or direction histograms ``hov``."""
+#: Columns that the published features of I-FC read.
+IFC_COLUMNS = ["x", "y", "theta_x", "theta_y", "ux", "uy", "uz", "speed_angular"]
+
+
+def ifc_features(df: DataFrame, fs: float, **options) -> DataFrame:
+    """(recording_id, i, and a column for each feature of I-FC by its name) for angular gaze."""
+    names = [k for k in K.IFC if options.get("i2mc", True) or k != "i2mc"]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        found, m = K.ifc_features({c.replace("speed_angular", "speed"): g[c].to_numpy(float) for c in IFC_COLUMNS}, fs, **options)
+        return pd.DataFrame(m, columns=found).assign(i=g.i)[["i", *names]]
+
+    return per_recording(df, run, "i long, " + ", ".join(f"{k} double" for k in names), IFC_COLUMNS)
+
+
+def features(df: DataFrame, kind: str = "fc", reach: int = 5, fs: float = 1.0) -> DataFrame:
+    """(recording_id, i, features array<double>): sample features for learning, ``ifc`` as published (angular gaze at ``fs``), ``fc`` simpler ones over ``reach`` samples of any gaze, or direction histograms ``hov``."""
+    if kind == "ifc":
+        made = ifc_features(df, fs)
+        return made.select("recording_id", "i", F.array(*[F.col(c) for c in K.IFC]).alias("features"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x, y = g.x.to_numpy(float), g.y.to_numpy(float)

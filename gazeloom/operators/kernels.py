@@ -200,28 +200,41 @@ def two_means(points: np.ndarray, rounds: int = 20) -> np.ndarray:
 
 
 def two_means_weights(x: np.ndarray, y: np.ndarray, window: int, step: int) -> np.ndarray:
-    """I-2MC: mean weight of label changes over sliding windows at full, half and quarter rate; NaN where no window covers."""
-    n = len(x)
+    """I-2MC: mean weight of label changes over windows of ``window`` samples around every ``step``-th sample, at full, half and quarter rate; cut at the ends, NaN where none covers.
+
+    A window's changes share a weight of one; at lower rates a change counts for all samples that its one stands for.
+    """
+    n, half, step = len(x), window // 2, max(1, step)
     total, seen = np.zeros(n), np.zeros(n)
     pts = np.stack([x, y], 1)
-    for a in range(0, n - window + 1, max(1, step)):
+    for centre in range(step, n, step):
+        a, b = max(0, centre - half), min(n, centre + half + 1)
         for rate in (1, 2, 4):
-            at = np.arange(a, a + window, rate)
+            at = np.arange(a, b, rate)
             if len(at) < 3 or np.ptp(pts[at], axis=0).sum() == 0:
                 continue
-            change = np.flatnonzero(np.diff(two_means(pts[at])))
-            if len(change):
-                total[at[change]] += 1 / len(change)
-        seen[a : a + window] += 1
+            change = np.flatnonzero(np.diff(two_means(pts[at]))) + 1
+            for k in at[change]:
+                total[k : min(k + rate, b)] += 1 / len(change)
+        seen[a:b] += 1
     return np.divide(total, seen, out=np.full(n, np.nan), where=seen > 0)
 
 
-def two_means_fixations(x: np.ndarray, y: np.ndarray, window: int, step: int) -> np.ndarray:
-    """Fixation where the weight is below its mean plus one deviation."""
+def merged_runs(fix: np.ndarray, x: np.ndarray, y: np.ndarray, shortest: int, distance: float) -> np.ndarray:
+    """Runs of fixation longer than ``shortest`` samples; the samples between two of them are fixation, too, where the second starts nearer than ``distance`` to the first one's end."""
+    step = np.diff(np.concatenate([[0], fix, [0]]))
+    runs = [(a, b) for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1, strict=True) if b - a >= shortest]
+    between = [(b + 1, c - 1) for (_, b), (c, _) in zip(runs, runs[1:], strict=False) if math.hypot(x[c] - x[b], y[c] - y[b]) < distance]
+    return mark_intervals(len(fix), runs + between)
+
+
+def two_means_fixations(x: np.ndarray, y: np.ndarray, window: int, step: int, shortest: int = 0, distance: float = 0.0) -> np.ndarray:
+    """Fixation where the weight is below its mean plus one deviation; near fixations become one."""
     w = two_means_weights(x, y, window, step)
     if not np.isfinite(w).any():
         return np.zeros(len(x), int)
-    return np.nan_to_num(w < np.nanmean(w) + np.nanstd(w), nan=0).astype(int)
+    fix = np.nan_to_num(w < np.nanmean(w) + np.nanstd(w), nan=0).astype(int)
+    return merged_runs(fix, np.asarray(x, float), np.asarray(y, float), shortest, distance)
 
 
 def velocity_dispersion(x: np.ndarray, y: np.ndarray, speed: np.ndarray, fast: float, window: int, limit: float) -> np.ndarray:
@@ -698,6 +711,37 @@ def gamma_shape(v: np.ndarray) -> float:
     return float(k)
 
 
+def _gamma_profile(v: np.ndarray, gap: float) -> tuple[float, float]:
+    """Log likelihood and shape of the best gamma distribution that starts ``gap`` below the least value."""
+    u = v - v.min() + gap
+    k = gamma_shape(u)
+    if not k > 0:
+        return -math.inf, k
+    scale = u.mean() / k
+    return float(((k - 1) * np.log(u) - u / scale).sum() - len(u) * (math.lgamma(k) + k * math.log(scale))), k
+
+
+def gamma_shape_shifted(v: np.ndarray, points: int = 40, rounds: int = 40) -> float:
+    """Shape of a gamma distribution with a free start (three or more positive values): the best likelihood over starts below the least value, by its profile.
+
+    Starts go from a thousandth to a thousand deviations below, the best of a grid is refined by golden sections; null for equal values.
+    """
+    v = v[np.isfinite(v) & (v > 0)]
+    if len(v) < 3 or np.ptp(v) == 0:
+        return float("nan")
+    grid = np.linspace(math.log(1e-3), math.log(1e3), points) + math.log(v.std())
+    at = int(np.argmax([_gamma_profile(v, math.exp(g))[0] for g in grid]))
+    lo, hi = grid[max(0, at - 1)], grid[min(points - 1, at + 1)]
+    golden = (math.sqrt(5) - 1) / 2
+    for _ in range(rounds):
+        one, two = hi - golden * (hi - lo), lo + golden * (hi - lo)
+        if _gamma_profile(v, math.exp(one))[0] >= _gamma_profile(v, math.exp(two))[0]:
+            hi = two
+        else:
+            lo = one
+    return _gamma_profile(v, math.exp((lo + hi) / 2))[1]
+
+
 # ---------------------------------------------------------------- shapes
 
 
@@ -819,21 +863,93 @@ def kmeans_auto(pts: np.ndarray, most: int = 15) -> np.ndarray:
     return max((kmeans(pts, k) for k in range(2, top + 1)), key=lambda z: silhouette(pts, z))
 
 
+#: Distances that a clustering holds at a time.
+HELD_DISTANCES = 4_000_000
+
+
+class Grid:
+    """Points sorted by square cells of a side, so that those of a cell lie together."""
+
+    def __init__(self, pts: np.ndarray, side: float):
+        self.pts, self.side = pts, side
+        self.cell = np.floor((pts - pts.min(0)) / side).astype(np.int64)
+        self.wide = int(self.cell[:, 1].max()) + 1
+        number = self.cell[:, 0] * self.wide + self.cell[:, 1]
+        self.order = np.argsort(number, kind="stable")
+        self.names, self.first = np.unique(number[self.order], return_index=True)
+        self.last = np.append(self.first[1:], len(pts))
+        self.place = {int(c): k for k, c in enumerate(self.names)}
+
+    def members(self, k: int) -> np.ndarray:
+        return self.order[self.first[k] : self.last[k]]
+
+    def around(self, k: int, reach: int) -> list[int]:
+        """Filled cells up to ``reach`` away, that cell included."""
+        cx, cy = divmod(int(self.names[k]), self.wide)
+        ys = range(max(0, cy - reach), min(self.wide - 1, cy + reach) + 1)
+        return [self.place[n] for i in range(max(0, cx - reach), cx + reach + 1) for j in ys if (n := i * self.wide + j) in self.place]
+
+
+def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """How many points of ``b`` are within ``eps`` of each point of ``a``, some distances at a time."""
+    rows = max(1, HELD_DISTANCES // max(len(b), 1))
+    return np.concatenate([(np.hypot(a[i : i + rows, None, 0] - b[:, 0], a[i : i + rows, None, 1] - b[:, 1]) <= eps).sum(1) for i in range(0, len(a), rows)] or [np.zeros(0, int)])
+
+
+def _touch(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
+    """Whether any two points of ``a`` and ``b`` are within ``eps``; only those near the other's box are compared."""
+    a = a[((a >= b.min(0) - eps) & (a <= b.max(0) + eps)).all(1)]
+    if len(a):
+        b = b[((b >= a.min(0) - eps) & (b <= a.max(0) + eps)).all(1)]
+    return any(_within(a[i : i + 256], b, eps).any() for i in range(0, len(a), 256)) if len(a) and len(b) else False
+
+
 def dbscan(pts: np.ndarray, eps: float, fewest: int = 5) -> np.ndarray:
-    """Density clusters; -1 for noise."""
-    near = np.hypot(pts[:, None, 0] - pts[:, 0], pts[:, None, 1] - pts[:, 1]) <= eps
-    core = near.sum(1) >= fewest
-    label, k = np.full(len(pts), -1), 0
-    for i in range(len(pts)):
-        if core[i] and label[i] < 0:
-            stack = [i]
-            label[i] = k
-            while stack:
-                for j in np.flatnonzero(near[stack.pop()] & (label < 0)):
-                    label[j] = k
-                    if core[j]:
-                        stack.append(int(j))
-            k += 1
+    """Density clusters, numbered by their first core point; -1 for noise. A border point of several goes to the first.
+
+    In cells whose diagonal is ``eps`` all points are neighbours, so a full cell is one
+    piece of a cluster: only cells are joined, and no table of distances is kept.
+    """
+    label = np.full(len(pts), -1)
+    if not len(pts):
+        return label
+    grid = Grid(pts, eps / math.sqrt(2) if eps > 0 else 1.0)
+    core, n = np.zeros(len(pts), bool), len(grid.names)
+    for k in range(n):
+        own = grid.members(k)
+        if len(own) >= fewest and eps > 0:
+            core[own] = True
+        else:
+            near = np.concatenate([grid.members(j) for j in grid.around(k, 2)])
+            core[own] = _within(pts[own], pts[near], eps) >= fewest
+    cores = [m[core[m]] for m in map(grid.members, range(n))]
+    root = list(range(n))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    # a cell of one side eps / sqrt(2) may hold cores that are no neighbours only if eps is 0
+    pieces = [k for k in range(n) if len(cores[k])]
+    for k in pieces:
+        for j in grid.around(k, 2):
+            if j > k and len(cores[j]) and find(j) != find(k) and _touch(pts[cores[k]], pts[cores[j]], eps):
+                root[find(j)] = find(k)
+    found: dict[int, int] = {}
+    for k in pieces:
+        found[find(k)] = min(found.get(find(k), len(pts)), int(cores[k].min()))
+    number = {r: i for i, (r, _) in enumerate(sorted(found.items(), key=lambda x: x[1]))}
+    for k in pieces:
+        label[cores[k]] = number[find(k)]
+    for k in range(n):
+        own = grid.members(k)
+        rest = own[~core[own]]
+        if len(rest):
+            for j in sorted((j for j in grid.around(k, 2) if len(cores[j])), key=lambda j: -number[find(j)]):
+                hit = _within(pts[rest], pts[cores[j]], eps) > 0
+                label[rest[hit]] = number[find(j)]
     return label
 
 
@@ -847,47 +963,130 @@ def to_nearest_centre(pts: np.ndarray, label: np.ndarray) -> np.ndarray:
     return np.where(label >= 0, label, names[far.argmin(1)])
 
 
+def _rows_of(n: int) -> range:
+    return range(0, n, max(1, HELD_DISTANCES // max(n, 1)))
+
+
 def density_peaks(pts: np.ndarray, radius: float) -> np.ndarray:
-    """Centres where density times distance to a denser point exceeds its weighted geometric mean; points go to the nearest centre."""
-    d = np.hypot(pts[:, None, 0] - pts[:, 0], pts[:, None, 1] - pts[:, 1])
-    rho = np.exp(-((d / radius) ** 2)).sum(1) - 1
-    delta = np.array([d[i, rho > rho[i]].min() if (rho > rho[i]).any() else d[i].max() for i in range(len(pts))])
+    """Centres where density times distance to a denser point exceeds its weighted geometric mean; points go to the nearest centre.
+
+    Distances are made some rows at a time; the time grows with the square of the points, the memory doesn't.
+    """
+    n, step = len(pts), _rows_of(len(pts)).step
+    far = lambda rows: np.hypot(pts[rows, None, 0] - pts[:, 0], pts[rows, None, 1] - pts[:, 1])
+    rho = np.concatenate([np.exp(-((far(slice(a, a + step)) / radius) ** 2)).sum(1) - 1 for a in _rows_of(n)])
+    delta = np.empty(n)
+    for a in _rows_of(n):
+        d = far(slice(a, a + step))
+        denser = np.where(rho[None, :] > rho[a : a + step, None], d, np.inf).min(1)
+        delta[a : a + step] = np.where(np.isfinite(denser), denser, d.max(1))
     g = rho * delta
     ok = g > 0
     cut = math.exp((g[ok] * np.log(g[ok])).sum() / g[ok].sum()) if ok.any() else 0.0
     centres = np.flatnonzero(g > cut)
-    return d[:, centres].argmin(1) if len(centres) else np.zeros(len(pts), int)
+    if not len(centres):
+        return np.zeros(n, int)
+    rows = max(1, HELD_DISTANCES // len(centres))
+    return np.concatenate([np.hypot(pts[a : a + rows, None, 0] - pts[centres, 0], pts[a : a + rows, None, 1] - pts[centres, 1]).argmin(1) for a in range(0, n, rows)])
+
+
+def _disc_means(modes: np.ndarray, grid: Grid, sums: np.ndarray, radius: float) -> np.ndarray:
+    """Mean of the points within ``radius`` of each mode: whole cells by their sums, those on the rim point by point; few points by all distances."""
+    if len(grid.pts) * len(modes) <= HELD_DISTANCES:
+        near = np.hypot(modes[:, None, 0] - grid.pts[:, 0], modes[:, None, 1] - grid.pts[:, 1]) <= radius
+        return np.where(near.any(1)[:, None], (near @ grid.pts) / np.maximum(near.sum(1), 1)[:, None], modes)
+    pts, side, low = grid.pts, grid.side, grid.pts.min(0)
+    reach = math.ceil(radius / side)
+    total, count = np.zeros((len(modes), 2)), np.zeros(len(modes))
+    cell = np.floor((modes - low) / side).astype(np.int64)
+    for key in np.unique(cell, axis=0):
+        here = np.flatnonzero((cell == key).all(1))
+        m = modes[here]
+        for i in range(int(key[0]) - reach, int(key[0]) + reach + 1):
+            for j in range(max(0, int(key[1]) - reach), min(grid.wide - 1, int(key[1]) + reach) + 1):
+                k = grid.place.get(i * grid.wide + j) if i >= 0 else None
+                if k is None:
+                    continue
+                corner = low + np.array([i, j]) * side
+                near = np.maximum(np.maximum(corner - m, m - corner - side), 0)
+                most = np.maximum(np.abs(m - corner), np.abs(m - corner - side))
+                inside = np.hypot(*most.T) <= radius * (1 - 1e-12)
+                total[here[inside]] += sums[k]
+                count[here[inside]] += grid.last[k] - grid.first[k]
+                rim = np.flatnonzero(~inside & (np.hypot(*near.T) <= radius * (1 + 1e-12)))
+                if len(rim):
+                    own = pts[grid.members(k)]
+                    rows = max(1, HELD_DISTANCES // len(own))
+                    for a in range(0, len(rim), rows):
+                        r = rim[a : a + rows]
+                        hit = np.hypot(m[r, None, 0] - own[:, 0], m[r, None, 1] - own[:, 1]) <= radius
+                        total[here[r]] += hit @ own
+                        count[here[r]] += hit.sum(1)
+    return np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], modes)
 
 
 def mean_shift(pts: np.ndarray, bandwidth: float, rounds: int = 100, orphans: bool = True) -> np.ndarray:
-    """Flat-kernel mean shift; modes closer than the bandwidth are one. Without ``orphans`` points farther than the bandwidth from their mode are noise (-1)."""
-    modes = pts.astype(float).copy()
+    """Flat-kernel mean shift; modes closer than the bandwidth are one. Without ``orphans`` points farther than the bandwidth from their mode are noise (-1).
+
+    Modes are found by a grid of an eighth of the bandwidth; equal ones move as one.
+    """
+    pts = np.asarray(pts, float)
+    if not len(pts):
+        return np.zeros(0, int)
+    grid = Grid(pts, bandwidth / 8)
+    sums = np.add.reduceat(pts[grid.order], grid.first, axis=0)
+    modes, of = np.unique(pts, axis=0, return_inverse=True)
     for _ in range(rounds):
-        near = np.hypot(modes[:, None, 0] - pts[:, 0], modes[:, None, 1] - pts[:, 1]) <= bandwidth
-        new = (near @ pts) / near.sum(1, keepdims=True)
-        if np.abs(new - modes).max() < 1e-3 * bandwidth:
+        new = _disc_means(modes, grid, sums, bandwidth)
+        moved = np.abs(new - modes).max()
+        if moved < 1e-3 * bandwidth:
             break
-        modes = new
-    centres: list = []
+        modes, merged = np.unique(new, axis=0, return_inverse=True)
+        of = merged.ravel()[of.ravel()]
+    modes = modes[of.ravel()]
+    centres = np.zeros((0, 2))
     label = np.zeros(len(pts), int)
     for i, m in enumerate(modes):
-        hit = next((k for k, c in enumerate(centres) if math.hypot(*(m - c)) < bandwidth), None)
-        if hit is None:
-            centres.append(m)
-            hit = len(centres) - 1
-        label[i] = hit
-    if not orphans and len(pts):
-        label[np.hypot(*(pts - np.array(centres)[label]).T) > bandwidth] = -1
+        hit = np.flatnonzero(np.hypot(*(centres - m).T) < bandwidth)
+        if len(hit):
+            label[i] = hit[0]
+        else:
+            label[i] = len(centres)
+            centres = np.vstack([centres, m])
+    if not orphans:
+        label[np.hypot(*(pts - centres[label]).T) > bandwidth] = -1
     return label
 
 
-def affinity_propagation(pts: np.ndarray, damping: float = 0.8, rounds: int = 1000) -> np.ndarray:
-    """Exemplars by message passing; preferences are the median similarity, and clusters of one point join the nearest other."""
-    s = -((pts[:, None] - pts) ** 2).sum(2)
+#: Points for which affinity propagation passes messages between all.
+AFFINITY_POINTS = 3_000
+
+
+def affinity_propagation(pts: np.ndarray, damping: float = 0.8, rounds: int = 1000, neighbours: int | None = None) -> np.ndarray:
+    """Exemplars by message passing; preferences are the median similarity, and clusters of one point join the nearest other.
+
+    Messages go between all points, at most ``AFFINITY_POINTS`` of them, or from each to its ``neighbours`` nearest, however many there are.
+    """
     n = len(pts)
-    np.fill_diagonal(s, np.median(s))
-    s = s + np.linspace(0, 1e-9, n * n).reshape(n, n)
-    r, a, at = np.zeros((n, n)), np.zeros((n, n)), np.arange(n)
+    if neighbours is None and n > AFFINITY_POINTS:
+        raise ValueError(f"{n} points are too many for messages between all; give a number of neighbours")
+    width = n if neighbours is None else min(n, neighbours + 1)
+    at = np.arange(n)
+    if width == n:
+        to = np.tile(at, (n, 1))
+    else:
+        near = np.empty((n, width), np.int64)
+        for a in _rows_of(n):
+            d = ((pts[a : a + _rows_of(n).step, None] - pts) ** 2).sum(2)
+            d[np.arange(len(d)), a + np.arange(len(d))] = -1
+            near[a : a + len(d)] = np.argpartition(d, width - 1, 1)[:, :width]
+        to = np.sort(near, 1)
+    s = -((pts[:, None] - pts[to]) ** 2).sum(2)
+    own = (to == at[:, None]).argmax(1)
+    s[at, own] = np.median(s)
+    # ties fall by place
+    s = s + (at[:, None] * n + to) * (1e-9 / max(n * n - 1, 1))
+    r, a = np.zeros(s.shape), np.zeros(s.shape)
     for _ in range(rounds):
         last_r, last_a = r, a
         both = a + s
@@ -898,23 +1097,23 @@ def affinity_propagation(pts: np.ndarray, damping: float = 0.8, rounds: int = 10
         new[at, top] = s[at, top] - both.max(1)
         r = damping * r + (1 - damping) * new
         pos = np.maximum(r, 0)
-        pos[at, at] = r[at, at]
-        new = pos.sum(0) - pos
-        own = new[at, at].copy()
+        pos[at, own] = r[at, own]
+        new = np.bincount(to.ravel(), pos.ravel(), n)[to] - pos
+        self_ = new[at, own].copy()
         new = np.minimum(new, 0)
-        new[at, at] = own
+        new[at, own] = self_
         a = damping * a + (1 - damping) * new
         # messages at a fixed point: later rounds give the same exemplars
         if np.array_equal(r, last_r) and np.array_equal(a, last_a):
             break
-    centres = np.flatnonzero((a + r).diagonal() > 0)
+    centres = np.flatnonzero((a + r)[at, own] > 0)
     if not len(centres):
         return np.zeros(n, int)
-    label = s[:, centres].argmax(1)
+    nearest = lambda c: np.concatenate([((pts[i : i + 1024, None] - pts[c]) ** 2).sum(2).argmin(1) for i in range(0, n, 1024)])
+    label = nearest(centres)
     label[centres] = np.arange(len(centres))
-    size = np.bincount(label, minlength=len(centres))
-    big = np.flatnonzero(size > 1)
-    return big[s[:, centres[big]].argmax(1)] if len(big) else label
+    big = np.flatnonzero(np.bincount(label, minlength=len(centres)) > 1)
+    return big[nearest(centres[big])] if len(big) else label
 
 
 def gaussian_hmm_2d(pts: np.ndarray, k: int, rounds: int = 10, spread: float = 2500.0) -> dict[str, np.ndarray]:
@@ -947,21 +1146,57 @@ def gaussian_hmm_2d(pts: np.ndarray, k: int, rounds: int = 10, spread: float = 2
     return {"pi": pi, "transitions": trans, "means": mean, "covariances": cov, "labels": gamma.argmax(1), "gamma": gamma, "log_likelihood": np.array(np.log(scale).sum())}
 
 
-def fisher_vector(model: dict[str, np.ndarray], pts: np.ndarray) -> np.ndarray:
-    """Gradients by transitions, means and covariances' upper triangles, power and length normalised."""
-    gamma = model["gamma"]
-    n, k = gamma.shape
-    weight = np.maximum(gamma.sum(0), 1e-12)
-    trans = model["transitions"]
-    joint = np.einsum("ti,tj->ij", gamma[:-1], gamma[1:]) if n > 1 else np.zeros((k, k))
-    g_trans = joint / np.maximum(trans, 1e-12)
-    g_trans = g_trans / np.maximum(g_trans.sum(1, keepdims=True), 1e-12)
-    inv = np.linalg.inv(model["covariances"])
+def hmm_moments(model: dict[str, np.ndarray], pts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """States' posteriors (samples x states), expected transitions (states x states) and log likelihood of points under a Gaussian model."""
+    mean, cov, trans = model["means"], model["covariances"], model["transitions"]
+    n, k = len(pts), len(mean)
+    diff = pts[:, None] - mean
+    log_b = -0.5 * np.einsum("tki,kij,tkj->tk", diff, np.linalg.inv(cov), diff) - math.log(2 * math.pi) - 0.5 * np.log(np.linalg.det(cov))
+    top = log_b.max(1)
+    b = np.exp(log_b - top[:, None])
+    alpha, beta, scale = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
+    for t in range(n):
+        z = model["pi"] * b[0] if t == 0 else (alpha[t - 1] @ trans) * b[t]
+        scale[t] = max(z.sum(), 1e-300)
+        alpha[t] = z / scale[t]
+    for t in range(n - 2, -1, -1):
+        beta[t] = trans @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
+    gamma = alpha * beta
+    gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-300)
+    joint = np.einsum("ti,ij,tj->ij", alpha[:-1], trans, b[1:] * beta[1:] / scale[1:, None]) if n > 1 else np.zeros((k, k))
+    return gamma, joint, float((np.log(scale) + top).sum())
+
+
+def hmm_gradient(model: dict[str, np.ndarray], pts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the log likelihood by transitions, means and covariances (taken as free symmetric matrices), with the states' occupancies and expected transitions."""
+    gamma, joint, _ = hmm_moments(model, pts)
+    trans, inv = model["transitions"], np.linalg.inv(model["covariances"])
+    by_trans = np.divide(joint, trans, out=np.zeros_like(joint), where=trans > 0)
     diff = pts[:, None] - model["means"]
-    white = np.einsum("kij,tkj->tki", inv, diff)
-    g_mean = np.einsum("tk,tki->ki", gamma, white) / weight[:, None]
-    g_cov = 0.5 * (np.einsum("tk,tki,tkj->kij", gamma, white, white) / weight[:, None, None] - inv)
-    v = np.concatenate([g_trans.ravel(), g_mean.ravel(), g_cov[:, *np.triu_indices(2)].ravel()])
+    by_mean = np.einsum("kij,tk,tkj->ki", inv, gamma, diff)
+    scatter = np.einsum("tk,tki,tkj->kij", gamma, diff, diff)
+    occupancy = gamma.sum(0)
+    by_cov = 0.5 * (inv @ scatter @ inv - occupancy[:, None, None] * inv)
+    return by_trans, by_mean, 0.5 * (by_cov + by_cov.transpose(0, 2, 1)), occupancy, joint
+
+
+def fisher_vector(model: dict[str, np.ndarray], pts: np.ndarray, skip_low_occupancy: bool = True, upper: bool = True, by_row: bool = True, least: float = 1e-8, regularise: float = 1e-6) -> np.ndarray:
+    """Gradients of the log likelihood per sample, by transitions, then state by state by mean and covariance; power and length normalised.
+
+    ``skip_low_occupancy`` leaves out (as zeros) means and covariances of states whose
+    posteriors sum to less than ``least``, ``upper`` keeps the covariances' upper
+    triangles only, ``by_row`` divides transitions by their row's expected number;
+    ``regularise`` is added to the covariances' diagonals.
+    """
+    n, d = pts.shape
+    model = model | {"covariances": model["covariances"] + regularise * np.eye(d)}
+    by_trans, by_mean, by_cov, occupancy, joint = hmm_gradient(model, pts)
+    if by_row:
+        by_trans = by_trans / np.maximum(joint.sum(1, keepdims=True), 1e-12)
+    states = np.concatenate([by_mean, by_cov[:, *np.triu_indices(d)] if upper else by_cov.reshape(len(by_cov), -1)], 1)
+    if skip_low_occupancy:
+        states = np.where(occupancy[:, None] < least, 0.0, states)
+    v = np.concatenate([by_trans.ravel(), states.ravel()]) / max(n, 1)
     v = np.sign(v) * np.sqrt(np.abs(v))
     return v / max(np.linalg.norm(v), 1e-12)
 
@@ -1009,6 +1244,69 @@ def direction_histograms(x: np.ndarray, y: np.ndarray, reach: int, bins: int = 3
     return out
 
 
+#: Features of I-FC in the order of their columns.
+IFC = ("acceleration", "bcea", "delta_bcea", "delta_rms", "delta_std_x", "delta_std_y", "dispersion", "i2mc", "mean_dist", "med_dist", "rms", "sf", "std_x", "std_y", "velocity", "z_ray")
+
+
+def ifc_features(g: dict[str, np.ndarray], fs: float, probability: float = 0.68, i2mc: bool = True, i2mc_window: float = 0.2, i2mc_step: float = 0.02) -> tuple[list[str], np.ndarray]:
+    """The published features of I-FC for each sample of a recording, in the order of their names; all windows are symmetric frames, the first or last sample beyond the ends.
+
+    ``g`` holds x, y, theta_x, theta_y, ux, uy, uz (unit gaze vector) and speed. Frames are
+    50 ms to each side (11 ms for directions); differences take the frames 50 ms ahead and behind.
+    """
+    n = len(g["x"])
+    wide, narrow = max(1, math.ceil(0.050 * fs)), max(1, math.ceil(0.011 * fs))
+    near = lambda reach: np.clip(np.arange(n)[:, None] + np.arange(-reach, reach + 1), 0, n - 1)
+    w, s = near(wide), near(narrow)
+
+    def steps(v: np.ndarray) -> np.ndarray:
+        d = np.diff(v, append=v[-1:])
+        if n > 1:
+            d[-1] = d[-2]
+        return d
+
+    unit = np.stack([g["ux"], g["uy"], g["uz"]], 1)
+    angle = np.degrees(np.arccos(np.clip((unit[:-1] * unit[1:]).sum(1), -1, 1)))
+    angle = np.append(angle, angle[-1:]) if n > 1 else np.zeros(n)
+    turn = np.arctan2(steps(g["y"]) + 1e-12, steps(g["x"]) + 1e-12)
+    tx, ty = g["theta_x"][w], g["theta_y"][w]
+    std = np.stack([tx.std(1), ty.std(1)])
+    dx, dy = tx - tx.mean(1, keepdims=True), ty - ty.mean(1, keepdims=True)
+    norm = np.sqrt((dx**2).sum(1) * (dy**2).sum(1))
+    r = np.clip(np.divide((dx * dy).sum(1), norm, out=np.zeros(n), where=norm > 0), -1, 1)
+    rms = np.sqrt((angle[w] ** 2).mean(1))
+    # points on a line have no area
+    bcea = 2 * math.pi * -math.log(1 - probability) * std[0] * std[1] * np.sqrt(np.where(1 - r * r < 1e-9, 0, 1 - r * r))
+    behind, ahead = np.maximum(0, np.arange(n) - wide), np.minimum(n - 1, np.arange(n) + wide)
+
+    def apart(v: np.ndarray) -> np.ndarray:
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return np.degrees(np.arccos(np.clip((v[ahead] * v[behind]).sum(1), -1, 1)))
+
+    out = {
+        "acceleration": steps(g["speed"]),
+        "bcea": bcea,
+        "delta_bcea": bcea[ahead] - bcea[behind],
+        "delta_rms": rms[ahead] - rms[behind],
+        "delta_std_x": std[0][ahead] - std[0][behind],
+        "delta_std_y": std[1][ahead] - std[1][behind],
+        "dispersion": np.ptp(tx, axis=1) + np.ptp(ty, axis=1),
+        "mean_dist": apart(unit[w].mean(1)),
+        "med_dist": apart(np.median(unit[w], axis=1)),
+        "rms": rms,
+        "sf": np.full(n, float(fs)),
+        "std_x": std[0],
+        "std_y": std[1],
+        "velocity": g["speed"],
+        "z_ray": (np.cos(turn)[s].mean(1) ** 2 + np.sin(turn)[s].mean(1) ** 2) * s.shape[1],
+    }
+    if i2mc:
+        half = max(1, math.floor(i2mc_window * fs / 2))
+        out["i2mc"] = np.nan_to_num(two_means_weights(g["theta_x"], g["theta_y"], 2 * half + 1, max(1, math.ceil(i2mc_step * fs))))
+    names = [k for k in IFC if k in out]
+    return names, np.array([out[k] for k in names]).T
+
+
 def sample_features(x: np.ndarray, y: np.ndarray, speed: np.ndarray, wide: int, narrow: int) -> tuple[list[str], np.ndarray]:
     """I-FC features per sample over clipped windows, in the order of their names."""
     n = len(x)

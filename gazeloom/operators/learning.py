@@ -13,8 +13,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.relational import Plan
 from . import convnet
 from .grouped import features
+from .islands import two_class
+from .segmentation import three_class
 
 CLASSIFIERS = {
     "rf": lambda n: RandomForestClassifier(maxDepth=10, numTrees=20, featureSubsetStrategy="sqrt", seed=0, featuresCol="scaled"),
@@ -26,6 +29,50 @@ CLASSIFIERS = {
 NEIGHBOUR_ROWS = 5000
 
 
+def fourier_features(x: np.ndarray, directions: np.ndarray, phases: np.ndarray) -> np.ndarray:
+    """Features whose products are about the kernel of the points."""
+    return np.sqrt(2 / len(phases)) * np.cos(x @ directions + phases)
+
+
+class KernelMachine:
+    """Linear machines, one against the rest, on random Fourier features of a Gaussian kernel.
+
+    ``size`` cosines of seeded random directions stand in for the kernel exp(-gamma |x - y|^2); the features are made in each task and the fit stays that of linear machines.
+    """
+
+    def __init__(self, width: int, gamma: float | None = None, size: int = 256, seed: int = 0):
+        rng = np.random.default_rng(seed)
+        self.gamma = gamma or 1.0 / width
+        self.directions = rng.normal(0, np.sqrt(2 * self.gamma), (width, size))
+        self.phases = rng.uniform(0, 2 * np.pi, size)
+        self.scaler: PipelineModel | None = None
+        self.machines: PipelineModel | None = None
+
+    def lifted(self, df: DataFrame) -> DataFrame:
+        directions, phases = self.directions, self.phases
+
+        @F.pandas_udf("array<double>")
+        def made(rows: pd.Series) -> pd.Series:
+            return pd.Series(list(fourier_features(np.stack(rows.to_list()), directions, phases)) if len(rows) else [], dtype=object)
+
+        return self.scaler.transform(df).withColumn("lifted", array_to_vector(made(vector_to_array("scaled"))))
+
+    def fit(self, rows: DataFrame, rounds: int = 20, penalty: float = 1e-4) -> KernelMachine:
+        self.scaler = Pipeline(stages=[StandardScaler(inputCol="vector", outputCol="scaled", withMean=True)]).fit(rows)
+        lifted = self.lifted(rows).select("label", "lifted").persist()  # read by every step of every machine; lost parts are made again
+        classes = StringIndexer(inputCol="label", outputCol="class", stringOrderType="alphabetAsc").fit(rows)
+        machine = OneVsRest(classifier=LinearSVC(maxIter=rounds, regParam=penalty), featuresCol="lifted", labelCol="class", predictionCol="number")
+        self.machines = Pipeline(stages=[classes, machine, IndexToString(inputCol="number", outputCol="prediction", labels=classes.labels)]).fit(lifted)
+        lifted.unpersist()
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.lifted(df)
+        for stage in self.machines.stages[1:]:
+            out = stage.transform(out)
+        return out
+
+
 class Neighbours:
     """Vote of the ``k`` nearest training samples; the smallest label wins ties."""
 
@@ -88,18 +135,20 @@ def fit_neighbours(rows: DataFrame, k: int = 3, most: int = NEIGHBOUR_ROWS) -> N
     return Neighbours(scaler, np.array([r.x for r in got]), np.array([r.y for r in got]), k)
 
 
-def vectors(gaze: DataFrame, kind: str, reach: int) -> DataFrame:
-    return features(gaze, kind, reach).withColumn("vector", array_to_vector("features")).drop("features")
+def vectors(gaze: DataFrame, kind: str, reach: int, fs: float = 1.0) -> DataFrame:
+    return features(gaze, kind, reach, fs).withColumn("vector", array_to_vector("features")).drop("features")
 
 
-def fit(gaze: DataFrame, labels: DataFrame, kind: str = "fc", classifier: str = "rf", reach: int = 5, net: dict | None = None) -> PipelineModel | Neighbours | convnet.Fitted:
+def fit(gaze: DataFrame, labels: DataFrame, kind: str = "fc", classifier: str = "rf", reach: int = 5, net: dict | None = None, fs: float = 1.0) -> PipelineModel | Neighbours | KernelMachine | convnet.Fitted:
     """Fit on samples with a label above 0: ``rf``, ``svm`` (linear), ``rbf`` (Gaussian kernel), ``knn`` (keeps a bounded sample), ``mlp``, or ``cnn``, which reads windows instead of features and takes the options of :func:`.convnet.fit`."""
     if classifier == "cnn":
         return convnet.fit(gaze, labels, **(net or {}))
-    rows = vectors(gaze, kind, reach).join(labels.where("label > 0"), ["recording_id", "i"]).withColumn("label", F.col("label").cast("double"))
+    rows = vectors(gaze, kind, reach, fs).join(labels.where("label > 0"), ["recording_id", "i"]).withColumn("label", F.col("label").cast("double"))
     if classifier == "knn":
         return fit_neighbours(rows)
-    width = len(rows.select(vector_to_array("vector").alias("v")).first()["v"]) if classifier == "mlp" else 0
+    width = len(rows.select(vector_to_array("vector").alias("v")).first()["v"]) if classifier in ("mlp", "rbf") else 0
+    if classifier == "rbf":
+        return KernelMachine(width).fit(rows)
     stages = [StandardScaler(inputCol="vector", outputCol="scaled", withMean=True), CLASSIFIERS[classifier](width)]
     if classifier == "svm":
         # one machine for each label that occurs; a machine without examples of its label can't be fitted
@@ -108,7 +157,21 @@ def fit(gaze: DataFrame, labels: DataFrame, kind: str = "fc", classifier: str =
     return Pipeline(stages=stages).fit(rows)
 
 
-def predict(gaze: DataFrame, model: PipelineModel | Neighbours | convnet.Fitted, kind: str = "fc", reach: int = 5) -> DataFrame:
-    """(recording_id, i, label)."""
-    rows = gaze if isinstance(model, convnet.Fitted) else vectors(gaze, kind, reach)
-    return model.transform(rows).select("recording_id", "i", F.col("prediction").cast("double").cast("int").alias("label"))
+def predict(gaze: DataFrame, model: PipelineModel | Neighbours | KernelMachine | convnet.Fitted, kind: str = "fc", reach: int = 5, fs: float = 1.0, limits: dict | None = None, task: str = "ternary") -> DataFrame:
+    """(recording_id, i, label): raw, or with duration ``limits`` filtered as those of the threshold methods.
+
+    ``task`` ternary takes ``fix`` and ``pursuit`` in seconds (what they reject becomes 2,
+    saccade); binary takes ``min_fix``, ``max_fix``, ``min_sac`` and ``status_threshold``
+    and needs ``status`` in ``gaze``.
+    """
+    rows = gaze if isinstance(model, convnet.Fitted) else vectors(gaze, kind, reach, fs)
+    raw = model.transform(rows).select("recording_id", "i", F.col("prediction").cast("double").cast("int").alias("label"))
+    if limits is None:
+        return raw
+    if task == "ternary":
+        plan = three_class(Plan().then("raw", "SELECT recording_id, i, label FROM {raw}"), "raw", "lab", fs, **limits)
+        return plan.then("out", "SELECT recording_id, i, label FROM lab").spark(gaze.sparkSession, raw=raw)
+    if task != "binary":
+        raise ValueError("task is binary or ternary")
+    plan = two_class(Plan().then("raw", "SELECT recording_id, i, label AS scan, status FROM {raw}"), "raw", "lab", "scan = 1", fs, **limits)
+    return plan.then("out", "SELECT recording_id, i, label FROM lab").spark(gaze.sparkSession, raw=raw.join(gaze.select("recording_id", "i", "status"), ["recording_id", "i"]))

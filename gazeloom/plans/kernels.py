@@ -96,14 +96,14 @@ def _patterns(s: SparkSession, d: str) -> DataFrame:
     return mining.sequential_patterns(collapsed, longest=3, top=None)
 
 
-def _learned(kind: str, classifier: str):
+def _learned(kind: str, classifier: str, limits: dict | None = None, net: dict | None = None):
     """Labels of all recordings by a model fitted on every other one; ``training`` marks those."""
 
     def query(s: SparkSession, d: str) -> DataFrame:
         g = gaze(s, d)
         truth = _of(C.PLANS["ivvt"], "out", s, d).select("recording_id", "i", "label")
-        model = learning.fit(g.where("recording_id % 2 = 0"), truth, kind, classifier)
-        return learning.predict(g, model, kind).withColumn("training", F.expr("recording_id % 2 = 0"))
+        model = learning.fit(g.where("recording_id % 2 = 0"), truth, kind, classifier, net=net, fs=C.FS)
+        return learning.predict(g, model, kind, fs=C.FS, limits=limits).withColumn("training", F.expr("recording_id % 2 = 0"))
 
     return query
 
@@ -114,13 +114,18 @@ def _rounded(spectra: DataFrame) -> DataFrame:
     return spectra.select("recording_id", "cell", keep("frequency", 6), keep("power", 3))
 
 
+def _four(df: DataFrame) -> DataFrame:
+    """Four decimals of all doubles."""
+    return df.select(*[(F.floor(F.col(c) * 1e4 + 0.5001) / 1e4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 QUERIES = {
     "idit": _labels("idit", **IDIT),
     "idet": _labels("idet", **IDET),
     "ihmm": _labels("ihmm", low=50.0, high=250.0, variance=5000.0),
     "ikf": _labels("ikf", **IKF),
     "imst": _labels("imst", window=10, eps=60.0, min_points=3),
-    "i2mc": _labels("i2mc", window=8, step=2),
+    "i2mc": _labels("i2mc", window=9, step=2, shortest=1, distance=60.0),
     "ivdt": _labels("ivdt", **IVDT),
     "periodogram": lambda s, d: _rounded(grouped.spectra(gaze(s, d), C.FS, None, "boxcar")),
     "welch": lambda s, d: _rounded(grouped.spectra(gaze(s, d), C.FS, 16)),
@@ -150,6 +155,11 @@ QUERIES = {
     "learn_machines": _learned("fc", "svm"),
     "learn_neighbours": _learned("fc", "knn"),
     "learn_directions": _learned("hov", "rf"),
+    "learn_features_filtered": _learned("ifc", "rf", THREE),
+    "learn_kernel_machines": _learned("fc", "rbf"),
+    "learn_convnet": _learned("fc", "cnn", net={"window": 33, "channels": (12, 16), "kernels": (6, 4), "hidden": 32, "epochs": 10, "batch": 2048, "rate": 3e-3}),
+    "ifc_features": lambda s, d: _four(grouped.ifc_features(gaze(s, d), C.FS, i2mc=False)),
+    "ifc_features_i2mc": lambda s, d: grouped.ifc_features(gaze(s, d), C.FS).select("recording_id", "i", "i2mc"),
     "aoi_frequent_patterns": _patterns,
 } | {f"aoi_{m}": (lambda s, d, m=m: grouped.clusters(scanpath(s, d), m, DIAGONAL)) for m in ("kmeans", "dbscan", "dbscan_all", "density_peaks", "mean_shift", "mean_shift_near", "affinity")}
 
@@ -178,11 +188,16 @@ QUERIES |= {
 
 
 def _gamma(s: SparkSession, d: str) -> DataFrame:
+    """A row a saccade: the shape of a gamma distribution with a free start over its speeds, its last sample left out; null below three."""
     import pandas as pd
 
-    # the speeds of all saccades of a recording; single saccades of the stand-in data are too short
-    sac = _of(C._saccades(C.KIN), "sac0_s", s, d).where("i < b").select("recording_id", "i", "speed")
-    return grouped.per_recording(sac, lambda g: pd.DataFrame({"gamma_skewness": [K.gamma_shape(g.speed.to_numpy(float))]}), "gamma_skewness double", ["speed"])
+    sac = _of(C._saccades(C.KIN), "sac0_s", s, d).where("i < b OR a = b").select("recording_id", "i", "a", "b", "speed")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        rows = [(int(a), int(h.b.iloc[0]), K.gamma_shape_shifted(h.speed.to_numpy(float)[: max(0, int(h.b.iloc[0]) - int(a))])) for a, h in g.groupby("a")]
+        return pd.DataFrame(rows, columns=["a", "b", "gamma_skewness"])
+
+    return grouped.per_recording(sac, run, "a long, b long, gamma_skewness double", ["a", "b", "speed"])
 
 
 QUERIES["saccade_gamma_skewness"] = _gamma
@@ -321,5 +336,24 @@ def _spectrum_sql(segment: int | None) -> str:
     return p.then("out", f"SELECT recording_id, CAST(cell AS BIGINT) AS cell, floor(cell * {C.FS} / m * 1e6 + 0.5) / 1e6 AS frequency, floor(power * 1e3 + 0.5) / 1e3 AS power FROM means").duckdb()
 
 
+def _ifc_sql() -> str:
+    """Features of I-FC by joins of each sample with its frame, the first or last sample beyond the ends; frames of one sample to each side."""
+    w = C.kin.W
+    step = lambda c: f"coalesce(lead({c}) OVER ({w}) - {c}, {c} - lag({c}) OVER ({w}), 0)"
+    dot = "ux * {0}(ux) OVER ({1}) + uy * {0}(uy) OVER ({1}) + uz * {0}(uz) OVER ({1})"
+    angle = lambda f: f"CASE WHEN {f}(ux) OVER ({w}) IS NOT NULL THEN degrees(acos(greatest(-1.0, least(1.0, {dot.format(f, w)})))) END"
+    p = C.KIN.then("base", f"SELECT recording_id, i, theta_x, theta_y, ux, uy, uz, speed_angular AS v, {step('speed_angular')} AS acc, atan2({step('y')} + 1e-12, {step('x')} + 1e-12) AS turn, coalesce({angle('lead')}, {angle('lag')}, 0) AS far, max(i) OVER (PARTITION BY recording_id) AS top FROM kin")
+    p = p.then("offsets", "SELECT unnest([-1, 0, 1]) AS o")
+    p = p.then("frames", "SELECT b.recording_id, b.i, n.theta_x AS tx, n.theta_y AS ty, n.ux, n.uy, n.uz, n.far, n.turn FROM base b CROSS JOIN offsets JOIN base n ON n.recording_id = b.recording_id AND n.i = least(greatest(b.i + o, 0), b.top)")
+    p = p.then("f0", "SELECT recording_id, i, avg(tx) AS mx, avg(ty) AS my FROM frames GROUP BY recording_id, i")
+    p = p.then("corr_", "SELECT f.recording_id, f.i, sum((tx - mx) * (ty - my)) / nullif(sqrt(sum(power(tx - mx, 2)) * sum(power(ty - my, 2))), 0) AS r, sqrt(avg(power(tx - mx, 2))) AS std_x, sqrt(avg(power(ty - my, 2))) AS std_y FROM frames f JOIN f0 ON f0.recording_id = f.recording_id AND f0.i = f.i GROUP BY f.recording_id, f.i")
+    p = p.then("f1", "SELECT recording_id, i, max(tx) - min(tx) + max(ty) - min(ty) AS dispersion, sqrt(avg(far * far)) AS rms, (power(avg(cos(turn)), 2) + power(avg(sin(turn)), 2)) * 3 AS z_ray, avg(ux) AS ax, avg(uy) AS ay, avg(uz) AS az, median(ux) AS bx, median(uy) AS by_, median(uz) AS bz FROM frames GROUP BY recording_id, i")
+    p = p.then("f2", f"SELECT f1.*, std_x, std_y, {float(-2 * np.pi * np.log(1 - 0.68))!r} * std_x * std_y * sqrt(CASE WHEN 1 - coalesce(r * r, 0) < 1e-9 THEN 0 ELSE 1 - coalesce(r * r, 0) END) AS bcea FROM f1 JOIN corr_ c ON c.recording_id = f1.recording_id AND c.i = f1.i")
+    apart = lambda c: f"degrees(acos(greatest(-1.0, least(1.0, (n.{c[0]} * p.{c[0]} + n.{c[1]} * p.{c[1]} + n.{c[2]} * p.{c[2]}) / (sqrt(power(n.{c[0]}, 2) + power(n.{c[1]}, 2) + power(n.{c[2]}, 2)) * sqrt(power(p.{c[0]}, 2) + power(p.{c[1]}, 2) + power(p.{c[2]}, 2)))))))"
+    columns = {"acceleration": "b.acc", "bcea": "f.bcea", "delta_bcea": "n.bcea - p.bcea", "delta_rms": "n.rms - p.rms", "delta_std_x": "n.std_x - p.std_x", "delta_std_y": "n.std_y - p.std_y", "dispersion": "f.dispersion", "mean_dist": apart(("ax", "ay", "az")), "med_dist": apart(("bx", "by_", "bz")), "rms": "f.rms", "sf": repr(C.FS), "std_x": "f.std_x", "std_y": "f.std_y", "velocity": "b.v", "z_ray": "f.z_ray"}
+    wanted = ", ".join(f"floor(({x}) * 1e4 + 0.5001) / 1e4 AS {k}" for k, x in columns.items())
+    return p.then("out", f"SELECT b.recording_id, b.i, {wanted} FROM base b JOIN f2 f ON f.recording_id = b.recording_id AND f.i = b.i JOIN f2 n ON n.recording_id = b.recording_id AND n.i = least(b.i + 1, b.top) JOIN f2 p ON p.recording_id = b.recording_id AND p.i = greatest(b.i - 1, 0)").duckdb()
+
+
 #: Checks of kernels by other means in SQL.
-ORACLE_SQL = {"idet": _idet_sql(), "ikf": _ikf_sql(), "idit": _idit_sql(), "ivdt": _ivdt_sql(), "aoi_lempel_ziv": _lempel_ziv_sql(), "aoi_frequent_patterns": _patterns_sql(), "periodogram": _spectrum_sql(None), "welch": _spectrum_sql(16)}
+ORACLE_SQL = {"ifc_features": _ifc_sql(), "idet": _idet_sql(), "ikf": _ikf_sql(), "idit": _idit_sql(), "ivdt": _ivdt_sql(), "aoi_lempel_ziv": _lempel_ziv_sql(), "aoi_frequent_patterns": _patterns_sql(), "periodogram": _spectrum_sql(None), "welch": _spectrum_sql(16)}
