@@ -129,15 +129,12 @@ def packed_ids(texts: list[str], cut, pieces: PieceIds) -> list[bytes]:
     return [b"".join(map(ids.__getitem__, x)) for x in parts]
 
 
-def char_offsets(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """First and past-the-end character of each token, given the tokens' sizes in bytes, and how many tokens cut a character."""
+def char_offsets(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-end character of each token, given the tokens' sizes in bytes."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    opens = (raw & 0xC0) != 0x80
-    char_of = np.cumsum(opens) - 1
+    char_of = np.cumsum((raw & 0xC0) != 0x80) - 1
     ends = np.cumsum(sizes)
-    starts = ends - sizes
-    whole = opens[starts] & np.append(opens, True)[ends] if len(sizes) else np.zeros(0, bool)
-    return char_of[starts], char_of[ends - 1] + 1, int((~whole).sum())
+    return char_of[ends - sizes], char_of[ends - 1] + 1
 
 
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -157,13 +154,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", off
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _shared_pieces(ranks_path, pattern)
-        size_of = _token_sizes(ranks_path)
+        size_of, cuts = _token_sizes(ranks_path, pattern)
         for batch in slices(batches, text):
             texts = text_of(batch, text)
             ids = [np.frombuffer(x, "<i4") for x in packed_ids(texts, PIECES.findall, pieces)] if pattern == SPLIT_PATTERN else [pieces.ids(x) for x in texts]
-            places = [char_offsets(x, size_of[i]) for x, i in zip(texts, ids, strict=True)]
-            out = [_lists(ids, pa.int32()), pa.array([p[2] for p in places], pa.int32())]
+            out = [_lists(ids, pa.int32()), pa.array([int(cuts[i].sum()) for i in ids], pa.int32())]
             if offsets:
+                places = [char_offsets(x, size_of[i]) for x, i in zip(texts, ids, strict=True)]
                 out += [_lists([p[k] for p in places], pa.int32()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + out, names=kept + [n for n, _ in added])
 
@@ -176,19 +173,29 @@ def _shared_pieces(path: str, pattern: str) -> PieceIds:
 
 
 @lru_cache(maxsize=4)
-def _token_table(path: str) -> dict[int, bytes]:
-    """Token bytes by id, read back from the tokenizer's characters through the reversed byte table."""
+def _token_table(path: str, pattern: str = SPLIT_PATTERN) -> dict[int, bytes]:
+    """Token bytes by id: the characters of the tokenizer's vocabulary through the reversed byte table."""
     back = {c: b for b, c in enumerate(byte_chars())}
-    chars = byte_chars()
-    return {i: bytes(back[c] for c in "".join(chars[b] for b in t)) for t, i in read_ranks(path).items()}
+    return {i: bytes(back[c] for c in shown) for shown, i in tokenizer(path, pattern).get_vocab().items()}
+
+
+def cuts_character(token: bytes) -> bool:
+    """Whether a token starts or ends inside a character: no text of whole characters has its bytes."""
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return True
+    return False
 
 
 @lru_cache(maxsize=4)
-def _token_sizes(path: str) -> np.ndarray:
-    table = _token_table(path)
-    out = np.zeros(max(table) + 1, np.int64)
-    out[list(table)] = [len(x) for x in table.values()]
-    return out
+def _token_sizes(path: str, pattern: str = SPLIT_PATTERN) -> tuple[np.ndarray, np.ndarray]:
+    """By id: bytes of the token, and whether it cuts a character."""
+    table = _token_table(path, pattern)
+    out, cuts = np.zeros(max(table) + 1, np.int64), np.zeros(max(table) + 1, bool)
+    for i, token in table.items():
+        out[i], cuts[i] = len(token), cuts_character(token)
+    return out, cuts
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", keep_ids: bool = True, as_text: bool = True) -> DataFrame:
