@@ -20,6 +20,7 @@ columns other than id and text are not written.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -96,12 +97,54 @@ class WordIds(PieceIds):
         return marks
 
 
+#: How a tokenizer file normalises and cuts texts that :class:`WordIds` is made for (fixed values of a public tokenizer).
+NORMALISED = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A text with cases, accents, digits, signs, contractions and white space, on which the shortcut has to agree, too.
+PROBE = "Hello World, it's NICE! Ünïcödé straße 2024 don't  stop\n\tÀ b-c {x} [y] #1 42% naïve É"
+
+
+class WholeIds(PieceIds):
+    """Whole texts by any tokenizer, one call each."""
+
+    def __init__(self, model, dtype: str):
+        self.model, self.dtype = model, dtype
+
+    def pack(self, texts: list[str]) -> list[bytes]:
+        return [self.ids(x).tobytes() for x in texts]
+
+
+def fits_shortcut(path: str) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space, and cuts and ends words as :class:`WordIds` takes for granted."""
+    fs, at = pafs.FileSystem.from_uri(os.path.abspath(path) if "://" not in path else path)
+    with fs.open_input_file(at) as file:
+        told = json.loads(file.read())
+    steps = [(x["type"], (x.get("pattern") or {}).get("Regex")) for x in (told.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = [(x["type"], (x.get("pattern") or {}).get("Regex"), x.get("behavior"), x.get("invert")) for x in cuts[:1]]
+    bytes_ = [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in cuts[1:]]
+    model = told["model"]
+    plain = all(x["special"] and x["content"].startswith("<|") for x in told.get("added_tokens", []))
+    return steps == NORMALISED and split == [("Split", CUT, "Removed", True)] and bytes_ == [("ByteLevel", False, False)] and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and plain
+
+
 @lru_cache(maxsize=4)
-def _pieces(path: str, dtype: str) -> PieceIds:
+def _pieces(path: str, dtype: str) -> WordIds | WholeIds:
+    """The shortcut where the file is of its kind and a probe text agrees with the library, else whole texts."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return WordIds(Tokenizer.from_file(path), dtype, " \x01 ", "\x01")
+    model = Tokenizer.from_file(path)
+    whole = WholeIds(model, dtype)
+    if fits_shortcut(path):
+        try:
+            words = WordIds(model, dtype, " \x01 ", "\x01")
+        except ValueError:  # the separator is no token of its own
+            return whole
+        texts = [PROBE, *PROBE.split()]
+        if words.pack(texts) == whole.pack(texts):
+            return words
+    return whole
 
 
 def _cut(text: str) -> list[str]:
@@ -127,9 +170,11 @@ def _plan_bytes(df: DataFrame) -> int:
     return size if size < 1 << 50 else 0
 
 
-def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text: str = "text", parts: int | None = None, whitespace_dropped: bool = True) -> DataFrame:
+def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Encode whole texts, append ``end_id``, write the parts; returns the ``bases`` table (one row per part).
 
+    Document ids are whole numbers. Any file of the tokenizers library will do; one that
+    lower-cases and drops white space as :func:`fits_shortcut` asks is read word by word.
     The texts are dealt into ranges of ids and sorted inside each (one shuffle).
     """
     spark = df.sparkSession
@@ -152,7 +197,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
             if outs is None:
                 outs = [fs.open_output_stream(f"{n}.{attempt}") for n in names]
             rows = []
-            for key, ids in zip(batch.column(id_col).to_pylist(), pieces.pack(text_of(batch, text)) if whitespace_dropped else packed_ids(text_of(batch, text), lambda x: [x], pieces), strict=True):
+            for key, ids in zip(batch.column(id_col).to_pylist(), pieces.pack(text_of(batch, text)), strict=True):
                 outs[0].write(ids + end)
                 rows.append((MISSING_ID if key is None else key, tokens))
                 tokens += len(ids) // width + 1
