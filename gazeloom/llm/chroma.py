@@ -4,15 +4,16 @@ A recording (mono 16-bit PCM) becomes frames of 12 pitch-class energies. Sixteen
 filters, each a contrast of two rectangles in the pitch-class by time plane, are read
 off the frames' integral image at every time step; each contrast is quantised to two
 Gray-coded bits, together a packed 32-bit integer. Two recordings are aligned by
-looking up pairs of integers ``GAP`` steps apart, voting in a histogram of offsets
-and counting bit errors over the overlap at every offset with at least ``MIN_VOTES`` votes.
+looking up pairs of integers ``GAP`` steps apart and voting in a histogram of offsets;
+where some offset has ``MIN_VOTES`` votes, bit errors are counted at all offsets by
+correlations of the bits. Steps that hold one tone are looked up as one run.
 
 Recordings with equal fingerprints form a class and only classes are looked up, so a
 recording that was stored millions of times is one row there. Edge cases: null,
 empty and too short recordings have an empty fingerprint, form no class with others
 and align with nothing (those without id are one class); an odd last byte is ignored;
 silence has zero contrasts; repeated rows get a row each; an empty table gives no rows;
-columns other than id and recording are not passed on.
+columns other than id and recording are not passed on. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stash
+from .storage import drop, stash
 
 RATE = 2048
 WINDOW, HOP = 512, 128
@@ -120,11 +121,63 @@ def sonify(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.select(id_col, vector).mapInArrow(run, "id long, pcm binary")
 
 
-def _keys(classes: DataFrame, who: str, at: str) -> DataFrame:
-    """Pairs of codes ``GAP`` steps apart with the place where they start."""
-    coded = classes.where(F.size("codes") > GAP)
-    places = F.transform(F.sequence(F.lit(1), F.size("codes") - GAP), lambda i: F.struct(i.alias("at"), F.xxhash64(F.element_at("codes", i), F.element_at("codes", i + GAP)).alias("key")))
-    return coded.select(F.col("class_id").alias(who), F.explode(places).alias("p")).select(who, F.col("p.key").alias("key"), F.col("p.at").alias(at))
+def _keys(classes: DataFrame, who: str, prefix: str) -> DataFrame:
+    """Runs of equal pairs of codes ``GAP`` steps apart: key, step where the run starts, its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                codes = batch.column("codes")[k].values.to_numpy(zero_copy_only=False)
+                key = codes[:-GAP] << 32 | codes[GAP:]
+                at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                size = np.diff(np.append(at, len(key)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column("class_id")[k].as_py(), np.int64)), pa.array(key[at]), pa.array(at), pa.array(size)], names=[who, "key", f"{prefix}t", f"{prefix}n"])
+
+    # classes without id have no fingerprint
+    coded = classes.where((F.size("codes") > GAP) & F.col("class_id").isNotNull()).select("class_id", "codes")
+    return coded.mapInArrow(run, f"{who} long, key long, {prefix}t long, {prefix}n long")
+
+
+def offset_votes(asked: DataFrame, every: DataFrame) -> DataFrame:
+    """(q, r, votes): the highest bar of each pair's histogram of offsets.
+
+    Two runs of one key, n and m steps long, vote for n + m - 1 offsets by a trapezoid. Its
+    second difference has four entries, so a tone held for an hour is as cheap as a step;
+    the histogram's height at an offset is the sum of all entries before it, each times its distance.
+    """
+    runs = asked.join(every, ["key", "salt"]).where("q <> r")
+    first = F.col("rt") - F.col("qt") - F.col("qn") + 1
+    entries = F.array(*[F.struct((first + ahead).alias("o"), F.lit(w).cast("long").alias("w")) for ahead, w in ((F.lit(0), 1), (F.col("qn"), -1), (F.col("rn"), -1), (F.col("qn") + F.col("rn"), 1))])
+    bends = runs.select("q", "r", F.explode(entries).alias("e")).groupBy("q", "r", F.col("e.o").alias("o")).agg(F.sum("e.w").alias("w"))
+    in_order = Window.partitionBy("q", "r").orderBy("o")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    lines = bends.select("q", "r", "o", F.lead("o").over(in_order).alias("next"), F.sum("w").over(so_far).alias("slope"), F.sum(F.col("w") * (1 - F.col("o"))).over(so_far).alias("level"))
+    # between two bends the height is a line, so its ends tell
+    height = F.greatest(F.col("slope") * F.col("o") + F.col("level"), F.col("slope") * (F.coalesce("next", F.col("o") + 1) - 1) + F.col("level"))
+    return lines.groupBy("q", "r").agg(F.max(height).alias("votes"))
+
+
+def bit_errors(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Wrong bits of ``x`` against ``y`` at all offsets from 1 - len(x) to len(y) - 1, and the steps that overlap."""
+    n = len(x) + len(y) - 1
+    size = 1 << (n - 1).bit_length()
+    same = np.zeros(n)
+    for bit in range(32):
+        a, b = (((v >> bit) & 1) * 2.0 - 1 for v in (x, y))
+        same += np.fft.irfft(np.fft.rfft(b, size) * np.fft.rfft(a[::-1], size), size)[:n]
+    offset = np.arange(1 - len(x), len(y))
+    over = np.minimum(len(x), len(y) - offset) - np.maximum(0, -offset)
+    return np.rint((32 * over - same) / 2).astype(np.int64), over
+
+
+def best_offset(x: np.ndarray, y: np.ndarray) -> tuple[int, float] | None:
+    """The offset with the smallest share of wrong bits among those with ``MIN_OVERLAP`` steps (the first at a tie), and that share; none where it is above ``MAX_ERROR``."""
+    if not len(x) or not len(y):
+        return None
+    wrong, over = bit_errors(x, y)
+    share = np.where(over >= MIN_OVERLAP, wrong / (over * 32.0), np.inf)
+    at = int(share.argmin())
+    return (at + 1 - len(x), float(share[at])) if share[at] <= MAX_ERROR else None
 
 
 def align(prints: DataFrame, queries: Column) -> DataFrame:
@@ -140,18 +193,25 @@ def align(prints: DataFrame, queries: Column) -> DataFrame:
     prints = stash(prints.withColumn("digest", digest), "prints")
     classes = stash(prints.groupBy("digest").agg(F.min("id").alias("class_id"), F.max("asked").alias("asked"), F.min_by("codes", "id").alias("codes")), "classes")
     # the looked-up side is repeated, so a key that many recordings hold (silence, a jingle) is dealt over SALTS tasks
-    asked = _keys(classes.where("asked"), "q", "qt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    every = _keys(classes, "r", "rt").withColumn("salt", F.pmod(F.xxhash64("r"), F.lit(SALTS)).cast("int"))
-    votes = asked.join(every, ["key", "salt"]).where("q <> r").groupBy("q", "r", (F.col("rt") - F.col("qt")).alias("offset")).agg(F.count("*").alias("votes"))
-    peaks = stash(votes.where(F.col("votes") >= MIN_VOTES).select("q", "r", "offset"), "peaks")
+    asked = _keys(classes.where("asked"), "q", "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    every = _keys(classes, "r", "r").withColumn("salt", F.pmod(F.xxhash64("r"), F.lit(SALTS)).cast("int"))
+    pairs = stash(offset_votes(asked, every).where(F.col("votes") >= MIN_VOTES).select("q", "r"), "pairs")
     left = classes.select(F.col("class_id").alias("q"), F.col("codes").alias("x"))
     right = classes.select(F.col("class_id").alias("r"), F.col("codes").alias("y"))
-    start = F.greatest(F.lit(1), 1 - F.col("offset"))
-    over = F.least(F.size("x") - start, F.size("y") - F.col("offset") - start) + 1
-    wrong = F.aggregate(F.zip_with(F.slice("x", start, F.col("over")), F.slice("y", start + F.col("offset"), F.col("over")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, e: s + e)
-    scored = peaks.join(left, "q").join(right, "r").withColumn("over", over).where(F.col("over") >= MIN_OVERLAP).select("q", "r", "offset", (wrong / (F.col("over") * 32.0)).alias("error"))
-    links = scored.where(F.col("error") <= MAX_ERROR).groupBy("q", "r").agg(F.min("error").alias("error"), F.min_by("offset", F.struct("error", "offset")).alias("offset"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for q, r, x, y in zip(*(batch.column(c) for c in ("q", "r", "x", "y")), strict=True):
+                found = best_offset(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False))
+                if found:
+                    rows.append((q.as_py(), r.as_py(), found[1], found[0]))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["q", "r", "error", "offset"])
+
+    links = pairs.join(left, "q").join(right, "r").select("q", "r", "x", "y").mapInArrow(score, "q long, r long, error double, offset long")
     links = stash(links, "links")
+    drop(pairs)
     both = links.unionAll(links.select(F.col("r").alias("q"), F.col("q").alias("r"), "error", (-F.col("offset")).alias("offset"))).dropDuplicates(["q", "r"])
     order = F.struct("error", "r")
     of_class = both.groupBy(F.col("q").alias("class_id")).agg(F.count("*").alias("n_links"), F.min_by("r", order).alias("best_class"), F.min_by("offset", order).alias("best_offset"), F.min("error").alias("bit_error"))
