@@ -7,9 +7,11 @@ possible end is, unknown blocks skip a whole window less one word. Where the shi
 is zero, the block's bucket, split by the first two words, names the windows to
 compare word by word.
 
-The benchmark's windows travel with the tasks. Its size is measured first and
-texts beyond ``SHARD_BYTES`` are dealt over several scans, whose findings are
-merged per document, so nothing unbounded is broadcast.
+The benchmark's size is measured first. Up to ``SHARD_BYTES`` its items travel with the
+tasks; a larger one is written as files of about that size to the shared folder, and
+each task of the one scan holds some ``HELD_CHARS`` of documents at a time, searches
+them with one file after the other and merges what it finds. Neither the driver nor a
+task ever holds more than one file's windows.
 
 Edge cases: null and empty texts have no words and are never contaminated; items
 without words have no window; repeated items are all reported; item ids are
@@ -23,15 +25,19 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import free_name, slices, text_of
+from .arrow import slices, text_of
+from .storage import new_dir
 
 WINDOW = 13
-#: Benchmark text that one scan carries.
-SHARD_BYTES = 32_000_000
+#: Benchmark text whose windows a task holds, and document bytes that it searches with one file after the other.
+SHARD_BYTES, HELD_CHARS = 4_000_000, 32_000_000
 
 #: Bytes outside words become blanks, A-Z become a-z.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -120,37 +126,38 @@ def find_windows(df: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
     if shards == 1:
-        return _scan(df, items.collect(), text, window)
-    row = free_name(df, "row")
-    base = df.withColumn(row, F.monotonically_increasing_id())
-    from .storage import stash
-
-    base = stash(base, "scan-input")
-    parts = []
-    for k in range(shards):
-        mine = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(shards)) == k).collect()
-        parts.append(_scan(base.select(row, text), mine, text, window).drop(text))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    # a document has one row per shard here, so each group is small
-    merged = found.groupBy(row).agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    empty = F.array().cast(_SPAN)
-    joined = F.aggregate(
-        "spans",
-        empty,
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
-    merged = merged.withColumn("spans", joined).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
-    kept = [c for c in df.columns if c not in ("n_words", "n_hit", "spans", "items")]
-    return base.select(row, *kept).join(merged, row).select(*kept, "n_words", "n_hit", "spans", "items")
-
-
-def _scan(df: DataFrame, items: list, text: str, window: int) -> DataFrame:
-    pairs = [(r["item"], r["body"]) for r in items]
+        return _scan(df, [[(r["item"], r["body"]) for r in items.collect()]], text, window)
+    folder = new_dir(df.sparkSession, "shards")
+    mine = items.withColumn("shard", F.pmod(F.xxhash64("item", "body"), F.lit(shards)))
+    mine.repartition(shards, "shard").write.partitionBy("shard").parquet(folder)
+    return _scan(df, [f"{folder}/shard={k}" for k in range(shards)], text, window)
+
+
+def _items(shard: list | str) -> list[tuple[str, str | None]]:
+    """A shard's (item, text): given, or read from its folder in the shared one; a hash may leave a folder out."""
+    if not isinstance(shard, str):
+        return shard
+    fs, path = pafs.FileSystem.from_uri(shard)
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return []
+    table = pq.read_table(path, columns=["item", "body"], filesystem=fs, partitioning=None)
+    return list(zip(table["item"].to_pylist(), table["body"].to_pylist(), strict=True))
+
+
+def _held(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together with about ``limit`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.fill_null(pc.binary_length(batch.column(text)), 0)).as_py() or 0
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _scan(df: DataFrame, shards: list[list | str], text: str, window: int) -> DataFrame:
     names = ["n_words", "n_hit", "spans", "items"]
     kept = [c for c in df.columns if c not in names]
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", _SPAN), T.StructField("items", T.ArrayType(T.StringType()))]
@@ -158,15 +165,28 @@ def _scan(df: DataFrame, items: list, text: str, window: int) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(pairs, window)
-        for batch in slices(batches, text):
-            rows = []
-            for x in text_of(batch, text):
-                words = words_of(x)
-                spans, found = patterns.scan(words)
-                rows.append((len(words), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], sorted(found)))
-            out = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), span, pa.list_(pa.string())))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + out, names=kept + names)
+        only = Patterns(_items(shards[0]), window) if len(shards) == 1 else None
+        # with one shard each slice goes through at once
+        for held in ([b] for b in slices(batches, text)) if only else _held(slices(batches, text), text, HELD_CHARS):
+            found: list[list] = [[0, [], set()] for b in held for _ in range(b.num_rows)]
+            for shard in shards:
+                patterns = only or Patterns(_items(shard), window)
+                for row, x in zip(found, (x for b in held for x in text_of(b, text)), strict=True):
+                    words = words_of(x)
+                    row[0] = len(words)
+                    spans, items = patterns.scan(words)
+                    row[1] += spans
+                    row[2] |= items
+                del patterns
+            at = 0
+            for batch in held:
+                rows = []
+                for n, spans, items in found[at : at + batch.num_rows]:
+                    spans = merge_spans(spans)
+                    rows.append((n, sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], sorted(items)))
+                at += batch.num_rows
+                out = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), span, pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + out, names=kept + names)
 
     return df.mapInArrow(run, schema)
 
