@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Edges stay distributed; each step is an aggregation to the smallest neighbour (with
-partial sums, so hubs don't gather in a task) and a join back, and its result is
-written to the shared folder. Ends when a round changes nothing.
+partial sums, so hubs don't gather in a task) and a join back, in which hubs are
+broadcast, and its result is written to the shared folder. Ends when a round changes nothing.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import look_up
 from .storage import drop, stash
 
 
@@ -27,11 +28,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
     seen = _print(now)
     for _ in range(max_rounds if seen[0] else 0):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large-star")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight")).select("u", F.least("u", "m").alias("m"), "weight")
+        large = stash(look_up(both.where("v > u"), least, ["u"], "weight", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large-star")
         drop(now)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        weighed = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight"))
+        least = weighed.drop("weight")
+        small = look_up(large, weighed, ["u"], "weight", 2 * seen[0])
         now = stash(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "small-star")
         drop(large)
         after = _print(now)
