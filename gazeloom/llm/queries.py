@@ -43,10 +43,9 @@ def op4_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades of the labels: 0 not toxic, 1 toxic, 2 toxic and of no quality."""
+    """The labels know two grades, not toxic and toxic; their quality says nothing about it."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    grade = F.col("toxic") * F.when(F.col("quality") == 0, 2).otherwise(1)
-    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", grade.alias("toxic")))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.predict(docs, model).drop("text")
 
 
