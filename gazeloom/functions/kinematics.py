@@ -84,29 +84,28 @@ def savgol_coefficients(window: int, order: int, at: int | None = None) -> list[
 def savgol(p: Plan, source: str, out: str, window: int, order: int, columns: tuple[str, ...] = ("x", "y")) -> Plan:
     """Savitzky-Golay smoothing; the first and last half window take the polynomial of the first and last window.
 
-    All weights are constants, so the edges are weighted sums too. Recordings shorter than the window stay as they are.
+    All weights are constants, so the edges are weighted sums of neighbours, too: one
+    sorted pass and no join. Recordings shorter than the window stay as they are.
     """
     half = window // 2
-    p = p.then(f"{out}_n", f"SELECT *, count(*) OVER (PARTITION BY recording_id) AS nn FROM {source}")
-    mid = savgol_coefficients(window, order)
-
-    def fir(c: str) -> str:
-        terms = [f"{w!r} * " + (c if k == 0 else f"({'lead' if k > 0 else 'lag'}({c}, {abs(k)}) OVER ({W}))") for k, w in zip(range(-half, half + 1), mid, strict=True)]
-        return " + ".join(terms)
-
-    p = p.then(f"{out}_mid", f"SELECT *, {', '.join(f'{fir(c)} AS m_{c}' for c in columns)} FROM {out}_n")
-    # one weighted sum per edge place, over the edge window of each recording
-    table = [f"SELECT {side} AS side, {at} AS at, {k} AS k, {w!r} AS wgt" for side, places in ((0, range(half)), (1, range(half + 1, window))) for at in places for k, w in enumerate(savgol_coefficients(window, order, at))]
-    p = p.then(f"{out}_w", " UNION ALL ".join(table))
-    sums = ", ".join(f"sum(g.{c} * t.wgt) AS e_{c}" for c in columns)
-    p = p.then(
-        f"{out}_edge",
-        f"""SELECT g.recording_id, CASE WHEN t.side = 0 THEN t.at ELSE g.nn - {window} + t.at END AS i, {sums}
-        FROM {out}_n g JOIN {out}_w t ON t.k = CASE WHEN t.side = 0 THEN g.i ELSE g.i - (g.nn - {window}) END
-        WHERE g.nn >= {window} AND (g.i < {window} OR g.i >= g.nn - {window}) GROUP BY g.recording_id, CASE WHEN t.side = 0 THEN t.at ELSE g.nn - {window} + t.at END""",
-    )
-    picked = ", ".join(f"CASE WHEN m.nn < {window} THEN m.{c} ELSE coalesce(CASE WHEN m.i >= {half} AND m.i < m.nn - {half} THEN m.m_{c} END, e.e_{c}) END AS s_{c}" for c in columns)
-    return p.then(out, f"SELECT m.*, {picked} FROM {out}_mid m LEFT JOIN {out}_edge e ON m.recording_id = e.recording_id AND m.i = e.i")
+    near = [f"lag({c}, {-k}) OVER ({W}) AS n_{c}_m{-k}" if k < 0 else f"lead({c}, {k}) OVER ({W}) AS n_{c}_p{k}" for c in columns for k in range(1 - window, window) if k]
+    p = p.then(f"{out}_n", f"SELECT *, count(*) OVER (PARTITION BY recording_id) AS nn, {', '.join(near)} FROM {source}")
+
+    def at(c: str, k: int) -> str:
+        return c if k == 0 else f"n_{c}_m{-k}" if k < 0 else f"n_{c}_p{k}"
+
+    def fir(c: str, place: int | None = None) -> str:
+        own = half if place is None else place
+        weights = savgol_coefficients(window, order) if place is None else savgol_coefficients(window, order, place)
+        return " + ".join(f"{w!r} * {at(c, k - own)}" for k, w in enumerate(weights))
+
+    def smooth(c: str) -> str:
+        first = " ".join(f"WHEN i = {k} THEN {fir(c, k)}" for k in range(half))
+        last = " ".join(f"WHEN i = nn - {window - k} THEN {fir(c, k)}" for k in range(half + 1, window))
+        return f"CASE WHEN nn < {window} THEN {c} {first} {last} ELSE {fir(c)} END AS s_{c}"
+
+    helpers = ", ".join(x.rsplit(" ", 1)[1] for x in near)
+    return p.then(f"{out}_s", f"SELECT *, {', '.join(map(smooth, columns))} FROM {out}_n").then(out, f"SELECT @except(nn, {helpers}) FROM {out}_s")
 
 
 def clean_signal(p: Plan, source: str, out: str, column: str = "x", max_gap: int | None = None) -> Plan:

@@ -92,13 +92,13 @@ def spectra(df: DataFrame, fs: float, segment: int | None = None, window: str =
 
 
 def cross_spectra(df: DataFrame, fs: float, segment: int | None, column: str = "x", pairs: DataFrame | None = None) -> DataFrame:
-    """(id_1, id_2, cell, frequency, re, im, coherency) for all pairs of recordings, or those given; without a segment length one segment of each pair's longer length (coherency null)."""
+    """(id_1, id_2, cell, frequency, re, im, coherency) for all pairs of recordings, or those given; without a segment length one tapered segment of each pair's longer length (coherency null)."""
 
     def kernel(one, v, ids, vs):
         for two, w in zip(ids.tolist(), vs, strict=True):
             n = max(len(v), len(w))
             x, y = (np.pad(np.asarray(z, float), (0, n - len(z))) for z in (v, w))
-            f, p = K.spectral_density(x, y, fs, segment, "hann" if segment else "boxcar")
+            f, p = K.spectral_density(x, y, fs, segment, "hann")
             coherency = K.coherency(x, y, fs, segment)[1] if segment else [None] * len(f)
             yield from zip([one] * len(f), [two] * len(f), range(len(f)), f.tolist(), p.real.tolist(), p.imag.tolist(), list(coherency), strict=True)
 
@@ -217,7 +217,7 @@ def clusters(df: DataFrame, method: str, diagonal: float, neighbours: int | None
     def run(g: pd.DataFrame) -> pd.DataFrame:
         label = fn(g[["x", "y"]].to_numpy(float))
         keep = label >= 0
-        return pd.DataFrame({"k": g.k[keep], "aoi": [chr(65 + int(c)) for c in label[keep]]})
+        return pd.DataFrame({"k": g.k[keep], "aoi": K.area_names(label[keep])})
 
     return per_recording(df, run, "k long, aoi string", ["x", "y"], "k")
 
@@ -228,7 +228,7 @@ def hmm_aois(df: DataFrame, states: int | None = 3) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         pts = g[["x", "y"]].to_numpy(float)
         model = K.gaussian_hmm_2d(pts, min(states or len(set(K.kmeans_auto(pts).tolist())), len(pts)))
-        return pd.DataFrame({"k": g.k, "aoi": [chr(65 + int(c)) for c in model["labels"]], "fisher": [K.fisher_vector(model, pts).tolist()] + [None] * (len(g) - 1)})
+        return pd.DataFrame({"k": g.k, "aoi": K.area_names(model["labels"]), "fisher": [K.fisher_vector(model, pts).tolist()] + [None] * (len(g) - 1)})
 
     return per_recording(df, run, "k long, aoi string, fisher array<double>", ["x", "y"], "k")
 
@@ -295,6 +295,21 @@ def panel_patterns(sequences: DataFrame, panel: str) -> DataFrame:
     return sequences.groupBy(panel).applyInPandas(run, f"{panel} long, emine string, cdba string")
 
 
+def recurrence(scanpaths: DataFrame, radius: float, shortest: int = 2) -> DataFrame:
+    """Recurrence quantification per recording, null where undefined; each recording is packed once and compared with itself in its task."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({k: [float(v)] for k, v in pairwise.recurrence(g[["x", "y"]].to_numpy(float), radius, shortest).items()})
+
+    return per_recording(scanpaths, run, "recurrence_rate double, laminarity double, determinism double, corm double, entropy double", ["x", "y"], "k")
+
+
+def approximate_entropy(df: DataFrame, window: int = 10, tolerance: float = 0.1, column: str = "e") -> DataFrame:
+    """Approximate entropy of each recording's series; recordings of at most ``window`` samples are left out."""
+    made = per_recording(df, lambda g: pd.DataFrame({"approximate_entropy": [float(np.floor(K.approximate_entropy(g[column].to_numpy(float), window, tolerance) * 1e6 + 0.5001) / 1e6)]}), "approximate_entropy double", [column])
+    return made.where(F.col("approximate_entropy").isNotNull() & ~F.isnan("approximate_entropy"))
+
+
 def lempel_ziv(sequences: DataFrame) -> DataFrame:
     """Number of LZ78 phrases per recording."""
     return per_recording(sequences, lambda g: pd.DataFrame({"complexity": [len(K.lempel_ziv(list(g.aoi)))]}), "complexity long", ["aoi"], "k")

@@ -742,6 +742,29 @@ def gamma_shape_shifted(v: np.ndarray, points: int = 40, rounds: int = 40) -> fl
     return _gamma_profile(v, math.exp((lo + hi) / 2))[1]
 
 
+def approximate_entropy(e: np.ndarray, window: int, tolerance: float) -> float:
+    """Mean log share of windows within the tolerance (largest difference), length ``window`` less one more; null for series that hold no longer window."""
+    if len(e) < window + 1:
+        return float("nan")
+    phi = []
+    for m in (window, window + 1):
+        w = np.lib.stride_tricks.sliding_window_view(e, m)
+        rows = max(1, HELD_DISTANCES // (len(w) * m))
+        near = np.concatenate([(np.abs(w[a : a + rows, None] - w) < tolerance).all(2).sum(1) for a in range(0, len(w), rows)])
+        phi.append(np.log(near / len(w)).mean())
+    return float(phi[0] - phi[1])
+
+
+#: Distances that a kernel holds at a time.
+HELD_DISTANCES = 4_000_000
+
+
+def area_names(label: np.ndarray) -> list[str]:
+    """Names of areas by number: letters for up to 26, then A and a number padded alike."""
+    top = int(label.max(initial=0))
+    return [chr(65 + int(c)) for c in label] if top < 26 else [f"A{int(c):0{len(str(top))}d}" for c in label]
+
+
 # ---------------------------------------------------------------- shapes
 
 
@@ -863,10 +886,6 @@ def kmeans_auto(pts: np.ndarray, most: int = 15) -> np.ndarray:
     return max((kmeans(pts, k) for k in range(2, top + 1)), key=lambda z: silhouette(pts, z))
 
 
-#: Distances that a clustering holds at a time.
-HELD_DISTANCES = 4_000_000
-
-
 class Grid:
     """Points sorted by square cells of a side, so that those of a cell lie together."""
 

@@ -17,6 +17,7 @@ from ..functions.relational import Plan
 from . import convnet
 from .grouped import features
 from .islands import two_class
+from .kernels import area_names
 from .segmentation import three_class
 
 CLASSIFIERS = {
@@ -119,7 +120,8 @@ def joint_areas(points: DataFrame, most: int = 15, seed: int = 0) -> DataFrame:
             best, found = score, model
     rows.unpersist()
     centers = sorted((float(c[0]), float(c[1]), i) for i, c in enumerate(found.clusterCenters()))
-    named = spark.createDataFrame([(i, chr(65 + n), x, y) for n, (x, y, i) in enumerate(centers)], "cluster int, aoi string, cx double, cy double")
+    names = area_names(np.arange(len(centers)))
+    named = spark.createDataFrame([(i, names[n], x, y) for n, (x, y, i) in enumerate(centers)], "cluster int, aoi string, cx double, cy double")
     return found.transform(rows).join(F.broadcast(named), "cluster").select("recording_id", "k", "aoi", "cx", "cy")
 
 
@@ -139,11 +141,12 @@ def vectors(gaze: DataFrame, kind: str, reach: int, fs: float = 1.0) -> DataFram
     return features(gaze, kind, reach, fs).withColumn("vector", array_to_vector("features")).drop("features")
 
 
-def fit(gaze: DataFrame, labels: DataFrame, kind: str = "fc", classifier: str = "rf", reach: int = 5, net: dict | None = None, fs: float = 1.0) -> PipelineModel | Neighbours | KernelMachine | convnet.Fitted:
-    """Fit on samples with a label above 0: ``rf``, ``svm`` (linear), ``rbf`` (Gaussian kernel), ``knn`` (keeps a bounded sample), ``mlp``, or ``cnn``, which reads windows instead of features and takes the options of :func:`.convnet.fit`."""
+def fit(gaze: DataFrame, labels: DataFrame, kind: str = "fc", classifier: str = "rf", reach: int = 5, net: dict | None = None, fs: float = 1.0, mask: str = "label > 0") -> PipelineModel | Neighbours | KernelMachine | convnet.Fitted:
+    """Fit on labelled samples that ``mask`` keeps (an expression over the columns of ``labels``): ``rf``, ``svm`` (linear), ``rbf`` (Gaussian kernel), ``knn`` (keeps a bounded sample), ``mlp``, or ``cnn``, which reads windows instead of features and takes the options of :func:`.convnet.fit`."""
+    labels = labels.where(mask)
     if classifier == "cnn":
         return convnet.fit(gaze, labels, **(net or {}))
-    rows = vectors(gaze, kind, reach, fs).join(labels.where("label > 0"), ["recording_id", "i"]).withColumn("label", F.col("label").cast("double"))
+    rows = vectors(gaze, kind, reach, fs).join(labels.select("recording_id", "i", "label"), ["recording_id", "i"]).withColumn("label", F.col("label").cast("double"))
     if classifier == "knn":
         return fit_neighbours(rows)
     width = len(rows.select(vector_to_array("vector").alias("v")).first()["v"]) if classifier in ("mlp", "rbf") else 0

@@ -188,6 +188,33 @@ def cross_recurrence(radius: float, shortest: int = 3) -> Kernel:
 CROSS_RECURRENCE = "id_1 long, id_2 long, recurrence_rate double, laminarity_vertical double, laminarity_horizontal double, determinism double, entropy double"
 
 
+def recurrence(p: np.ndarray, radius: float, shortest: int = 2) -> dict[str, float]:
+    """Recurrence quantification of one scanpath: rate, laminarity, determinism, centre of mass, entropy of diagonal lines."""
+    n = len(p)
+    # rows in pieces, with an empty last column that parts them
+    hit = np.zeros((n, n + 1), bool)
+    rows = max(1, CELLS // max(n, 1))
+    for a in range(0, n, rows):
+        hit[a : a + rows, :n] = (p[a : a + rows, None, 0] - p[:, 0]) ** 2 + (p[a : a + rows, None, 1] - p[:, 1]) ** 2 < radius * radius
+    hit[np.tril_indices(n)] = False
+    i, j = np.nonzero(hit)
+    points = len(i)
+    vertical = _runs(hit, shortest)[1].sum()
+    horizontal = _runs(np.concatenate([hit[:, :n].T, np.zeros((n, 1), bool)], 1), shortest)[1].sum()
+    sheared = np.zeros((n, n + 1), bool)
+    sheared[j - i, i] = True
+    lines = _runs(sheared, shortest)[1]
+    share = np.unique(lines, return_counts=True)[1] / max(len(lines), 1)
+    nan = float("nan")
+    return {
+        "recurrence_rate": _r6(2e2 * points / (n * (n - 1))) if n > 1 else nan,
+        "laminarity": _r6(5e1 * (vertical + horizontal) / points) if points else nan,
+        "determinism": _r6(1e2 * lines.sum() / points) if points else nan,
+        "corm": _r6(1e2 * (j - i).sum() / ((n - 1) * points)) if points else nan,
+        "entropy": _r6(-(share * np.log(share)).sum()) + 0.0,
+    }
+
+
 def point_mapping(one, v, ids, vs):
     """Eye analysis distance and linear distance: nearest points both ways."""
     p = v.reshape(-1, 2)

@@ -14,6 +14,13 @@ def from_fixations(p: Plan, events: str, out: str) -> Plan:
     return p.then(out, f"SELECT recording_id, CAST(row_number() OVER ({WK}) - 1 AS BIGINT) AS k, cx AS x, cy AS y, duration AS dur FROM {events}")
 
 
+def from_mapped_gaze(p: Plan, events: str, gaze: str, out: str, width: float, height: float) -> Plan:
+    """Fixations (recording_id, a, b, duration) on a reference image: the mean of the gaze (recording_id, i, ref_x, ref_y, status) that is valid and on the image; those without any are dropped, the rest is numbered anew."""
+    on = f"g.status > 0 AND g.ref_x BETWEEN 0 AND {width} AND g.ref_y BETWEEN 0 AND {height}"
+    p = p.then(f"{out}_c", f"SELECT e.recording_id, e.a, e.duration, avg(g.ref_x) AS x, avg(g.ref_y) AS y FROM {events} e JOIN {gaze} g ON e.recording_id = g.recording_id AND g.i BETWEEN e.a AND e.b WHERE {on} GROUP BY e.recording_id, e.a, e.duration")
+    return p.then(out, f"SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY a) - 1 AS BIGINT) AS k, x, y, duration AS dur FROM {out}_c")
+
+
 def geometry(p: Plan, source: str, out: str, probability: float = 0.68) -> Plan:
     """Length (0 for one point), BCEA and K coefficient per recording."""
     p = p.then(f"{out}_s", f"SELECT *, sqrt(power(lead(x) OVER ({WK}) - x, 2) + power(lead(y) OVER ({WK}) - y, 2)) AS step FROM {source}")
@@ -98,15 +105,19 @@ def compare_maps(p: Plan, one: str, two: str, out: str, floor: float = 1e-12) ->
     return p.then(out, f"SELECT {r6('covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0)')} AS pearson, {r6('sum(a * ln(a / b))')} AS kl_divergence FROM {out}_j")
 
 
-def map_against_fixations(p: Plan, fixation_bins: str, smap: str, out: str, nx: int, ny: int) -> Plan:
-    """Per recording against a reference map: NSS, percentile, information gain over a centre Gaussian, AUC (Judd, without jitter)."""
+def map_against_fixations(p: Plan, fixation_bins: str, smap: str, out: str, nx: int, ny: int, jitter: float = 0.0, seed: int = 0) -> Plan:
+    """Per recording against a reference map: NSS, percentile, information gain over a centre Gaussian, AUC (Judd).
+
+    With ``jitter`` the AUC ranks values to which each cell adds up to that much, by its place and ``seed``; without, equal values count half.
+    """
+    moved = f"v + {jitter!r} * ((gx * 7919 + gy * 104729 + {seed * 15485863}) % 1000003) / 1000003.0" if jitter else "v"
     gauss = f"exp(-0.5 * (power((gx - {(nx - 1) / 2}) / {nx / 4}, 2) + power((gy - {(ny - 1) / 2}) / {ny / 4}, 2)))"
-    p = p.then(f"{out}_m", f"SELECT gx, gy, v, avg(v) OVER () AS mu, stddev_samp(v) OVER () AS sd, (rank() OVER (ORDER BY v) - 1) / CAST({nx * ny} AS DOUBLE) AS below, {gauss} / sum({gauss}) OVER () AS base FROM {smap}")
-    p = p.then(f"{out}_f", f"SELECT f.recording_id, f.gx, f.gy, m.v, (m.v - m.mu) / nullif(m.sd, 0) AS z, m.below, ln(greatest(m.v, 1e-12) / greatest(m.base, 1e-12)) / ln(2.0) AS gain FROM {fixation_bins} f JOIN {out}_m m ON f.gx = m.gx AND f.gy = m.gy")
+    p = p.then(f"{out}_m", f"SELECT gx, gy, v, avg(v) OVER () AS mu, stddev_samp(v) OVER () AS sd, (rank() OVER (ORDER BY v) - 1) / CAST({nx * ny} AS DOUBLE) AS below, {gauss} / sum({gauss}) OVER () AS base, {moved} AS jv FROM {smap}")
+    p = p.then(f"{out}_f", f"SELECT f.recording_id, f.gx, f.gy, m.jv AS v, (m.v - m.mu) / nullif(m.sd, 0) AS z, m.below, ln(greatest(m.v, 1e-12) / greatest(m.base, 1e-12)) / ln(2.0) AS gain FROM {fixation_bins} f JOIN {out}_m m ON f.gx = m.gx AND f.gy = m.gy")
     # AUC: each distinct fixated cell against all cells that are not fixated, ties count half
     p = p.then(f"{out}_d", f"SELECT DISTINCT recording_id, gx, gy, v FROM {out}_f")
     p = p.then(f"{out}_n", f"SELECT recording_id, count(*) AS n FROM {out}_d GROUP BY recording_id")
-    p = p.then(f"{out}_q", f"SELECT d.recording_id, sum(CASE WHEN m.v < d.v THEN 1e0 WHEN m.v = d.v THEN 5e-1 ELSE 0e0 END) AS wins FROM {out}_d d CROSS JOIN {smap} m GROUP BY d.recording_id")
+    p = p.then(f"{out}_q", f"SELECT d.recording_id, sum(CASE WHEN m.v < d.v THEN 1e0 WHEN m.v = d.v THEN 5e-1 ELSE 0e0 END) AS wins FROM {out}_d d CROSS JOIN (SELECT jv AS v FROM {out}_m) m GROUP BY d.recording_id")
     p = p.then(f"{out}_s", f"SELECT d.recording_id, sum(CASE WHEN e.v < d.v THEN 1e0 WHEN e.v = d.v THEN 5e-1 ELSE 0e0 END) AS own FROM {out}_d d JOIN {out}_d e ON d.recording_id = e.recording_id GROUP BY d.recording_id")
     p = p.then(f"{out}_g", f"SELECT recording_id, avg(z) AS nss, avg(below) AS percentile, avg(gain) AS gain FROM {out}_f GROUP BY recording_id")
     return p.then(out, f"SELECT g.recording_id, {r6('g.nss')} AS nss, {r6('100 * g.percentile')} AS percentile, {r6('g.gain')} AS information_gain, {r6(f'(q.wins - s.own) / nullif(n.n * ({nx * ny} - n.n), 0)')} AS auc FROM {out}_g g JOIN {out}_n n ON g.recording_id = n.recording_id JOIN {out}_q q ON g.recording_id = q.recording_id JOIN {out}_s s ON g.recording_id = s.recording_id")

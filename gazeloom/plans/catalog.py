@@ -105,6 +105,8 @@ def _plans() -> dict[str, Plan]:
     q["pursuit_task_entropy"] = events.approximate_entropy(error, "err", "out", 2, 150.0)
     # scanpaths
     q["scanpath_from_fixations"] = scanpaths.from_fixations(fix, "fix", "sp").then("out", f"SELECT recording_id, k, {_r('x', 'y', 'dur')} FROM sp")
+    mapped_gaze = fix.then("mapped_gaze", "SELECT recording_id, i, 1.1 * x + 0.2 * y - 20 AS ref_x, 0.9 * y - 0.01 * x + 3 AS ref_y, CASE WHEN i % 7 = 3 THEN 0.0 ELSE 1.0 END AS status FROM good")
+    q["scanpath_from_mapped_gaze"] = scanpaths.from_mapped_gaze(mapped_gaze, "fix", "mapped_gaze", "sp", WIDTH, HEIGHT).then("out", f"SELECT recording_id, k, {_r('x', 'y', 'dur')} FROM sp")
     q["scanpath_geometry"] = scanpaths.geometry(PATH, "path", "out")
     q["recurrence"] = scanpaths.recurrence(PATH, "path", "out", RADIUS)
     q["cross_recurrence"] = scanpaths.cross_recurrence(PAIRS, "path", "pairs", "out", RADIUS)
@@ -115,6 +117,7 @@ def _plans() -> dict[str, Plan]:
     q["saliency_compare"] = scanpaths.compare_maps(maps, "ma", "mb", "out")
     ref = scanpaths.saliency_map(odd, "path_a", "ma", WIDTH, HEIGHT).then("mr", "SELECT gx, gy, floor(v * 1e9 + 0.5) / 1e9 AS v FROM ma").then("fb", f"SELECT recording_id, CAST(floor(least(x, {WIDTH - 0.001}) / {WIDTH / 25}) AS BIGINT) AS gx, CAST(floor(least(y, {HEIGHT - 0.001}) / {HEIGHT / 25}) AS BIGINT) AS gy FROM path_b")
     q["saliency_reference"] = scanpaths.map_against_fixations(ref, "fb", "mr", "out", 25, 25)
+    q["saliency_reference_jitter"] = scanpaths.map_against_fixations(ref, "fb", "mr", "out", 25, 25, jitter=1e-7, seed=1)
     q["saliency_tolerance"] = scanpaths.nss_with_tolerance(ref, "fb", "mr", "out")
     q["pair_bins"] = kin.joint_bins(PAIRS, "path", "pairs", "jb", 8, 8).then("out", "SELECT id_1, id_2, side, gx, gy, count(*) AS n FROM jb GROUP BY id_1, id_2, side, gx, gy")
     q["eye_analysis_distance"] = scanpaths.point_mapping(PAIRS, "path", "pairs", "out")
@@ -125,6 +128,7 @@ def _plans() -> dict[str, Plan]:
     rect = PATH.then("rect", " UNION ALL ".join(f"SELECT '{n}' AS aoi, {i} AS idx, {x0} AS x0, {y0} AS y0, {x1} AS x1, {y1} AS y1" for i, (n, x0, y0, x1, y1) in enumerate([("A", 0.0, 0.0, 150.0, 50.0), ("B", 100.0, 20.0, 300.0, 80.0), ("C", 250.0, 0.0, 500.0, 60.0)])))
     q["aoi_predefined"] = aois.predefined(rect, "path", "rect", "pd").then("out", "SELECT recording_id, k, aoi FROM pd")
     q["aoi_predefined_frequent"] = aois.predefined(rect, "path", "rect", "pd", 10).then("out", "SELECT recording_id, k, aoi FROM pd")
+    q["aoi_predefined_dwell_time"] = aois.durations(aois.predefined(rect, "path", "rect", "pd"), "pd", "out")
     cent = PATH.then("cent", " UNION ALL ".join(f"SELECT '{n}' AS aoi, {x} AS cx, {y} AS cy" for n, x, y in [("A", 50.0, 20.0), ("B", 200.0, 70.0), ("C", 400.0, 30.0), ("D", 499.0, 99.0)]))
     near = aois.nearest_center(cent, "path", "cent", "nc")
     q["aoi_nearest_center"] = near.then("out", "SELECT recording_id, k, aoi FROM nc")

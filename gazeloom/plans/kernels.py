@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aois, common, grouped, learning, mining, pairwise
+from ..operators import aois, common, grouped, learning, mining, pairwise, registry, signals
 from ..operators import kernels as K
 from . import catalog as C
 
@@ -183,6 +183,13 @@ QUERIES |= {
     "aoi_common_subsequence": lambda s, d: common.common_subsequence(_collapsed(s, d)).withColumn("pattern", F.array_join("pattern", ",")),
     "aoi_barycentre": _barycentre,
     "aoi_likeness_tree": lambda s, d: common.likeness_tree(_collapsed(s, d)),
+    "recurrence": lambda s, d: grouped.recurrence(scanpath(s, d), C.RADIUS),
+    "pursuit_task_entropy": lambda s, d: grouped.approximate_entropy(_of(C.KIN.then("err", "SELECT recording_id, i, vx - 40 * cos(i / 5.0) AS e FROM kin"), "err", s, d), 2, 150.0),
+    "persistence_curves_of_bars": lambda s, d: signals.persistence_curves(C.Plan(), "{bars}", "out", 0.0, 500.0).spark(s, bars=grouped.persistence(gaze(s, d), 5.0)),
+    "persistence_landscapes_of_bars": lambda s, d: signals.persistence_landscapes(C.Plan(), "{bars}", "out", 0.0, 500.0).spark(s, bars=grouped.persistence(gaze(s, d), 5.0)),
+    "cross_spectrum_one_segment": lambda s, d: grouped.cross_spectra(gaze(s, d), C.FS, None).drop("coherency"),
+    "aoi_sequences_from_gaze": lambda s, d: registry.sequences(gaze(s, d), fs=C.FS, threshold=C.SLOW, limits={"min_fix": 1.0, "max_fix": 1000.0, "min_sac": 0.0}),
+    "aoi_by_name": lambda s, d: registry.areas(scanpath(s, d), "I_DT", DIAGONAL, fewest=4).select("recording_id", "k", "aoi", "cx", "cy"),
     "scanpath_near_pairs": lambda s, d: pairwise.compare(_points(s, d), pairwise.near_pairs(100.0), pairwise.NEAR),
 }
 
@@ -355,5 +362,13 @@ def _ifc_sql() -> str:
     return p.then("out", f"SELECT b.recording_id, b.i, {wanted} FROM base b JOIN f2 f ON f.recording_id = b.recording_id AND f.i = b.i JOIN f2 n ON n.recording_id = b.recording_id AND n.i = least(b.i + 1, b.top) JOIN f2 p ON p.recording_id = b.recording_id AND p.i = greatest(b.i - 1, 0)").duckdb()
 
 
+def _bars_plan():
+    """Bars without a union of components: a sample's component dies at the lower of the barriers to the nearest lower samples on either side."""
+    p = C.KIN.then("lower", "SELECT s.recording_id, s.i, s.x, (SELECT max(t.i) FROM kin t WHERE t.recording_id = s.recording_id AND t.i < s.i AND t.x <= s.x) AS l, (SELECT min(t.i) FROM kin t WHERE t.recording_id = s.recording_id AND t.i > s.i AND t.x < s.x) AS r FROM kin s")
+    p = p.then("walls", "SELECT recording_id, i, x, l, r, (SELECT max(t.x) FROM kin t WHERE t.recording_id = w.recording_id AND t.i BETWEEN w.l AND w.i) AS lw, (SELECT max(t.x) FROM kin t WHERE t.recording_id = w.recording_id AND t.i BETWEEN w.i AND w.r) AS rw FROM lower w")
+    p = p.then("dead", "SELECT recording_id, x AS birth, CASE WHEN l IS NULL THEN rw WHEN r IS NULL THEN lw ELSE least(lw, rw) END AS death FROM walls WHERE l IS NOT NULL OR r IS NOT NULL")
+    return p.then("bars", "SELECT recording_id, birth, death FROM dead WHERE death > birth AND death - birth >= 5.0 UNION ALL SELECT recording_id, min(x) AS birth, max(x) AS death FROM kin GROUP BY recording_id HAVING max(x) - min(x) >= 5.0")
+
+
 #: Checks of kernels by other means in SQL.
-ORACLE_SQL = {"ifc_features": _ifc_sql(), "idet": _idet_sql(), "ikf": _ikf_sql(), "idit": _idit_sql(), "ivdt": _ivdt_sql(), "aoi_lempel_ziv": _lempel_ziv_sql(), "aoi_frequent_patterns": _patterns_sql(), "periodogram": _spectrum_sql(None), "welch": _spectrum_sql(16)}
+ORACLE_SQL = {"persistence_bars": _bars_plan().then("out", "SELECT recording_id, birth, death FROM bars").duckdb(), "persistence_curves_of_bars": signals.persistence_curves(_bars_plan(), "bars", "out", 0.0, 500.0).duckdb(), "persistence_landscapes_of_bars": signals.persistence_landscapes(_bars_plan(), "bars", "out", 0.0, 500.0).duckdb(), "ifc_features": _ifc_sql(), "idet": _idet_sql(), "ikf": _ikf_sql(), "idit": _idit_sql(), "ivdt": _ivdt_sql(), "aoi_lempel_ziv": _lempel_ziv_sql(), "aoi_frequent_patterns": _patterns_sql(), "periodogram": _spectrum_sql(None), "welch": _spectrum_sql(16)}
