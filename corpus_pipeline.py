@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gazeloom.llm import bpe, cpsjoin, feistel, langid, wumanber
 from gazeloom.llm.queries import PII_KEY
-from gazeloom.llm.storage import stash
+from gazeloom.llm.storage import drop, stash
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -76,7 +76,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stash(stage(spark, docs, sf_dir), name)
+        drop(before)  # each stage reads only the one before; the input itself is no stashed table
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

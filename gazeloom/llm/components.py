@@ -43,6 +43,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
     else:
         if seen[0]:
             raise RuntimeError("components did not settle")
-    # the last table stays: the result reads it
+    # the result reads the last table; drop(result) removes it
     out = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
-    return out.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = out.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out._gazeloom_path = now._gazeloom_path
+    return out

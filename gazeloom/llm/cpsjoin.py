@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from .arrow import slices, text_of
 from .components import components
+from .joins import look_up
 from .storage import drop, stash
 
 WORDS = 5
@@ -314,18 +315,27 @@ def _mixed(members: DataFrame) -> DataFrame:
     return nodes.where("parts > 1").select("node", "m", "top", (F.col("m") - F.col("most")).alias("minority"))
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    found = components(links)
+    labels = stash(found, "labels")
+    drop(found)
+    return labels
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document row: id_col, n_shingles, component_id (smallest id of the group), kept.
 
     ``threshold`` is the least Jaccard similarity in percent.
     """
     sigs = stash(signatures(docs, id_col, text, words), "signatures")
-    classes = stash(sigs.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch"), F.min_by("path", "id").alias("path")), "classes")
+    classes = stash(sigs.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch"), F.min_by("path", "id").alias("path"), F.count("*").alias("copies")), "classes")
+    n_classes = classes.count()
 
     roots = F.array(*[F.xxhash64(F.lit(k), F.col("path")[k]) for k in range(ROOTS)])
     members = classes.select("id", F.posexplode(roots).alias("tree", "node"))
     nodes = stash(members.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("first"), F.max("id").alias("last")).where("m > 1"), "nodes")
-    shared = stash(members.join(nodes, "node").select("node", "tree", "id", "m", "first", "last"), "members")
+    # what many members share is broadcast in these joins, so no node gathers in a task
+    shared = stash(look_up(members, nodes.withColumn("weight", F.col("m")), ["node"], "weight", n_classes * ROOTS).select("node", "tree", "id", "m", "first", "last"), "members")
     drop(nodes)
     stars = shared.select(F.col("first").alias("a"), F.col("id").alias("b")).unionAll(shared.select(F.col("id").alias("a"), F.col("last").alias("b")))
     sketches = classes.select("id", "n", "sketch")
@@ -334,12 +344,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     drop(pairs)
 
     # what the stars left: nodes with members of several components, those of two members apart
-    labels = stash(components(links), "labels")
+    labels = _labels(links)
     marked = stash(shared.where("m > 2").join(labels, "id", "left").select("node", "tree", "id", F.coalesce("component", "id").alias("label")), "marked")
     drop(shared)
     mixed = stash(_mixed(marked), "mixed")
     bits = marked.join(mixed.where(F.col("minority") > SMALL).select("node"), "node").groupBy("id").agg(F.expr("bit_or(shiftleft(1, tree))").alias("large"))
-    now = stash(marked.join(mixed, "node").join(bits, "id", "left").fillna(0, ["large"]).join(classes.select("id", "n", "sketch", "path"), "id"), "level")
+    now = stash(look_up(marked, mixed.withColumn("weight", F.col("m")), ["node"], "weight", n_classes * ROOTS).join(bits, "id", "left").fillna(0, ["large"]).join(classes.select("id", "n", "sketch", "path"), "id"), "level")
     drop(marked, mixed)
     found = []
     for level in range(DEPTH + 1):
@@ -363,11 +373,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         more = _linked(docs, rest, id_col, text, words, threshold)
         both = links.unionAll(more)
         drop(labels)
-        labels = stash(components(both), "labels")
+        labels = _labels(both)
         drop(more)
     drop(links, *found)
-    of_class = stash(classes.select("h1", "h2", "n", "id").join(labels, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component_id")), "groups")
+    of_class = stash(classes.select("h1", "h2", "n", "id", "copies").join(labels, "id", "left").select("h1", "h2", F.col("n").alias("n_shingles"), "copies", F.coalesce("component", "id").alias("component_id")), "groups")
     drop(classes, labels)
-    out = sigs.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "h1", "h2").join(of_class.withColumnRenamed("n", "n_shingles"), ["h1", "h2", "n_shingles"], "left")
+    rows = sigs.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "h1", "h2")
+    grouped = look_up(rows.where("n_shingles > 0"), of_class, ["h1", "h2", "n_shingles"], "copies", rows.count(), "left")
+    out = grouped.unionByName(rows.where("n_shingles = 0").withColumn("component_id", F.lit(None).cast(of_class.schema["component_id"].dataType)))
     group = F.coalesce("component_id", F.col(id_col))
     return out.select(id_col, "n_shingles", group.alias("component_id"), F.coalesce(F.col(id_col) == group, group.isNull()).alias("kept"))

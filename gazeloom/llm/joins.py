@@ -19,8 +19,8 @@ HOT_KEYS = 10_000
 HOT_ROWS = 1_000
 
 
-def look_up(asked: DataFrame, table: DataFrame, on: Sequence[str], weight: str, total: int) -> DataFrame:
-    """Inner join of ``asked`` with ``table``, which has each key once.
+def look_up(asked: DataFrame, table: DataFrame, on: Sequence[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of ``asked`` with ``table``, which has each key once.
 
     ``weight`` is a column of ``table`` (dropped): at least as many as the rows of
     ``asked`` with this key; ``total`` at least the sum of them all. Hot keys, at most ``HOT_KEYS``
@@ -29,7 +29,10 @@ def look_up(asked: DataFrame, table: DataFrame, on: Sequence[str], weight: str,
     """
     least = max(HOT_ROWS, total / HOT_KEYS)
     hot, cold = table.where(F.col(weight) >= least).drop(weight), table.where(F.col(weight) < least).drop(weight)
-    return asked.join(F.broadcast(hot), list(on)).unionByName(asked.join(cold.hint("shuffle_merge"), list(on)))
+    found, rest = asked.join(F.broadcast(hot), list(on)), asked
+    if how == "left":
+        rest = asked.join(F.broadcast(hot.select(*on)), list(on), "left_anti")
+    return found.unionByName(rest.join(cold.hint("shuffle_merge"), list(on), how))
 
 
 def running(df: DataFrame, key: str, order: Sequence[str], sums: Sequence[str] = (), xors: Sequence[str] = (), name: str = "running") -> DataFrame:
