@@ -105,7 +105,7 @@ def savgol(p: Plan, source: str, out: str, window: int, order: int, columns: tup
         return f"CASE WHEN nn < {window} THEN {c} {first} {last} ELSE {fir(c)} END AS s_{c}"
 
     helpers = ", ".join(x.rsplit(" ", 1)[1] for x in near)
-    return p.then(f"{out}_s", f"SELECT *, {', '.join(map(smooth, columns))} FROM {out}_n").then(out, f"SELECT @except(nn, {helpers}) FROM {out}_s")
+    return p.then(out, f"SELECT @except(nn, {helpers}), {', '.join(map(smooth, columns))} FROM {out}_n")
 
 
 def clean_signal(p: Plan, source: str, out: str, column: str = "x", max_gap: int | None = None) -> Plan:
