@@ -46,18 +46,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth or more of their words in benchmark windows go."""
+    """Documents with a twentieth or more of their words in benchmark windows go.
+
+    Null and empty texts have no words and stay, as does everything where the benchmark has no words; repeated rows are judged each.
+    """
     found = wumanber.find_windows(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _unpacked(found.where(~wumanber.contaminated()), docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values become pseudonyms of their own format."""
+    """Personal values become pseudonyms of their own format, equal ones the same in all documents; ``n_chars`` is counted anew.
+
+    Null texts stay null (and so does ``n_chars``), texts without such values stay as they are.
+    """
     return feistel.pseudonymise(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the decoded bytes."""
+    """Token ids of each document, with digests of the ids and of the decoded bytes; null counts as the empty text, which has no ids."""
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     both = bpe.decode(coded.drop("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), as_text=False)
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
