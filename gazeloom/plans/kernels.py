@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import aois, common, grouped, learning, mining, pairwise, registry, signals
 from ..operators import kernels as K
 from . import catalog as C
+from . import checks
 
 DIAGONAL = (C.WIDTH**2 + C.HEIGHT**2) ** 0.5
 
@@ -37,6 +38,9 @@ IKF = {"dt": 1.0, "sigma_1": 50.0, "sigma_2": 60.0, "window": 4, "limit": 4e4}
 IDIT = {"window": 2, "limit": 80.0}
 IVDT = {"fast": C.FAST, "window": 2, "limit": 120.0}
 IDET = {"eps": 80.0, "window": 5, "min_points": 3}
+IMST = {"window": 10, "eps": 60.0, "min_points": 3}
+#: Lengths of the segments of detrended fluctuation.
+SCALES = [4, 6, 8, 12, 16]
 
 METRICS = {
     "dtw": K.dtw,
@@ -115,8 +119,14 @@ def _rounded(spectra: DataFrame) -> DataFrame:
 
 
 def _four(df: DataFrame) -> DataFrame:
-    """Four decimals of all doubles."""
-    return df.select(*[(F.floor(F.col(c) * 1e4 + 0.5001) / 1e4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Four decimals of all doubles; null for NaN."""
+    return df.select(*[(F.floor(F.when(~F.isnan(c), F.col(c)) * 1e4 + 0.5001) / 1e4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _cross(spectra: DataFrame) -> DataFrame:
+    """Six decimals of the frequency, one of the spectrum and four of the coherency."""
+    digits = {"frequency": 6, "re": 1, "im": 1, "coherency": 4}
+    return spectra.select(*[(F.floor(F.col(c) * 10 ** digits[c] + 0.5) / 10 ** digits[c]).alias(c) if c in digits else F.col(c) for c in spectra.columns])
 
 
 QUERIES = {
@@ -124,14 +134,14 @@ QUERIES = {
     "idet": _labels("idet", **IDET),
     "ihmm": _labels("ihmm", low=50.0, high=250.0, variance=5000.0),
     "ikf": _labels("ikf", **IKF),
-    "imst": _labels("imst", window=10, eps=60.0, min_points=3),
+    "imst": _labels("imst", **IMST),
     "i2mc": _labels("i2mc", window=9, step=2, shortest=1, distance=60.0),
     "ivdt": _labels("ivdt", **IVDT),
     "periodogram": lambda s, d: _rounded(grouped.spectra(gaze(s, d), C.FS, None, "boxcar")),
     "welch": lambda s, d: _rounded(grouped.spectra(gaze(s, d), C.FS, 16)),
-    "cross_spectra": lambda s, d: grouped.cross_spectra(gaze(s, d), C.FS, 16),
-    "dfa": lambda s, d: grouped.fluctuation(gaze(s, d), [4, 6, 8, 12, 16]),
-    "dfa_overlap": lambda s, d: grouped.fluctuation(gaze(s, d), [4, 6, 8, 12, 16], overlap=True),
+    "cross_spectra": lambda s, d: _cross(grouped.cross_spectra(gaze(s, d), C.FS, 16)),
+    "dfa": lambda s, d: _four(grouped.fluctuation(gaze(s, d), SCALES)),
+    "dfa_overlap": lambda s, d: _four(grouped.fluctuation(gaze(s, d), SCALES, overlap=True)),
     "pursuit_task_phase": _target_phase,
     "scanpath_edit_distances": lambda s, d: grouped.sequence_metrics(_cells(s, d), grouped.edit_metrics(CORNERS)),
     "persistence_bars": lambda s, d: grouped.persistence(gaze(s, d), 5.0),
@@ -187,9 +197,9 @@ QUERIES |= {
     "pursuit_task_entropy": lambda s, d: grouped.approximate_entropy(_of(C.KIN.then("err", "SELECT recording_id, i, vx - 40 * cos(i / 5.0) AS e FROM kin"), "err", s, d), 2, 150.0),
     "persistence_curves_of_bars": lambda s, d: signals.persistence_curves(C.Plan(), "{bars}", "out", 0.0, 500.0).spark(s, bars=grouped.persistence(gaze(s, d), 5.0)),
     "persistence_landscapes_of_bars": lambda s, d: signals.persistence_landscapes(C.Plan(), "{bars}", "out", 0.0, 500.0).spark(s, bars=grouped.persistence(gaze(s, d), 5.0)),
-    "cross_spectrum_one_segment": lambda s, d: grouped.cross_spectra(gaze(s, d), C.FS, None).drop("coherency"),
+    "cross_spectrum_one_segment": lambda s, d: _cross(grouped.cross_spectra(gaze(s, d), C.FS, None).drop("coherency")),
     "aoi_sequences_from_gaze": lambda s, d: registry.sequences(gaze(s, d), fs=C.FS, threshold=C.SLOW, limits={"min_fix": 1.0, "max_fix": 1000.0, "min_sac": 0.0}),
-    "aoi_by_name": lambda s, d: registry.areas(scanpath(s, d), "I_DT", DIAGONAL, fewest=4).select("recording_id", "k", "aoi", "cx", "cy"),
+    "aoi_by_name": lambda s, d: _four(registry.areas(scanpath(s, d), "I_DT", DIAGONAL, fewest=4).select("recording_id", "k", "aoi", "cx", "cy")),
     "scanpath_near_pairs": lambda s, d: pairwise.compare(_points(s, d), pairwise.near_pairs(100.0), pairwise.NEAR),
 }
 
@@ -372,3 +382,14 @@ def _bars_plan():
 
 #: Checks of kernels by other means in SQL.
 ORACLE_SQL = {"persistence_bars": _bars_plan().then("out", "SELECT recording_id, birth, death FROM bars").duckdb(), "persistence_curves_of_bars": signals.persistence_curves(_bars_plan(), "bars", "out", 0.0, 500.0).duckdb(), "persistence_landscapes_of_bars": signals.persistence_landscapes(_bars_plan(), "bars", "out", 0.0, 500.0).duckdb(), "ifc_features": _ifc_sql(), "idet": _idet_sql(), "ikf": _ikf_sql(), "idit": _idit_sql(), "ivdt": _ivdt_sql(), "aoi_lempel_ziv": _lempel_ziv_sql(), "aoi_frequent_patterns": _patterns_sql(), "periodogram": _spectrum_sql(None), "welch": _spectrum_sql(16)}
+ORACLE_SQL |= {
+    "imst": checks.spanning_tree(TWO, **IMST),
+    "dfa": checks.fluctuation(SCALES, False),
+    "dfa_overlap": checks.fluctuation(SCALES, True),
+    "cross_spectra": checks.cross_spectra(16),
+    "cross_spectrum_one_segment": checks.cross_spectra(None),
+    "aoi_dbscan": checks.density(0.05 * DIAGONAL),
+    "aoi_dbscan_all": checks.density(0.05 * DIAGONAL, noise_too=True),
+    "aoi_by_name": checks.merged_areas(0.05 * DIAGONAL, 5, 4),
+    "aoi_density_peaks": checks.peaks(0.1 * DIAGONAL),
+}
