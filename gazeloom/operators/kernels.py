@@ -829,7 +829,7 @@ def hilbert_index(x: int, y: int, order: int) -> int:
 
 
 def higuchi(values: np.ndarray, k_max: int = 10) -> float:
-    """Higuchi fractal dimension: slope of the mean curve length over 1 / k; k up to half of the points."""
+    """Higuchi exponent: slope of the mean curve length over 1 / k; k up to half of the points. Lengths are not divided by k a second time, so it is the fractal dimension less one."""
     n, lens, ks = len(values), [], []
     for k in range(1, min(k_max, n // 2) + 1):
         per = [np.abs(np.diff(values[m::k])).sum() * (n - 1) / (((n - 1 - m) // k) * k) for m in range(k) if (n - 1 - m) // k > 0]

@@ -112,3 +112,78 @@ def peaks(radius: float) -> str:
     p = p.then("centres", "SELECT a.recording_id, a.k, row_number() OVER (PARTITION BY a.recording_id ORDER BY a.k) - 1 AS label FROM apart a JOIN cuts c ON c.recording_id = a.recording_id WHERE rho * delta > cut")
     p = p.then("nearest", "SELECT p.recording_id, p.k, coalesce(arg_min(c.label, (d, c.label)) FILTER (WHERE c.label IS NOT NULL), 0) AS label FROM pairs p LEFT JOIN centres c ON c.recording_id = p.recording_id AND c.k = p.j GROUP BY p.recording_id, p.k")
     return p.then("out", _NAMED.format("nearest")).duckdb()
+
+
+def _two_means_weights(window: int, step: int, columns: tuple[str, str] = ("x", "y")) -> Plan:
+    """``weights`` (recording_id, i, x, y, status, w): Lloyd's rounds as a recursion over lists of points, started at the ends of the covariance's axis."""
+    half = window // 2
+    p = C.KIN.then("sized", f"SELECT recording_id, i, {columns[0]} AS x, {columns[1]} AS y, status, count(*) OVER (PARTITION BY recording_id) AS n FROM kin")
+    p = p.then("windows", f"SELECT recording_id, c, greatest(0, c - {half}) AS a, least(n, c + {half + 1}) AS b FROM (SELECT recording_id, n, unnest(range({step}, n, {step})) AS c FROM (SELECT DISTINCT recording_id, n FROM sized) q) r")
+    p = p.then("rates", "SELECT unnest([1, 2, 4]) AS rate")
+    p = p.then("points", "SELECT w.recording_id, w.c, w.a, w.b, r.rate, list(s.x ORDER BY s.i) AS xs, list(s.y ORDER BY s.i) AS ys FROM windows w CROSS JOIN rates r JOIN sized s ON s.recording_id = w.recording_id AND s.i >= w.a AND s.i < w.b AND (s.i - w.a) % r.rate = 0 GROUP BY w.recording_id, w.c, w.a, w.b, r.rate HAVING count(*) >= 3 AND max(s.x) - min(s.x) + max(s.y) - min(s.y) > 0")
+    p = p.then("moments", "SELECT *, list_avg(xs) AS mx, list_avg(ys) AS my, list_sum(list_transform(xs, lambda z: power(z - list_avg(xs), 2))) - list_sum(list_transform(ys, lambda z: power(z - list_avg(ys), 2))) AS dd, 2 * list_sum(list_transform(range(1, len(xs) + 1), lambda k: (xs[k] - list_avg(xs)) * (ys[k] - list_avg(ys)))) AS xy FROM points")
+    p = p.then("along", "SELECT *, list_transform(range(1, len(xs) + 1), lambda k: (xs[k] - mx) * cos(atan2(xy, dd) / 2) + (ys[k] - my) * sin(atan2(xy, dd) / 2)) AS z FROM moments")
+    p = p.then("starts", "SELECT *, list_position(z, list_min(z)) AS lo, list_position(z, list_max(z)) AS hi FROM along")
+    mean = lambda c, g: f"CASE WHEN list_contains(new, {g}) THEN list_sum(list_transform(range(1, len(xs) + 1), lambda k: CASE WHEN new[k] = {g} THEN {c}s[k] ELSE 0 END)) / len(list_filter(new, lambda z: z = {g})) ELSE {c}{g} END"
+    p = p.then(
+        "lloyd",
+        f"""SELECT recording_id, c, a, b, rate, xs, ys, xs[lo] AS x0, ys[lo] AS y0, xs[hi] AS x1, ys[hi] AS y1, list_transform(xs, lambda z: 0) AS label, 0 AS round, false AS done FROM starts
+        UNION ALL SELECT recording_id, c, a, b, rate, xs, ys, {mean('x', 0)}, {mean('y', 0)}, {mean('x', 1)}, {mean('y', 1)}, new, round + 1, new = label
+        FROM (SELECT *, list_transform(range(1, len(xs) + 1), lambda k: CASE WHEN power(xs[k] - x0, 2) + power(ys[k] - y0, 2) <= power(xs[k] - x1, 2) + power(ys[k] - y1, 2) THEN 0 ELSE 1 END) AS new FROM lloyd WHERE NOT done AND round < 20) q""",
+    )
+    p = p.then("turns", "SELECT recording_id, b, a, rate, list_filter(range(2, len(label) + 1), lambda k: label[k] <> label[k - 1]) AS ks FROM lloyd WHERE done OR round = 20")
+    p = p.then("changes", "SELECT recording_id, b, rate, 1e0 / len(ks) AS w, a + (unnest(ks) - 1) * rate AS pos FROM turns")
+    p = p.then("votes", "SELECT recording_id, unnest(range(pos, least(pos + rate, b))) AS i, w FROM changes")
+    p = p.then("seen", "SELECT recording_id, i, count(*) AS n FROM (SELECT recording_id, unnest(range(a, b)) AS i FROM windows) q GROUP BY recording_id, i")
+    p = p.then("summed", "SELECT recording_id, i, sum(w) AS w FROM votes GROUP BY recording_id, i")
+    return p.then("weights", "SELECT s.recording_id, s.i, s.x, s.y, s.status, CASE WHEN e.n > 0 THEN coalesce(v.w, 0) / e.n END AS w FROM sized s LEFT JOIN seen e ON e.recording_id = s.recording_id AND e.i = s.i LEFT JOIN summed v ON v.recording_id = s.recording_id AND v.i = s.i")
+
+
+def two_means(limits: dict, window: int, step: int, shortest: int, distance: float) -> str:
+    """I-2MC: light samples in runs, near runs joined."""
+    p = _two_means_weights(window, step)
+    p = p.then("light", "SELECT *, coalesce(w < avg(w) OVER (PARTITION BY recording_id) + stddev_pop(w) OVER (PARTITION BY recording_id), false) AS fix FROM weights")
+    p = p.then("runs", f"SELECT recording_id, min(i) AS a, max(i) AS b FROM (SELECT recording_id, i, i - row_number() OVER (PARTITION BY recording_id ORDER BY i) AS g FROM light WHERE fix) q GROUP BY recording_id, g HAVING max(i) - min(i) >= {shortest}")
+    p = p.then("next", "SELECT *, lead(a) OVER (PARTITION BY recording_id ORDER BY a) AS c FROM runs")
+    p = p.then("held", f"SELECT recording_id, a, b FROM runs UNION ALL SELECT n.recording_id, n.b + 1, n.c - 1 FROM next n JOIN light s ON s.recording_id = n.recording_id AND s.i = n.b JOIN light t ON t.recording_id = n.recording_id AND t.i = n.c WHERE sqrt(power(t.x - s.x, 2) + power(t.y - s.y, 2)) < {distance}")
+    p = p.then("raw", "SELECT k.recording_id, k.i, k.status, CASE WHEN h.a IS NULL THEN 0 ELSE 1 END AS scan FROM kin k LEFT JOIN held h ON h.recording_id = k.recording_id AND k.i BETWEEN h.a AND h.b")
+    return recursive(two_classes(p, limits))
+
+
+def two_means_feature(window: int, step: int) -> str:
+    """The I-FC feature of that name, on visual angles."""
+    return recursive(_two_means_weights(window, step, ("theta_x", "theta_y")).then("out", f"SELECT recording_id, i, {FOUR.format('coalesce(w, 0)')} AS i2mc FROM weights"))
+
+
+def entropies(p: Plan, squarings: int = 14) -> str:
+    """Entropies after ``tr`` (recording_id, src, dst, n), a row an area: the stationary shares by squaring the matrix."""
+    p = p.then("names", "SELECT recording_id, src AS aoi FROM tr UNION SELECT recording_id, dst FROM tr")
+    p = p.then("m0", "SELECT a.recording_id, a.aoi AS r, b.aoi AS c, CASE WHEN sum(t.n) OVER (PARTITION BY a.recording_id, a.aoi) > 0 THEN coalesce(t.n, 0) / CAST(sum(t.n) OVER (PARTITION BY a.recording_id, a.aoi) AS DOUBLE) ELSE 1e0 / count(*) OVER (PARTITION BY a.recording_id, a.aoi) END AS v FROM names a JOIN names b ON a.recording_id = b.recording_id LEFT JOIN tr t ON t.recording_id = a.recording_id AND t.src = a.aoi AND t.dst = b.aoi")
+    for n in range(squarings):
+        p = p.then(f"m{n + 1}", f"SELECT a.recording_id, a.r, b.c, sum(a.v * b.v) AS v FROM m{n} a JOIN m{n} b ON a.recording_id = b.recording_id AND a.c = b.r GROUP BY a.recording_id, a.r, b.c")
+    p = p.then("shares", f"SELECT recording_id, c AS aoi, avg(v) AS pi FROM m{squarings} GROUP BY recording_id, c")
+    log = "CASE WHEN {0} > 0 THEN ln({0}) ELSE 0 END"
+    p = p.then("cells", f"SELECT m.recording_id, m.r AS aoi, s.pi, m.v * ({log.format('m.v')}) AS h, s.pi * m.v * ({log.format('(s.pi * m.v)')}) AS j, s.pi * m.v * (({log.format('m.v')}) - ({log.format('e.pi')})) AS i FROM m0 m JOIN shares s ON s.recording_id = m.recording_id AND s.aoi = m.r JOIN shares e ON e.recording_id = m.recording_id AND e.aoi = m.c")
+    p = p.then("by_row", f"SELECT recording_id, aoi, any_value(pi) AS pi, -any_value(pi) * ({log.format('any_value(pi)')}) AS s, -sum(h) AS h, -sum(j) AS j, sum(i) AS i FROM cells GROUP BY recording_id, aoi")
+    whole = {"stationary": "s", "joint": "j", "conditional": "pi * h", "mutual_information": "i"}
+    wanted = ", ".join(f"{FOUR.format(f'sum({x}) OVER (PARTITION BY recording_id)')} AS {name}" for name, x in whole.items())
+    return p.then("out", f"SELECT recording_id, aoi, {FOUR.format('h')} AS conditional_of_area, {FOUR.format('i')} AS mutual_information_of_area, {wanted} FROM by_row").duckdb()
+
+
+def outline(width: float, height: float, k_max: int = 10, order: int = 4) -> str:
+    """Hulls from the pairs of points that have all others on one side; the fractal dimension on a Hilbert curve built from its quarters."""
+    p = C.PATH.then("spots", "SELECT DISTINCT recording_id, x, y FROM path")
+    p = p.then("sides", "SELECT p.recording_id, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy, (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) AS turn, (q.x - p.x) * (r.x - p.x) + (q.y - p.y) * (r.y - p.y) AS along, power(q.x - p.x, 2) + power(q.y - p.y, 2) AS d FROM spots p JOIN spots q ON p.recording_id = q.recording_id AND (p.x <> q.x OR p.y <> q.y) JOIN spots r ON r.recording_id = p.recording_id")
+    p = p.then("edges", "SELECT recording_id, px, py, qx, qy FROM sides GROUP BY recording_id, px, py, qx, qy HAVING bool_and(turn > 0 OR turn = 0 AND along >= 0 AND along <= d)")
+    p = p.then("hulls", "SELECT recording_id, sum(px * qy - qx * py) / 2 AS area, count(*) AS vertices FROM edges GROUP BY recording_id")
+    p = p.then("h0", "SELECT 0 AS d, 0 AS x, 0 AS y")
+    for n in range(order):
+        s = 2**n
+        p = p.then(f"h{n + 1}", f"SELECT d, y AS x, x AS y FROM h{n} UNION ALL SELECT d + {s * s}, x, y + {s} FROM h{n} UNION ALL SELECT d + {2 * s * s}, x + {s}, y + {s} FROM h{n} UNION ALL SELECT d + {3 * s * s}, {2 * s - 1} - y, {s - 1} - x FROM h{n}")
+    cell = lambda c, top: f"least({2**order - 1}, greatest(0, CAST(floor({c} / {top} * {2**order}) AS INTEGER)))"
+    p = p.then("curve", f"SELECT recording_id, k, d, count(*) OVER (PARTITION BY recording_id) AS n FROM (SELECT recording_id, k, {cell('x', width)} AS gx, {cell('y', height)} AS gy FROM path) q JOIN h{order} h ON h.x = gx AND h.y = gy")
+    p = p.then("reaches", f"SELECT unnest(range(1, {k_max + 1})) AS j")
+    p = p.then("lengths", "SELECT a.recording_id, j, a.n, a.k % j AS m, sum(abs(b.d - a.d)) * (a.n - 1) / CAST((a.n - 1 - a.k % j) // j * j AS DOUBLE) AS l FROM curve a JOIN reaches ON j <= a.n // 2 JOIN curve b ON b.recording_id = a.recording_id AND b.k = a.k + j GROUP BY a.recording_id, j, a.n, a.k % j")
+    p = p.then("mean_lengths", "SELECT recording_id, j, avg(l) AS l FROM lengths GROUP BY recording_id, j HAVING avg(l) > 0")
+    p = p.then("slopes", "SELECT recording_id, regr_slope(ln(l), ln(1e0 / j)) AS h FROM mean_lengths GROUP BY recording_id HAVING count(*) > 1")
+    return p.then("out", f"SELECT u.recording_id, {FOUR.format('u.area')} AS hull_area, CAST(u.vertices AS BIGINT) AS hull_vertices, {FOUR.format('s.h')} AS higuchi FROM hulls u LEFT JOIN slopes s ON s.recording_id = u.recording_id").duckdb()

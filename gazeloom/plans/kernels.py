@@ -38,6 +38,7 @@ IKF = {"dt": 1.0, "sigma_1": 50.0, "sigma_2": 60.0, "window": 4, "limit": 4e4}
 IDIT = {"window": 2, "limit": 80.0}
 IVDT = {"fast": C.FAST, "window": 2, "limit": 120.0}
 IDET = {"eps": 80.0, "window": 5, "min_points": 3}
+I2MC = {"window": 9, "step": 2, "shortest": 1, "distance": 60.0}
 IMST = {"window": 10, "eps": 60.0, "min_points": 3}
 #: Lengths of the segments of detrended fluctuation.
 SCALES = [4, 6, 8, 12, 16]
@@ -53,7 +54,11 @@ CENTERS = {"A": (50.0, 20.0), "B": (200.0, 70.0), "C": (400.0, 30.0), "D": (480.
 
 
 def _entropies(s: SparkSession, d: str) -> DataFrame:
-    return grouped.entropies(_of(aois.transitions(C.SEQ, "seq", "tr"), "tr", s, d))
+    """A row an area: its own entropy and information, and those of the recording."""
+    found = grouped.entropies(_of(aois.transitions(C.SEQ, "seq", "tr"), "tr", s, d))
+    rows = found.withColumn("row", F.explode(F.arrays_zip("aois", "conditional_by_row", "mutual_information_by_row")))
+    own = [F.col(f"row.{c}").alias(name) for c, name in (("aois", "aoi"), ("conditional_by_row", "conditional_of_area"), ("mutual_information_by_row", "mutual_information_of_area"))]
+    return _four(rows.select("recording_id", *own, "stationary", "joint", "conditional", "mutual_information"))
 
 
 def _hmm_transitions(s: SparkSession, d: str) -> DataFrame:
@@ -135,7 +140,7 @@ QUERIES = {
     "ihmm": _labels("ihmm", low=50.0, high=250.0, variance=5000.0),
     "ikf": _labels("ikf", **IKF),
     "imst": _labels("imst", **IMST),
-    "i2mc": _labels("i2mc", window=9, step=2, shortest=1, distance=60.0),
+    "i2mc": _labels("i2mc", **I2MC),
     "ivdt": _labels("ivdt", **IVDT),
     "periodogram": lambda s, d: _rounded(grouped.spectra(gaze(s, d), C.FS, None, "boxcar")),
     "welch": lambda s, d: _rounded(grouped.spectra(gaze(s, d), C.FS, 16)),
@@ -147,6 +152,7 @@ QUERIES = {
     "persistence_bars": lambda s, d: grouped.persistence(gaze(s, d), 5.0),
     "sine_phase": lambda s, d: grouped.sine_phase(gaze(s, d), C.FS),
     "scanpath_shapes": lambda s, d: grouped.shapes(scanpath(s, d), C.WIDTH, C.HEIGHT),
+    "scanpath_outline": lambda s, d: _four(grouped.shapes(scanpath(s, d), C.WIDTH, C.HEIGHT).select("recording_id", "hull_area", "hull_vertices", "higuchi")),
     "scanpath_similarity": lambda s, d: grouped.pair_metrics(scanpath(s, d), METRICS),
     "aoi_edit_distances": lambda s, d: grouped.sequence_metrics(scanpath(s, d), grouped.edit_metrics(CENTERS)),
     "aoi_hmm": lambda s, d: grouped.hmm_aois(scanpath(s, d)),
@@ -169,7 +175,7 @@ QUERIES = {
     "learn_kernel_machines": _learned("fc", "rbf"),
     "learn_convnet": _learned("fc", "cnn", net={"window": 33, "channels": (12, 16), "kernels": (6, 4), "hidden": 32, "epochs": 10, "batch": 2048, "rate": 3e-3}),
     "ifc_features": lambda s, d: _four(grouped.ifc_features(gaze(s, d), C.FS, i2mc=False)),
-    "ifc_features_i2mc": lambda s, d: grouped.ifc_features(gaze(s, d), C.FS).select("recording_id", "i", "i2mc"),
+    "ifc_features_i2mc": lambda s, d: _four(grouped.ifc_features(gaze(s, d), C.FS).select("recording_id", "i", "i2mc")),
     "aoi_frequent_patterns": _patterns,
 } | {f"aoi_{m}": (lambda s, d, m=m: grouped.clusters(scanpath(s, d), m, DIAGONAL)) for m in ("kmeans", "dbscan", "dbscan_all", "density_peaks", "mean_shift", "mean_shift_near", "affinity")}
 
@@ -383,6 +389,11 @@ def _bars_plan():
 #: Checks of kernels by other means in SQL.
 ORACLE_SQL = {"persistence_bars": _bars_plan().then("out", "SELECT recording_id, birth, death FROM bars").duckdb(), "persistence_curves_of_bars": signals.persistence_curves(_bars_plan(), "bars", "out", 0.0, 500.0).duckdb(), "persistence_landscapes_of_bars": signals.persistence_landscapes(_bars_plan(), "bars", "out", 0.0, 500.0).duckdb(), "ifc_features": _ifc_sql(), "idet": _idet_sql(), "ikf": _ikf_sql(), "idit": _idit_sql(), "ivdt": _ivdt_sql(), "aoi_lempel_ziv": _lempel_ziv_sql(), "aoi_frequent_patterns": _patterns_sql(), "periodogram": _spectrum_sql(None), "welch": _spectrum_sql(16)}
 ORACLE_SQL |= {
+    "scanpath_outline": checks.outline(C.WIDTH, C.HEIGHT),
+    "i2mc": checks.two_means(TWO, **I2MC),
+    # frames of 0.2 s have one sample to each side at this rate, steps of 0.02 s are single samples
+    "ifc_features_i2mc": checks.two_means_feature(3, 1),
+    "aoi_transition_entropy": checks.entropies(aois.transitions(C.SEQ, "seq", "tr")),
     "imst": checks.spanning_tree(TWO, **IMST),
     "dfa": checks.fluctuation(SCALES, False),
     "dfa_overlap": checks.fluctuation(SCALES, True),
