@@ -164,3 +164,11 @@ def bin_corners(p: Plan, out: str, nx: int, ny: int, width: float, height: float
     """(symbol, x, y): the lower corner of each grid cell by its name."""
     p = p.then(f"{out}_x", f"SELECT @upto({nx}) AS c").then(f"{out}_y", f"SELECT @upto({ny}) AS c")
     return p.then(out, f"SELECT concat(@letter(v.c - 1), @letter(u.c - 1)) AS symbol, (u.c - 1) * {width / nx} AS x, (v.c - 1) * {height / ny} AS y FROM {out}_x u CROSS JOIN {out}_y v")
+
+
+def bin_distances(p: Plan, out: str, nx: int, ny: int, width: float, height: float) -> Plan:
+    """(gx1, gy1, gx2, gy2, distance): distance of each two grid cells, as a share of the largest; of the grid's size, whatever the input."""
+    p = p.then(f"{out}_x", f"SELECT @upto({nx}) AS c").then(f"{out}_y", f"SELECT @upto({ny}) AS c")
+    p = p.then(f"{out}_c", f"SELECT CAST(u.c - 1 AS BIGINT) AS gx, CAST(v.c - 1 AS BIGINT) AS gy FROM {out}_x u CROSS JOIN {out}_y v")
+    apart = f"sqrt(power((a.gx - b.gx) * {width / nx}, 2) + power((a.gy - b.gy) * {height / ny}, 2))"
+    return p.then(out, f"SELECT gx1, gy1, gx2, gy2, d / nullif(max(d) OVER (), 0) AS distance FROM (SELECT a.gx AS gx1, a.gy AS gy1, b.gx AS gx2, b.gy AS gy2, {apart} AS d FROM {out}_c a CROSS JOIN {out}_c b) q")

@@ -21,9 +21,9 @@ def predefined(p: Plan, points: str, rectangles: str, out: str, fewest: int = 1)
 
 
 def center_distances(p: Plan, centers: str, out: str) -> Plan:
-    """(a, b, d, share): distance of each two centres (aoi, cx, cy), and its share of the largest."""
-    p = p.then(f"{out}_d", f"SELECT a.aoi AS a, b.aoi AS b, sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) AS d FROM {centers} a CROSS JOIN {centers} b")
-    return p.then(out, f"SELECT a, b, {r6('d')} AS d, {r6('d / nullif(max(d) OVER (), 0)')} AS share FROM {out}_d")
+    """(recording_id, a, b, d, share): distance of each two centres (recording_id, aoi, cx, cy) of a recording, and its share of the largest."""
+    p = p.then(f"{out}_d", f"SELECT a.recording_id, a.aoi AS a, b.aoi AS b, sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) AS d FROM {centers} a JOIN {centers} b ON a.recording_id = b.recording_id")
+    return p.then(out, f"SELECT recording_id, a, b, {r6('d')} AS d, {r6('d / nullif(max(d) OVER (PARTITION BY recording_id), 0)')} AS share FROM {out}_d")
 
 
 def nearest_center(p: Plan, points: str, centers: str, out: str) -> Plan:

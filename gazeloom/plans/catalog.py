@@ -70,8 +70,11 @@ def _plans() -> dict[str, Plan]:
     bins = kin.spatial_bins(PATH, "path", "bins", 10, 10, WIDTH, HEIGHT)
     q["spatial_bins"] = bins.then("out", "SELECT recording_id, k, gx, gy, concat(@letter(gy), @letter(gx)) AS symbol FROM bins")
     q["spatial_temporal_bins"] = bins.then("rep", "SELECT recording_id, k, gx, gy, @upto(ceil(dur / 20000.0)) AS r FROM bins").then("out", "SELECT recording_id, k, concat(@letter(gy), @letter(gx)) AS symbol, count(*) AS repeats FROM rep GROUP BY recording_id, k, gy, gx")
-    q["bin_distances"] = Plan().then("cx", "SELECT @upto(10) AS c").then("cells", f"SELECT a.c - 1 AS gx, b.c - 1 AS gy FROM cx a CROSS JOIN cx b").then("d", f"SELECT CAST(a.gx AS BIGINT) AS gx1, CAST(a.gy AS BIGINT) AS gy1, CAST(b.gx AS BIGINT) AS gx2, CAST(b.gy AS BIGINT) AS gy2, sqrt(power((a.gx - b.gx) * {WIDTH / 10}, 2) + power((a.gy - b.gy) * {HEIGHT / 10}, 2)) AS d FROM cells a CROSS JOIN cells b").then("out", f"SELECT gx1, gy1, gx2, gy2, {r6('d / max(d) OVER ()')} AS distance FROM d")
-    q["bin_corners"] = kin.bin_corners(Plan(), "bc", 10, 10, WIDTH, HEIGHT).then("out", f"SELECT symbol, {_r('x', 'y')} FROM bc")
+    # how far the next fixation is on the grid, and where the visited cells lie
+    steps = kin.bin_distances(bins, "bd", 10, 10, WIDTH, HEIGHT).then("steps", "SELECT recording_id, gx1, gy1, gx2, gy2, count(*) AS n FROM (SELECT recording_id, gx AS gx1, gy AS gy1, lead(gx) OVER (PARTITION BY recording_id ORDER BY k) AS gx2, lead(gy) OVER (PARTITION BY recording_id ORDER BY k) AS gy2 FROM bins) q WHERE gx2 IS NOT NULL GROUP BY recording_id, gx1, gy1, gx2, gy2")
+    q["bin_distances"] = steps.then("out", f"SELECT s.recording_id, s.gx1, s.gy1, s.gx2, s.gy2, s.n, {r6('d.distance')} AS distance FROM steps s JOIN bd d ON d.gx1 = s.gx1 AND d.gy1 = s.gy1 AND d.gx2 = s.gx2 AND d.gy2 = s.gy2")
+    visited = kin.bin_corners(bins, "bc", 10, 10, WIDTH, HEIGHT).then("visited", "SELECT recording_id, concat(@letter(gy), @letter(gx)) AS symbol, count(*) AS n FROM bins GROUP BY recording_id, gy, gx")
+    q["bin_corners"] = visited.then("out", f"SELECT v.recording_id, v.symbol, v.n, {_r('x', 'y')} FROM visited v JOIN bc c ON c.symbol = v.symbol")
     # runs and filters
     q["interval_merging"] = islands.runs(GOOD, "good", "rn", "x <= 100", 1).then("out", "SELECT recording_id, k, a, b, b - a + 1 AS n FROM rn")
     q["interval_status"] = islands.runs(GAZE, "gaze", "rn", "x <= 300", 1, 50, 0.7).then("out", "SELECT recording_id, k, a, b FROM rn")
@@ -132,7 +135,8 @@ def _plans() -> dict[str, Plan]:
     cent = PATH.then("cent", " UNION ALL ".join(f"SELECT '{n}' AS aoi, {x} AS cx, {y} AS cy" for n, x, y in [("A", 50.0, 20.0), ("B", 200.0, 70.0), ("C", 400.0, 30.0), ("D", 499.0, 99.0)]))
     near = aois.nearest_center(cent, "path", "cent", "nc")
     q["aoi_nearest_center"] = near.then("out", "SELECT recording_id, k, aoi FROM nc")
-    q["aoi_center_distances"] = aois.center_distances(Plan({"cent": cent.steps["cent"]}), "cent", "out")
+    middles = PATH.then("middles", "SELECT recording_id, aoi, avg(x) AS cx, avg(y) AS cy FROM path GROUP BY recording_id, aoi")
+    q["aoi_center_distances"] = aois.center_distances(middles, "middles", "out")
     q["aoi_merge_small"] = aois.merge_small(near, "nc", "mg", 2000).then("out", "SELECT recording_id, k, aoi FROM mg")
     q["aoi_collapse"] = aois.collapse(SEQ, "seq", "co").then("out", f"SELECT recording_id, k, aoi, {_r('dur')} FROM co")
     q["aoi_temporal_binning"] = aois.temporal_binning(SEQ, "seq", "tb", 50000.0).then("out", f"SELECT recording_id, k, CAST(r AS BIGINT) AS r, aoi, {_r('dur')} FROM tb")
