@@ -187,3 +187,29 @@ def outline(width: float, height: float, k_max: int = 10, order: int = 4) -> str
     p = p.then("mean_lengths", "SELECT recording_id, j, avg(l) AS l FROM lengths GROUP BY recording_id, j HAVING avg(l) > 0")
     p = p.then("slopes", "SELECT recording_id, regr_slope(ln(l), ln(1e0 / j)) AS h FROM mean_lengths GROUP BY recording_id HAVING count(*) > 1")
     return p.then("out", f"SELECT u.recording_id, {FOUR.format('u.area')} AS hull_area, CAST(u.vertices AS BIGINT) AS hull_vertices, {FOUR.format('s.h')} AS higuchi FROM hulls u LEFT JOIN slopes s ON s.recording_id = u.recording_id").duckdb()
+
+
+def edit_measures(p: Plan, centers: dict[str, tuple[float, float]], bonus: float = 0.1, gap: float = 0.25, change: float = 0.3, base: float = 0.1, step: float = 0.05, near: float = 0.2) -> str:
+    """Measures of symbol sequences ``syms`` (recording_id, k, aoi) row by row of all pairs' tables at once: what comes from the left is a running extreme.
+
+    A recursion with a key keeps the last row of each pair only.
+    """
+    p = p.then("centers", " UNION ALL ".join(f"SELECT '{a}' AS aoi, {x!r} AS x, {y!r} AS y" for a, (x, y) in centers.items()))
+    p = p.then("top", "SELECT max(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))) AS d FROM centers a CROSS JOIN centers b")
+    p = p.then("far", "SELECT a.aoi AS a, b.aoi AS b, a.aoi = b.aoi AS same, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) / top.d AS d FROM centers a CROSS JOIN centers b CROSS JOIN top")
+    p = p.then("placed", "SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY k) AS j, aoi FROM syms")
+    p = p.then("lens", "SELECT recording_id, count(*) AS n FROM placed GROUP BY recording_id")
+    in_row = "OVER (PARTITION BY id_1, id_2 ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND {0})"
+    here, before, w = in_row.format("CURRENT ROW"), in_row.format("1 PRECEDING"), "OVER (PARTITION BY t.id_1, t.id_2 ORDER BY t.j)"
+    p = p.then("tables", f"""SELECT a.recording_id AS id_1, b.recording_id AS id_2, unnest(range(0, b.n + 1)) AS j, CAST(0 AS BIGINT) AS i, a.n AS n, unnest(range(0, b.n + 1)) * 1e0 AS lev, unnest(range(0, b.n + 1)) * 1e0 * {change} AS gen, unnest(range(0, b.n + 1)) * -1e0 * {gap} AS nw, CAST(0 AS BIGINT) AS lcs, 0e0 AS h, -1e300 AS o, 0e0 AS best FROM lens a JOIN lens b ON a.recording_id < b.recording_id
+        UNION ALL SELECT id_1, id_2, j, i, n, min(lev - j) {here} + j, min(gen - j * {change}) {here} + j * {change}, max(nw + j * {gap}) {here} - j * {gap}, max(lcs) {here},
+          greatest(h, coalesce(max(h + {step} * j) {before} - {base} - {step} * j, 0)) AS h, o, greatest(best, h, coalesce(max(h + {step} * j) {before} - {base} - {step} * j, 0))
+        FROM (SELECT id_1, id_2, j, i, n, CASE WHEN j = 0 THEN lev + 1 ELSE least(lev_d + CASE WHEN same THEN 0 ELSE 1 END, lev + 1) END AS lev, CASE WHEN j = 0 THEN gen + {change} ELSE least(gen_d + d, gen + {change}) END AS gen,
+            CASE WHEN j = 0 THEN nw - {gap} ELSE greatest(nw_d + CASE WHEN same THEN {bonus} ELSE -d END, nw - {gap}) END AS nw, CASE WHEN j = 0 THEN 0 ELSE greatest(lcs, lcs_d + CASE WHEN same THEN 1 ELSE 0 END) END AS lcs,
+            CASE WHEN j = 0 THEN 0 ELSE greatest(0, h_d + {near} - d, greatest(o, h - {base}) - {step}) END AS h, greatest(o, h - {base}) - {step} AS o, best
+          FROM (SELECT t.id_1, t.id_2, t.j, t.i + 1 AS i, t.n, t.lev, t.gen, t.nw, t.lcs, t.h, t.o, t.best, f.same, f.d, lag(lev) {w} AS lev_d, lag(gen) {w} AS gen_d, lag(nw) {w} AS nw_d, lag(lcs) {w} AS lcs_d, lag(h) {w} AS h_d
+            FROM tables t JOIN placed a ON a.recording_id = t.id_1 AND a.j = t.i + 1 LEFT JOIN placed b ON b.recording_id = t.id_2 AND b.j = t.j LEFT JOIN far f ON f.a = a.aoi AND f.b = b.aoi) q) r""")
+    p = p.then("ends", "SELECT id_1, id_2, greatest(any_value(n), max(j)) AS longer, arg_max(lev, j) AS lev, arg_max(gen, j) AS gen, arg_max(nw, j) AS nw, arg_max(lcs, j) AS lcs, max(best) AS best FROM tables WHERE i = n GROUP BY id_1, id_2")
+    wanted = {"levenshtein": "lev / longer", "generalized_edit": "gen / longer", "needleman_wunsch": "-nw / longer", "longest_common_subsequence": "lcs / longer", "smith_waterman": f"best / (longer * {near} * top.d)"}
+    p = p.then("out", " UNION ALL ".join(f"SELECT id_1, id_2, '{m}' AS metric, floor({x} * 1e6 + 0.5001) / 1e6 AS value FROM ends CROSS JOIN top" for m, x in wanted.items()))
+    return recursive(p).replace("tables AS (", "tables USING KEY (id_1, id_2, j) AS (", 1)
