@@ -3,12 +3,10 @@
 import itertools
 import math
 
-import duckdb
 import numpy as np
 import pytest
 
 from gazeloom.operators import kernels as K
-from gazeloom.plans import kernels
 
 
 def _posteriors(start, trans, density):
@@ -128,12 +126,3 @@ def test_silhouette_by_loops_and_centres_at_rest():
         a, b = np.mean(to[label[i]]), min(np.mean(to[k]) for k in to if k != label[i])
         widths.append((b - a) / max(a, b))
     assert K.silhouette(pts, label) == pytest.approx(np.mean(widths))
-
-
-@pytest.mark.parametrize("name", sorted(kernels.SLOW_SQL))
-def test_query_equals_slow_sql(spark, sf, name):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
-    got = kernels.QUERIES[name](spark, sf)
-    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({kernels.SLOW_SQL[name]})").fetchall()
-    assert want and sorted(map(tuple, got.collect())) == sorted(want)
