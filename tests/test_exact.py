@@ -10,3 +10,25 @@ def test_dispersion_at_the_limit_is_summed_as_in_sql():
     below = (204.98 - 90.98) + 78.0 - 72.0 < 120.0
     assert below != ((204.98 - 90.98) + (78.0 - 72.0) < 120.0)
     assert (K.velocity_dispersion(x, y, np.zeros(3), 250.0, 2, 120.0).tolist()[0] == 1) == below
+
+
+def test_density_peaks_of_mirrored_points_equal_their_sql():
+    import duckdb
+    import pandas as pd
+
+    from gazeloom.plans import kernels as queries
+
+    rows, sets = [], []
+    for r in range(200):
+        rng = np.random.default_rng(r)
+        half = np.stack([rng.integers(0, 250, r % 7 + 2), rng.integers(0, 100, r % 7 + 2)], 1).astype(float)
+        pts = rng.permutation(np.concatenate([half, np.stack([500 - half[:, 0], half[:, 1]], 1)]))
+        sets.append(pts)
+        rows += [(r, k, x, y) for k, (x, y) in enumerate([*pts.tolist(), (0.0, 0.0)])]
+    at = pd.DataFrame(rows, columns=["user_id", "k", "value", "y"])
+    events = pd.DataFrame({"event_id": at.index, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(at.k, "s"), "user_id": at.user_id, "event_type": "view", "value": at.value, "props": [f'{{"k": {int(y)}}}' for y in at.y]})  # noqa: F841
+    want = {}
+    for r, k, a in duckdb.sql(queries.ORACLE_SQL["aoi_density_peaks"]).fetchall():
+        want[r, k] = a
+    got = {(r, k): a for r, pts in enumerate(sets) for k, a in enumerate(K.area_names(K.density_peaks(pts, 0.1 * queries.DIAGONAL)))}
+    assert got == want
