@@ -32,3 +32,42 @@ def test_density_peaks_of_mirrored_points_equal_their_sql():
         want[r, k] = a
     got = {(r, k): a for r, pts in enumerate(sets) for k, a in enumerate(K.area_names(K.density_peaks(pts, 0.1 * queries.DIAGONAL)))}
     assert got == want
+
+
+def _columns(kernel, one, v, ids, vs):
+    out = {}
+    for c in kernel(one, v, ids, vs):
+        n = len(c[1])
+        for r in zip(*[x.to_pylist() if hasattr(x, "to_pylist") else x.tolist() if hasattr(x, "tolist") else [x] * n for x in c], strict=True):
+            out.setdefault(r[1], []).append(r[2:])
+    return out
+
+
+def test_batches_of_partners_equal_pair_by_pair(monkeypatch):
+    from gazeloom.operators import batches, grouped
+
+    rng = np.random.default_rng(5)
+    centers = {"A": (50.0, 20.0), "B": (200.0, 70.0), "C": (400.0, 30.0), "D": (480.0, 90.0)}
+    monkeypatch.setattr(batches, "DIAGONAL", 40)
+    for _ in range(15):
+        n, sizes = int(rng.integers(1, 14)), rng.integers(1, 14, 7)
+        ids = np.arange(10, 17)
+        p, ps = rng.integers(0, 6, 2 * n).astype(float), [rng.integers(0, 6, 2 * int(m)).astype(float) for m in sizes]
+        s, ss = rng.choice(list("ABC"), n).astype(object), [rng.choice(list("ABCD"), int(m)).astype(object) for m in sizes]
+        for kind in ("dtw", "frechet"):
+            got = _columns(batches.WarpLinks(kind), 1, p, ids, ps)
+            for i, w in zip(ids.tolist(), ps, strict=True):
+                far, links = K.warp_links(p.reshape(-1, 2), w.reshape(-1, 2), kind)
+                assert got[i] == [(far, [a for a, _ in links], [b for _, b in links])]
+        for kernel, align in ((batches.Alignments(), K.edit_alignment), (batches.LocalAlignments(), K.local_alignment)):
+            mine, *theirs = kernel.start([s, *ss])
+            got = _columns(kernel, 1, mine, ids, theirs)
+            for i, w in zip(ids.tolist(), ss, strict=True):
+                score, places = align(list(s), list(w))
+                assert got[i] == [(score, [(s[a] if a >= 0 else "_") + (w[b] if b >= 0 else "_") for a, b in places])]
+        kernel, measures = batches.EditMeasures(centers), grouped.edit_metrics(centers)
+        mine, *theirs = kernel.start([s, *ss])
+        got = _columns(kernel, 1, mine, ids, theirs)
+        for i, w in zip(ids.tolist(), ss, strict=True):
+            assert [m for m, _ in got[i]] == list(measures)
+            assert np.allclose([x for _, x in got[i]], [f(list(s), list(w)) for f in measures.values()], atol=1e-12)
