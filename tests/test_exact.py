@@ -71,3 +71,34 @@ def test_batches_of_partners_equal_pair_by_pair(monkeypatch):
         for i, w in zip(ids.tolist(), ss, strict=True):
             assert [m for m, _ in got[i]] == list(measures)
             assert np.allclose([x for _, x in got[i]], [f(list(s), list(w)) for f in measures.values()], atol=1e-12)
+
+
+def test_pairs_in_batches_have_the_sums_of_each_pair():
+    from gazeloom.operators import batches, pairwise
+
+    rng = np.random.default_rng(3)
+    ids, sizes = np.arange(10, 19), rng.integers(1, 40, 9)
+    p, ps = rng.integers(0, 30, 44).astype(float), [rng.integers(0, 30, 2 * int(m)).astype(float) for m in sizes]
+    ps[0] = ps[0] - 100.0
+    got = _columns(pairwise.joint_bins(8, 8), 1, p, ids, ps)
+    for i, w in zip(ids.tolist(), ps, strict=True):
+        q, want = w.reshape(-1, 2), []
+        wide = np.maximum(p.reshape(-1, 2).max(0), q.max(0)) + 0.001
+        for side, z in ((1, p.reshape(-1, 2)), (2, q)):
+            cell, count = np.unique(np.floor(np.minimum(z, wide - 0.001) / (wide / 8)).astype(int), axis=0, return_counts=True)
+            want += [(side, *c, n) for c, n in zip(cell.tolist(), count.tolist(), strict=True)]
+        assert sorted(got[i]) == sorted(want)
+    for segment in (16, None):
+        kernel = batches.CrossSpectra(1.0, segment)
+        mine, *theirs = kernel.start([p[:6], *ps, ps[1][:3]])
+        got = _columns(kernel, 1, mine, np.append(ids, 19), theirs)
+        for i, w in zip([*ids.tolist(), 19], [*ps, ps[1][:3]], strict=True):
+            n = max(len(mine[0]), len(w))
+            x, y = (np.pad(z, (0, n - len(z))) for z in (mine[0], w))
+            f, s = K.spectral_density(x, y, 1.0, segment)
+            assert np.allclose([r[1:4] for r in got[i]], np.stack([f, s.real, s.imag], 1), atol=1e-9)
+            assert [r[0] for r in got[i]] == list(range(len(f)))
+            assert segment is None or np.allclose([r[4] for r in got[i]], K.coherency(x, y, 1.0, segment)[1], atol=1e-9)
+    for kind, limit in (("frechet", 25.0), ("dtw", 200.0)):
+        far = batches.warp_within(p.reshape(-1, 2), ps, limit, kind)
+        assert np.allclose(far, [K.warp_within(p.reshape(-1, 2), w.reshape(-1, 2), limit, kind) for w in ps])
