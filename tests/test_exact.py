@@ -102,3 +102,19 @@ def test_pairs_in_batches_have_the_sums_of_each_pair():
     for kind, limit in (("frechet", 25.0), ("dtw", 200.0)):
         far = batches.warp_within(p.reshape(-1, 2), ps, limit, kind)
         assert np.allclose(far, [K.warp_within(p.reshape(-1, 2), w.reshape(-1, 2), limit, kind) for w in ps])
+
+
+def test_cells_of_many_points_fill_the_plane():
+    rng = np.random.default_rng(1)
+    pts = np.round(rng.uniform(0, 1, (400, 2)) * (500, 100), 2)
+    areas = K.voronoi_areas(np.concatenate([pts, pts[:50]]), 500.0, 100.0)
+    assert len(areas) == len(np.unique(pts, axis=0)) and np.isclose(areas.sum(), 50_000.0) and (areas > 0).all()
+
+
+def test_best_clusters_share_one_table_of_distances(monkeypatch):
+    pts = np.random.default_rng(2).uniform(0, 100, (60, 2))
+    found = [K.kmeans(pts, k) for k in range(2, 16)]
+    best = max(found, key=lambda z: K.silhouette(pts, z))
+    made, whole = [], K.silhouette
+    monkeypatch.setattr(K, "silhouette", lambda p, z, d: made.append(d) or whole(p, z, d))
+    assert (K.kmeans_auto(pts) == best).all() and all(d is made[0] for d in made)
