@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from gazeloom.operators import grouped, learning
+from gazeloom.operators import convnet, grouped, learning
 from gazeloom.operators import kernels as K
 
 SIZES = (1, 2, 3, 7, 40, 1, 66)
@@ -95,3 +95,20 @@ def test_affinity_ends_early_where_the_rest_is_known():
     x, y, _ = _points()
     pts = np.stack([x, y], 1)[BOUNDS[6] :]
     assert K.affinity_propagation(pts, rounds=1000).tolist() == K.affinity_propagation(pts, rounds=10**7).tolist()
+
+
+def test_the_net_takes_a_bounded_number_of_jobs(spark, monkeypatch):
+    """Two classes told by the direction of the last step; more steps than jobs."""
+    monkeypatch.setattr(convnet, "JOBS", 12)
+    rng = np.random.default_rng(2)
+    rows = []
+    for r in range(12):
+        label = np.repeat(rng.integers(1, 3, 20), 10)
+        x = np.cumsum(np.where(label == 1, 3.0, -3.0) + rng.normal(0, 0.5, 200))
+        rows += [(r, i, float(x[i]), float(rng.normal()), int(label[i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "recording_id long, i long, x double, y double, label int").repartition(3, "recording_id").cache()
+    fitted = convnet.fit(df.where("recording_id < 8"), df.select("recording_id", "i", "label"), window=9, channels=(6,), kernels=(4,), hidden=8, epochs=8, batch=64, rate=1e-2)
+    assert len(fitted.losses) == 12 and fitted.losses[-1] < 0.5 * fitted.losses[0]
+    got = fitted.transform(df.where("recording_id >= 8")).join(df, ["recording_id", "i"])
+    assert got.selectExpr("avg(CAST(prediction = label AS DOUBLE)) AS a").first().a > 0.85
+    df.unpersist()
