@@ -122,3 +122,24 @@ def test_likeness_tree_equals_greedy_merges(spark):
     letters = dict(zip("123456", ("XMJYXUZ", "MZJXJYAWXU", "MZJAJYYAWXU", "AWXJYAW", "MZJAWXU", "XMJYAUZ"), strict=True))
     assert [[common._common_length(list(a), list(b)) for b in letters.values()] for a in letters.values()] == [[len(K.longest_common_subsequence(a, b)) for b in letters.values()] for a in letters.values()]
     assert [common._common_length(list(letters["1"]), list(b)) for b in letters.values()] == [7, 5, 5, 3, 4, 6]
+
+
+def test_shared_ngrams_are_looked_up_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    made = {i: list(rng.choice(["a", "b", "cd"], n)) for i, n in enumerate([0, 1, 2, 3, 3, 4, 9, 25, 40, 2, 60])}
+    made[11] = list(made[8])
+    table = {i: Counter(tuple(s[k : k + 3]) for k in range(len(s) - 2)) for i, s in made.items()}
+    share = {i: {g: n / sum(c.values()) for g, n in c.items()} for i, c in table.items()}
+    want = {(a, b): 1 - 0.5 * sum(abs(share[a].get(g, 0) - share[b].get(g, 0)) for g in {*share[a], *share[b]}) for a, b in combinations(made, 2) if share[a] or share[b]}
+    packed = spark.createDataFrame(list(made.items()), "recording_id long, v array<string>")
+    for blocks in (1, 3):
+        got = {(r.id_1, r.id_2): r.similarity for r in pairwise.compare(packed, pairwise.SubsequenceSimilarity(), pairwise.SUBSEQUENCES, blocks=blocks).collect()}
+        assert got == {k: pytest.approx(x, abs=1e-6) for k, x in want.items()} and got[8, 11] == 1.0
+    pairs = spark.createDataFrame([(0, 8), (3, 4), (8, 11), (0, 9)], "id_1 long, id_2 long")
+    some = {(r.id_1, r.id_2): r.similarity for r in pairwise.given(packed, pairs, pairwise.SubsequenceSimilarity(), pairwise.SUBSEQUENCES).collect()}
+    assert some == {p: got[p] for p in [(0, 8), (3, 4), (8, 11)]}
+    # one call for all partners, with columns instead of a row a pair
+    kernel = pairwise.SubsequenceSimilarity()
+    at = kernel.start([np.array(s, object) for s in made.values()])
+    (rows,) = kernel(8, at[8], np.array(list(made))[9:], at[9:])
+    assert isinstance(rows, pairwise.Columns) and len(rows[1]) == 3
