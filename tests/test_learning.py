@@ -4,7 +4,10 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from gazeloom.operators import learning, mining
 from gazeloom.plans import kernels
@@ -45,3 +48,25 @@ def test_learned_queries_run(spark, sf, name):
     assert out.count() > 0
     if name.startswith("learn"):
         assert {r.label for r in out.select("label").distinct().collect()} <= {0, 1, 2, 3}
+
+
+def test_joint_areas_are_those_of_single_fits_in_few_jobs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 30, i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal([[0, 0], [9, 1], [4, 30], [50, 5]], 3.0, (150, 4, 2)).reshape(-1, 2))]
+    df = spark.createDataFrame(rows, "recording_id long, k long, x double, y double").repartition(3, "recording_id").persist()
+    at = df.withColumn("at", array_to_vector(F.array("x", "y"))).persist()
+    fits = [KMeans(k=n, seed=0, featuresCol="at", predictionCol="cluster").fit(at) for n in range(2, 9)]
+    scores = [ClusteringEvaluator(featuresCol="at", predictionCol="cluster").evaluate(m.transform(at)) for m in fits]
+    centres = {n: np.array(m.clusterCenters()) for n, m in enumerate(fits, 2)}
+    starts = {n: np.array(KMeans(k=n, seed=0, maxIter=0, featuresCol="at", predictionCol="cluster").fit(at).clusterCenters()) for n in centres}
+    tracker, before = spark.sparkContext.statusTracker(), {*spark.sparkContext.statusTracker().getJobIdsForGroup()}
+    found = learning._settled_centres(at.select("x", "y"), starts)
+    got = learning._silhouettes(at.select("x", "y"), found)
+    # rounds of all numbers share their jobs: 20 rounds and two more passes, two jobs each where Spark plans a shuffle first
+    assert len({*tracker.getJobIdsForGroup()} - before) <= 2 * 22
+    assert all(found[n] == pytest.approx(c, abs=1e-6) for n, c in centres.items()) and got == {n: pytest.approx(s, abs=1e-6) for n, s in enumerate(scores, 2)}
+    best = fits[int(np.argmax(scores))]
+    want = sorted(map(tuple, best.clusterCenters()))
+    areas = learning.joint_areas(df, most=8).collect()
+    assert len(areas) == 600 and sorted({(r.cx, r.cy) for r in areas}) == [pytest.approx(c, abs=1e-6) for c in want]
+    assert all(r.aoi == "ABCDEFGH"[min(range(len(want)), key=lambda c: (rows[r.k][2] - want[c][0]) ** 2 + (rows[r.k][3] - want[c][1]) ** 2)] for r in areas)
