@@ -143,3 +143,15 @@ def test_shared_ngrams_are_looked_up_not_compared_pair_by_pair(spark, monkeypatc
     at = kernel.start([np.array(s, object) for s in made.values()])
     (rows,) = kernel(8, at[8], np.array(list(made))[9:], at[9:])
     assert isinstance(rows, pairwise.Columns) and len(rows[1]) == 3
+
+
+def test_merges_need_no_tables_of_edit_distances(monkeypatch):
+    rng = np.random.default_rng(9)
+    made = [list(rng.choice(list("ABCDE"), n)) for n in [0, 1, 1, 2, 5, 30, 63, 64, 65, 66, 130, 200]]
+    assert all(K.edit_distance(a, b) == K.weighted_levenshtein(a, b) for a in made for b in made)
+    few = [list(rng.choice(list("ABC"), rng.integers(5, 30))) for _ in range(15)]
+    with monkeypatch.context() as m:
+        m.setattr(K, "edit_distance", K.weighted_levenshtein)
+        want = K.emine(few)
+    monkeypatch.setattr(K, "_edit_table", None)
+    assert K.emine(few) == want and K.emine([]) == []
