@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from gazeloom.operators import common, grouped, pairwise
+from gazeloom.operators import batches, common, grouped, pairwise
 from gazeloom.operators import kernels as K
 
 
@@ -155,3 +155,26 @@ def test_merges_need_no_tables_of_edit_distances(monkeypatch):
         want = K.emine(few)
     monkeypatch.setattr(K, "_edit_table", None)
     assert K.emine(few) == want and K.emine([]) == []
+
+
+def test_likeness_tree_keeps_no_pairs_and_follows_blocks_of_falling_sums(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    made, _ = _sequences(spark, rng, 60, "ABC", start=2**60)
+    # copies with small ids, whose scores tie, and one of several words
+    made |= {i: list("ABCAB") for i in range(40)} | {50: list(rng.choice(list("AB"), 150)), 51: list("Z")}
+    df = spark.createDataFrame([(i, k, a) for i, s in made.items() for k, a in enumerate(s)], "recording_id long, k long, aoi string")
+    # neither a table of all pairs nor rounds of mutual best ones: copies merge one at a time in these
+    monkeypatch.setattr(common, "likeness", None)
+    want = sorted(_greedy_tree(made))
+    for size in (4096, 25):
+        tree = common.likeness_tree(df, size=size)
+        assert sorted(map(tuple, tree.collect())) == want and tree.dtypes == [("kept", "bigint"), ("gone", "bigint"), ("score", "int")]
+    assert common.likeness_tree(df.limit(0)).count() == 0
+
+
+def test_common_lengths_of_many_sequences_at_once():
+    rng = np.random.default_rng(11)
+    made = [list(rng.choice(list("ABCD"), n)) for n in [0, 1, 2, 5, 63, 64, 65, 127, 128, 129, 192, 193, 257, 300]] + [["A"] * 130, ["A"] * 200]
+    code = batches.coded(made)
+    assert batches.common_lengths(code)(code).tolist() == [[common._common_length(a, b) for b in made] for a in made]
+    assert batches.common_lengths(code[:3])([*code, np.array([77])]).shape == (len(made) + 1, 3)
