@@ -178,3 +178,36 @@ def test_common_lengths_of_many_sequences_at_once():
     code = batches.coded(made)
     assert batches.common_lengths(code)(code).tolist() == [[common._common_length(a, b) for b in made] for a in made]
     assert batches.common_lengths(code[:3])([*code, np.array([77])]).shape == (len(made) + 1, 3)
+
+
+def test_path_measures_take_all_partners_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    plane = (500.0, 100.0, (500.0**2 + 100.0**2) ** 0.5)
+    made = {i: np.stack([rng.uniform(0, 520, n), rng.integers(0, 100, n), rng.exponential(1e5, n)], 1) for i, n in enumerate([1, 1, 2, 3, 5, 30, 30, 47, 48, 70, 90])}
+    # a copy, and points that MultiMatch drops
+    made |= {20: made[7].copy(), 21: np.array([[5.0, 5, 0.1], [5, 5, 0.1], [6, 5, 0.1]])}
+    df = spark.createDataFrame([(i, k, *map(float, p)) for i, path in made.items() for k, p in enumerate(path)], "recording_id long, k long, x double, y double, dur double")
+    metrics = grouped.path_metrics(*plane, step=1e5, rounds=20)
+    want = {}
+    for a, b in combinations(made, 2):
+        for name, fn in metrics.items():
+            got = fn(made[a], made[b])
+            want |= {(a, b, name if k is None else f"{name}_{k}"): x for k, x in (got.items() if isinstance(got, dict) else [(None, got)])}
+    for name in ("dtw", "discrete_frechet", "multimatch", "scanmatch", "mannan", "_warp_table"):
+        monkeypatch.setattr(K, name, None)
+    got = {(r.id_1, r.id_2, r.metric): r.value for r in grouped.pair_metrics(df, metrics).collect()}
+    missing = {k for k, x in want.items() if x != x}
+    assert got.keys() == want.keys() and missing == {k for k, x in got.items() if x is None} and missing
+    assert all(got[k] == pytest.approx(x, rel=1e-9, abs=1e-9) for k, x in want.items() if k not in missing)
+    # no kernel of one pair in the batch either, which the tasks' own modules would not show
+    kernel = batches.PathMeasures(**metrics.parameters)
+    vs = kernel.start([p.ravel() for p in made.values()])
+    (rows,) = kernel(20, vs[-2], np.array(list(made)), vs)
+    assert isinstance(rows, batches.Columns) and len(rows[3]) == 9 * len(made)
+
+
+def test_chances_of_random_scanpaths_are_drawn_as_before():
+    for n, m in [(1, 1), (3, 17), (40, 33)]:
+        rng = np.random.default_rng(0)
+        drawn = [K._mannan_distance(rng.uniform(0, 1, (n, 2)) * (500.0, 100.0), rng.uniform(0, 1, (m, 2)) * (500.0, 100.0), 500.0, 100.0) for _ in range(50)]
+        assert K.mannan_chance(n, m, 500.0, 100.0, 50, 0) == float(np.mean(drawn))
