@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gazeloom.operators import batches, common, grouped, pairwise
 from gazeloom.operators import kernels as K
@@ -211,3 +212,30 @@ def test_chances_of_random_scanpaths_are_drawn_as_before():
         rng = np.random.default_rng(0)
         drawn = [K._mannan_distance(rng.uniform(0, 1, (n, 2)) * (500.0, 100.0), rng.uniform(0, 1, (m, 2)) * (500.0, 100.0), 500.0, 100.0) for _ in range(50)]
         assert K.mannan_chance(n, m, 500.0, 100.0, 50, 0) == float(np.mean(drawn))
+
+
+def test_equal_scanpaths_are_mapped_once_and_stay_together(spark, paths):
+    made, _ = paths
+    base = list(made.values())[:6]
+    many = {100 * i + n: p for i in range(8) for n, p in enumerate(base)} | {7000 + n: p for n, p in enumerate(list(made.values())[6:9])}
+    packed = spark.createDataFrame([(i, [float(z) for z in p.ravel()]) for i, p in many.items()], "recording_id long, v array<double>").repartition(3)
+    want = {}
+    for a, b in combinations(sorted(many), 2):
+        d = np.hypot(many[a][:, None, 0] - many[b][:, 0], many[a][:, None, 1] - many[b][:, 1])
+        n, m = d.shape
+        want[a, b] = ((d.min(0).sum() + d.min(1).sum()) / max(n, m), np.sqrt((m * (d.min(1) ** 2).sum() + n * (d.min(0) ** 2).sum()) / (2 * n * m)))
+    for blocks in (1, 4):
+        got = {(r.id_1, r.id_2): r[2:] for r in pairwise.compare(packed, pairwise.PointMapping(), pairwise.POINT_MAPPING, blocks=blocks).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(x, abs=2e-6) for k, x in want.items())
+    # each pair of different scanpaths is compared once a task: nothing new for a copy
+    kernel = pairwise.PointMapping()
+    at = kernel.start([p.ravel() for p in many.values()])
+    assert sorted(set(at.tolist())) == list(range(9))
+    list(kernel(0, at[0], np.array(list(many))[1:], at[1:]))
+    kernel.paths = [None] * 9
+    (rows,) = kernel(100, at[6], np.array(list(many))[7:], at[7:])
+    assert len(rows[2]) == len(many) - 7 and rows[2][5] == 0.0
+    # copies of one scanpath are no larger block than others
+    same = packed.withColumn("v", F.array(F.lit(1.0), F.lit(2.0)))
+    sizes = [r["count"] for r in pairwise.dealt(same, 4, "v").where("low = high").groupBy("low").count().collect()]
+    assert sum(sizes) == len(many) and len(sizes) == 4 and max(sizes) < len(many) / 2
