@@ -4,6 +4,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LinearSVC
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -70,3 +71,27 @@ def test_joint_areas_are_those_of_single_fits_in_few_jobs(spark):
     areas = learning.joint_areas(df, most=8).collect()
     assert len(areas) == 600 and sorted({(r.cx, r.cy) for r in areas}) == [pytest.approx(c, abs=1e-6) for c in want]
     assert all(r.aoi == "ABCDEFGH"[min(range(len(want)), key=lambda c: (rows[r.k][2] - want[c][0]) ** 2 + (rows[r.k][3] - want[c][1]) ** 2)] for r in areas)
+
+
+def test_kernel_machines_share_passes_and_reach_the_loss_of_single_fits(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 2))
+    y = 1.0 + (np.hypot(*x.T) > 1.1) + (np.hypot(*x.T) > 1.8)
+    df = spark.createDataFrame([(1, k, p.tolist(), float(c)) for k, (p, c) in enumerate(zip(x, y, strict=True))], "recording_id long, i long, f array<double>, label double").withColumn("vector", array_to_vector("f")).repartition(3).persist()
+    tracker = spark.sparkContext.statusTracker()
+    before = {*tracker.getJobIdsForGroup()}
+    model = learning.KernelMachine(2, gamma=1.0, size=60).fit(df, rounds=20)
+    # three machines of 20 rounds and the moments: a pass a round, two jobs where Spark plans a shuffle first
+    assert len({*tracker.getJobIdsForGroup()} - before) <= 2 * 22 + 8
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    f = learning.fourier_features(z, model.directions, model.phases)
+    sd = f.std(0, ddof=1)
+    lifted = spark.createDataFrame([(p.tolist(), float(c)) for p, c in zip(f, y, strict=True)], "f array<double>, label double").withColumn("lifted", array_to_vector("f")).persist()
+
+    def loss(w, b, c):
+        return np.maximum(0, 1 - np.where(y == c, 1, -1) * (f @ w + b)).mean() + 0.5e-4 * ((w * sd) ** 2).sum()
+
+    for c, weights, said in zip(model.labels, model.weights, model.loss, strict=True):
+        single = LinearSVC(maxIter=20, regParam=1e-4, featuresCol="lifted", labelCol="own").fit(lifted.withColumn("own", (F.col("label") == float(c)).cast("double")))
+        assert loss(weights[:-1], weights[-1], c) == pytest.approx(said, abs=1e-9)
+        assert said <= loss(single.coefficients.toArray(), single.intercept, c) * 1.05 + 1e-3
