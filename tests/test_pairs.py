@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gazeloom.operators import batches, common, grouped, pairwise
 from gazeloom.operators import kernels as K
@@ -239,3 +240,47 @@ def test_equal_scanpaths_are_mapped_once_and_stay_together(spark, paths):
     same = packed.withColumn("v", F.array(F.lit(1.0), F.lit(2.0)))
     sizes = [r["count"] for r in pairwise.dealt(same, 4, "v").where("low = high").groupBy("low").count().collect()]
     assert sum(sizes) == len(many) and len(sizes) == 4 and max(sizes) < len(many) / 2
+
+
+def test_equal_recordings_are_compared_once(spark):
+    rng = np.random.default_rng(3)
+    paths = [np.round(rng.uniform(0, 100, 2 * n), 3) for n in rng.integers(1, 9, 7)]
+    names = [[chr(65 + c) for c in rng.integers(0, 3, n)] for n in rng.integers(1, 9, 7)]
+    points = spark.createDataFrame([(k, paths[k % 7].tolist()) for k in range(42)], "recording_id long, v array<double>")
+    symbols = spark.createDataFrame([(k, names[k % 7]) for k in range(42)], "recording_id long, v array<string>")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(kernel):
+        class Counted:
+            def start(self, values):
+                return kernel.start(values) if hasattr(kernel, "start") else values
+
+            def __call__(self, one, v, ids, vs):
+                calls.add(len(ids))
+                yield from kernel(one, v, ids, vs)
+
+        return Counted()
+
+    def rows(values, kernel, schema, blocks):
+        return sorted(repr(tuple(r)) for r in pairwise.compare(values, kernel, schema, blocks=blocks).collect())
+
+    def single(values, kernel, schema):
+        arrow = pairwise._arrow_schema(T._parse_datatype_string(schema))
+        found = pairwise._each(kernel, np.arange(42), np.zeros(42), [values[k % 7] for k in range(42)], True)
+        return sorted(repr(tuple(r.values())) for c in (row if isinstance(row, batches.Columns) else batches.Columns((row[0], np.array([row[1]]), *row[2:])) for row in found) for b in pairwise._batches(c, arrow) for r in b.to_pylist())
+
+    def plain(one, v, ids, vs):
+        for two, w in zip(ids.tolist(), vs, strict=True):
+            yield one, two, float(abs(v.sum() - w.sum()))
+
+    kinds = [
+        (points, pairwise.joint_bins(4, 4), pairwise.JOINT_BINS), (points, pairwise.cross_recurrence(40.0), pairwise.CROSS_RECURRENCE), (points, pairwise.time_delay_embedding(3), pairwise.TIME_DELAY),
+        (points, pairwise.near_pairs(60.0), pairwise.NEAR), (points, batches.WarpLinks("frechet"), "id_1 long, id_2 long, distance double, left array<int>, right array<int>"), (points, batches.CrossSpectra(1.0, 4), "id_1 long, id_2 long, cell long, frequency double, re double, im double, coherency double"),
+        (symbols, batches.Alignments(), "id_1 long, id_2 long, score double, aligned array<string>"), (points, plain, pairwise.NEAR),
+    ]
+    for values, kernel, schema in kinds:
+        want = single(paths if values is points else [np.array(v, object) for v in names], kernel, schema)
+        assert want and rows(values, kernel, schema, 2) == want == rows(values, kernel, schema, 1)
+    pairwise.compare(points, counted(pairwise.joint_bins(4, 4)), pairwise.JOINT_BINS, blocks=1).count()
+    # seven kinds, each way; 861 pairs
+    assert 0 < calls.value <= 49
